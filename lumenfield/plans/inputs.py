@@ -66,13 +66,13 @@ c as (select series_id, size_z, origin*f as o, length*f as l, case when size_z>1
 k as (select *, f is not null and (size_z=1 or s>0) as known from c),
 p as (select series_id, unnest(range(size_z)) as position from k where known)
 select k.series_id, k.size_z, round(case when known then s end, 6) as z_spacing_um, p.position,
-round(case when k.size_z=1 then o else o + l*p.position/(k.size_z-1) end, 6) as z_um from k left join p using (series_id)"""))
+round(case when k.size_z=1 then o else o + l*p.position/(k.size_z-1) end, 6)+0.0::double as z_um from k left join p using (series_id)"""))
 def z_calibration(spark, sf):
     calibrated = catalog.z_calibration(recipe(spark, sf, "series"))
     exploded = calibrated.select("series_id", "size_z", "z_spacing_um", F.posexplode_outer("z_positions_um").alias("position", "z_um"))
     return exploded.select(
         "series_id", "size_z", F.round("z_spacing_um", 6).alias("z_spacing_um"),
-        F.when(F.col("z_um").isNotNull(), F.col("position")).cast("bigint").alias("position"), F.round("z_um", 6).alias("z_um"),
+        F.when(F.col("z_um").isNotNull(), F.col("position")).cast("bigint").alias("position"), (F.round("z_um", 6) + F.lit(0.0)).alias("z_um"),
     )
 
 
@@ -304,16 +304,15 @@ def json_props(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), rebuilt.alias("text"))
 
 
-@query("id_list_roundtrip", """select l_orderkey as object_id, string_agg(cast(l_partkey as varchar), ';' order by l_partkey) as ids, count(*) as n,
-max(l_partkey) as last_id from lineitem group by 1""")
+@query("id_list_roundtrip", """with t as (select l_orderkey, l_linenumber, concat_ws(';',cast(l_partkey as varchar),cast(l_suppkey as varchar),cast(l_orderkey as varchar)) as text from lineitem),
+a as (select l_orderkey, l_linenumber, list_sort([cast(v as bigint) for v in string_split(text,';')]) as ids from t)
+select l_orderkey, l_linenumber, array_to_string(ids,';') as ids, len(ids) as n, ids[-1] as last_id from a""")
 def id_list_roundtrip(spark, sf):
-    """Member lists as text and back: joined in id order, split, cast and sorted again."""
-    lists = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("object_id")).agg(
-        scalars.join_ids(F.collect_list("l_partkey")).alias("text")
-    )
-    ids = scalars.parse_ids(F.col("text"))
-    return lists.select(
-        "object_id", scalars.join_ids(ids).alias("ids"), F.size(ids).cast("bigint").alias("n"), F.element_at(ids, -1).alias("last_id")
+    """Member lists as text and back: split, cast, sorted and joined again."""
+    text = F.concat_ws(";", "l_partkey", "l_suppkey", "l_orderkey")
+    ids = scalars.parse_ids(text)
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", scalars.join_ids(ids).alias("ids"), F.size(ids).cast("bigint").alias("n"), F.element_at(ids, -1).alias("last_id")
     )
 
 
@@ -324,8 +323,7 @@ def dense_relabel(spark, sf):
     first = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("label")).agg(
         F.min("o_orderkey").alias("first_seen"), F.count("*").alias("n")
     )
-    width = 1 << 12
-    dense = ranks.numbered(first, [], [F.col("first_seen")], F.floor(F.col("first_seen") / width), "dense_id")
+    dense = ranks.numbered(first, [], [F.col("first_seen")], ranks.magnitude_bucket(F.col("first_seen"), 4096), "dense_id")
     return dense.select("label", "n", "dense_id")
 
 

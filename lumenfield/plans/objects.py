@@ -194,7 +194,7 @@ def distinct_first_seen(spark, sf):
     first = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(
         F.min("o_orderkey").alias("first_seen"), F.count("*").alias("n")
     )
-    return ranks.numbered(first, [], [F.col("first_seen")], F.col("first_seen").bitwiseAND(F.lit(-1 << 20)), "position")
+    return ranks.numbered(first, [], [F.col("first_seen")], ranks.magnitude_bucket(F.col("first_seen")), "position")
 
 
 @query("key_set_diff", """with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey as k from orders)
@@ -213,8 +213,8 @@ def key_set_diff(spark, sf):
 
 @query("exact_percentiles", duck("obj", body="""with
 x as (select image_id, cast(round(p*4001) as bigint) as k from obj where p is not null)
-select image_id, quantile_cont(k,0.0) as p0, quantile_cont(k,0.25) as p25, quantile_cont(k,0.5) as p50,
-quantile_cont(k,0.75) as p75, quantile_cont(k,0.9) as p90, quantile_cont(k,0.99) as p99, quantile_cont(k,1.0) as p100 from x group by 1"""))
+select image_id, round(quantile_cont(k,0.0),6) as p0, round(quantile_cont(k,0.25),6) as p25, round(quantile_cont(k,0.5),6) as p50,
+round(quantile_cont(k,0.75),6) as p75, round(quantile_cont(k,0.9),6) as p90, round(quantile_cont(k,0.99),6) as p99, round(quantile_cont(k,1.0),6) as p100 from x group by 1"""))
 def exact_percentiles(spark, sf):
     """Linear-interpolated percentiles of the exceedance rank (an integer of bounded range)."""
     points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p100": 1.0}
@@ -222,7 +222,7 @@ def exact_percentiles(spark, sf):
         "image_id", F.round(F.col("p") * 4001).cast("bigint").alias("k")
     )
     grouped = ranks_.groupBy("image_id").agg(F.percentile("k", F.array(*map(F.lit, points.values()))).alias("v"))
-    return grouped.select("image_id", *[F.col("v")[i].alias(n) for i, n in enumerate(points)])
+    return grouped.select("image_id", *[F.round(F.col("v")[i], 6).alias(n) for i, n in enumerate(points)])
 
 
 @query("union_fields", duck("obj", body="""select replicate_id, image_id, object_id, status, 'scored' as part from obj where scorable

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import is_close, safe_filename, valid_id
-from lumenfield.operators.ranks import numbered
+from lumenfield.operators.ranks import magnitude_bucket, numbered
 from lumenfield.session import cut
 
 REQUIRED = ["image_id", "replicate_id", "green", "red"]
@@ -71,7 +71,7 @@ def violations(rows: DataFrame) -> DataFrame:
     return single.unionByName(exact).unionByName(folded).unionByName(reused)
 
 
-def assign_unique_ids(rows: DataFrame, ident: str, seq: str, width: int = 1 << 16) -> DataFrame:
+def assign_unique_ids(rows: DataFrame, ident: str, seq: str) -> DataFrame:
     """Append rows in ``seq`` order; a taken id (case-folded) becomes ``id_2``, ``id_3``, ...
 
     A suffixed name may also be some other row's literal id. Whoever comes first keeps
@@ -79,7 +79,7 @@ def assign_unique_ids(rows: DataFrame, ident: str, seq: str, width: int = 1 << 1
     Only stems with such literal children go through the skip rounds.
     """
     stem = rows.withColumn("_stem", F.lower(ident))
-    ranked = numbered(stem, ["_stem"], [F.col(seq)], F.floor(F.col(seq) / width), "_k")
+    ranked = numbered(stem, ["_stem"], [F.col(seq)], magnitude_bucket(F.col(seq), 4096), "_k")
     firsts = ranked.filter("_k = 1").select("_stem", F.col(seq).alias("_first"))
     suffix = r"^(.*)_([2-9]|[1-9][0-9]{1,8})$"
     children = firsts.filter(F.col("_stem").rlike(suffix)).select(
@@ -88,7 +88,7 @@ def assign_unique_ids(rows: DataFrame, ident: str, seq: str, width: int = 1 << 1
         F.col("_first").alias("_child_first"),
     )
     children = children.join(firsts.select("_stem"), "_stem", "left_semi")
-    children = cut(numbered(children, ["_stem"], [F.col("_n")], F.floor(F.col("_n") / width), "_i"))
+    children = cut(numbered(children, ["_stem"], [F.col("_n")], magnitude_bucket(F.col("_n")), "_i"))
     number = F.col("_k")
     if not children.isEmpty():
         ranked = cut(ranked)
