@@ -1,4 +1,4 @@
 """All registered plans; importing this package fills the registry."""
 
-from lumenfield.plans import inputs, objects, raster, regions  # noqa: F401
+from lumenfield.plans import inputs, matching, objects, raster, regions  # noqa: F401
 from lumenfield.plans.registry import ORACLES, QUERIES  # noqa: F401
