@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import product
 
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import half_even
 from lumenfield.operators.components import connected_roots
-from lumenfield.operators.raster import moved, square
+from lumenfield.operators.raster import moved
 from lumenfield.session import cut
 
 
@@ -37,28 +37,39 @@ def centroid_pairs(
 
 
 def admissible_pairs(
-    pixels: DataFrame, regions: DataFrame, max_distance: float, dilation: int, window: int,
+    pixels: DataFrame, regions: DataFrame, max_distance: float, dilation: Mapping[str, int], window: Mapping[str, int],
+    spacing: Mapping[str, float] | None = None, slack: float = 0.0,
     shared: Sequence[str] = ("image_id",), green_keys: Sequence[str] = (), red_keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Green/red pairs whose centroids are near and whose masks meet after a square dilation.
+    """Green/red pairs whose centroids are near and whose masks meet after a box dilation.
 
     The green mask is cut to a window around its half-even rounded centroid before it is
     dilated, and only red pixels inside that window count. Starting from touching pixels
     keeps this an equi-join on pixels; ``green_keys``/``red_keys`` carry sweep factors.
+    ``window`` names the axes; distances are physical when ``spacing`` is given.
     """
+    axes = list(window)
+    pitch = spacing or dict.fromkeys(axes, 1.0)
     shared, green_keys, red_keys = list(shared), list(green_keys), list(red_keys)
     green, red = F.col("channel") == "green", F.col("channel") == "red"
-    g_regions = regions.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), F.col("y").alias("gy"), F.col("x").alias("gx"))
-    r_regions = regions.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), F.col("y").alias("ry"), F.col("x").alias("rx"))
-    in_window = (F.abs(F.col("y") - half_even(F.col("gy"))) <= window) & (F.abs(F.col("x") - half_even(F.col("gx"))) <= window)
-    g_pixels = pixels.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), "y", "x")
-    cut_masks = g_pixels.join(g_regions, [*shared, *green_keys, "green_id"]).filter(in_window)
-    near = moved(cut_masks, square(dilation)).filter(in_window).distinct() if dilation else cut_masks
-    r_pixels = pixels.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), "y", "x")
-    touching = near.join(r_pixels, [*shared, "y", "x"]).select(*shared, *green_keys, *red_keys, "green_id", "red_id", "gy", "gx").distinct()
-    dy, dx = F.col("gy") - F.col("ry"), F.col("gx") - F.col("rx")
-    paired = touching.join(r_regions, [*shared, *red_keys, "red_id"]).withColumn("distance", F.sqrt(dy * dy + dx * dx))
-    return paired.filter(F.col("distance") <= max_distance).select(*shared, *green_keys, *red_keys, "green_id", "red_id", "distance")
+    g_regions = regions.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), *[F.col(a).alias(f"_g{a}") for a in axes])
+    r_regions = regions.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), *[F.col(a).alias(f"_r{a}") for a in axes])
+    in_window = F.lit(True)
+    for a in axes:
+        in_window = in_window & (F.abs(F.col(a) - half_even(F.col(f"_g{a}"))) <= window[a])
+    g_pixels = pixels.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), *axes)
+    masks = g_pixels.join(g_regions, [*shared, *green_keys, "green_id"]).filter(in_window)
+    box = list(product(*[range(-dilation[a], dilation[a] + 1) for a in axes]))
+    near = moved(masks, box, axes).filter(in_window).distinct() if len(box) > 1 else masks
+    r_pixels = pixels.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), *axes)
+    centres = [f"_g{a}" for a in axes]
+    touching = near.join(r_pixels, [*shared, *axes]).select(*shared, *green_keys, *red_keys, "green_id", "red_id", *centres).distinct()
+    d2 = F.lit(0.0)
+    for a in axes:
+        step = (F.col(f"_g{a}") - F.col(f"_r{a}")) * F.lit(float(pitch[a]))
+        d2 = d2 + step * step
+    paired = touching.join(r_regions, [*shared, *red_keys, "red_id"]).withColumn("distance", F.sqrt(d2))
+    return paired.filter(F.col("distance") <= max_distance + slack).select(*shared, *green_keys, *red_keys, "green_id", "red_id", "distance")
 
 
 def best_matching(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:

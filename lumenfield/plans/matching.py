@@ -82,7 +82,7 @@ def one_to_one_match(spark, sf):
 def planar_pairs(spark, sf):
     pixels, props = unsplit_regions(spark, sf)
     pixels, props = cut(pixels), cut(props)
-    return pixels, props, matching.admissible_pairs(pixels, props, DISTANCE, DILATION, RADIUS)
+    return pixels, props, matching.admissible_pairs(pixels, props, DISTANCE, {"y": DILATION, "x": DILATION}, {"y": RADIUS, "x": RADIUS})
 
 
 @query("overlap_semi_join", duck("px", body=f"with recursive {LABELLED}, {overlap_cte('edges', DISTANCE, DILATION, RADIUS)} select image_id, green_id, red_id, round(distance,8) as distance from edges"))
