@@ -79,19 +79,23 @@ def placements(
     height, width = shape
 
     def slide(key: tuple, masks: pd.DataFrame, area: pd.DataFrame) -> pd.DataFrame:
+        masks = masks.sort_values("object_id", ignore_index=True)
         base_y, base_x = max(0, int(masks["y0"].min()) - outer), max(0, int(masks["x0"].min()) - outer)
         size = (min(height, int(masks["y1"].max()) + outer + 1) - base_y, min(width, int(masks["x1"].max()) + outer + 1) - base_x)
         light, taken = np.zeros(size), np.zeros(size, np.int32)
         at = area["y"].to_numpy() - base_y, area["x"].to_numpy() - base_x
         light[at], taken[at] = area["value"].to_numpy(), area["taken"].to_numpy()
+        ids, first, counts = np.unique(masks["object_id"].to_numpy(), return_index=True, return_counts=True)
+        ys, xs = masks["y"].to_numpy() - base_y, masks["x"].to_numpy() - base_x
+        ends = masks[["y0", "y1", "x0", "x1"]].to_numpy()
         out = []
-        for object_id, mask in masks.groupby("object_id", sort=False):
-            y0, y1, x0, x1 = (int(mask[c].iloc[0]) for c in ("y0", "y1", "x0", "x1"))
+        for object_id, start, n_pixels in zip(ids, first, counts):
+            y0, y1, x0, x1 = ends[start].tolist()
             dy = np.arange(-min(outer, y0), min(outer, height - 1 - y1) + 1)
             dx = np.arange(-min(outer, x0), min(outer, width - 1 - x1) + 1)
             sums, cover = np.zeros((len(dy), len(dx))), np.zeros((len(dy), len(dx)), np.int32)
             observed = 0.0
-            for y, x in zip(mask["y"].to_numpy() - base_y, mask["x"].to_numpy() - base_x):
+            for y, x in zip(ys[start : start + n_pixels].tolist(), xs[start : start + n_pixels].tolist()):
                 block = (slice(y + dy[0], y + dy[-1] + 1), slice(x + dx[0], x + dx[-1] + 1))
                 sums += light[block]
                 cover += taken[block]
@@ -101,16 +105,17 @@ def placements(
             null = sums[free]
             if rows:
                 iy, ix = np.nonzero(free)
-                out.append(pd.DataFrame({"object_id": object_id, "dy": dy[iy], "dx": dx[ix], "null_sum": null}))
+                out.append((np.full(len(null), object_id), dy[iy], dx[ix], null))
             else:
                 n = len(null)
-                out.append(pd.DataFrame({
-                    "object_id": [object_id], "roi_pixels": [len(mask)], "observed": [observed], "n_null": [n],
-                    "n_exceed": [int((null >= observed - 1e-5).sum())],
-                    "null_mean": [null.mean() if n else None], "null_sd": [null.std(ddof=1) if n > 1 else None],
-                    "null_q99": [np.quantile(null, 0.99) if n else None],
-                }))
-        result = pd.concat(out, ignore_index=True)
+                out.append((
+                    object_id, n_pixels, observed, n, int((null >= observed - 1e-5).sum()), null.mean() if n else None,
+                    null.std(ddof=1) if n > 1 else None, np.quantile(null, 0.99) if n else None,
+                ))
+        if rows:
+            result = pd.DataFrame(dict(zip(["object_id", "dy", "dx", "null_sum"], map(np.concatenate, zip(*out)))))
+        else:
+            result = pd.DataFrame(out, columns=["object_id", "roi_pixels", "observed", "n_null", "n_exceed", "null_mean", "null_sd", "null_q99"])
         for name, value in zip(keys, key):
             result.insert(0, name, value)
         return result

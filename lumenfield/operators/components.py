@@ -3,12 +3,12 @@
 Pixels: every tile of a frame is labelled on its own (one bounded block per task), then
 only the labels that meet at tile borders form a graph. Edge lists: alternating star
 contraction, a logarithmic number of rounds of grouped minima and joins; each round is
-cut with a reliable checkpoint and only one fingerprint row reaches the driver.
+cut with a reliable checkpoint and only a yes/no answer reaches the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -96,24 +96,59 @@ def label_components(
     return local.join(roots, [*keys, "root"], "left").withColumn("root", F.coalesce("_final", "root")).drop("_final")
 
 
-def connected_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, node, root) for every node of ``edges(keys, a, b)``; root is the smallest node reachable."""
-    keys = list(keys)
-    stars = cut(
-        edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    )
-    seen = None
+def contract(pairs: np.ndarray) -> np.ndarray:
+    """Replace edges (rows of two node numbers) by stars with the same components, rooted at the smallest node."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    left, right = ends.reshape(-1, 2).T
+    root = np.arange(len(nodes))
     while True:
-        mark = stars.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "a", "b"))).first()
-        if mark == seen:
+        a, b = root[left], root[right]
+        open_ = a != b
+        if not open_.any():
             break
-        seen = mark
+        left, right, a, b = left[open_], right[open_], a[open_], b[open_]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (jumped := root[root]).tobytes() != root.tobytes():
+            root = jumped
+    leaves = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[leaves], nodes[root[leaves]]], axis=1)
+
+
+def connected_roots(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, node, root) for every node of ``edges(keys, a, b)``; root is the smallest node reachable.
+
+    Edges of one key mostly share a record batch, so each batch is first contracted on its
+    own; star contraction then joins what is split over batches, for any group size.
+    """
+    keys = list(keys)
+    plain = edges.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(keys, sort=False):
+                stars = pd.DataFrame(contract(part[["a", "b"]].to_numpy()), columns=["a", "b"])
+                for name, value in zip(keys, key):
+                    stars.insert(0, name, value)
+                yield stars[[*keys, "a", "b"]]
+
+    stars = cut(plain.distinct().hint("rebalance", *keys).mapInPandas(per_batch, plain.schema))
+    while not _is_forest(stars, keys):
         stars = cut(_small_star(_large_star(stars, keys), keys))
     leaves = stars.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
     own = edges.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
     return own.join(leaves, [*keys, "node"], "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _is_forest(stars: DataFrame, keys: list[str]) -> bool:
+    """Stars are final when every leaf has one root and no root is a leaf."""
+    ends = F.inline(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")),
+    ))
+    counts = stars.select(*keys, ends).groupBy(*keys, "node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root"))
+    return counts.filter("leaf > 1 or (leaf = 1 and root = 1)").isEmpty()
+
+
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Hang every larger neighbour of a node on the smallest member of the neighbourhood."""
     both = edges.unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))

@@ -87,9 +87,13 @@ def local_maxima(
 
 
 def plateau_peaks(maxima: DataFrame, keys: Sequence[str], spacing: Mapping[str, float], connectivity: str) -> DataFrame:
-    """One peak per plateau of adjacent maxima: the member nearest (physically) to the plateau's mean."""
-    keys, axes = [*keys, "root"], list(spacing)
-    plateaus = label_components(maxima.withColumnRenamed("root", "_component"), [*keys[:-1], "_component"], axes, connectivity)
+    """One peak per plateau of adjacent maxima: the member nearest (physically) to the plateau's mean.
+
+    Adjacent maxima lie in the same component, as both use one connectivity.
+    """
+    axes = list(spacing)
+    plateaus = label_components(maxima.withColumnRenamed("root", "_component"), keys, axes, connectivity)
+    keys = [*keys, "root"]
     plateaus = plateaus.withColumnsRenamed({"root": "_plateau", "_component": "root"})
     means = plateaus.groupBy(*keys, "_plateau").agg(*[F.avg(a).alias(f"_m{a}") for a in axes])
     away = F.lit(0.0)
@@ -193,8 +197,9 @@ def split_regions(
     """Add ``seed`` and ``parent_count``: which seed of its component a pixel belongs to.
 
     A component with one seed is one region and never leaves the JVM. Only components
-    with several seeds are flooded; such a group is one connected blob of one frame, so
-    its size is bounded by the declared frame, not by the amount of data.
+    with several seeds are flooded, those that start in the same band of 256 rows of a
+    frame together: components do not touch, so they do not disturb each other, and a
+    group is bounded by the declared frame, not by the amount of data.
     """
     keys, axes = list(keys), list(axes)
     offsets = sorted(neighbour_offsets(len(axes), connectivity), key=lambda o: sum(map(abs, o)))
@@ -212,7 +217,8 @@ def split_regions(
         owner = flood(part[axes].to_numpy(np.int64), part["value"].to_numpy(), part["seed"].to_numpy(), offsets, by_age)
         return part.assign(seed=owner)
 
-    return single.unionByName(crowded.groupBy(*keys, "root").applyInPandas(grow, crowded.schema))
+    band = F.shiftright("root", 29).alias("_band")
+    return single.unionByName(crowded.groupBy(*keys, band).applyInPandas(grow, crowded.schema))
 
 
 def region_props(
