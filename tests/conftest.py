@@ -12,4 +12,5 @@ from lumenfield.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     return session
