@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.operators.components import label_components, neighbour_offsets, pixel_code
-from lumenfield.operators.raster import moved, offsets_array
+from lumenfield.operators.raster import moved
 from lumenfield.session import cut
 
 
@@ -54,8 +54,35 @@ def strongest_first() -> Column:
     return F.struct((-F.col("value")).alias("v"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
 
 
-def box_offsets(radii: Sequence[int]) -> list[tuple[int, ...]]:
-    return [o for o in product(*[range(-r, r + 1) for r in radii]) if any(o)]
+def window_maximum(points: DataFrame, targets: DataFrame, keys: Sequence[str], radii: Mapping[str, int]) -> DataFrame:
+    """Add ``_most``, the largest value of ``points`` in the box window around each target.
+
+    One axis at a time: every point spreads along an axis and only the maximum per place
+    goes on, so the work grows with the sum of the window sides and not with its volume.
+    The last axis is looked up from the targets instead.
+    """
+    keys, axes = list(keys), list(radii)
+    spread = points.select(*keys, *axes, F.col("value").alias("_most"))
+    for a in axes[:-1]:
+        reach = F.explode(F.sequence(F.col(a) - radii[a], F.col(a) + radii[a]))
+        spread = spread.withColumn(a, reach).groupBy(*keys, *axes).agg(F.max("_most").alias("_most"))
+    last = axes[-1]
+    wanted = targets.withColumn("_at", F.explode(F.sequence(F.col(last) - radii[last], F.col(last) + radii[last])))
+    met = wanted.select(*keys, *axes, "value", "_at").join(spread.withColumnRenamed(last, "_at"), [*keys, *axes[:-1], "_at"])
+    return met.groupBy(*keys, *axes, "value").agg(F.max("_most").alias("_most"))
+
+
+def inside_boxes(points: DataFrame, boxes: DataFrame, keys: Sequence[str], axes: Sequence[str], tile: int = 32) -> DataFrame:
+    """Pair each point with every component whose bounding box holds it (equi-join on coarse tiles)."""
+    keys, tiles = list(keys), [f"_t{a}" for a in axes]
+    covered = boxes
+    for a, t in zip(axes, tiles):
+        covered = covered.withColumn(t, F.explode(F.sequence(F.floor(F.col(f"_{a}0") / tile), F.floor(F.col(f"_{a}1") / tile))))
+    placed = points.select(*keys, *axes, "value", *[F.floor(F.col(a) / tile).alias(t) for a, t in zip(axes, tiles)])
+    held = F.lit(True)
+    for a in axes:
+        held = held & F.col(a).between(F.col(f"_{a}0"), F.col(f"_{a}1"))
+    return placed.join(covered, [*keys, *tiles]).filter(held).select(*keys, "root", *axes, "value")
 
 
 def local_maxima(
@@ -64,26 +91,16 @@ def local_maxima(
     """Component pixels >= ``high`` that no pixel of ``field`` inside the window exceeds.
 
     The window is cut to the component's bounding box; pixels of other components inside
-    the box count, cells outside it read zero.
+    the box count, cells outside it read zero. Only pixels >= ``high`` can exceed a
+    candidate, so nothing else takes part.
     """
     keys, axes = list(keys), list(radii)
     boxes = labels.groupBy(*keys, "root").agg(
         *[F.min(a).alias(f"_{a}0") for a in axes], *[F.max(a).alias(f"_{a}1") for a in axes]
     )
     candidates = labels.filter(F.col("value") >= high).select(*keys, "root", *axes, "value")
-    around = candidates.join(boxes, [*keys, "root"]).select(
-        "*", F.explode(offsets_array(box_offsets(list(radii.values())), axes)).alias("_o")
-    )
-    inside = F.lit(True)
-    for a in axes:
-        inside = inside & (F.col(a) + F.col(f"_o.d{a}")).between(F.col(f"_{a}0"), F.col(f"_{a}1"))
-    around = around.filter(inside).select(
-        *keys, "root", *[F.col(a).alias(f"_c{a}") for a in axes], F.col("value").alias("_mine"),
-        *[(F.col(a) + F.col(f"_o.d{a}")).alias(a) for a in axes],
-    )
-    beaten = around.join(field.select(*keys, *axes, F.col("value").alias("_other")), [*keys, *axes]).filter("_other > _mine")
-    losers = beaten.select(*keys, "root", *[F.col(f"_c{a}").alias(a) for a in axes]).distinct()
-    return candidates.join(losers, [*keys, "root", *axes], "left_anti")
+    rivals = inside_boxes(field.filter(F.col("value") >= high), boxes, keys, axes)
+    return window_maximum(rivals, candidates, [*keys, "root"], radii).filter("value >= _most").drop("_most")
 
 
 def plateau_peaks(maxima: DataFrame, keys: Sequence[str], spacing: Mapping[str, float], connectivity: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from lumenfield.functions.scalars import join_ids, total
 from lumenfield.operators import regions
 from lumenfield.operators.components import connected_roots, label_components
 from lumenfield.operators.matching import admissible_pairs
-from lumenfield.operators.raster import distance_to_background, moved
+from lumenfield.operators.raster import distance_to_background
 from lumenfield.session import cut
 
 AXES = ["z", "y", "x"]
@@ -101,8 +100,8 @@ def segment_raw(
     labels = cut(labels.join(good, [*keys, "root"], "left_semi"))
     depth = distance_to_background(labels, keys, spacing).withColumnRenamed("distance", "value")
     depth = cut(depth.select(*keys, "root", *AXES, "value"))
-    own = depth.withColumnRenamed("root", "_root")
-    maxima = own_maxima(depth, keys, own)
+    deepest = regions.window_maximum(depth, depth, [*keys, "root"], dict.fromkeys(AXES, 1))
+    maxima = deepest.filter("value >= _most").drop("_most")
     peaks = regions.plateau_peaks(maxima, keys, spacing, "faces")
     kept = regions.thin_seeds(cut(peaks), keys, spacing, seed_distance_um, deepest_first())
     seeds = cut(regions.number_seeds(kept, keys, deepest_first()))
@@ -113,17 +112,6 @@ def segment_raw(
     return _finish(pieces, keys, props, keep, exclude_border)
 
 
-def own_maxima(depth: DataFrame, keys: Sequence[str], field: DataFrame) -> DataFrame:
-    """Voxels no direct neighbour of the same component lies deeper than."""
-    around = moved(
-        depth.select(*keys, "root", *AXES, *[F.col(a).alias(f"_c{a}") for a in AXES], F.col("value").alias("_mine")),
-        [o for o in product((-1, 0, 1), repeat=3) if any(o)], AXES,
-    )
-    deeper = around.join(field, [*keys, *AXES]).filter("_root = root and value > _mine")
-    losers = deeper.select(*keys, "root", *[F.col(f"_c{a}").alias(a) for a in AXES]).distinct()
-    return depth.join(losers, [*keys, "root", *AXES], "left_anti")
-
-
 # ---------------------------------------------------------------- association
 
 
@@ -140,19 +128,29 @@ def overlaps(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def surface_gap_pairs(labels: DataFrame, keys: Sequence[str], gap_um: float, spacing: Mapping[str, float]) -> DataFrame:
-    """Pairs with voxel centres within ``gap_um`` (0: a shared voxel): smallest gap and shared voxels."""
+    """Pairs with voxel centres within ``gap_um`` (0: a shared voxel): smallest gap and shared voxels.
+
+    Squared distances add up over axes, so green voxels spread along one axis at a time
+    and keep the minimum per place; the last axis is looked up from the red voxels.
+    """
     green, red = _sides(labels, keys)
-    reach = {a: math.ceil(gap_um / spacing[a]) for a in AXES}
-    ball = []
-    for offset in product(*[range(-reach[a], reach[a] + 1) for a in AXES]):
-        d = math.sqrt(sum((o * spacing[a]) ** 2 for o, a in zip(offset, AXES)))
-        if d <= gap_um + 1e-10:
-            ball.append((*offset, d))
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, AXES)], F.lit(float(o[3])).alias("d")) for o in ball])
-    around = green.withColumn("_o", F.explode(offsets)).withColumns({a: F.col(a) + F.col(f"_o.d{a}") for a in AXES})
-    around = around.groupBy(*keys, "green_id", *AXES).agg(F.min("_o.d").alias("d"))
-    met = around.join(red, [*keys, *AXES])
-    return met.groupBy(*keys, "green_id", "red_id").agg(F.min("d").alias("gap_um"), total(F.col("d") == 0).alias("overlap"))
+    limit = (gap_um + 1e-10) ** 2
+
+    def steps(axis: str, column: str) -> Column:
+        reach = math.floor((gap_um + 1e-10) / spacing[axis])
+        return F.explode(F.array(*[
+            F.struct((F.col(axis) + k).alias(column), F.lit((k * spacing[axis]) ** 2).alias("far")) for k in range(-reach, reach + 1)
+        ])).alias("_s")
+
+    spread = green.withColumn("d2", F.lit(0.0))
+    for axis in AXES[:-1]:
+        others = [c for c in spread.columns if c not in (axis, "d2")]
+        moved = spread.select(*others, "d2", steps(axis, axis)).select(*others, f"_s.{axis}", (F.col("d2") + F.col("_s.far")).alias("d2"))
+        spread = moved.filter(F.col("d2") <= limit).groupBy(*keys, "green_id", *AXES).agg(F.min("d2").alias("d2"))
+    wanted = red.select(*keys, "red_id", "z", "y", F.col("x").alias("_x"), steps("x", "x")).select(*keys, "red_id", "z", "y", "_x", "_s.x", "_s.far")
+    near = spread.join(wanted, [*keys, *AXES]).withColumn("d2", F.col("d2") + F.col("far")).filter(F.col("d2") <= limit)
+    closest = near.groupBy(*keys, "green_id", "red_id", "z", "y", "_x").agg(F.min("d2").alias("d2"))
+    return closest.groupBy(*keys, "green_id", "red_id").agg(F.sqrt(F.min("d2")).alias("gap_um"), total(F.col("d2") == 0).alias("overlap"))
 
 
 def shared_control_pairs(
