@@ -44,6 +44,30 @@ tst as (select o.image_id, o.object_id, o.roi_pixels, o.ssum, o.nz, coalesce(n.n
  case when coalesce(n.n,0)>={MIN_LOCATIONS} then (1+n.ge)/(n.n+1)::double end as p from obs o left join nul n using (image_id, object_id))"""
 
 
+def tested_cte(tag: str, dilation: int, signal: str) -> str:
+    """The test of one ROI dilation and one signal table, with suffixed CTE names."""
+    d = dilation
+    return f"""
+roi{tag} as (select distinct b.image_id, b.object_id, cast(b.y+dy as integer) as y, cast(b.x+dx as integer) as x from lb b, range(-{d},{d}+1) u(dy), range(-{d},{d}+1) v(dx)
+ where abs(dy)+abs(dx)<={d} and b.y+dy between 0 and 63 and b.x+dx between 0 and 63
+ and not exists (select 1 from lb o where o.image_id=b.image_id and o.y=b.y+dy and o.x=b.x+dx and o.object_id<>b.object_id)),
+rect{tag} as (select image_id, object_id, greatest(min(y)-{d},0) y0, least(max(y)+{d},63) y1, greatest(min(x)-{d},0) x0, least(max(x)+{d},63) x1 from lb group by 1,2),
+cand{tag} as (select r.image_id, r.object_id, dy, dx from rect{tag} r, offs where y0+dy>=0 and x0+dx>=0 and y1+dy<=63 and x1+dx<=63),
+hit{tag} as (select distinct c.image_id, c.object_id, c.dy, c.dx from cand{tag} c join roi{tag} r using (image_id, object_id) join occ o on o.image_id=c.image_id and o.y=r.y+c.dy and o.x=r.x+c.dx),
+place{tag} as (select * from cand{tag} anti join hit{tag} using (image_id, object_id, dy, dx)),
+sums{tag} as (select p.image_id, p.object_id, p.dy, p.dx, cast(coalesce(sum(b.value),0) as double) as null_sum from place{tag} p join roi{tag} r using (image_id, object_id) left join {signal} b on b.image_id=p.image_id and b.y=r.y+p.dy and b.x=r.x+p.dx group by 1,2,3,4),
+obs{tag} as (select r.image_id, r.object_id, coalesce(sum(b.value),0)::double as ssum from roi{tag} r left join {signal} b using (image_id, y, x) group by 1,2),
+nul{tag} as (select s.image_id, s.object_id, count(*) as n, count(*) filter (where s.null_sum>=o.ssum-1e-5::double) as ge from sums{tag} s join obs{tag} o using (image_id, object_id) group by 1,2),
+obj{tag} as (select o.image_id, o.object_id, coalesce(n.n,0)>={MIN_LOCATIONS} as scorable, true as provided, case when i.strong then 'live_only' else 'dead_only' end as status,
+ case when coalesce(n.n,0)>={MIN_LOCATIONS} then (1+n.ge)/(n.n+1)::double end as p from obs{tag} o left join nul{tag} n using (image_id, object_id) join ids i using (image_id, object_id)),
+rk{tag} as (select p, sum(count(*)) over (order by p) as rk, sum(count(*)) over () as n from obj{tag} where p is not null group by p),
+q{tag} as (select p, least(1.0::double, min((p*n)/rk) over (order by p rows between current row and unbounded following)) as q from rk{tag}),
+call{tag} as (select o.*, case when o.scorable then q.q<=0.05 end as detected from obj{tag} o left join q{tag} q on o.p=q.p)"""
+
+
+AROUND = NULLS.split("cand as")[0].rstrip().rstrip(",").replace("rect as (", "rect_ as (").replace("roi as (", "roi_ as (")
+
+
 def bright_objects(spark, sf):
     """(label pixels with object_id, objects): bright blobs of either channel."""
     bright = recipe(spark, sf, "px").filter("value >= 110").groupBy("image_id", "y", "x").agg(F.max("value").alias("value"))
@@ -104,7 +128,9 @@ def classified(spark, sf, labels, objects, signal, dilation=1):
     return enrichment.classify(cut(measured.select("image_id", "object_id", "status", "p", "scorable")), sample=None).withColumn("provided", F.lit(True))
 
 
-@query("dilation_sweep")
+@query("dilation_sweep", duck("px", "blue", body=f"""with recursive {AROUND.rstrip().rstrip(",")}, {tested_cte("0", 0, "blue")}, {tested_cte("1", 1, "blue")}, {tested_cte("2", 2, "blue")},
+alld as (select 0 as dilation, * from call0 union all select 1, * from call1 union all select 2, * from call2)
+select dilation, image_id, {SUMMARY} from alld group by 1,2"""))
 def dilation_sweep(spark, sf):
     """Detection summary per field for ROI dilations of 0, 1 and 2 pixels, each re-adjusted."""
     labels, objects = bright_objects(spark, sf)
@@ -115,7 +141,10 @@ def dilation_sweep(spark, sf):
     return rollups.count_summary(swept, ["dilation", "image_id"])
 
 
-@query("spatial_shift_null")
+@query("spatial_shift_null", duck("px", "blue", body=f"""with recursive shifted as (select image_id, cast((y+35)%64 as integer) as y, cast((x+35)%64 as integer) as x, value from blue),
+{AROUND.rstrip().rstrip(",")}, {tested_cte("1", 1, "blue")}, {tested_cte("2", 1, "shifted")}, cut as (select max(p) as fixed_p_cutoff from call1 where detected),
+redone as (select c.* exclude (detected), cut.fixed_p_cutoff, case when scorable then coalesce(p<=fixed_p_cutoff,false) end as detected from call2 c, cut)
+select image_id, fixed_p_cutoff, {SUMMARY} from redone group by 1,2"""))
 def spatial_shift_null(spark, sf):
     """Calls of the circularly shifted channel at the unshifted run's p cutoff."""
     labels, objects = bright_objects(spark, sf)
