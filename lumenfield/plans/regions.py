@@ -154,13 +154,53 @@ def seed_thinning(spark, sf):
     return thinned.select(*PLANE, "root", "y", "x", "value")
 
 
+def split_cte(lab: str, out: str, keys: str, window: int, space: int) -> str:
+    """Peaks, greedy thinning and the priority flood as recursive SQL.
+
+    ``lab(keys, y, x, value, root, high, min_area)`` -> ``out(keys, y, x, id)``; ``px`` is the field.
+    """
+    ks = [k.strip() for k in keys.split(",")]
+    def on(a, b):
+        return " and ".join(f"{a}.{k}={b}.{k}" for k in [*ks, "root"])
+
+    cols = ", ".join([*ks, "root"])
+    def of(a):
+        return ", ".join(f"{a}.{k}" for k in [*ks, "root"])
+
+    far = f"(p.y-r.y)*(p.y-r.y)+(p.x-r.x)*(p.x-r.x)<{space * space}"
+    r = window // 2
+    return f"""
+{out}_c as (select {cols}, min(y) y0, max(y) y1, min(x) x0, max(x) x1, any_value(high) as high, any_value(min_area) as min_area from {lab} group by all having count(*)>=any_value(min_area) and max(value)>=any_value(high)),
+{out}_l as (select l.*, c.y0, c.y1, c.x0, c.x1 from {lab} l join {out}_c c on {on("l", "c")}),
+{out}_p as (select * from {out}_l c where value>=high and not exists (select 1 from px q where q.image_id=c.image_id and q.channel=c.channel
+ and q.y between greatest(c.y-{r},c.y0) and least(c.y+{r},c.y1) and q.x between greatest(c.x-{r},c.x0) and least(c.x+{r},c.x1) and q.value>c.value)),
+{out}_r as (select *, row_number() over (partition by {cols} order by value desc, y desc, x desc) as rn from {out}_p),
+{out}_w as (select {cols}, rn, true as kept, y, x, value, [{{'y': y, 'x': x}}] as acc from {out}_r where rn=1
+ union all select {of("r")}, r.rn, len(list_filter(w.acc, lambda p: {far}))=0, r.y, r.x, r.value,
+ case when len(list_filter(w.acc, lambda p: {far}))=0 then list_append(w.acc, {{'y': r.y, 'x': r.x}}) else w.acc end from {out}_w w join {out}_r r on {on("r", "w")} and r.rn=w.rn+1),
+{out}_f as (select {cols}, y, x, value from (select *, row_number() over (partition by {cols} order by value desc, y, x) as k from {out}_l l where not exists (select 1 from {out}_p p where {on("p", "l")})) where k=1),
+{out}_s as (select *, row_number() over (partition by {cols} order by value desc, y desc, x desc) as j, count(*) over (partition by {cols}) as n from (select {cols}, y, x, value from {out}_w where kept union all select * from {out}_f)),
+{out}_m as (select {of("l")}, list({{'y': l.y, 'x': l.x, 'v': l.value}}) as cells from {out}_l l where exists (select 1 from {out}_s s where {on("s", "l")} and s.n>1) group by all),
+{out}_q as (select {cols}, list({{'l': -value, 'y': y, 'x': x, 'j': j}}) as queue, list({{'y': y, 'x': x, 'j': j}}) as own from {out}_s where n>1 group by all
+ union all select {of("z")}, list_concat(list_sort(z.queue)[2:], list_transform(z.fresh, lambda c: {{'l': greatest(z.pop.l, -c.v), 'y': c.y, 'x': c.x, 'j': z.pop.j}})),
+  list_concat(z.own, list_transform(z.fresh, lambda c: {{'y': c.y, 'x': c.x, 'j': z.pop.j}}))
+ from (select u.*, list_filter(u.cells, lambda c: abs(c.y-u.pop.y)<=1 and abs(c.x-u.pop.x)<=1 and not list_contains(u.taken, c.y*4096+c.x)) as fresh
+  from (select t.*, m.cells, list_sort(t.queue)[1] as pop, list_transform(t.own, lambda o: o.y*4096+o.x) as taken from {out}_q t join {out}_m m on {on("t", "m")} where len(t.queue)>0) u) z),
+{out}_o as (select {cols}, unnest(own) as o from {out}_q where len(queue)=0),
+{out}_g as (select {cols}, o.y as y, o.x as x, o.j as seed from {out}_o union all select {of("l")}, l.y, l.x, 1 from {out}_l l where exists (select 1 from {out}_s s where {on("s", "l")} and s.n=1)),
+{out}_z as (select {cols}, seed from {out}_g g join (select {cols}, min_area from {out}_c) c using ({cols}) group by {cols}, seed having count(*)>=any_value(min_area) and min(y)>0 and min(x)>0 and max(y)<63 and max(x)<63),
+{out}_i as (select *, row_number() over (partition by {keys} order by root, seed) as id from {out}_z),
+{out} as (select {", ".join("g." + k for k in ks)}, g.y, g.x, i.id from {out}_g g join {out}_i i on {on("g", "i")} and g.seed=i.seed)"""
+
+
 def planar_segments(spark, sf):
     """Whole planar segmentation with splitting: (label pixels, regions)."""
     field = recipe(spark, sf, "px").withColumn("raw", F.col("value"))
     return regions.segment(field, PLANE, F.lit(LOW), F.lit(HIGH), F.lit(MIN_AREA), FRAME, WINDOW, SPACE, True)
 
 
-@query("seeded_split")
+@query("seeded_split", duck("px", body=f"""with recursive {COMPONENTS}, slab as (select *, {HIGH} as high, {MIN_AREA} as min_area from lab),
+{split_cte("slab", "spl", "image_id, channel", WINDOW, SPACE)} select image_id, channel, y, x, id from spl"""))
 def seeded_split(spark, sf):
     """Label pixels after splitting touching regions from their seeds."""
     pixels, _ = planar_segments(spark, sf)

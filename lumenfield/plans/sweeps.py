@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenfield.operators import rollups, sweeps
 from lumenfield.plans.matching import DILATION, DISTANCE, RADIUS, assignment_cte, overlap_cte
 from lumenfield.plans.raster import FRAME
-from lumenfield.plans.regions import cc_cte
+from lumenfield.plans.regions import cc_cte, split_cte
 from lumenfield.plans.registry import query
 from lumenfield.sources.recipes import duck, recipe
 
@@ -16,17 +16,24 @@ GRID = {c: [(str(f), 60 * f, 90 * f, 2) for f in FACTORS] for c in ("green", "re
 CUTOFFS = {"green": [("60-90-2", 60, 90, 2), ("60-100-3", 60, 100, 3)], "red": [("50-80-2", 50, 80, 2), ("60-90-2", 60, 90, 2)]}
 
 
-def sweep_sql(settings) -> str:
+def sweep_sql(settings, split: bool = False) -> str:
     rows = ", ".join(f"('{c}','{n}',{lo}::double,{hi}::double,{a})" for c, options in settings.items() for n, lo, hi, a in options)
-    return f"""st(channel, setting, low, high, min_area) as (values {rows}),
-sm as (select p.image_id, p.channel, p.y, p.x, p.value, s.setting, s.high, s.min_area from px p join st s using (channel) where p.value>=s.low),
-{cc_cte("sm", "sl", keys="image_id, channel, setting")},
-sp as (select image_id, channel, setting, row_number() over (partition by image_id, channel, setting order by root) as id, root, y, x from (
+    regions = """sp as (select image_id, channel, setting, row_number() over (partition by image_id, channel, setting order by root) as id, root, y, x from (
  select image_id, channel, setting, root, sum(value*y)/sum(value)::double as y, sum(value*x)/sum(value)::double as x, count(*) as n, max(value) as top, any_value(high) as high, any_value(min_area) as min_area,
  min(y) y0, min(x) x0, max(y) y1, max(x) x1 from sl group by 1,2,3,4) where n>=min_area and top>=high and y0>0 and x0>0 and y1<63 and x1<63),
 reg as (select image_id, channel, setting as gs, setting as rs, id, y, x from sp),
 pix as (select l.image_id, l.channel, l.setting as gs, l.setting as rs, l.y, l.x, p.id from sl l join sp p using (image_id, channel, setting, root)),
-{overlap_cte("edges", DISTANCE, DILATION, RADIUS, "gs", "rs")}, {assignment_cte("edges", "best", "image_id, gs, rs")},
+"""
+    if split:
+        regions = f"""{split_cte("sl", "spl", "image_id, channel, setting", 5, 3)},
+sp as (select g.image_id, g.channel, g.setting, g.id, sum(px.value*g.y)/sum(px.value)::double as y, sum(px.value*g.x)/sum(px.value)::double as x from spl g join px on px.image_id=g.image_id and px.channel=g.channel and px.y=g.y and px.x=g.x group by 1,2,3,4),
+reg as (select image_id, channel, setting as gs, setting as rs, id, y, x from sp),
+pix as (select image_id, channel, setting as gs, setting as rs, y, x, id from spl),
+"""
+    return f"""st(channel, setting, low, high, min_area) as (values {rows}),
+sm as (select p.image_id, p.channel, p.y, p.x, p.value, s.setting, s.high, s.min_area from px p join st s using (channel) where p.value>=s.low),
+{cc_cte("sm", "sl", keys="image_id, channel, setting")},
+{regions}{overlap_cte("edges", DISTANCE, DILATION, RADIUS, "gs", "rs")}, {assignment_cte("edges", "best", "image_id, gs, rs")},
 nb as (select image_id, gs, rs, count(*) as n_both from best group by 1,2,3),
 ng as (select image_id, setting, count(*) as n from sp where channel='green' group by 1,2), nr as (select image_id, setting, count(*) as n from sp where channel='red' group by 1,2),
 fl as (select distinct image_id from px),
@@ -59,7 +66,9 @@ def threshold_grid(spark, sf):
     return grid(spark, sf)
 
 
-@query("threshold_grid_split")
+@query("threshold_grid_split", duck("px", body=f"""with recursive {sweep_sql(GRID, split=True)}
+select image_id, image_id%4 as replicate_id, cast(green_setting as double) as green_threshold_factor, cast(red_setting as double) as red_threshold_factor, n_green-n_both as live_only, n_red-n_both as dead_only, n_both as double_positive, n_green+n_red-n_both as total,
+ 100::double*(n_green-n_both)/nullif(n_green+n_red-n_both,0) as viability_percent from grid"""))
 def threshold_grid_split(spark, sf):
     """The grid over fully split regions (peaks, thinning and flooding per setting)."""
     return grid(spark, sf, split=True, peak_window=5, min_distance=3)
