@@ -70,15 +70,19 @@ def label_components(
     tiles = [f"_t{a}" for a in axes]
     offsets = neighbour_offsets(len(axes), connectivity)
     forward = [o for o in offsets if o > tuple([0] * len(axes))]
+    image, planes = keys[:1], keys[1:]
+    stacked = [(0, *o) for o in forward]
 
     def label(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_code", ignore_index=True)
-        first = tile_labels(part[axes].to_numpy(np.int64), forward)
-        return part.assign(root=part["_code"].to_numpy()[first])
+        # all planes of one image tile in one call; the plane number is an axis nothing crosses
+        plane = part.groupby(planes, sort=False).ngroup().to_numpy() if planes else np.zeros(len(part), np.int64)
+        part = part.assign(_plane=plane).sort_values(["_plane", "_code"], ignore_index=True)
+        first = tile_labels(part[["_plane", *axes]].to_numpy(np.int64), stacked)
+        return part.drop(columns="_plane").assign(root=part["_code"].to_numpy()[first])
 
     prepared = mask.withColumns({t: F.floor(F.col(a) / sizes[a]).cast("int") for t, a in zip(tiles, axes)}).withColumn("_code", pixel_code(axes))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.schema) + ", root bigint"
-    local = cut(prepared.groupBy(*keys, *tiles).applyInPandas(label, schema).drop("_code", *tiles))
+    local = cut(prepared.groupBy(*image, *tiles).applyInPandas(label, schema).drop("_code", *tiles))
 
     at_border = F.lit(False)
     for axis in axes:

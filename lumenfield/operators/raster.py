@@ -51,54 +51,67 @@ def smooth_planes(
     """Dense smoothed planes: one column per entry of ``sigmas`` = {name: (sigma_y, sigma_x)}.
 
     Row bands are smoothed along x and cut into column strips; the strips are then
-    smoothed along y. Each block holds ``block`` rows or columns of one plane, no pixel
-    is sent to more than one block, and a plane may be spread over many tasks.
+    smoothed along y. A call holds ``block`` rows or columns of the planes of one image,
+    no pixel is sent to more than one block, and an image may be spread over many tasks.
     """
     keys, names = list(keys), list(sigmas)
     height, width = shape
+    image, planes = keys[:1], keys[1:]
 
     def along_x(key: tuple, band: pd.DataFrame) -> pd.DataFrame:
-        ys, row = np.unique(band["y"].to_numpy(), return_inverse=True)
-        dense = np.zeros((len(ys), width))
+        rows, row = _stacks(band, [*planes, "y"])
+        dense = np.zeros((len(rows), width))
         dense[row, band["x"].to_numpy()] = band["value"].to_numpy()
         smooth = {n: convolve_last(dense, sigmas[n][1]) for n in names}
         parts = []
         for strip in range(math.ceil(width / block)):
             columns = slice(strip * block, (strip + 1) * block)
-            part = pd.DataFrame({"strip": np.full(len(ys), strip, "int32"), "y": ys.astype("int32")})
+            part = rows.assign(strip=strip)
             for n in names:
                 part[n] = list(smooth[n][:, columns])
             parts.append(part)
         out = pd.concat(parts, ignore_index=True)
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out
+        out.insert(0, image[0], key[0])
+        return out[[*keys, "strip", "y", *names]]
 
     def along_y(key: tuple, strip: pd.DataFrame) -> pd.DataFrame:
         start = key[-1] * block
         wide = min(block, width - start)
+        stack, plane = _stacks(strip, planes)
         grid_y, grid_x = np.mgrid[0:height, start : start + wide]
-        out = {"y": grid_y.ravel().astype("int32"), "x": grid_x.ravel().astype("int32")}
+        n_planes, size = max(1, len(stack)), height * wide
+        out = {"y": np.tile(grid_y.ravel(), n_planes), "x": np.tile(grid_x.ravel(), n_planes)}
         for n in names:
-            dense = np.zeros((wide, height))
-            dense[:, strip["y"].to_numpy()] = np.stack(strip[n].to_numpy(), axis=1)
-            out[n] = convolve_last(dense, sigmas[n][0]).T.ravel()
+            dense = np.zeros((n_planes, wide, height))
+            dense[plane, :, strip["y"].to_numpy()] = np.stack(strip[n].to_numpy())
+            out[n] = convolve_last(dense, sigmas[n][0]).transpose(0, 2, 1).ravel()
         out = pd.DataFrame(out)
-        for name, value in zip(keys, key):
-            out.insert(0, name, value)
-        return out
+        out[image[0]] = key[0]
+        for name in planes:
+            out[name] = np.repeat(stack[name].to_numpy(), size)
+        return out[[*keys, "y", "x", *names]]
 
     head = _ddl(px, keys)
+    # sixteen planes of a stack at most share a call
+    slab = [F.floor(F.col("z") / 16).alias("_slab")] if "z" in planes else []
     strips = (
         px.select(*keys, "y", "x", F.col("value").cast("double").alias("value"), F.floor(F.col("y") / block).cast("int").alias("band"))
-        .groupBy(*keys, "band")
+        .groupBy(*image, *slab, "band")
         .applyInPandas(along_x, f"{head}, strip int, y int, " + ", ".join(f"{n} array<double>" for n in names))
     )
-    return strips.groupBy(*keys, "strip").applyInPandas(
+    return strips.groupBy(*image, *slab, "strip").applyInPandas(
         along_y, f"{head}, y int, x int, " + ", ".join(f"{n} double" for n in names)
     )
 
 
+def _stacks(part: pd.DataFrame, names: Sequence[str]) -> tuple[pd.DataFrame, np.ndarray]:
+    """Distinct rows of ``names`` and the position of each row of ``part`` among them."""
+    if not names:
+        return pd.DataFrame(index=[0]), np.zeros(len(part), np.int64)
+    grouped = part.groupby(list(names), sort=False)
+    return part[list(names)].drop_duplicates(ignore_index=True), grouped.ngroup().to_numpy()
+
+
 def smooth_depth(dense: DataFrame, keys: Sequence[str], name: str, sigma: float, depth: int, block: int = 16) -> DataFrame:
     """Smooth ``name`` along z; a block is a square of ``block`` columns of one volume."""
     keys = list(keys)
