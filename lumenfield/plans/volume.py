@@ -66,14 +66,46 @@ def local_maxima_3d(spark, sf):
     return regions.plateau_peaks(maxima, PLANE, PITCH, "full").select(*PLANE, "root", "z", "y", "x", "value")
 
 
-@query("seeded_split_3d")
+# planar controls: window 3 px (one plane), peaks 3 px = 1.5 um apart, sections of two pixels
+V_NEAR = "((p.z-r.z)*(p.z-r.z)*4::double+((p.y-r.y)*(p.y-r.y)+(p.x-r.x)*(p.x-r.x))*0.25::double)<2.25::double"
+V_SPLIT = f"""{V_PEAKS},
+vsec as (select image_id, channel, root from (select image_id, channel, root, z, count(*) as n from vlab group by all) group by all having max(n)>={ZAREA}),
+vpk as (select p.image_id, p.channel, p.component as root, p.z, p.y, p.x, p.value from pr p join vsec s on s.image_id=p.image_id and s.channel=p.channel and s.root=p.component where p.rn=1),
+vfb as (select image_id, channel, root, z, y, x, value from (select l.*, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as k from vlab l join vcomp using (image_id, channel, root) join vsec using (image_id, channel, root)
+ where (image_id, channel, root) not in (select image_id, channel, root from vpk)) where k=1),
+vrk as (select *, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as n from (select * from vpk union all select * from vfb)),
+vwk as (select image_id, channel, root, n, true as kept, z, y, x, value, [{{'z': z, 'y': y, 'x': x}}] as acc from vrk where n=1
+ union all select r.image_id, r.channel, r.root, r.n, len(list_filter(w.acc, lambda p: {V_NEAR}))=0, r.z, r.y, r.x, r.value,
+ case when len(list_filter(w.acc, lambda p: {V_NEAR}))=0 then list_append(w.acc, {{'z': r.z, 'y': r.y, 'x': r.x}}) else w.acc end
+ from vwk w join vrk r on r.image_id=w.image_id and r.channel=w.channel and r.root=w.root and r.n=w.n+1),
+vsd as (select *, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as j, count(*) over (partition by image_id, channel, root) as total from vwk where kept),
+vcl as (select image_id, channel, root, list({{'z': z, 'y': y, 'x': x, 'v': value}}) as cells from vlab where (image_id, channel, root) in (select image_id, channel, root from vsd where total>1) group by all),
+vfl as (select image_id, channel, root, 0 as age, list({{'l': -value, 'a': 0, 'j': j, 'z': z, 'y': y, 'x': x}}) as queue, list({{'z': z, 'y': y, 'x': x, 'j': j}}) as own from vsd where total>1 group by all
+ union all select image_id, channel, root, age+len(fresh)::integer, list_concat(list_sort(queue)[2:], list_transform(fresh, lambda c, i: {{'l': -c.v, 'a': age+i::integer, 'j': pop.j, 'z': c.z, 'y': c.y, 'x': c.x}})),
+  list_concat(own, list_transform(fresh, lambda c: {{'z': c.z, 'y': c.y, 'x': c.x, 'j': pop.j}}))
+ from (select u.*, list_sort(list_transform(list_filter(u.cells, lambda c: abs(c.z-u.pop.z)<=1 and abs(c.y-u.pop.y)<=1 and abs(c.x-u.pop.x)<=1 and not list_contains(u.taken, (c.z*4096+c.y)*4096+c.x)),
+   lambda c: {{'far': abs(c.z-u.pop.z)+abs(c.y-u.pop.y)+abs(c.x-u.pop.x), 'z': c.z, 'y': c.y, 'x': c.x, 'v': c.v}})) as fresh
+  from (select t.*, m.cells, list_sort(t.queue)[1] as pop, list_transform(t.own, lambda o: (o.z*4096+o.y)*4096+o.x) as taken from vfl t join vcl m using (image_id, channel, root) where len(t.queue)>0) u) s),
+vow as (select image_id, channel, root, unnest(own) as o from vfl where len(queue)=0),
+vpc as (select image_id, channel, root, o.z as z, o.y as y, o.x as x, o.j as seed from vow
+ union all select l.image_id, l.channel, l.root, l.z, l.y, l.x, 1 from vlab l join vsd s on s.image_id=l.image_id and s.channel=l.channel and s.root=l.root and s.total=1),
+vpv as (select p.*, l.value from vpc p join vlab l using (image_id, channel, root, z, y, x)),
+vok as (select image_id, channel, root, seed from (select image_id, channel, root, seed, z, count(*) as n, max(value) as top from vpv group by all) group by all having sum(n)>={ZAREA} and max(n)>={ZAREA} and max(top)>={ZHIGH}),
+vid as (select *, row_number() over (partition by image_id, channel order by root, seed) as id from vok)"""
+
+
+@query("seeded_split_3d", duck("vox", body=f"with recursive {V_SPLIT} select image_id, channel, z, y, x, id from vpv join vid using (image_id, channel, root, seed)"))
 def seeded_split_3d(spark, sf):
-    """Label voxels of both volume modes after splitting touching regions."""
-    voxels = recipe(spark, sf, "vox")
-    shared, _ = volume.segment_projection(voxels, PLANE, F.lit(ZLOW), F.lit(ZHIGH), ZAREA, PITCH, STACK, 3, 3, False)
-    raw, _ = volume.segment_raw(voxels, PLANE, F.lit(ZLOW), F.lit(ZHIGH), 1.0, PITCH, STACK, 2.0, False)
-    columns = [*PLANE, "z", "y", "x", "id"]
-    return shared.select(F.lit("projection_config").alias("mode"), *columns).unionByName(raw.select(F.lit("raw_intensity").alias("mode"), *columns))
+    """Label voxels of the planar-control mode after splitting touching regions."""
+    shared, _ = volume.segment_projection(recipe(spark, sf, "vox"), PLANE, F.lit(ZLOW), F.lit(ZHIGH), ZAREA, PITCH, STACK, 3, 3, False)
+    return shared.select(*PLANE, "z", "y", "x", "id")
+
+
+@query("seeded_split_3d_raw")
+def seeded_split_3d_raw(spark, sf):
+    """Label voxels of the absolute-intensity mode, split by distance to background."""
+    raw, _ = volume.segment_raw(recipe(spark, sf, "vox"), PLANE, F.lit(ZLOW), F.lit(ZHIGH), 1.0, PITCH, STACK, 2.0, False)
+    return raw.select(*PLANE, "z", "y", "x", "id")
 
 
 V_PROPS = f"""{FULL},

@@ -40,7 +40,7 @@ def decode_arrays(files: DataFrame) -> DataFrame:
 def encode_planes(px: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """(path, content) with one ``.npy`` payload per (image_id, channel) plane of ``shape``."""
 
-    def encode(key, plane: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, plane: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros(shape, np.uint8 if plane["value"].max() < 256 else np.uint16)
         dense[plane["y"], plane["x"]] = plane["value"]
         buffer = io.BytesIO()

@@ -60,8 +60,8 @@ def stream_new_fields(
     def publish(batch: DataFrame, number: int) -> None:
         todo = batch.dropDuplicates(["fingerprint"])
         if number:
-            before = [f"{folder}/batch={i}" for i in range(number)]
-            done = spark.read.schema(schema).parquet(*before).select("fingerprint")
+            published = spark.read.schema(schema).parquet(folder)
+            done = published.filter(F.col("batch") < number).select("fingerprint")
             todo = todo.join(done, "fingerprint", "left_anti")
         todo.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
