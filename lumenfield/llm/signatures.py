@@ -11,7 +11,8 @@ sets.
 
 To lose no link and still not write out all pairs of a large group, each group first tries
 its least member against the others; only members of different components go through the
-trees. A group larger than ``CELL`` is dealt into pairs of cells, so none is ever one task.
+trees, and there as few pairs as would connect them are verified twice before all that is
+left is. A group larger than ``CELL`` is dealt into pairs of cells, so none is ever one task.
 
 Null texts, and texts without words, are empty sets: they link with nothing, and each is
 its own component. Repeated ids share the component of the least class they are in. Sets
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.llm.texts import groups, mix, shingle_sets, word_slices
 from lumenfield.operators.components import connected_roots
-from lumenfield.session import cut, work_path
+from lumenfield.session import cut
 
 SHINGLE = 4
 THRESHOLD = 85
@@ -38,6 +39,7 @@ CELLS = 1 << 17
 CELL = 512
 LEAF = 8
 CARRY = 1 << 20
+NEEDED = 1 << 23
 U64 = np.uint64
 
 
@@ -51,8 +53,8 @@ def digest(part: np.ndarray) -> int:
 
 
 def bitmap(part: np.ndarray) -> bytes:
-    """About one bit per member, in a power of two of at least 64 bits."""
-    width = 1 << max(6, (len(part) - 1).bit_length())
+    """One bit per member, in a power of two of at least four places a member and 64."""
+    width = 1 << max(6, (4 * len(part) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(part >> U64(20)) & U64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -64,11 +66,11 @@ def least_overlap(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(row, key, n, name) of every row, and the class of each hashed cell: 0 for usual counts, more for frequent ones."""
+    """(key, n, name, bits) of every row, and the class of each hashed cell: 0 for usual counts, more for frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = [key, "n", "name", "cell", "count"]
+        names = [key, "n", "name", "bits", "cell", "count"]
         kind = None
         for batch in batches:
             kind = batch.schema.field(key).type
@@ -76,17 +78,17 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np
                 sets = shingle_sets(w, k)
                 cells += np.bincount((np.concatenate(sets) >> U64(47)).astype(np.int64), minlength=CELLS)
                 m = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
         some = np.flatnonzero(cells)
         if kind is not None and len(some):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some.astype(np.int32)), pa.array(cells[some])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(cells[some])], names)
 
-    seen = cut(docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, name long, cell int, count long"))
+    seen = cut(docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, name long, bits binary, cell int, count long"))
     counts = np.zeros(CELLS)
     rows = seen.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     counts[rows.column("cell").to_numpy()] = rows.column("count").to_numpy()
     level = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1.0))).astype(np.uint64)
-    return seen.filter("cell is null").select(key, "n", "name"), level
+    return seen.filter("cell is null").select(key, "n", "name", "bits"), level
 
 
 def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: int) -> DataFrame:
@@ -163,10 +165,57 @@ def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: in
     return cut(dealt.mapInArrow(together, "group long, name long").distinct())
 
 
+def possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose bitmaps and sizes leave room for a link."""
+    left = classes.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = classes.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
+                width = min(len(x), len(y)) // 8
+                x, y = folded(x, width), folded(y, width)
+                both = int(np.bitwise_count(x & y).sum())
+                most = min(both + n - int(np.bitwise_count(x).sum()), both + m - int(np.bitwise_count(y).sum()))
+                ok.append(most >= least_overlap(n, m, threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    near = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
+    return near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
+    """(name, items): the sets of the classes in ``pairs``, from the texts.
+
+    Only texts whose class falls on a set bit of ``NEEDED`` hashed places give their sets to
+    the shuffle; joins drop those that are there by chance.
+    """
+    places = pairs.select(F.explode(F.array("a", "b")).alias("name")).select(F.pmod("name", F.lit(NEEDED)).cast("int").alias("at")).distinct().toArrow()
+    needed = np.zeros(NEEDED, bool)
+    needed[places.column("at").to_numpy()] = True
+    needed = np.packbits(needed)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, done = np.unpackbits(needed).view(bool), set()
+        for batch in batches:
+            for _, _, w in word_slices(batch, text):
+                names, items = [], []
+                for part in shingle_sets(w, k):
+                    if len(part) and wanted[(name := digest(part)) % NEEDED] and name not in done:
+                        done.add(name)
+                        names.append(name)
+                        items.append(part.tobytes())
+                if len(done) > 1_000_000:
+                    done.clear()
+                if names:
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "items": pa.array(items, pa.binary())})
+
+    return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(take, "name long, items binary").groupBy("name").agg(F.first("items").alias("items"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The (a, b) of ``pairs`` that link."""
-    left = sets.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("items_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +227,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 ok.append(100 * shared >= threshold * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    near = pairs.join(left, "a").join(right, "b").filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold))
+    near = pairs.join(sets.withColumnsRenamed({"name": "b", "items": "items_b"}), "b").join(sets.withColumnsRenamed({"name": "a", "items": "items_a"}), "a")
     return near.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
@@ -221,8 +270,26 @@ def walk(n: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, th
     return order[i[some]], order[j[some]]
 
 
-def tree_pairs(rows: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs (a, b) inside the groups of ``rows(group, name, n, root, bits)``.
+def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Indices of pairs that connect the roots just as all the pairs do, by rounds of one pair per component."""
+    _, label = np.unique(root, return_inverse=True)
+    at, chosen = np.arange(len(a)), []
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        at, x, y = at[x != y], x[x != y], y[x != y]
+        if not len(at):
+            return np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        chosen.append(at[first])
+        up = np.arange(int(label.max()) + 1)
+        up[high] = np.minimum(x, y)[first]
+        while (jumped := up[up]).tobytes() != up.tobytes():
+            up = jumped
+        label = up[label]
+
+
+def tree_pairs(rows: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root, bits)``; all, or as many as connect them.
 
     Sizes fall into bands such that linking sets are in one band or in neighbouring ones; a
     member goes into the cell of its band and of the next. A cell of more than ``CELL`` members
@@ -245,6 +312,9 @@ def tree_pairs(rows: DataFrame, threshold: int) -> DataFrame:
             width = min(map(len, bits)) // 8
             side = table.column("side").to_numpy().astype(np.int64)
             a, b = walk(n, root, np.stack([folded(x, width) for x in bits]), side, threshold)
+            if len(a) and not every:
+                some = forest(a, b, root)
+                a, b = a[some], b[some]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(name[a], name[b]), "b": np.maximum(name[a], name[b])})
 
@@ -256,33 +326,29 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """(key, n_shingles, component_id): the least key reachable by links, for every row."""
     seen, level = sets_of(docs, key, text, k)
     inside = members(docs.filter(F.col(text).isNotNull()), level, text, k, threshold)
-    # the sets of all classes that are in a group, from the text of their least row
-    holders = inside.select("name").distinct().join(seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_holder")), "name")
-    source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(holders.select("_holder").distinct(), F.col("_key") == F.col("_holder"))
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, w in word_slices(batch, "_text"):
-                sets = [s for s in shingle_sets(w, k) if len(s)]
-                yield pa.RecordBatch.from_pydict({"name": pa.array([digest(s) for s in sets], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "bits": pa.array([bitmap(s) for s in sets], pa.binary()), "items": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    spark = docs.sparkSession
-    path = work_path(spark, "sets")
-    source.select("_text").mapInArrow(take, "name long, n long, bits binary, items binary").dropDuplicates(["name"]).write.parquet(path)
-    sets = spark.read.parquet(path)
+    classes = seen.filter("n > 0").join(inside.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = cut(classes)
     centre = inside.groupBy("group").agg(F.min("name").alias("a"))
     stars = inside.join(centre, "group").filter("name <> a").select("a", F.col("name").alias("b")).distinct()
-    near = cut(verified(stars, sets, threshold))
-
-    def rooted(links: DataFrame) -> DataFrame:
-        return connected_roots(links.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root")
-
-    first = cut(rooted(near))
-    rows = inside.join(first, "name", "left").withColumn("root", F.coalesce("root", "name"))
-    mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
-    rest = rows.join(mixed, "group").join(sets.select("name", "n", "bits"), "name")
-    more = cut(verified(tree_pairs(rest, threshold), sets, threshold))
-    final = rooted(near.unionByName(more)) if not more.isEmpty() else first
+    # one link a class will do here: groups that are left in several components go through the trees
+    stars = cut(possible(stars, classes, threshold).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = cut(verified(stars, sets_for(stars, docs, text, k), threshold))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
+
+    sets = None
+    for every in (False, False, True):
+        # two rounds try as few pairs as would connect what may be connected; the last tries all that is left
+        roots = rooted(links)
+        rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+        mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
+        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes, "name"), threshold, every))
+        # the first round's pairs hold every class that any later pair holds
+        sets = cut(sets_for(pairs, docs, text, k)) if sets is None else sets
+        more = cut(verified(pairs, sets, threshold))
+        links = links.unionByName(more)
+    final = rooted(links) if not more.isEmpty() else roots
     least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(final, "name", "left").withColumn("root", F.coalesce("root", "name"))
     ids = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")
     out = seen.filter("n > 0").join(ids, "name").select(key, F.col("n").alias("n_shingles"), "component_id")
