@@ -288,8 +288,10 @@ def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def tree_pairs(rows: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root, bits)``; all, or as many as connect them.
+def tree_pairs(rows: DataFrame, threshold: int, want: str) -> DataFrame:
+    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root, bits)``.
+
+    ``want``: all, or of each cell as many as connect its members (``members``) or its roots (``roots``).
 
     Sizes fall into bands such that linking sets are in one band or in neighbouring ones; a
     member goes into the cell of its band and of the next. A cell of more than ``CELL`` members
@@ -312,8 +314,8 @@ def tree_pairs(rows: DataFrame, threshold: int, every: bool) -> DataFrame:
             width = min(map(len, bits)) // 8
             side = table.column("side").to_numpy().astype(np.int64)
             a, b = walk(n, root, np.stack([folded(x, width) for x in bits]), side, threshold)
-            if len(a) and not every:
-                some = forest(a, b, root)
+            if len(a) and want != "all":
+                some = forest(a, b, root if want == "roots" else name)
                 a, b = a[some], b[some]
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(name[a], name[b]), "b": np.maximum(name[a], name[b])})
@@ -338,12 +340,12 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
 
     sets = None
-    for every in (False, False, True):
+    for want in ("members", "roots", "all"):
         # two rounds try as few pairs as would connect what may be connected; the last tries all that is left
         roots = rooted(links)
         rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
-        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes, "name"), threshold, every))
+        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes, "name"), threshold, want))
         # the first round's pairs hold every class that any later pair holds
         sets = cut(sets_for(pairs, docs, text, k)) if sets is None else sets
         more = cut(verified(pairs, sets, threshold))
