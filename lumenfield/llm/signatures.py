@@ -288,22 +288,24 @@ def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def tree_pairs(rows: DataFrame, threshold: int, want: str) -> DataFrame:
-    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root, bits)``.
+def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: int, want: str) -> DataFrame:
+    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root)``, by ``classes(name, bits)``.
 
     ``want``: all, or of each cell as many as connect its members (``members``) or its roots (``roots``).
 
-    Sizes fall into bands such that linking sets are in one band or in neighbouring ones; a
-    member goes into the cell of its band and of the next. A cell of more than ``CELL`` members
+    A group of at most ``CELL`` members is one cell. In a larger one sizes fall into bands such
+    that linking sets are in one band or in neighbouring ones; a member goes into the cell of
+    its band and of the next. A cell of more than ``CELL`` members
     is dealt into parts, and each pair of parts is a cell of its own.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("long")
-    cells = rows.withColumn("cell", F.explode(F.array(band, band + 1)))
+    large = rows.groupBy("group").agg((F.count("*") > CELL).alias("_large"))
+    cells = rows.join(large, "group").withColumn("cell", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long"))))).drop("_large")
     size = cells.groupBy("group", "cell").agg(F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("open")).filter("open")
     parts = F.ceil(F.col("c") / CELL).cast("long")
     dealt = cells.join(size, ["group", "cell"]).withColumn("parts", parts).withColumn("part", F.pmod("name", F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("group", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "n", "root", "bits")
+    dealt = dealt.select("group", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "n", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["group", "cell", "i", "j"]):
@@ -321,7 +323,7 @@ def tree_pairs(rows: DataFrame, threshold: int, want: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(name[a], name[b]), "b": np.maximum(name[a], name[b])})
 
     keys = ["group", "cell", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.join(classes.select("name", "bits"), "name").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -331,9 +333,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     classes = seen.filter("n > 0").join(inside.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = cut(classes)
     centre = inside.groupBy("group").agg(F.min("name").alias("a"))
-    stars = inside.join(centre, "group").filter("name <> a").select("a", F.col("name").alias("b")).distinct()
-    # one link a class will do here: groups that are left in several components go through the trees
-    stars = cut(possible(stars, classes, threshold).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # one link a class will do here, with the centre of most of its groups: what is left in several components goes through the trees
+    stars = inside.join(centre, "group").filter("name <> a").groupBy(F.col("name").alias("b"), "a").agg(F.count("*").alias("c"))
+    stars = cut(possible(stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), classes, threshold))
     links = cut(verified(stars, sets_for(stars, docs, text, k), threshold))
 
     def rooted(found: DataFrame) -> DataFrame:
@@ -345,9 +347,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         roots = rooted(links)
         rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
-        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes, "name"), threshold, want))
-        # the first round's pairs hold every class that any later pair holds
-        sets = cut(sets_for(pairs, docs, text, k)) if sets is None else sets
+        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes.select("name", "n"), "name"), classes, threshold, want))
+        if sets is None:
+            # the first round's pairs hold every class that any later pair holds
+            sets = cut(sets_for(pairs, docs, text, k))
+            inside = cut(inside.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi"))
         more = cut(verified(pairs, sets, threshold))
         links = links.unionByName(more)
     final = rooted(links) if not more.isEmpty() else roots
