@@ -40,6 +40,7 @@ CELL = 512
 LEAF = 8
 CARRY = 1 << 20
 NEEDED = 1 << 23
+FINE = 24
 U64 = np.uint64
 
 
@@ -52,9 +53,9 @@ def digest(part: np.ndarray) -> int:
     return int(signed(mix(np.array([mix(part).sum(dtype=U64) + U64(len(part))], U64)))[0])
 
 
-def bitmap(part: np.ndarray) -> bytes:
-    """One bit per member, in a power of two of at least four places a member and 64."""
-    width = 1 << max(6, (4 * len(part) - 1).bit_length())
+def bitmap(part: np.ndarray, places: int = 4) -> bytes:
+    """One bit per member, in a power of two of at least so many places a member and 64."""
+    width = 1 << max(6, (places * len(part) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(part >> U64(20)) & U64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -185,12 +186,13 @@ def possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
-    """(name, items): the sets of the classes in ``pairs``, from the texts.
+def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int, fine: bool = False) -> DataFrame:
+    """(name, n, items): the sets of the classes in ``pairs``, from the texts; or (name, n, bits) with bitmaps of ``FINE`` places a member.
 
     Only texts whose class falls on a set bit of ``NEEDED`` hashed places give their sets to
     the shuffle; joins drop those that are there by chance.
     """
+    payload = "bits" if fine else "items"
     places = pairs.select(F.explode(F.array("a", "b")).alias("name")).select(F.pmod("name", F.lit(NEEDED)).cast("int").alias("at")).distinct().toArrow()
     needed = np.zeros(NEEDED, bool)
     needed[places.column("at").to_numpy()] = True
@@ -200,18 +202,19 @@ def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int) -> DataFrame:
         wanted, done = np.unpackbits(needed).view(bool), set()
         for batch in batches:
             for _, _, w in word_slices(batch, text):
-                names, items = [], []
+                names, sizes, items = [], [], []
                 for part in shingle_sets(w, k):
                     if len(part) and wanted[(name := digest(part)) % NEEDED] and name not in done:
                         done.add(name)
                         names.append(name)
-                        items.append(part.tobytes())
+                        sizes.append(len(part))
+                        items.append(bitmap(part, FINE) if fine else part.tobytes())
                 if len(done) > 1_000_000:
                     done.clear()
                 if names:
-                    yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "items": pa.array(items, pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int64()), payload: pa.array(items, pa.binary())})
 
-    return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(take, "name long, items binary").groupBy("name").agg(F.first("items").alias("items"))
+    return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(take, f"name long, n long, {payload} binary").groupBy("name", "n").agg(F.first(payload).alias(payload))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -227,6 +230,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 ok.append(100 * shared >= threshold * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    sets = sets.select("name", "items")
     near = pairs.join(sets.withColumnsRenamed({"name": "b", "items": "items_b"}), "b").join(sets.withColumnsRenamed({"name": "a", "items": "items_a"}), "a")
     return near.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
@@ -341,18 +345,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     def rooted(found: DataFrame) -> DataFrame:
         return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
 
-    sets = None
+    fine = None
     for want in ("members", "roots", "all"):
         # two rounds try as few pairs as would connect what may be connected; the last tries all that is left
         roots = rooted(links)
         rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
         pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes.select("name", "n"), "name"), classes, threshold, want))
-        if sets is None:
+        if fine is None:
             # the first round's pairs hold every class that any later pair holds
-            sets = cut(sets_for(pairs, docs, text, k))
-            inside = cut(inside.join(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), "name", "left_semi"))
-        more = cut(verified(pairs, sets, threshold))
+            fine = cut(sets_for(pairs, docs, text, k, fine=True))
+            inside = cut(inside.join(fine.select("name"), "name", "left_semi"))
+        pairs = cut(possible(pairs, fine, threshold))
+        more = cut(verified(pairs, sets_for(pairs, docs, text, k), threshold))
         links = links.unionByName(more)
     final = rooted(links) if not more.isEmpty() else roots
     least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(final, "name", "left").withColumn("root", F.coalesce("root", "name"))
