@@ -110,8 +110,11 @@ def decoded(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     return vectors.select(key, embedding).mapInArrow(run, "id long, unit binary, top long, caps array<long>")
 
 
-def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip((a * b).sum(axis=1), -1, 1))
+def angles(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The angle of each pair of unit vectors; pairs may differ in length from one another."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.float64) for c in (a, b))
+    sizes = np.array([len(v) // 8 for v in a.to_pylist()])
+    return np.arccos(np.clip(np.add.reduceat(x * y, np.cumsum(sizes) - sizes), -1, 1))
 
 
 def led(found: DataFrame) -> DataFrame:
@@ -122,7 +125,7 @@ def led(found: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            turn = angle(rows_of(batch.column("unit")), rows_of(batch.column("lead_unit")))
+            turn = angles(batch.column("unit"), batch.column("lead_unit"))
             own, lead = (np.asarray(batch.column(c)) for c in ("id", "lead"))
             near = turn <= np.arccos(TIGHT)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), batch.column("caps"), pa.array(np.where(near, lead, own)), pa.array(np.where(near & (own != lead), turn, 0.0))], ["id", "unit", "caps", "lead", "radius"])

@@ -33,7 +33,7 @@ from lumenfield.session import cut
 
 CONTEXTS = 1 << 15
 HEAD = 1 << 20
-FLUSH = 300_000
+FLUSH = 200_000
 END = b"\xff"
 
 

@@ -50,7 +50,7 @@ Span = tuple[str, int, int, str]
 
 def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of at least ``least`` set places."""
-    step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
+    step = np.diff(np.concatenate([[0], (mask != 0).astype(np.int8), [0]]))
     low, high = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     long = high - low >= least
     return low[long], high[long]
