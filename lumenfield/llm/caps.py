@@ -4,9 +4,10 @@ A filter is a random direction; a vector is in the filter's cap if it leans far
 way. The directions are a product code: the (randomly rotated) dimensions are split into
 ``PARTS`` blocks with ``CODES`` random code words each, and a direction is one word per
 block, so a vector is decoded to its list of caps by adding up block scores and leaving a
-branch once the rest can't lift it over the limit. Vectors that share a cap are compared
-in double precision. At a cosine of 0.9 two vectors share about ten caps on average, so a
-pair is missed with a chance of about e**-10 in each draw of the code.
+branch once the rest can't lift it over the limit. The limit leaves a vector in ``CAPS`` caps
+of a code on average, and in ``LEAST`` at least; ``DRAWS`` independent codes are used. Leaders
+that share a cap and whose 128-bit sketches don't rule a link out are compared in double
+precision. Measured recall of random pairs is in the README.
 
 Tight groups aren't compared pair by pair. Vectors with the same strongest cap take its
 least id as leader if their cosine with it is at least ``TIGHT``, whose angle is less than
@@ -36,42 +37,70 @@ from lumenfield.session import cut
 COSINE = 0.9
 TIGHT = 0.9755
 PARTS, CODES = 3, 48
-SIGMAS = 3.5
+DRAWS = 6
+CAPS, LEAST = 20, 8
+SKETCH = 128
 BLOCK = 256
 SEED = 11
 
 
 @lru_cache(16)
-def code(dim: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A rotation, and for each block of dimensions its code words as columns."""
-    rng = np.random.default_rng([SEED, dim])
+def code(dim: int, draw: int) -> tuple[np.ndarray, list[np.ndarray], float]:
+    """A rotation, for each block of dimensions its code words as columns, and the limit that leaves a random vector in ``CAPS`` caps on average."""
+    rng = np.random.default_rng([SEED, dim, draw])
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
     words = []
     for part in np.array_split(np.arange(dim), min(PARTS, dim)):
         w = rng.standard_normal((len(part), CODES))
         words.append(w / np.linalg.norm(w, axis=0) * np.sqrt(len(part) / dim))
-    return rotation, words
+    probe = rng.standard_normal((16, dim))
+    total = np.zeros((16, 1))
+    for part, w in zip(np.array_split(np.arange(dim), min(PARTS, dim)), words):
+        scores = (probe / np.linalg.norm(probe, axis=1, keepdims=True))[:, part] @ w
+        total = (total[:, :, None] + scores[:, None, :]).reshape(16, -1)
+    return rotation, words, float(np.quantile(total, max(0.0, 1 - CAPS / total.shape[1])))
 
 
 def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vector, cap) of every cap each unit vector is in, and each vector's strongest cap."""
+    """(vector, cap) of every cap each unit vector is in, sorted by vector, and each vector's strongest cap of the first draw."""
     dim = unit.shape[1]
-    rotation, words = code(dim)
-    turned = unit @ rotation
-    scores = [turned[:, part] @ w for part, w in zip(np.array_split(np.arange(dim), min(PARTS, dim)), words)]
-    best = [s.max(axis=1) for s in scores]
-    strongest = np.zeros(len(unit), np.int64)
-    for s in scores:
-        strongest = strongest * CODES + s.argmax(axis=1)
-    # every vector is in its strongest cap, also where it leans less than the limit
-    limit = np.minimum(SIGMAS / np.sqrt(dim), sum(best) - 1e-12)
-    row, name, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
-    for i, s in enumerate(scores):
-        rest = sum(best[i + 1 :], np.zeros(len(unit)))
-        grown = total[:, None] + s[row]
-        keep, word = np.nonzero(grown + rest[row][:, None] >= limit[row][:, None])
-        row, name, total = row[keep], name[keep] * CODES + word, grown[keep, word]
-    return row, name, strongest
+    rows, names, tops = [], [], []
+    for draw in range(DRAWS):
+        rotation, words, limit = code(dim, draw)
+        turned = unit @ rotation
+        scores = [turned[:, part] @ w for part, w in zip(np.array_split(np.arange(dim), min(PARTS, dim)), words)]
+        best = [s.max(axis=1) for s in scores]
+        # a vector that leans over the limit in few directions takes its LEAST strongest of the sums of strong words
+        strong = [np.sort(s, axis=1)[:, -LEAST:] for s in scores]
+        sums = strong[0]
+        for s in strong[1:]:
+            sums = np.sort((sums[:, :, None] + s[:, None, :]).reshape(len(unit), -1), axis=1)[:, -LEAST:]
+        own = np.minimum(limit, sums[:, 0] - 1e-12)
+        top = np.zeros(len(unit), np.int64)
+        for s in scores:
+            top = top * CODES + s.argmax(axis=1)
+        row, name, total = np.arange(len(unit)), np.full(len(unit), draw, np.int64), np.zeros(len(unit))
+        for i, s in enumerate(scores):
+            rest = sum(best[i + 1 :], np.zeros(len(unit)))
+            grown = total[:, None] + s[row]
+            keep, word = np.nonzero(grown + rest[row][:, None] >= own[row][:, None])
+            row, name, total = row[keep], name[keep] * CODES + word, grown[keep, word]
+        rows.append(row)
+        names.append(name)
+        tops.append(top)
+    row, name = np.concatenate(rows), np.concatenate(names)
+    order = np.argsort(row, kind="stable")
+    return row[order], name[order], tops[0]
+
+
+@lru_cache(16)
+def planes(dim: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, 99]).standard_normal((dim, SKETCH))
+
+
+def sketches(unit: np.ndarray) -> list[bytes]:
+    """On which side of ``SKETCH`` random planes each vector lies, as bits."""
+    return [x.tobytes() for x in np.packbits(unit @ planes(unit.shape[1]) >= 0, axis=1)]
 
 
 def units(column: pa.Array) -> list[np.ndarray | None]:
@@ -91,7 +120,7 @@ def rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def decoded(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(id, unit, top, caps) of every vector that can link."""
+    """(id, unit, sketch, top, caps) of every vector that can link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,11 +132,10 @@ def decoded(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                     x = np.stack([unit[i] for i in mine])
                     row, cap, top = decode(x)
                     cap, top = cap + (dim << 32), top + (dim << 32)
-                    ends = np.searchsorted(row[np.argsort(row, kind="stable")], np.arange(len(mine) + 1))
-                    caps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cap[np.argsort(row, kind="stable")]))
-                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(mine)), pa.array([u.tobytes() for u in x], pa.binary()), pa.array(top), caps], ["id", "unit", "top", "caps"])
+                    caps = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(mine) + 1)), pa.int32()), pa.array(cap))
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(mine)), pa.array([u.tobytes() for u in x], pa.binary()), pa.array(sketches(x), pa.binary()), pa.array(top), caps], ["id", "unit", "sketch", "top", "caps"])
 
-    return vectors.select(key, embedding).mapInArrow(run, "id long, unit binary, top long, caps array<long>")
+    return vectors.select(key, embedding).mapInArrow(run, "id long, unit binary, sketch binary, top long, caps array<long>")
 
 
 def angles(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -118,7 +146,7 @@ def angles(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def led(found: DataFrame) -> DataFrame:
-    """(id, unit, caps, lead, radius): each vector's leader, its own id if it is alone."""
+    """(id, unit, sketch, caps, lead, radius): each vector's leader, its own id if it is alone."""
     leaders = found.groupBy("top").agg(F.min_by("unit", "id").alias("lead_unit"), F.min("id").alias("lead"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,18 +156,19 @@ def led(found: DataFrame) -> DataFrame:
             turn = angles(batch.column("unit"), batch.column("lead_unit"))
             own, lead = (np.asarray(batch.column(c)) for c in ("id", "lead"))
             near = turn <= np.arccos(TIGHT)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), batch.column("caps"), pa.array(np.where(near, lead, own)), pa.array(np.where(near & (own != lead), turn, 0.0))], ["id", "unit", "caps", "lead", "radius"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), batch.column("sketch"), batch.column("caps"), pa.array(np.where(near, lead, own)), pa.array(np.where(near & (own != lead), turn, 0.0))], ["id", "unit", "sketch", "caps", "lead", "radius"])
 
-    return found.join(leaders, "top").select("id", "unit", "caps", "lead", "lead_unit").mapInArrow(run, "id long, unit binary, caps array<long>, lead long, radius double")
+    return found.join(leaders, "top").select("id", "unit", "sketch", "caps", "lead", "lead_unit").mapInArrow(run, "id long, unit binary, sketch binary, caps array<long>, lead long, radius double")
 
 
 def near_groups(placed: DataFrame, cosine: float) -> DataFrame:
     """(g, h, whole): groups that share a cap and may link; ``whole`` if all their members link."""
-    heads = placed.groupBy("lead").agg(F.max("radius").alias("radius"), F.max_by("unit", (F.col("id") == F.col("lead")).cast("int")).alias("unit"))
+    own = (F.col("id") == F.col("lead")).cast("int")
+    heads = cut(placed.groupBy("lead").agg(F.max("radius").alias("radius"), F.max_by("unit", own).alias("unit"), F.max_by("sketch", own).alias("sketch")))
     caps = placed.select("lead", F.explode("caps").alias("cap")).distinct()
     size = caps.groupBy("cap").agg(F.count("*").alias("c")).filter("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("long")).drop("c")
     dealt = caps.join(size, "cap").withColumn("part", F.pmod(F.xxhash64("lead"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cap", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "lead").join(heads, "lead")
+    dealt = dealt.select("cap", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "lead").join(heads.drop("unit"), "lead")
     most = np.arccos(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,18 +176,28 @@ def near_groups(placed: DataFrame, cosine: float) -> DataFrame:
             if table.num_rows < 2:
                 continue
             lead, radius, side = (table.column(c).to_numpy() for c in ("lead", "radius", "side"))
-            x = rows_of(table.column("unit"))
-            turn = np.arccos(np.clip(x @ x.T, -1, 1))
-            a, b = np.nonzero((lead[:, None] < lead[None, :]) & (turn - radius[:, None] - radius[None, :] <= most + 1e-9))
+            x = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(lead), -1)
+            apart = sum(np.bitwise_count(x[:, None, k] ^ x[None, :, k]).astype(np.int64) for k in range(x.shape[1]))
+            share = np.minimum((most + radius[:, None] + radius[None, :]) / np.pi, 0.5)
+            a, b = np.nonzero((lead[:, None] < lead[None, :]) & (apart <= SKETCH * share + 6 * np.sqrt(SKETCH * share * (1 - share))))
             if side.any():
                 across = side[a] != side[b]
                 a, b = a[across], b[across]
             if len(a):
-                sure = (turn[a, b] + radius[a] + radius[b] <= most - 1e-7) & (radius[a] + radius[b] > 0)
-                yield pa.RecordBatch.from_pydict({"g": lead[a], "h": lead[b], "whole": sure})
+                yield pa.RecordBatch.from_pydict({"g": lead[a], "h": lead[b]})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                turn = angles(batch.column("unit_g"), batch.column("unit_h"))
+                reach = np.asarray(batch.column("radius_g")) + np.asarray(batch.column("radius_h"))
+                sure = (turn + reach <= most - 1e-7) & (reach > 0)
+                yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("h"), pa.array(sure)], ["g", "h", "whole"]).filter(pa.array(turn - reach <= most + 1e-9))
 
     keys = ["cap", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g long, h long, whole boolean").groupBy("g", "h").agg(F.bool_and("whole").alias("whole"))
+    pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g long, h long").distinct()
+    sides = [heads.select(F.col("lead").alias(x), F.col("unit").alias(f"unit_{x}"), F.col("radius").alias(f"radius_{x}")) for x in "gh"]
+    return pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(settle, "g long, h long, whole boolean")
 
 
 def compared(pairs: DataFrame, placed: DataFrame, sizes: DataFrame, cosine: float) -> DataFrame:
