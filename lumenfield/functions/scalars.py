@@ -48,9 +48,9 @@ def safe_filename(value: Column) -> Column:
 
 
 def sanitize_stem(name: Column) -> Column:
-    """A file-safe stem of at most 48 characters, never empty and never a device name."""
+    """A file-safe stem, never empty and never a device name."""
     cleaned = F.regexp_replace(name, r"[^A-Za-z0-9_.-]+", "_")
-    stem = F.substring(F.btrim(cleaned, F.lit("_.-")), 1, 48)
+    stem = F.btrim(cleaned, F.lit("_.-"))
     stem = F.when(F.length(stem) > 0, stem).otherwise(F.lit("image"))
     first = F.upper(F.split_part(stem, F.lit("."), F.lit(1)))
     return F.when(first.isin(RESERVED), F.concat(F.lit("image_"), stem)).otherwise(stem)

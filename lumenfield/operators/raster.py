@@ -373,11 +373,8 @@ def raster_profile(px: DataFrame, keys: Sequence[str], size: int, saturated: int
 def suggest_thresholds(
     voxels: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], detector_max: int, spacing: tuple[float, float, float]
 ) -> DataFrame:
-    """Starting thresholds from a strided sample: low/high at 20 % and 50 % of the median-to-bright span."""
-    stride = max(1, math.ceil((math.prod(shape) / 200_000) ** (1 / 3)))
-    sampled = voxels.filter(F.expr(f"z % {stride} = 0 and y % {stride} = 0 and x % {stride} = 0"))
-    size = math.prod(math.ceil(s / stride) for s in shape)
-    grouped = histogram(sampled, keys, size).groupBy(*keys).agg(
+    """Starting thresholds from all voxels: low/high at 20 % and 50 % of the median-to-bright span."""
+    grouped = histogram(voxels, keys, math.prod(shape)).groupBy(*keys).agg(
         F.percentile("value", F.array(F.lit(0.5), F.lit(0.999)), F.col("pixels")).alias("v")
     )
     base, bright = F.col("v")[0], F.col("v")[1]
@@ -435,11 +432,11 @@ def central_crop(px: DataFrame, fraction: float, shape: tuple[int, int]) -> Data
 
 
 def depth_profile(
-    voxels: DataFrame, rois: DataFrame, shape: tuple[int, int, int], samples: int = 512, key: str = "image_id"
+    voxels: DataFrame, rois: DataFrame, shape: tuple[int, int, int], samples: int | None = None, key: str = "image_id"
 ) -> DataFrame:
-    """Mean raw value per channel and sampled plane inside a clipped square ROI (y0, x0, radius)."""
+    """Mean raw value per channel and plane inside a clipped square ROI (y0, x0, radius); ``samples`` evenly spaced planes if given."""
     depth, height, width = shape
-    n = min(depth, samples)
+    n = depth if samples is None else min(depth, samples)
     step = (depth - 1) / max(n - 1, 1)
     planes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.lit(step)).cast("int")))
     clipped = rois.select(

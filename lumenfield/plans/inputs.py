@@ -290,7 +290,7 @@ def annotated_export(spark, sf):
     )
 
 
-@query("sanitize_stem", """with t as (select page_id, url, substr(trim(regexp_replace(url,'[^A-Za-z0-9_.-]+','_','g'),'_.-'),1,48) as s from pages),
+@query("sanitize_stem", """with t as (select page_id, url, trim(regexp_replace(url,'[^A-Za-z0-9_.-]+','_','g'),'_.-') as s from pages),
 u as (select page_id, case when s='' then 'image' else s end as s from t)
 select page_id, case when regexp_full_match(upper(split_part(s,'.',1)),'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]') then 'image_'||s else s end as stem from u""")
 def sanitize_stem(spark, sf):

@@ -16,7 +16,7 @@ CHANNELS = ["green", "red", "ebfp"]
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Read manifest CSV; blank cells are NULL, relative image paths start at the CSV's folder."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.options(header=True, quote='"', escape='"', multiLine=True, inferSchema=False).csv(path)
     raw = raw.toDF(*[name.lstrip("﻿").strip() for name in raw.columns])
     missing = [name for name in REQUIRED if name not in raw.columns]
     if missing:
@@ -25,8 +25,7 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
         raw = raw.withColumn("ebfp", F.lit(None).cast("string"))
     folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
     raw = raw.withColumn("folder", folder)
-    cells = {name: F.nullif(F.trim(name), F.lit("")) for name in [*REQUIRED, "ebfp"]}
-    return normal_paths(raw.withColumns(cells))
+    return normal_paths(trimmed(raw))
 
 
 def normal_paths(rows: DataFrame) -> DataFrame:
@@ -39,7 +38,8 @@ def normal_paths(rows: DataFrame) -> DataFrame:
 
 
 def trimmed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({n: F.nullif(F.trim(n), F.lit("")) for n in [*REQUIRED, "ebfp"]})
+    """Cells without white space around them; blank ones are NULL."""
+    return rows.withColumns({n: F.nullif(F.regexp_replace(n, r"^\s+|\s+$", ""), F.lit("")) for n in [*REQUIRED, "ebfp"]})
 
 
 def channel_paths(rows: DataFrame) -> DataFrame:

@@ -161,3 +161,12 @@ def test_whole_run_with_and_without_signal(spark, tmp_path):
     assert {r.status for r in verify_run(spark, str(tmp_path / "run")).collect()} == {"ok"}
     plain = analyze(px, fields, config)
     assert plain["objects"].filter("scorable").isEmpty() and plain["objects"].count() == 4
+
+
+def test_manifest_cells_keep_quotes_and_lose_white_space(spark, tmp_path):
+    from lumenfield.sources.manifest import scan_manifest
+
+    path = tmp_path / "m.csv"
+    path.write_text('image_id,replicate_id,green,red\n"a","r1","/x ""q"".npy","\t"\n')
+    row = scan_manifest(spark, str(path)).first()
+    assert row["green"] == '/x "q".npy' and row["red"] is None
