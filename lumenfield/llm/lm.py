@@ -1,16 +1,23 @@
 """Language-model scoring by context-tree weighting, beside a unigram base.
 
-The model reads the bytes of the text (A-Z lower-cased) and one end sign. A byte is eight
-binary decisions; each decision has, for the contexts of no, one, two and three bytes
-before it, Krichevsky-Trofimov estimates from the training texts. Context-tree weighting
-mixes the estimates of all depths: a node's weighted probability is half its own estimate
-and half the product of its children's. Counts of all 4-grams are made in Spark; the tree
-keeps those three-byte contexts that hold at least 1/``CONTEXTS`` of all training bytes (so
-at most ``CONTEXTS`` of them, at any size) and pools the others of each two-byte context
-into one child. With fixed counts the prediction is a table of 256 values per context.
-
-The base score needs the count of every word. Words that hold at least 1/``HEAD`` of all
-tokens are at most ``HEAD`` and go to every task; the rest are joined by word.
+The model reads a text as its tokens are spelled: the bytes of each word (A-Z lower-cased)
+and one space, at last one end sign. A byte is eight binary decisions; each decision has,
+for the contexts of 0 to ``DEPTH`` bytes before it, Krichevsky-Trofimov estimates from the
+training texts. Context-tree weighting mixes the estimates of all depths: a node's weighted
+probability is half its own estimate and half the product of its children's. A context
+begins at the start of its word, so all counts follow from the counts of the words and a
+word has one score wherever it stands; no context is left out, however rare.
+
+The tree is a table. A node is a long: the bytes of its context, the latest first, and the
+number of the decision. Weights climb from the deepest contexts to the root, and
+predictions descend again, by stages that are dealt by the first bytes of the context; a
+group holds the distinct contexts of a few more bytes, not their occurrences. Words of all
+texts take part, those of other texts with a count of 0, which leaves all weights as they
+are and gives every word its score.
+
+Spellings that stand in at least 1/``HEAD`` of the places of all distinct words, and words
+that hold at least 1/``HEAD`` of all tokens, are at most ``HEAD`` and go to every task; the
+rest is joined.
 
 Null texts count as empty: one token, the end. Repeated ids are scored row by row. An empty
 table gives no rows; without training rows the counts are 0 and all bytes equally likely.
@@ -20,87 +27,80 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.llm.language import held_out
 from lumenfield.llm.texts import LOWER, cuts, flat
-from lumenfield.session import cut
+from lumenfield.session import work_path
 
-CONTEXTS = 1 << 15
+DEPTH = 7
+STAGES = ((7, 4), (4, 2), (2, 1))
 HEAD = 1 << 20
 FLUSH = 200_000
-END = b"\xff"
+BLOCK = 1 << 19
+U64 = np.uint64
+ROWS = "code long, x double, y double, z double, kind int"
 
 
-def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, byte, row): what is predicted in some texts, with three end signs in front of each."""
-    n = len(offsets) - 1
-    sizes = np.diff(offsets)
-    out = np.full(int(sizes.sum()) + 3 * n + 3, 255, np.uint8)
-    begins = np.cumsum(sizes + 3) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
-    out[place] = LOWER[data[offsets[0] : offsets[-1]]]
-    wide = out.astype(np.uint32)
-    context = np.zeros(len(out), np.uint32)
-    context[3:] = wide[:-3] << np.uint32(16) | wide[1:-2] << np.uint32(8) | wide[2:-1]
-    row = np.repeat(np.arange(n), sizes + 1)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1) + np.repeat(begins, sizes + 1)
-    return context[at], out[at], row
-
-
-def tallied(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, count = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code, count = code[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-    return code[first], np.add.reduceat(count, first)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, gram, n): counts of all words (``''`` is the end) and of all 4-grams of bytes."""
+def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, word): each byte of some words below its context of ``DEPTH`` bytes, the latest on top; an empty word is the end."""
+    sizes = np.diff(offsets)
+    begins = np.cumsum(sizes + DEPTH + 1) - sizes - 1
+    out = np.full(int(sizes.sum()) + (DEPTH + 1) * len(sizes), 32, U64)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[within + np.repeat(begins, sizes)] = data[offsets[0] : offsets[-1]]
+    out[begins[sizes == 0]] = 255
+    word = np.repeat(np.arange(len(sizes)), sizes + 1)
+    at = np.arange(len(word)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1) + np.repeat(begins, sizes + 1)
+    gram = out[at]
+    for back in range(1, DEPTH + 1):
+        gram |= out[at - back] << U64(64 - 8 * back)
+    return gram, word
+
+
+def vocabulary(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
+    """(id, word, n): all words (``''`` is the end) with their counts in the texts that fit ``train``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
-        codes: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+        others: set[bytes] = set()
 
         def said() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(tally), pa.binary()).cast(pa.string()), "gram": pa.nulls(len(tally), pa.int64()), "n": pa.array(list(tally.values()), pa.int64())})
-
-        def seen() -> pa.RecordBatch:
-            code, total = tallied(codes, counts)
-            return pa.RecordBatch.from_pydict({"word": pa.nulls(len(code), pa.string()), "gram": pa.array(code.astype(np.int64)), "n": pa.array(total)})
+            rest = list(others.difference(tally))
+            return pa.RecordBatch.from_pydict({"word": pa.array([*tally, *rest], pa.binary()).cast(pa.string()), "n": pa.array([*tally.values(), *[0] * len(rest)], pa.int64())})
 
         for batch in batches:
-            data, offsets = flat(batch.column(text))
+            data, offsets = flat(batch.column("text"))
+            learn = batch.column("learn").to_pylist()
             for low, high in cuts(offsets):
-                context, byte, _ = stream(data, offsets[low : high + 1])
-                code = np.sort(context << np.uint32(8) | byte)
-                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-                codes.append(code[first])
-                counts.append(np.diff(np.append(first, len(code))))
-                if sum(map(len, codes)) > 10 * FLUSH:
-                    code, total = tallied(codes, counts)
-                    codes, counts = [code], [total]
-                    if len(code) > 5 * FLUSH:
-                        yield seen()
-                        codes, counts = [], []
-                tally.update(LOWER[data[offsets[low] : offsets[high]]].tobytes().split() if high - low == 1 else [x for a, b in zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist()) for x in LOWER[data[a:b]].tobytes().split()])
-                tally[b""] += high - low
-                if len(tally) > FLUSH:
+                for i in range(low, high):
+                    words = LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split()
+                    if learn[i]:
+                        tally.update(words)
+                        tally[b""] += 1
+                    else:
+                        others.update(words)
+                        others.add(b"")
+                if len(tally) + len(others) > FLUSH:
                     yield said()
                     tally.clear()
-        if codes:
-            yield seen()
-        if tally:
+                    others.clear()
+        if tally or others:
             yield said()
 
-    return docs.select(text).mapInArrow(run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("learn")).mapInArrow(run, "word string, n long")
+    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -109,170 +109,211 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
-def estimates(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of 256 byte counts: log probability of the past, and probability of bit 1, of the 255 decisions."""
-    tree = np.zeros((len(counts), 512))
-    tree[:, 256:] = counts
-    for width in (128, 64, 32, 16, 8, 4, 2, 1):
-        tree[:, width : 2 * width] = tree[:, 2 * width : 4 * width : 2] + tree[:, 2 * width + 1 : 4 * width : 2]
-    zeros, ones = tree[:, 2:512:2], tree[:, 3:512:2]
-    past = np.zeros(zeros.shape)
+def settle(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log weighted probability, share of the own estimate, estimate of a one) of decisions; ``below`` is None at the leaves."""
+    past = np.zeros(len(zeros))
     some = zeros + ones > 0
     a, b = zeros[some], ones[some]
     past[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
-    return past, (ones + 0.5) / (zeros + ones + 1)
+    one = (ones + 0.5) / (zeros + ones + 1)
+    if below is None:
+        return past, np.ones(len(past)), one
+    mixed = np.logaddexp(past, below) - np.log(2)
+    return mixed, np.exp(past - np.log(2) - mixed), one
 
 
-def grouped(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of rows by ``key``, which is sorted."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(rows, first, axis=0)
+def top(level: int) -> np.uint64:
+    """The bits of a node at this depth: its context and the number of the decision."""
+    return U64(((1 << 64) - (1 << (64 - 8 * level))) | 255)
 
 
-def weigh(past: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log weighted probability, share of a node's own estimate)."""
-    mixed = np.logaddexp(past, below) - np.log(2)
-    return mixed, np.exp(past - np.log(2) - mixed)
-
-
-@dataclass
-class Tree:
-    """Log10 probabilities of bytes: a row per kept context, then one per pool and for unseen contexts."""
-
-    kept: np.ndarray
-    pools: np.ndarray
-    table: np.ndarray
-
-    def rows(self) -> np.ndarray:
-        """Row of each of the 2**24 contexts."""
-        low = np.empty(1 << 16, np.int32)
-        k, p = len(self.kept), len(self.pools)
-        low[:] = k + p + (np.arange(1 << 16) & 255)
-        low[self.pools] = k + np.arange(p)
-        row = np.tile(low, 256)
-        row[self.kept] = np.arange(k)
-        return row
-
-
-def grow(grams: np.ndarray, n: np.ndarray, kept: np.ndarray) -> Tree:
-    """The tree from 4-gram counts. ``grams`` of contexts outside ``kept`` carry their pool: (1 << 32) + the last three bytes."""
-    order = np.argsort(np.where(grams >> 32, grams & 0xFFFFFF, grams & 0xFFFFFF), kind="stable")
-    grams, n = grams[order], n[order]
-    name = np.where(grams >> 32, -1, grams >> 8)
-    pool = (grams >> 8) & 0xFFFF
-    # leaves: kept contexts and pools, in the order of the two bytes they end in
-    leaf = np.unique(np.stack([pool, name], axis=1), axis=0)
-    at = {tuple(x): i for i, x in enumerate(leaf.tolist())}
-    where = np.array([at[x] for x in zip(pool.tolist(), name.tolist())], np.int64) if len(grams) else np.zeros(0, np.int64)
-    two, begins = np.unique(leaf[:, 0], return_index=True)
-    borders = np.append(begins, len(leaf))
-    two_counts = np.zeros((len(two), 256))
-    np.add.at(two_counts, (np.searchsorted(two, pool), grams & 255), n)
-    two_past, two_one = estimates(two_counts)
-    two_below = np.zeros_like(two_past)
-    blocks, low = [], 0
-    while low < len(two):  # some parents at a time
-        high = low + 1
-        while high < len(two) and borders[high + 1] - borders[low] < 4096:
-            high += 1
-        blocks.append((low, high))
-        low = high
-    by = np.argsort(where, kind="stable")
-    bounds = np.searchsorted(where[by], borders)
-
-    def leaves(low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-        mine = by[bounds[low] : bounds[high]]
-        counts = np.zeros((borders[high] - borders[low], 256))
-        counts[where[mine] - borders[low], grams[mine] & 255] = n[mine]
-        return estimates(counts)
-
-    for low, high in blocks:
-        two_below[low:high] = np.add.reduceat(leaves(low, high)[0], borders[low:high] - borders[low], axis=0)
-    two_mixed, two_own = weigh(two_past, two_below)
-    key = two & 255
-    turn = np.argsort(key, kind="stable")
-    one, one_counts = grouped(two_counts[turn], key[turn]) if len(two) else (np.zeros(0, np.int64), np.zeros((0, 256)))
-    one_past, one_one = estimates(one_counts)
-    one_mixed, one_own = weigh(one_past, grouped(two_mixed[turn], key[turn])[1] if len(two) else one_past)
-    zero_past, zero_one = estimates(one_counts.sum(axis=0, keepdims=True))
-    _, zero_own = weigh(zero_past, one_mixed.sum(axis=0, keepdims=True))
-
-    def mixed(own: np.ndarray, estimate: np.ndarray, deeper: np.ndarray) -> np.ndarray:
-        return own * estimate + (1 - own) * deeper
-
-    def bytes_of(bit: np.ndarray) -> np.ndarray:
-        """Log10 probability of each byte from the probabilities of its decisions."""
-        yes, no = np.log10(bit), np.log10(1 - bit)
-        out = np.zeros((len(bit), 256))
-        value = np.arange(256)
-        for depth in range(8):
-            node = (1 << depth) - 1 + (value >> (8 - depth))
-            out += np.where((value >> (7 - depth)) & 1, yes[:, node], no[:, node])
-        return out.astype(np.float32)
-
-    table = np.zeros((len(leaf), 256), np.float32)
-    for low, high in blocks:
-        bit = leaves(low, high)[1]
-        up = np.repeat(np.arange(low, high), np.diff(borders[low : high + 1]))
-        bit = mixed(two_own[up], two_one[up], bit)
-        first = np.searchsorted(one, two[up] & 255)
-        table[borders[low] : borders[high]] = bytes_of(mixed(zero_own, zero_one, mixed(one_own[first], one_one[first], bit)))
-    half = np.full((256, 255), 0.5)
-    half[one] = mixed(one_own, one_one, half[one])
-    unseen = bytes_of(mixed(zero_own, zero_one, half))
-    is_pool = leaf[:, 1] < 0
-    return Tree(leaf[~is_pool, 1], leaf[is_pool, 0], np.concatenate([table[~is_pool], table[is_pool], unseen]))
-
-
-def fit_tree(grams: DataFrame, contexts: int = CONTEXTS) -> Tree:
-    """The tree from ``grams(gram, n)``; at most ``contexts`` contexts of three bytes, and 2**16 pools, reach the driver."""
-    total = grams.agg(F.sum("n").alias("n")).first()["n"] or 0
-    context = F.shiftright("gram", 8).alias("context")
-    kept = grams.groupBy(context).agg(F.sum("n").alias("c")).filter(F.col("c") * contexts >= total).select("context")
-    named = grams.withColumn("context", context).join(kept.withColumnRenamed("context", "_k"), F.col("context") == F.col("_k"), "left")
-    pooled = F.when(F.col("_k").isNull(), F.col("gram").bitwiseAND(0xFFFFFF) + F.lit(1 << 32)).otherwise(F.col("gram")).alias("gram")
-    rows = named.groupBy(pooled).agg(F.sum("n").alias("n")).toArrow()
-    return grow(rows.column("gram").to_numpy(), rows.column("n").to_numpy(), None)
-
-
-def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
+def decisions(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, zeros, ones, place, bit): the deepest nodes, and for all grams, decision by decision, their node and what they decide."""
+    byte, context = (gram & U64(255)).astype(np.int64), gram & ~U64(255)
+    node = np.concatenate([context | ((1 << depth) | (byte >> (8 - depth))).astype(U64) for depth in range(8)])
+    bit = np.concatenate([(byte >> (7 - depth)) & 1 for depth in range(8)]).astype(bool)
+    code, place = np.unique(node, return_inverse=True)
+    weight = np.tile(n, 8)
+    return code, np.bincount(place, weight * ~bit, len(code)), np.bincount(place, weight * bit, len(code)), place, bit
+
+
+def rise(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, high: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """The nodes of depth ``low`` above some of depth ``high`` (node, zeros, ones, log product of the children), and the steps between."""
+    steps = []
+    for level in range(high - 1, low - 1, -1):
+        mixed, own, one = settle(zeros, ones, below)
+        code, up = np.unique(code & top(level), return_inverse=True)
+        steps.append((own, one, up))
+        zeros, ones, below = (np.bincount(up, v, len(code)) for v in (zeros, ones, mixed))
+    return code, zeros, ones, below, steps
+
+
+def fall(said: np.ndarray, left: np.ndarray, steps: list) -> tuple[np.ndarray, np.ndarray]:
+    """Down the steps of ``rise``: what shallower nodes say for a one, and the share left to deeper ones."""
+    for own, one, up in reversed(steps):
+        said, left = said[up] + left[up] * own * one, left[up] * (1 - own)
+    return said, left
+
+
+def blocks(batches: Iterator[pa.RecordBatch], low: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows that arrive sorted by code, in blocks that keep contexts of one start of ``low`` bytes together."""
+    rest: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        code = batch.column("code").to_numpy().view(U64)
+        rest.append((code, *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "z", "kind"))))
+        if sum(len(r[0]) for r in rest) < BLOCK:
+            continue
+        rows = tuple(np.concatenate(c) for c in zip(*rest))
+        start = rows[0] >> U64(64 - 8 * low)
+        last = np.flatnonzero(start != start[-1])
+        cutting = int(last[-1]) + 1 if len(last) else 0
+        if cutting:
+            yield tuple(c[:cutting] for c in rows)
+        rest = [tuple(c[cutting:] for c in rows)]
+    if rest and len(rest[0][0]):
+        yield tuple(np.concatenate(c) for c in zip(*rest))
+
+
+def said_rows(code: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"code": code.view(np.int64), "x": x, "y": y, "z": z, "kind": np.full(len(code), kind, np.int32)})
+
+
+def dealt(rows: DataFrame, low: int) -> DataFrame:
+    return rows.repartition(F.shiftrightunsigned("code", 64 - 8 * low)).sortWithinPartitions("code")
+
+
+def climb(rows: DataFrame, high: int, low: int) -> DataFrame:
+    """Nodes of depth ``low`` (zeros, ones, log product of the children) from those of depth ``high``, or from grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, x, y, z, _ in blocks(batches, low):
+            leaves = decisions(code, x)[:3] + (None,) if high == DEPTH else (code, x, y, z)
+            yield said_rows(*rise(*leaves, high, low)[:4], 0)
+
+    return stored(dealt(rows, low).mapInArrow(run, ROWS), "nodes")
+
+
+def descend(rows: DataFrame, above: DataFrame, high: int, low: int) -> DataFrame:
+    """(said, left) of nodes of depth ``high`` from those of depth ``low``; of grams, (log10 probability, places)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, x, y, z, kind in blocks(batches, low):
+            up, own = kind == 1, kind == 0
+            order = np.argsort(code[up])
+            said, left = x[up][order], y[up][order]
+            code, x, y, z = code[own], x[own], y[own], z[own]
+            if high < DEPTH:
+                yield said_rows(code, *fall(said, left, rise(code, x, y, z, high, low)[4]), z, 1)
+                continue
+            node, zeros, ones, place, bit = decisions(code, x)
+            one = fall(said, left, rise(node, zeros, ones, None, high, low)[4])[0][place]
+            yield said_rows(code, np.log10(np.where(bit, one, 1 - one)).reshape(8, -1).sum(axis=0), y, z, 1)
+
+    return stored(dealt(rows.unionByName(above), low).mapInArrow(run, ROWS), "said")
+
+
+def fit(words: DataFrame) -> DataFrame:
+    """(gram, log10 probability, places among distinct words) of every gram of ``words(word, n)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column("word"))
+            n = batch.column("n").to_numpy()
+            for low, high in cuts(offsets):
+                gram, word = spelled(data, offsets[low : high + 1])
+                code, place = np.unique(gram, return_inverse=True)
+                yield said_rows(code, np.bincount(place, n[low:high][word], len(code)), np.bincount(place, minlength=len(code)).astype(float), np.zeros(len(code)), 0)
+
+    grams = words.select("word", "n").mapInArrow(run, ROWS).groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    rows = [stored(grams.select("code", "x", "y", F.lit(0.0).alias("z"), F.lit(0).alias("kind")), "grams")]
+    for high, low in STAGES:
+        rows.append(climb(rows[-1], high, low))
+    # the last stage leaves at most 256 contexts of one byte with 255 decisions each
+    table = rows.pop().toArrow()
+    code, x, y, z = (table.column(c).to_numpy() for c in ("code", "x", "y", "z"))
+    _, zeros, ones, below, steps = rise(code.view(U64), x, y, z, 1, 0)
+    _, own, one = settle(zeros, ones, below)
+    said, left = fall(own * one, 1 - own, steps)
+    above = words.sparkSession.createDataFrame(pa.Table.from_batches([said_rows(code.view(U64), said, left, np.zeros(len(code)), 1)]), ROWS)
+    for high, low in reversed(STAGES):
+        above = descend(rows.pop(), above, high, low)
+    return above.select(F.col("code").alias("gram"), F.col("x").alias("log"), F.col("y").alias("places"))
+
+
+def word_scores(words: DataFrame, grams: DataFrame, head: int = HEAD) -> DataFrame:
+    """(word, n, log): the log10 probability of every word by its grams."""
+    places = grams.agg(F.sum("places").alias("places")).first()["places"] or 0
+    often = F.col("places") * head >= places
+    frequent = grams.filter(often).select("gram", "log").toArrow()
+    gram, log = frequent.column("gram").to_numpy().view(U64), frequent.column("log").to_numpy()
+    shared = words.sparkSession.sparkContext.broadcast((np.sort(gram), log[np.argsort(gram)]))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        known, logs = shared.value
+        for batch in batches:
+            data, offsets = flat(batch.column("word"))
+            for low, high in cuts(offsets):
+                gram, word = spelled(data, offsets[low : high + 1])
+                at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
+                hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
+                yield batch.slice(low, high - low), gram, word, hit, logs[at[hit]]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, word, hit, logs in slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(word[hit], logs, part.num_rows).astype(float))], ["id", "word", "n", "log"])
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, gram, word, hit, _ in slices(batches):
+            order = np.lexsort((gram[~hit], word[~hit]))
+            gram, word = gram[~hit][order], word[~hit][order]
+            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (word[1:] != word[:-1])])) if len(gram) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"id": part.column("id").to_numpy()[word[first]], "gram": gram[first].view(np.int64), "times": np.diff(np.append(first, len(gram)))})
+
+    rest = words.mapInArrow(tails, "id long, gram long, times long").join(grams.filter(~often).select("gram", "log"), "gram")
+    more = rest.groupBy("id").agg(F.sum(F.col("times") * F.col("log")).alias("more"))
+    scored = words.mapInArrow(heads, "id long, word string, n long, log double").join(more, "id", "left")
+    return stored(scored.select("word", "n", (F.col("log") + F.coalesce("more", F.lit(0.0))).alias("log")), "word_scores")
+
+
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Scores of all rows of ``docs`` by models of the rows that fit the condition ``train``."""
     spark = docs.sparkSession
-    counts = cut(count(docs.filter(train), text))
-    vocabulary = counts.filter("word is not null").select("word", "n")
-    size = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    counted = vocabulary(docs, train, text)
+    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     total, distinct = size["n"], size["v"]
-    frequent = vocabulary.filter(F.col("n") * head >= total).toArrow()
-    tree = fit_tree(counts.filter("gram is not null").select("gram", "n"))
-    shared = spark.sparkContext.broadcast((tree, frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_pylist()))
+    words = word_scores(counted, fit(counted), head)
+    often = (F.col("n") > 0) & (F.col("n") * head >= total)
+    frequent = words.filter(often).toArrow()
+    shared = spark.sparkContext.broadcast((frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy(), frequent.column("log").to_numpy()))
     names = ["row", key, "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "word", "n"]
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_words, head_counts = shared.value
-        rows, table = model.rows(), model.table.ravel()
-        known = dict(zip(head_words, head_counts))
+        head_words, head_counts, head_scores = shared.value
+        known = {w: i for i, w in enumerate(head_words)}
+        # the last place, -1, is that of words to be joined
+        counts, scores = np.append(np.log10(head_counts + 1.0), 0.0), np.append(head_scores, 0.0)
         for batch in batches:
             data, offsets = flat(batch.column(text))
             for low, high in cuts(offsets):
-                context, byte, at = stream(data, offsets[low : high + 1])
-                logs = np.bincount(at, table[rows[context].astype(np.int64) * 256 + byte], minlength=high - low)
-                size, found, summed = [], [], np.zeros(high - low)
+                size, found, bytes_, base, logs = [], [], [], [], []
                 rare_row, rare_word, rare_n = [], [], []
                 for i, (a, b) in enumerate(zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist())):
                     words = LOWER[data[a:b]].tobytes().split()
                     words.append(b"")
-                    c = [known.get(w, 0) for w in words]
-                    rare = Counter([w for w, n in zip(words, c) if not n])
+                    at = np.array([known.get(w, -1) for w in words])
+                    rare = Counter([words[j] for j in np.flatnonzero(at < 0).tolist()])
                     size.append(len(words))
                     found.append(len(words) - rare.total())
-                    summed[i] = np.log10(np.array(c, np.float64) + 1).sum()
+                    bytes_.append(sum(map(len, words)) + len(words))
+                    base.append(counts[at].sum())
+                    logs.append(scores[at].sum())
                     rare_row += [low + i] * len(rare)
                     rare_word += rare.keys()
                     rare_n += rare.values()
                 m, r = high - low, len(rare_word)
                 part = batch.slice(low, m)
-                own = [part.column("row"), part.column(key), part.column("held_out"), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(summed), pa.array(logs), pa.array(np.diff(offsets[low : high + 1]) + 1), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
+                own = [part.column("row"), part.column(key), part.column("held_out"), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64()), pa.array(bytes_, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
                 yield pa.RecordBatch.from_arrays(own, names)
                 rare_at = batch.column("row").take(pa.array(rare_row, pa.int64()))
                 empty = [pa.nulls(r, x.type) for x in own[1:8]]
@@ -281,21 +322,22 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text", head:
     schema = f"row long, `{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, word string, n long"
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), key, (~train).alias("held_out"), text)
     scored = numbered.mapInArrow(run, schema)
-    tail = vocabulary.filter(F.col("n") * head < total).select(F.col("word").alias("_w"), F.col("n").alias("_c"))
+    tail = words.filter(~often).select(F.col("word").alias("_w"), F.col("n").alias("_c"), F.col("log").alias("_log"))
     # rows without a word join with nothing; keys of their own keep them apart
     slot = F.coalesce("word", F.concat(F.lit("\n"), F.col("row").cast("string")))
     joined = scored.join(tail, slot == F.col("_w"), "left")
-    # a held-out word may be unseen: log10(0 + 1) = 0
     sums = joined.groupBy("row").agg(
         F.max(F.struct(F.col("held_out").isNotNull().alias("own"), key, "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes")).alias("own"),
-        F.sum(F.when(F.col("_c").isNotNull(), F.col("n"))).alias("more"),
+        F.sum(F.when(F.col("_c") > 0, F.col("n"))).alias("more"),
         F.sum(F.col("n") * F.log10(F.col("_c") + 1)).alias("more_logs"),
+        F.sum(F.col("n") * F.col("_log")).alias("more_score"),
     )
     base = F.col("own.logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("own.n_tokens") * float(np.log10(total + distinct + 1))
+    model = F.col("own.score") + F.coalesce("more_score", F.lit(0.0))
     return sums.select(
         f"own.{key}", "own.held_out", "own.n_tokens", (F.col("own.n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "own.score",
-        (-F.col("own.score") * float(np.log2(10)) / F.col("own.n_bytes")).alias("bits_per_byte"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"),
+        (-model * float(np.log2(10)) / F.col("own.n_bytes")).alias("bits_per_byte"),
     )
 
 

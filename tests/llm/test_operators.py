@@ -177,45 +177,57 @@ def test_lm_base_is_exact_and_bytes_sum_to_one(spark, table):
     want = sorted((r[0] is None, r[0] or 0, len(low(r[1])), sum(counts[w] > 0 for w in low(r[1])), round(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in low(r[1])), 6)) for r in rows)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == total and r["score"] < 0 for r in got)
-    grams = lm.cut(lm.count(docs)).filter("gram is not null").select("gram", "n")
-    tree = lm.fit_tree(grams, contexts=64)
-    assert len(tree.kept) <= 64 and np.allclose((10.0 ** tree.table).sum(axis=1), 1, atol=1e-4)
+    joined = lm.score(docs, train, head=1 << 20).collect()
+    for r, q in zip(sorted(got, key=str), sorted(joined, key=str)):
+        assert r["doc_id"] == q["doc_id"] and abs(r["score"] - q["score"]) < 1e-6 * abs(r["score"]) and r["n_known"] == q["n_known"]
     assert lm.score(empty(spark), train).isEmpty()
 
 
-def test_context_tree_weighting_equals_the_recursion(spark):
-    """Probabilities of a small text from the recursive definition, depth three, no pooling."""
-    text = b"\xff\xff\xffabracadabra\xff"
-    counts = Counter((text[i - 3 : i], text[i]) for i in range(3, len(text)))
-    grams = spark.createDataFrame([(int.from_bytes(c, "big") << 8 | b, n) for (c, b), n in counts.items()], "gram long, n long")
-    tree = lm.fit_tree(grams, contexts=1 << 20)
+def test_context_tree_weighting_equals_the_recursion(spark, monkeypatch):
+    """Scores of words from the recursive definition; words without a count change nothing."""
+    monkeypatch.setattr(lm, "BLOCK", 50)
+    words = {"abracadabra": 3, "abra": 2, "cadabracad": 1, "dab": 4, "": 5, "unseen": 0, "abrax": 0}
+    counts, spelling = Counter(), {}
+    for word, n in words.items():
+        said = b" " * 7 + (word.encode() + b" " if word else b"\xff")
+        spelling[word] = [(said[i - 7 : i], said[i]) for i in range(7, len(said))]
+        for gram in spelling[word]:
+            counts[gram] += n
+
+    def both(suffix, bits):
+        return (sum(n for (c, x), n in counts.items() if c.endswith(suffix) and format(x, "08b").startswith(bits + s)) for s in "01")
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def node(suffix, depth, bits):
-        a, b = (sum(n for (c, x), n in counts.items() if c.endswith(suffix) and format(x, "08b").startswith(bits + s)) for s in "01")
-        own = kt(a, b)
-        if depth == 3:
+    def node(suffix, bits):
+        own = kt(*both(suffix, bits))
+        if len(suffix) == 7:
             return own
-        below = sum(node(bytes([c]) + suffix, depth + 1, bits) for c in {k[0][2 - depth] for k in counts if k[0].endswith(suffix)})
+        below = sum(node(bytes([c]) + suffix, bits) for c in {k[0][6 - len(suffix)] for k in counts if k[0].endswith(suffix)})
         return np.logaddexp(own, below) - math.log(2)
 
-    def predict(suffix, depth, context, bits):
-        a, b = (sum(n for (c, x), n in counts.items() if c.endswith(suffix) and format(x, "08b").startswith(bits + s)) for s in "01")
+    def predict(context, depth, bits):
+        a, b = both(context[7 - depth :], bits)
         one = (b + 0.5) / (a + b + 1)
-        if depth == 3:
+        if depth == 7:
             return one
-        share = math.exp(kt(a, b) - math.log(2) - node(suffix, depth, bits))
-        return share * one + (1 - share) * predict(context[2 - depth :], depth + 1, context, bits)
-
-    for (context, byte), _ in counts.items():
-        p = 0.0
-        bits = format(byte, "08b")
-        for i in range(8):
-            one = predict(b"", 0, context, bits[:i])
-            p += math.log10(one if bits[i] == "1" else 1 - one)
-        assert abs(tree.table[tree.rows()[int.from_bytes(context, "big")], byte] - p) < 1e-4
+        share = math.exp(kt(a, b) - math.log(2) - node(context[7 - depth :], bits))
+        return share * one + (1 - share) * predict(context, depth + 1, bits)
+
+    table = spark.createDataFrame([(i, w, n) for i, (w, n) in enumerate(words.items())], "id long, word string, n long").repartition(3)
+    grams = lm.fit(table)
+    for head in (1, 8, 1 << 20):
+        got = {r["word"]: r["log"] for r in lm.word_scores(table, grams, head).collect()}
+        assert got.keys() == words.keys()
+        for word, steps in spelling.items():
+            want = 0.0
+            for context, byte in steps:
+                bits = format(byte, "08b")
+                for i in range(8):
+                    one = predict(context, 0, bits[:i])
+                    want += math.log10(one if bits[i] == "1" else 1 - one)
+            assert abs(got[word] - want) < 1e-6
 
 
 def test_water_filling_by_hand(spark):
