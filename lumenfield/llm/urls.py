@@ -60,14 +60,20 @@ def host_edges(links: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank from ``seeds(host, start)``; the mass a round loses at hosts without an edge returns to the seeds."""
-    rank = seeds.select("host", F.col("start").alias("rank"))
+    """(host, rank): personalised PageRank from ``seeds(host, start)``; the mass a round loses at hosts without an edge returns to the seeds.
+
+    With a column ``kind`` in seeds and edges every kind is a graph of its own, and all go through the rounds together.
+    """
+    kinds = [c for c in ("kind",) if c in seeds.columns]
+    rank = seeds.select(*kinds, "host", F.col("start").alias("rank"))
+    spread = edges.withColumnRenamed("src", "host").select(*kinds, "host", "dst", "share")
     for _ in range(rounds):
-        moved = cut(rank.join(edges, rank["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("got")))
-        kept = moved.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("kept")).first()["kept"]
-        home = seeds.select("host", (F.col("start") * (1 - kept)).alias("got"))
-        rank = cut(moved.unionByName(home).groupBy("host").agg(F.sum("got").alias("rank")))
-    return rank
+        moved = cut(rank.join(spread, [*kinds, "host"]).groupBy(*kinds, F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank")))
+        kept = {tuple(r)[:-1]: r["kept"] for r in moved.groupBy(*kinds).agg(F.sum("rank").alias("kept")).collect()}
+        left = F.lit(1.0) - (F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for (k,), v in kept.items()], F.lit(0.0)) if kinds else F.lit(kept.get((), 0.0) or 0.0))
+        # a host may have a row of each; sums are linear, so the next round adds them up
+        rank = moved.unionByName(seeds.select(*kinds, "host", (F.col("start") * left).alias("rank")))
+    return cut(rank.groupBy(*kinds, "host").agg(F.sum("rank").alias("rank")))
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[tuple[str, str, str], ...] = RULES, ratio: float = RATIO) -> DataFrame:
@@ -77,16 +83,19 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[t
     targets = located.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1))).alias("_to")).select("src", host_of(F.col("_to")).alias("dst"))
     edges = cut(host_edges(targets.unionByName(per_host.select(F.col("host").alias("src"), F.col("host").alias("dst")))))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("share").alias("n"))
-    back = back.join(back.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
+    back = cut(back.join(back.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
 
     def seeds(name: str) -> DataFrame:
         known = per_host.filter((F.col(name) > 0) & (F.col("host") != ""))
         total = known.agg(F.sum(name).alias("total")).first()["total"] or 1
         return known.select("host", (F.col(name) / F.lit(total)).alias("start"))
 
-    trust = propagate(seeds("allowed"), edges).withColumnRenamed("rank", "trust")
-    distrust = propagate(seeds("blocked"), back).withColumnRenamed("rank", "distrust")
-    scored = per_host.select("host").join(trust, "host", "left").join(distrust, "host", "left").fillna(0.0, ["trust", "distrust"])
+    both = propagate(
+        seeds("allowed").withColumn("kind", F.lit("trust")).unionByName(seeds("blocked").withColumn("kind", F.lit("distrust"))),
+        edges.withColumn("kind", F.lit("trust")).unionByName(back.withColumn("kind", F.lit("distrust"))),
+    )
+    ranks = both.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank"))).alias(k) for k in ("trust", "distrust")])
+    scored = per_host.select("host").join(ranks, "host", "left").fillna(0.0, ["trust", "distrust"])
     verdict = F.coalesce("rule_verdict", F.when(F.col("distrust") > F.col("trust") * ratio, F.lit("block")).otherwise(F.lit("allow")))
     return located.drop(html).join(scored, "host", "left").withColumn("verdict", verdict).drop("rule_verdict")
 
