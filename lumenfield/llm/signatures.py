@@ -3,7 +3,9 @@
 Every document is the set of its distinct n-word shingles. Equal sets are one class from
 the start. Documents that can reach the threshold share one of the first few shingles of
 their sets in a common order, rarest kinds first (shingle counts in ``CELLS`` hashed cells,
-over all documents); the classes that share such a shingle form a group. Inside a group
+over all documents); the classes that share such a shingle form a group. A pair's first
+common shingle bounds its overlap by what follows in both sets, so a class stays in a group
+only with another one whose size this allows. Inside a group
 a signature tree holds, per node, the OR of its members' bitmaps and the range of their
 sizes; two trees are walked together and a pair of nodes is left once the largest overlap
 that their bitmaps and sizes allow is too small. What remains is verified exactly on the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.llm.texts import groups, mix, shingle_sets, word_slices
@@ -92,6 +94,23 @@ def sets_of(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np
     return seen.filter("cell is null").select(key, "n", "name", "bits"), level
 
 
+def with_partner(token: np.ndarray, name: np.ndarray, n: np.ndarray, most: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (token, name) that have another one of the same token whose size lies between ``threshold`` percent of ``n`` and ``most``."""
+    group = np.cumsum(np.concatenate([[0], (token[1:] != token[:-1]).astype(np.int64)]))
+    order = np.lexsort((n, group))
+    at = group[order] << 32
+    n, most = n[order], most[order]
+    while len(order):
+        sizes = at | n
+        found = np.searchsorted(sizes, at | most, "right") - np.searchsorted(sizes, at | (threshold * n + 99) // 100) - (n <= most)
+        keep = found > 0
+        if keep.all():
+            break
+        order, at, n, most = order[keep], at[keep], n[keep], most[keep]
+    order = np.sort(order)
+    return token[order], name[order]
+
+
 def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: int) -> DataFrame:
     """(group, name): classes that share a shingle among the first of their sets, groups of equal members once per task."""
 
@@ -99,28 +118,34 @@ def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: in
         done: set[int] = set()
         for batch in batches:
             for _, _, w in word_slices(batch, text):
-                tokens, owner = [], []
+                tokens, owner, spans = [], [], []
                 for part in shingle_sets(w, k):
                     if len(part) and (name := digest(part)) not in done:
                         done.add(name)
                         order = level[(part >> U64(47)).astype(np.int64)] << U64(58) | part >> U64(6)
                         m = len(part) - (threshold * len(part) + 99) // 100 + 1
-                        tokens.append(np.partition(order, m - 1)[:m])
+                        token = np.sort(np.partition(order, m - 1)[:m])
+                        after = len(part) - np.searchsorted(token, token)
+                        tokens.append(token)
                         owner.append(np.full(m, name, np.int64))
+                        spans.append(len(part) << 32 | after * (100 + threshold) // threshold - len(part))
                 if len(done) > 1_000_000:
                     done.clear()
                 if tokens:
-                    yield pa.RecordBatch.from_pydict({"token": signed(np.concatenate(tokens)), "name": np.concatenate(owner)})
+                    yield pa.RecordBatch.from_pydict({"token": signed(np.concatenate(tokens)), "name": np.concatenate(owner), "span": np.concatenate(spans)})
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_t, rest_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        rest_t = rest_n = rest_s = np.zeros(0, np.int64)
         open_token: int | None = None
         done: set[int] = set()
 
-        def closed(token: np.ndarray, name: np.ndarray) -> pa.RecordBatch | None:
+        def closed(token: np.ndarray, name: np.ndarray, span: np.ndarray) -> pa.RecordBatch | None:
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])
-            token, name = token[new], name[new]
+            token, name, span = token[new], name[new], span[new]
+            token, name = with_partner(token, name, span >> 32, span & 0xFFFFFFFF, threshold)
+            if not len(token):
+                return None
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.append(first, len(token)))
             if not (size > 1).any():
@@ -138,30 +163,30 @@ def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: in
             return pa.RecordBatch.from_pydict({"group": np.repeat(label, size)[pick], "name": name[pick]}) if pick.any() else None
 
         for batch in batches:
-            token, name = (np.asarray(batch.column(c)) for c in ("token", "name"))
+            token, name, span = (np.asarray(batch.column(c)) for c in ("token", "name", "span"))
             if open_token is not None:
                 mine = token == open_token
                 if mine.any():
                     yield pa.RecordBatch.from_pydict({"group": np.full(int(mine.sum()), open_token), "name": name[mine]})
-                token, name = token[~mine], name[~mine]
+                token, name, span = token[~mine], name[~mine], span[~mine]
                 if not len(token):
                     continue
                 open_token = None
-            token, name = np.concatenate([rest_t, token]), np.concatenate([rest_n, name])
+            token, name, span = np.concatenate([rest_t, token]), np.concatenate([rest_n, name]), np.concatenate([rest_s, span])
             if not len(token):
                 continue
             last = int(np.searchsorted(token, token[-1]))
-            if last and (out := closed(token[:last], name[:last])) is not None:
+            if last and (out := closed(token[:last], name[:last], span[:last])) is not None:
                 yield out
-            rest_t, rest_n = token[last:], name[last:]
+            rest_t, rest_n, rest_s = token[last:], name[last:], span[last:]
             if len(rest_t) > CARRY:  # a group too large to hold goes on row by row under its token
                 open_token = int(rest_t[-1])
                 yield pa.RecordBatch.from_pydict({"group": rest_t, "name": rest_n})
-                rest_t, rest_n = rest_t[:0], rest_n[:0]
-        if len(rest_t) and (out := closed(rest_t, rest_n)) is not None:
+                rest_t = rest_n = rest_s = rest_t[:0]
+        if len(rest_t) and (out := closed(rest_t, rest_n, rest_s)) is not None:
             yield out
 
-    first = docs.select(text).mapInArrow(firsts, "token long, name long")
+    first = docs.select(text).mapInArrow(firsts, "token long, name long, span long")
     dealt = first.repartition("token").sortWithinPartitions("token", "name")
     return cut(dealt.mapInArrow(together, "group long, name long").distinct())
 
@@ -186,14 +211,20 @@ def possible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return near.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int, fine: bool = False) -> DataFrame:
+def place(key: str) -> Column:
+    """One of ``NEEDED`` hashed places for the rows of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(NEEDED)).cast("int")
+
+
+def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, k: int, fine: bool = False) -> DataFrame:
     """(name, n, items): the sets of the classes in ``pairs``, from the texts; or (name, n, bits) with bitmaps of ``FINE`` places a member.
 
-    Only texts whose class falls on a set bit of ``NEEDED`` hashed places give their sets to
-    the shuffle; joins drop those that are there by chance.
+    Of each class one text is read, and those whose keys share its hashed place; joins drop what
+    is there by chance.
     """
     payload = "bits" if fine else "items"
-    places = pairs.select(F.explode(F.array("a", "b")).alias("name")).select(F.pmod("name", F.lit(NEEDED)).cast("int").alias("at")).distinct().toArrow()
+    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    places = names.join(classes.select("name", "at"), "name").select("at").distinct().toArrow()
     needed = np.zeros(NEEDED, bool)
     needed[places.column("at").to_numpy()] = True
     needed = np.packbits(needed)
@@ -201,10 +232,11 @@ def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int, fine: bool =
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, done = np.unpackbits(needed).view(bool), set()
         for batch in batches:
+            batch = batch.filter(pa.array(wanted[batch.column("_at").to_numpy()]))
             for _, _, w in word_slices(batch, text):
                 names, sizes, items = [], [], []
                 for part in shingle_sets(w, k):
-                    if len(part) and wanted[(name := digest(part)) % NEEDED] and name not in done:
+                    if len(part) and (name := digest(part)) not in done:
                         done.add(name)
                         names.append(name)
                         sizes.append(len(part))
@@ -214,7 +246,8 @@ def sets_for(pairs: DataFrame, docs: DataFrame, text: str, k: int, fine: bool =
                 if names:
                     yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int64()), payload: pa.array(items, pa.binary())})
 
-    return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(take, f"name long, n long, {payload} binary").groupBy("name", "n").agg(F.first(payload).alias(payload))
+    some = docs.filter(F.col(text).isNotNull()).select(F.col(text), place(key).alias("_at"))
+    return some.mapInArrow(take, f"name long, n long, {payload} binary").groupBy("name").agg(F.first("n").alias("n"), F.first(payload).alias(payload))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -334,13 +367,13 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """(key, n_shingles, component_id): the least key reachable by links, for every row."""
     seen, level = sets_of(docs, key, text, k)
     inside = members(docs.filter(F.col(text).isNotNull()), level, text, k, threshold)
-    classes = seen.filter("n > 0").join(inside.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = seen.filter("n > 0").join(inside.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(place(key)).alias("at"))
     classes = cut(classes)
     centre = inside.groupBy("group").agg(F.min("name").alias("a"))
     # one link a class will do here, with the centre of most of its groups: what is left in several components goes through the trees
     stars = inside.join(centre, "group").filter("name <> a").groupBy(F.col("name").alias("b"), "a").agg(F.count("*").alias("c"))
     stars = cut(possible(stars.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b"), classes, threshold))
-    links = cut(verified(stars, sets_for(stars, docs, text, k), threshold))
+    links = cut(verified(stars, sets_for(stars, classes, docs, key, text, k), threshold))
 
     def rooted(found: DataFrame) -> DataFrame:
         return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
@@ -354,10 +387,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
         pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes.select("name", "n"), "name"), classes, threshold, want))
         if fine is None:
             # the first round's pairs hold every class that any later pair holds
-            fine = cut(sets_for(pairs, docs, text, k, fine=True))
+            fine = cut(sets_for(pairs, classes, docs, key, text, k, fine=True))
             inside = cut(inside.join(fine.select("name"), "name", "left_semi"))
         pairs = cut(possible(pairs, fine, threshold))
-        more = cut(verified(pairs, sets_for(pairs, docs, text, k), threshold))
+        more = cut(verified(pairs, sets_for(pairs, classes, docs, key, text, k), threshold))
         links = links.unionByName(more)
     final = rooted(links) if not more.isEmpty() else roots
     least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(final, "name", "left").withColumn("root", F.coalesce("root", "name"))
