@@ -24,6 +24,7 @@ are compared by 64-bit hashes of their shingles.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ from lumenfield.session import cut
 
 SHINGLE = 4
 THRESHOLD = 85
-CELLS = 1 << 17
-CELL = 512
+CELLS = 1 << 22
+BLOCK = 1 << 16
+CELL = 2048
 LEAF = 8
 CARRY = 1 << 20
 NEEDED = 1 << 23
@@ -55,6 +57,10 @@ def digest(part: np.ndarray) -> int:
     return int(signed(mix(np.array([mix(part).sum(dtype=U64) + U64(len(part))], U64)))[0])
 
 
+def cell_of(part: np.ndarray) -> np.ndarray:
+    return (part >> U64(65 - CELLS.bit_length())).astype(np.int64)
+
+
 def bitmap(part: np.ndarray, places: int = 4) -> bytes:
     """One bit per member, in a power of two of at least so many places a member and 64."""
     width = 1 << max(6, (places * len(part) - 1).bit_length())
@@ -69,29 +75,54 @@ def least_overlap(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(key, n, name, bits) of every row, and the class of each hashed cell: 0 for usual counts, more for frequent ones."""
+    """(key, n, name, bits) of every row, and the class of each hashed cell: 0 for usual counts, more for frequent ones.
+
+    A task gives its counts as one row a block of ``BLOCK`` cells; the blocks are summed in tasks
+    and only a byte a cell comes to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        names = [key, "n", "name", "bits", "cell", "count"]
+        cells = np.zeros(CELLS, np.uint32)
+        names = [key, "n", "name", "bits", "block", "counts"]
         kind = None
         for batch in batches:
             kind = batch.schema.field(key).type
             for low, high, w in word_slices(batch, text):
                 sets = shingle_sets(w, k)
-                cells += np.bincount((np.concatenate(sets) >> U64(47)).astype(np.int64), minlength=CELLS)
+                np.add.at(cells, cell_of(np.concatenate(sets)), 1)
                 m = high - low
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
-        some = np.flatnonzero(cells)
-        if kind is not None and len(some):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), kind), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some.astype(np.int32)), pa.array(cells[some])], names)
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(low, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        blocks = [(i, c.astype(np.min_scalar_type(c.max())).tobytes()) for i, c in enumerate(cells.reshape(-1, BLOCK)) if c.any()]
+        if kind is not None and blocks:
+            m = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(c, 1) for _, c in blocks], pa.binary())], names)
 
-    seen = cut(docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, name long, bits binary, cell int, count long"))
-    counts = np.zeros(CELLS)
-    rows = seen.filter("cell is not null").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
-    counts[rows.column("cell").to_numpy()] = rows.column("count").to_numpy()
-    level = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1.0), 1.0))).astype(np.uint64)
-    return seen.filter("cell is null").select(key, "n", "name", "bits"), level
+    seen = cut(docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, name long, bits binary, block int, counts binary"))
+    mean = max((seen.agg(F.sum("n")).first()[0] or 0) / CELLS, 1.0)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, np.zeros(BLOCK)
+
+        def done() -> pa.RecordBatch:
+            level = np.floor(np.log2(np.maximum(total / mean, 1.0))).astype(np.uint8)
+            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
+
+        for batch in batches:
+            for at, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                if at != block:
+                    if block is not None:
+                        yield done()
+                    block, total = at, np.zeros(BLOCK)
+                counts = zlib.decompress(counts)
+                total += np.frombuffer(counts, f"u{len(counts) // BLOCK}")
+        if block is not None:
+            yield done()
+
+    level = np.zeros((CELLS // BLOCK, BLOCK), np.uint8)
+    rows = seen.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(summed, "block int, level binary").collect()
+    for row in rows:
+        level[row.block] = np.frombuffer(row.level, np.uint8)
+    return seen.filter("block is null").select(key, "n", "name", "bits"), level.ravel()
 
 
 def with_partner(token: np.ndarray, name: np.ndarray, n: np.ndarray, most: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +153,7 @@ def members(docs: DataFrame, level: np.ndarray, text: str, k: int, threshold: in
                 for part in shingle_sets(w, k):
                     if len(part) and (name := digest(part)) not in done:
                         done.add(name)
-                        order = level[(part >> U64(47)).astype(np.int64)] << U64(58) | part >> U64(6)
+                        order = level[cell_of(part)].astype(U64) << U64(58) | part >> U64(6)
                         m = len(part) - (threshold * len(part) + 99) // 100 + 1
                         token = np.sort(np.partition(order, m - 1)[:m])
                         after = len(part) - np.searchsorted(token, token)
