@@ -4,20 +4,19 @@ The model reads a text as its tokens are spelled: the bytes of each word (A-Z lo
 and one space, at last one end sign. A byte is eight binary decisions; each decision has,
 for the contexts of 0 to ``DEPTH`` bytes before it, Krichevsky-Trofimov estimates from the
 training texts. Context-tree weighting mixes the estimates of all depths: a node's weighted
-probability is half its own estimate and half the product of its children's. A context
-begins at the start of its word, so all counts follow from the counts of the words and a
-word has one score wherever it stands; no context is left out, however rare.
+probability is half its own estimate and half the product of its children's. Contexts run
+on across the spaces between words; only before the first word are they filled with spaces.
+No context is left out, however rare.
 
 The tree is a table. A node is a long: the bytes of its context, the latest first, and the
 number of the decision. Weights climb from the deepest contexts to the root, and
 predictions descend again, by stages that are dealt by the first bytes of the context; a
-group holds the distinct contexts of a few more bytes, not their occurrences. Words of all
+group holds the distinct contexts of a few more bytes, not their occurrences. Grams of all
 texts take part, those of other texts with a count of 0, which leaves all weights as they
-are and gives every word its score.
+are and gives every text its score.
 
-Spellings that stand in at least 1/``HEAD`` of the places of all distinct words, and words
-that hold at least 1/``HEAD`` of all tokens, are at most ``HEAD`` and go to every task; the
-rest is joined.
+The grams (a byte and its context) of most places, and words that hold at least 1/``HEAD``
+of all tokens, are at most ``HEAD`` and go to every task; the rest is joined.
 
 Null texts count as empty: one token, the end. Repeated ids are scored row by row. An empty
 table gives no rows; without training rows the counts are 0 and all bytes equally likely.
@@ -26,7 +25,7 @@ table gives no rows; without training rows the counts are 0 and all bytes equall
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,65 +41,67 @@ STAGES = ((7, 4), (4, 2), (2, 1))
 HEAD = 1 << 20
 FLUSH = 200_000
 BLOCK = 1 << 19
+FOLD = 3 << 20
+SENT = 1 << 16
 U64 = np.uint64
 ROWS = "code long, x double, y double, z double, kind int"
+Spell = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, word): each byte of some words below its context of ``DEPTH`` bytes, the latest on top; an empty word is the end."""
-    sizes = np.diff(offsets)
-    begins = np.cumsum(sizes + DEPTH + 1) - sizes - 1
-    out = np.full(int(sizes.sum()) + (DEPTH + 1) * len(sizes), 32, U64)
-    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out[within + np.repeat(begins, sizes)] = data[offsets[0] : offsets[-1]]
-    out[begins[sizes == 0]] = 255
-    word = np.repeat(np.arange(len(sizes)), sizes + 1)
-    at = np.arange(len(word)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1) + np.repeat(begins, sizes + 1)
+def grams_of(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, unit): each byte of some units below its context of ``DEPTH`` bytes, the latest on top; before a unit are spaces."""
+    blank = b" " * DEPTH
+    out = np.frombuffer(b"".join([x for unit in units for x in (blank, unit)]), np.uint8).astype(U64)
+    sizes = np.array([len(unit) for unit in units], np.int64)
+    unit = np.repeat(np.arange(len(units)), sizes)
+    at = np.arange(len(unit)) + DEPTH * (unit + 1)
     gram = out[at]
     for back in range(1, DEPTH + 1):
         gram |= out[at - back] << U64(64 - 8 * back)
-    return gram, word
+    return gram, unit
+
+
+def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of single words, each with a space behind it; an empty word is the end."""
+    places = offsets.tolist()
+    return grams_of([data[a:b].tobytes() + b" " if a < b else b"\xff" for a, b in zip(places, places[1:])])
+
 
+def running(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of whole texts: all words, each with a space behind it, and the end."""
+    places = offsets.tolist()
+    return grams_of([b" ".join([*LOWER[data[a:b]].tobytes().split(), b"\xff"]) for a, b in zip(places, places[1:])])
 
-def vocabulary(docs: DataFrame, train: Column, text: str = "text") -> DataFrame:
-    """(id, word, n): all words (``''`` is the end) with their counts in the texts that fit ``train``."""
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): the words (``''`` is the end) of some texts and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
-        others: set[bytes] = set()
 
         def said() -> pa.RecordBatch:
-            rest = list(others.difference(tally))
-            return pa.RecordBatch.from_pydict({"word": pa.array([*tally, *rest], pa.binary()).cast(pa.string()), "n": pa.array([*tally.values(), *[0] * len(rest)], pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array([*tally], pa.binary()).cast(pa.string()), "n": pa.array([*tally.values()], pa.int64())})
 
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            learn = batch.column("learn").to_pylist()
+            data, offsets = flat(batch.column(text))
             for low, high in cuts(offsets):
                 for i in range(low, high):
-                    words = LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split()
-                    if learn[i]:
-                        tally.update(words)
-                        tally[b""] += 1
-                    else:
-                        others.update(words)
-                        others.add(b"")
-                if len(tally) + len(others) > FLUSH:
+                    tally.update(LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split())
+                    tally[b""] += 1
+                if len(tally) > FLUSH:
                     yield said()
                     tally.clear()
-                    others.clear()
-        if tally or others:
+        if tally:
             yield said()
 
-    counted = docs.select(F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("learn")).mapInArrow(run, "word string, n long")
-    return stored(counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.monotonically_increasing_id().alias("id"), "word", "n"), "words")
+    return stored(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -112,9 +113,12 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 def settle(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log weighted probability, share of the own estimate, estimate of a one) of decisions; ``below`` is None at the leaves."""
     past = np.zeros(len(zeros))
-    some = zeros + ones > 0
-    a, b = zeros[some], ones[some]
-    past[some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+    # in short pieces, whose passing arrays stay small
+    for low in range(0, len(past), SENT):
+        a, b = zeros[low : low + SENT], ones[low : low + SENT]
+        some = a + b > 0
+        a, b = a[some], b[some]
+        past[low : low + SENT][some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
     one = (ones + 0.5) / (zeros + ones + 1)
     if below is None:
         return past, np.ones(len(past)), one
@@ -212,19 +216,39 @@ def descend(rows: DataFrame, above: DataFrame, high: int, low: int) -> DataFrame
     return stored(dealt(rows.unionByName(above), low).mapInArrow(run, ROWS), "said")
 
 
-def fit(words: DataFrame) -> DataFrame:
-    """(gram, log10 probability, places among distinct words) of every gram of ``words(word, n)``."""
+def fit(units: DataFrame, spell: Spell = spelled, text: str = "word") -> DataFrame:
+    """(gram, log10 probability, places in all units) of every gram of ``units``; column ``n`` is what a unit counts in training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def fold() -> None:
+            code, x, y = (np.concatenate(c) for c in zip(*held))
+            code, place = np.unique(code, return_inverse=True)
+            held[:] = [(code, np.bincount(place, x, len(code)), np.bincount(place, y, len(code)))]
+
+        def said() -> Iterator[pa.RecordBatch]:
+            code, x, y = held.pop()
+            rows = said_rows(code, x, y, np.zeros(len(code)), 0)
+            yield from (rows.slice(at, SENT) for at in range(0, len(code), SENT))
+
         for batch in batches:
-            data, offsets = flat(batch.column("word"))
+            data, offsets = flat(batch.column(text))
             n = batch.column("n").to_numpy()
             for low, high in cuts(offsets):
-                gram, word = spelled(data, offsets[low : high + 1])
+                gram, unit = spell(data, offsets[low : high + 1])
                 code, place = np.unique(gram, return_inverse=True)
-                yield said_rows(code, np.bincount(place, n[low:high][word], len(code)), np.bincount(place, minlength=len(code)).astype(float), np.zeros(len(code)), 0)
-
-    grams = words.select("word", "n").mapInArrow(run, ROWS).groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+                held.append((code, np.bincount(place, n[low:high][unit], len(code)), np.bincount(place, minlength=len(code)).astype(float)))
+                if sum(len(h[0]) for h in held) > FOLD:
+                    fold()
+                    if len(held[0][0]) > FOLD // 2:
+                        yield from said()
+        if held:
+            fold()
+            yield from said()
+
+    spark = units.sparkSession
+    grams = units.select(text, "n").mapInArrow(run, ROWS).groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     rows = [stored(grams.select("code", "x", "y", F.lit(0.0).alias("z"), F.lit(0).alias("kind")), "grams")]
     for high, low in STAGES:
         rows.append(climb(rows[-1], high, low))
@@ -234,69 +258,88 @@ def fit(words: DataFrame) -> DataFrame:
     _, zeros, ones, below, steps = rise(code.view(U64), x, y, z, 1, 0)
     _, own, one = settle(zeros, ones, below)
     said, left = fall(own * one, 1 - own, steps)
-    above = words.sparkSession.createDataFrame(pa.Table.from_batches([said_rows(code.view(U64), said, left, np.zeros(len(code)), 1)]), ROWS)
+    above = spark.createDataFrame(pa.Table.from_batches([said_rows(code.view(U64), said, left, np.zeros(len(code)), 1)]), ROWS)
     for high, low in reversed(STAGES):
         above = descend(rows.pop(), above, high, low)
     return above.select(F.col("code").alias("gram"), F.col("x").alias("log"), F.col("y").alias("places"))
 
 
-def word_scores(words: DataFrame, grams: DataFrame, head: int = HEAD) -> DataFrame:
-    """(word, n, log): the log10 probability of every word by its grams."""
-    places = grams.agg(F.sum("places").alias("places")).first()["places"] or 0
-    often = F.col("places") * head >= places
+def often_from(grams: DataFrame, head: int) -> int:
+    """The least number of places from which on there are at most ``head`` grams; counted by powers of two in 16 steps."""
+    step = F.floor(F.log2("places") * 16)
+    sizes = sorted(((r["step"], r["count"]) for r in grams.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least = None
+    for at, count in sizes:
+        head -= count
+        if head < 0:
+            break
+        least = at
+    return least
+
+
+def unit_scores(units: DataFrame, grams: DataFrame, head: int = HEAD, spell: Spell = spelled, text: str = "word") -> DataFrame:
+    """(id, log): the log10 probability of every unit by its grams."""
+    least = often_from(grams, head)
+    often = F.floor(F.log2("places") * 16) >= least if least is not None else F.lit(False)
     frequent = grams.filter(often).select("gram", "log").toArrow()
     gram, log = frequent.column("gram").to_numpy().view(U64), frequent.column("log").to_numpy()
-    shared = words.sparkSession.sparkContext.broadcast((np.sort(gram), log[np.argsort(gram)]))
+    shared = units.sparkSession.sparkContext.broadcast((np.sort(gram), log[np.argsort(gram)]))
+    names = ["id", "gram", "tail", "times", "own"]
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value
         for batch in batches:
-            data, offsets = flat(batch.column("word"))
+            data, offsets = flat(batch.column(text))
+            ids = batch.column("id").to_numpy()
             for low, high in cuts(offsets):
-                gram, word = spelled(data, offsets[low : high + 1])
+                gram, unit = spell(data, offsets[low : high + 1])
                 at = np.minimum(np.searchsorted(known, gram), max(len(known) - 1, 0))
                 hit = known[at] == gram if len(known) else np.zeros(len(gram), bool)
-                yield batch.slice(low, high - low), gram, word, hit, logs[at[hit]]
+                m = high - low
+                own = np.bincount(unit[hit], logs[at[hit]], m).astype(float)
+                # a unit's own row joins with nothing; its id spreads it
+                yield pa.RecordBatch.from_arrays([pa.array(ids[low:high]), pa.array(ids[low:high]), pa.array(np.zeros(m, bool)), pa.array(np.ones(m, np.int64)), pa.array(own)], names)
+                order = np.lexsort((gram[~hit], unit[~hit]))
+                gram, unit = gram[~hit][order], unit[~hit][order]
+                first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (unit[1:] != unit[:-1])])) if len(gram) else np.zeros(0, np.int64)
+                r = len(first)
+                rows = pa.RecordBatch.from_arrays([pa.array(ids[low:high][unit[first]]), pa.array(gram[first].view(np.int64)), pa.array(np.ones(r, bool)), pa.array(np.diff(np.append(first, len(gram)))), pa.array(np.zeros(r))], names)
+                yield from (rows.slice(at, SENT) for at in range(0, r, SENT))
+
+    rows = units.select("id", text).mapInArrow(run, "id long, gram long, tail boolean, times long, own double")
+    rest = grams.filter(~often).select("gram", F.lit(True).alias("tail"), "log")
+    return rows.join(rest, ["gram", "tail"], "left").groupBy("id").agg((F.sum("own") + F.coalesce(F.sum(F.col("times") * F.col("log")), F.lit(0.0))).alias("log"))
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, word, hit, logs in slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.bincount(word[hit], logs, part.num_rows).astype(float))], ["id", "word", "n", "log"])
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, gram, word, hit, _ in slices(batches):
-            order = np.lexsort((gram[~hit], word[~hit]))
-            gram, word = gram[~hit][order], word[~hit][order]
-            first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (word[1:] != word[:-1])])) if len(gram) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"id": part.column("id").to_numpy()[word[first]], "gram": gram[first].view(np.int64), "times": np.diff(np.append(first, len(gram)))})
-
-    rest = words.mapInArrow(tails, "id long, gram long, times long").join(grams.filter(~often).select("gram", "log"), "gram")
-    more = rest.groupBy("id").agg(F.sum(F.col("times") * F.col("log")).alias("more"))
-    scored = words.mapInArrow(heads, "id long, word string, n long, log double").join(more, "id", "left")
-    return stored(scored.select("word", "n", (F.col("log") + F.coalesce("more", F.lit(0.0))).alias("log")), "word_scores")
+def word_scores(words: DataFrame, grams: DataFrame, head: int = HEAD) -> DataFrame:
+    """(word, n, log): the log10 probability of every word as a unit of its own."""
+    return words.join(unit_scores(words, grams, head), "id").select("word", "n", "log")
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Scores of all rows of ``docs`` by models of the rows that fit the condition ``train``."""
     spark = docs.sparkSession
-    counted = vocabulary(docs, train, text)
-    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), key, F.coalesce(train, F.lit(False)).alias("learn"), (~train).alias("held_out"), text), "texts")
+    words = vocabulary(numbered.filter("learn"), text)
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"], size["v"]
-    words = word_scores(counted, fit(counted), head)
-    often = (F.col("n") > 0) & (F.col("n") * head >= total)
+    units = numbered.select(F.col("row").alias("id"), text, F.col("learn").cast("double").alias("n"))
+    scores = unit_scores(units, fit(units, running, text), head, running, text)
+    often = F.col("n") * head >= total
     frequent = words.filter(often).toArrow()
-    shared = spark.sparkContext.broadcast((frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy(), frequent.column("log").to_numpy()))
-    names = ["row", key, "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "word", "n"]
+    shared = spark.sparkContext.broadcast((frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy()))
+    names = ["row", key, "held_out", "n_tokens", "n_known", "logs", "n_bytes", "word", "n"]
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_words, head_counts, head_scores = shared.value
+        head_words, head_counts = shared.value
         known = {w: i for i, w in enumerate(head_words)}
         # the last place, -1, is that of words to be joined
-        counts, scores = np.append(np.log10(head_counts + 1.0), 0.0), np.append(head_scores, 0.0)
+        counts = np.append(np.log10(head_counts + 1.0), 0.0)
         for batch in batches:
             data, offsets = flat(batch.column(text))
             for low, high in cuts(offsets):
-                size, found, bytes_, base, logs = [], [], [], [], []
+                size, found, bytes_, base = [], [], [], []
                 rare_row, rare_word, rare_n = [], [], []
                 for i, (a, b) in enumerate(zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist())):
                     words = LOWER[data[a:b]].tobytes().split()
@@ -307,34 +350,31 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                     found.append(len(words) - rare.total())
                     bytes_.append(sum(map(len, words)) + len(words))
                     base.append(counts[at].sum())
-                    logs.append(scores[at].sum())
                     rare_row += [low + i] * len(rare)
                     rare_word += rare.keys()
                     rare_n += rare.values()
                 m, r = high - low, len(rare_word)
                 part = batch.slice(low, m)
-                own = [part.column("row"), part.column(key), part.column("held_out"), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(logs, pa.float64()), pa.array(bytes_, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
+                own = [part.column("row"), part.column(key), part.column("held_out"), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bytes_, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
                 yield pa.RecordBatch.from_arrays(own, names)
                 rare_at = batch.column("row").take(pa.array(rare_row, pa.int64()))
-                empty = [pa.nulls(r, x.type) for x in own[1:8]]
+                empty = [pa.nulls(r, x.type) for x in own[1:7]]
                 yield pa.RecordBatch.from_arrays([rare_at, *empty, pa.array(rare_word, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names)
 
-    schema = f"row long, `{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long, word string, n long"
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), key, (~train).alias("held_out"), text)
-    scored = numbered.mapInArrow(run, schema)
-    tail = words.filter(~often).select(F.col("word").alias("_w"), F.col("n").alias("_c"), F.col("log").alias("_log"))
+    schema = f"row long, `{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, n_bytes long, word string, n long"
+    scored = numbered.select("row", key, "held_out", text).mapInArrow(run, schema)
+    tail = words.filter(~often).select(F.col("word").alias("_w"), F.col("n").alias("_c"))
     # rows without a word join with nothing; keys of their own keep them apart
     slot = F.coalesce("word", F.concat(F.lit("\n"), F.col("row").cast("string")))
     joined = scored.join(tail, slot == F.col("_w"), "left")
     sums = joined.groupBy("row").agg(
-        F.max(F.struct(F.col("held_out").isNotNull().alias("own"), key, "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes")).alias("own"),
+        F.max(F.struct(F.col("held_out").isNotNull().alias("own"), key, "held_out", "n_tokens", "n_known", "logs", "n_bytes")).alias("own"),
         F.sum(F.when(F.col("_c") > 0, F.col("n"))).alias("more"),
         F.sum(F.col("n") * F.log10(F.col("_c") + 1)).alias("more_logs"),
-        F.sum(F.col("n") * F.col("_log")).alias("more_score"),
     )
     base = F.col("own.logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("own.n_tokens") * float(np.log10(total + distinct + 1))
-    model = F.col("own.score") + F.coalesce("more_score", F.lit(0.0))
-    return sums.select(
+    model = F.col("log")
+    return sums.join(scores.withColumnRenamed("id", "row"), "row").select(
         f"own.{key}", "own.held_out", "own.n_tokens", (F.col("own.n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"),
         (-model * float(np.log2(10)) / F.col("own.n_bytes")).alias("bits_per_byte"),

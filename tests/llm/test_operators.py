@@ -230,6 +230,19 @@ def test_context_tree_weighting_equals_the_recursion(spark, monkeypatch):
             assert abs(got[word] - want) < 1e-6
 
 
+def test_lm_contexts_run_across_words(spark):
+    """The same words in the order of the training texts cost less than in another order."""
+    learned = [(i, "red fox ran far red fox ran far") for i in range(40)] + [(100 + i, "far ran fox red") for i in range(2)]
+    asked = [(1000, "red fox ran far"), (1001, "ran red far fox")]
+    docs = spark.createDataFrame(learned + asked, "doc_id long, text string")
+    for head in (1, 1 << 20):
+        got = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") < 1000, head=head).collect()}
+        assert got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+        assert got[1000]["score"] > got[1001]["score"] + 2
+    gram, row = lm.running(np.frombuffer(b"A \n b", np.uint8), np.array([0, 5, 5]))
+    assert [int(g).to_bytes(8, "big") for g in gram] == [b"       a", b"a       ", b" a     b", b"b a     ", b" b a   \xff", b"       \xff"] and row.tolist() == [0] * 5 + [1]
+
+
 def test_water_filling_by_hand(spark):
     rows = spark.createDataFrame([("a", 3.0, 10), ("b", 1.0, 100), ("c", 2.0, 20), ("d", 1.0, 0)], "source string, weight double, source_size long")
     got = {r["source"]: r["target"] for r in mixing.water_fill(rows).collect()}
