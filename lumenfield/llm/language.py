@@ -4,10 +4,12 @@ Byte n-grams of the text (ASCII lower-cased, other ASCII signs as blanks) are ha
 ``DIMS`` features, weighted by TF-IDF and normalised. Every language has several centroids,
 clustered from a bounded sample of its labelled rows; a text gets the language of the
 nearest centroid by cosine. It is rejected if that cosine is below the language's own
-limit (``REJECT`` times the least cosine of its sample), or if it holds no letter.
+limit (``REJECT`` times the cosine that a share of ``LOW`` of its sample falls below), or if
+it holds no letter.
 
-Document frequencies come from all training rows. The sample of a language holds at most
-``FIT_ROWS`` rows, those of smallest hash. Null, empty or letterless texts give ``und``
+Only labelled rows with a letter and at least two bytes (an n-gram) are training rows. Document
+frequencies come from all of them. The sample of a language holds at most ``FIT_ROWS`` rows,
+those of smallest hash. Null, empty or letterless texts give ``und``
 with score 0; an empty table gives an empty result; without any training row every text
 is ``und``. Ties between centroids go to the language first by code point.
 """
@@ -30,6 +32,7 @@ DIMS = 4096
 FIT_ROWS = 600
 CLUSTERS = 4
 REJECT = 0.5
+LOW = 0.05
 BLOCK = 256
 SIGNS = LOWER.copy()
 SIGNS[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -68,10 +71,14 @@ def blocks(column: pa.Array, dims: int) -> Iterator[tuple[int, int, np.ndarray]]
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; the first centres are chosen farthest from each other, in row order."""
+    """Spherical k-means; the first centres are chosen farthest from each other, in row order, and none twice."""
     centres = [x.mean(axis=0)]
     for _ in range(min(k, len(x)) - 1):
-        centres.append(x[int(np.argmin((x @ np.stack(centres).T).max(axis=1)))])
+        near = (x @ np.stack(centres).T).max(axis=1)
+        far = int(np.argmin(near))
+        if near[far] > 1 - 1e-6:
+            break
+        centres.append(x[far])
     c = np.stack(centres)
     for _ in range(rounds):
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
@@ -97,8 +104,9 @@ class Model:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", dims: int = DIMS, fit_rows: int = FIT_ROWS, clusters: int = CLUSTERS, reject: float = REJECT) -> Model:
-    """Learn from all rows of ``docs`` with a language; the centroids from at most ``fit_rows`` rows each."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """Learn from all rows of ``docs`` with a language and a letter; the centroids from at most ``fit_rows`` rows each."""
+    some = F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) > 1)
+    rows = docs.filter(some).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(dims, np.int64), 0
@@ -123,7 +131,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         part = part.sort_values("place")
         x = np.concatenate([vectors(c, idf) for _, _, c in blocks(pa.array(part["text"], pa.string()), dims)])
         c = cluster(x, clusters)
-        limit = reject * float((x @ c.T).max(axis=1).min())
+        limit = reject * float(np.quantile((x @ c.T).max(axis=1), LOW))
         return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [v.astype(np.float32).tobytes() for v in c], "limit": limit})
 
     model = sorted(sample.groupBy("lang").applyInPandas(centres, "lang string, centre binary, limit double").collect(), key=lambda r: (r["lang"], r["centre"]))

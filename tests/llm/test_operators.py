@@ -69,6 +69,20 @@ def test_language_learns_and_rejects(spark):
     assert [r["rejected"] for r in odd] == [True] * 3 and [r["lang_pred"] for r in odd[1:]] == ["und"] * 2 and odd[2]["score"] == 0
 
 
+def test_language_rejects_despite_empty_labelled_rows(spark):
+    rng = random.Random(2)
+    one, two = (["".join(rng.choice(letters) for _ in range(5)) for _ in range(50)] for letters in ("abcdef", "uvwxyz"))
+    rows = [(i, " ".join(rng.choice(one if i % 2 else two) for _ in range(40)), "one" if i % 2 else "two") for i in range(80)]
+    odd = spark.createDataFrame([(1, "執" * 30), (2, "QQQQ JJJJ QQQQ")], "doc_id long, text string")
+    for lone in ("", "7", "12 !", "a"):
+        model = language.fit(spark.createDataFrame([*rows, (90, lone, "one"), (91, lone, "two")], "doc_id long, text string, lang string"))
+        assert (model.limits > 0.1).all() and model.langs == ["one"] * 4 + ["two"] * 4
+        assert all(len({c.tobytes() for c in part}) == 4 and np.allclose(np.linalg.norm(part, axis=1), 1, atol=1e-4) for part in (model.centroids[:4], model.centroids[4:]))
+        assert all(r["rejected"] for r in language.identify(odd, model).collect())
+    same = np.full((5, 4), 0.5)
+    assert len(language.cluster(same, 4)) == 1
+
+
 def test_language_on_awkward_tables(spark, table):
     docs, rows = table
     out = language.stage(spark, docs, "")
