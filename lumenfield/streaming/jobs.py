@@ -11,10 +11,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfield.functions.scalars import fingerprint
 from lumenfield.operators.review import latest
 
+#: folders of published fingerprints in a micro-batch
+BUCKETS = 64
+
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -48,25 +52,30 @@ def stream_projection(planes: DataFrame, keys: Sequence[str], folder: str, check
 def stream_new_fields(
     feed: DataFrame, parts: Sequence[str], time: str, delay: str, folder: str, checkpoint: str
 ) -> DataFrame:
-    """Publish each field fingerprint once; the watermark bounds the state kept for duplicates.
+    """Publish each field fingerprint once, however late it comes; no state is kept, so ``delay`` bounds nothing.
 
-    Repeats later than the watermark are caught by the anti-join with what is published.
+    A micro-batch is freed of its own repeats and of what is published; it reads only the
+    buckets of fingerprints that it holds.
     """
     spark = feed.sparkSession
     marked = feed.withColumns({"fingerprint": fingerprint(*[F.col(p) for p in parts]), time: F.col(time).cast("timestamp")})
-    fresh = marked.withWatermark(time, delay).dropDuplicatesWithinWatermark(["fingerprint"]).select("fingerprint", *parts)
-    schema = fresh.schema
+    fresh = marked.select("fingerprint", *parts)
+    schema = T.StructType([*fresh.schema, T.StructField("batch", T.IntegerType()), T.StructField("_bucket", T.IntegerType())])
 
     def publish(batch: DataFrame, number: int) -> None:
-        todo = batch.dropDuplicates(["fingerprint"])
+        bucket = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int") % BUCKETS
+        todo = batch.dropDuplicates(["fingerprint"]).withColumn("_bucket", bucket).persist()
+        fresh_rows = todo
         if number:
+            own = [r["_bucket"] for r in todo.select("_bucket").distinct().collect()]
             published = spark.read.schema(schema).parquet(folder)
-            done = published.filter(F.col("batch") < number).select("fingerprint")
-            todo = todo.join(done, "fingerprint", "left_anti")
-        todo.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            done = published.filter((F.col("batch") < number) & F.col("_bucket").isin(own)).select("fingerprint")
+            fresh_rows = todo.join(done, "fingerprint", "left_anti")
+        fresh_rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/batch={number}")
+        todo.unpersist()
 
     run_available(fresh, publish, checkpoint, "append")
-    return read_batches(spark, folder, schema)
+    return read_batches(spark, folder, schema).drop("_bucket")
 
 
 def stream_latest(feed: DataFrame, keys: Sequence[str], order: str, folder: str, checkpoint: str) -> DataFrame:

@@ -139,6 +139,16 @@ def test_stream_publishes_each_field_once(spark, tmp_path):
     assert sorted(r.field for r in got.collect()) == list(range(6))
 
 
+def test_stream_publishes_a_new_field_however_late(spark, tmp_path):
+    days = [("2024-01-05", [1, 2]), ("2024-01-06", [2, 3]), ("2024-01-01", [1, 9]), ("2024-01-07", [1, 3])]
+    for i, (day, fields) in enumerate(days):
+        rows = [(k, f"{day} 00:00:00") for k in fields]
+        spark.createDataFrame(rows, "field int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("field int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = jobs.stream_new_fields(stream, ["field"], "ts", "10 minutes", str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert got.columns == ["fingerprint", "field"] and sorted(r.field for r in got.collect()) == [1, 2, 3, 9]
+
+
 def test_whole_run_with_and_without_signal(spark, tmp_path):
     shape = (140, 150)
     green = sum(90 * np.exp(-((np.mgrid[:140, :150][0] - y) ** 2 + (np.mgrid[:140, :150][1] - x) ** 2) / 18) for y, x in ((70, 60), (70, 100)))
