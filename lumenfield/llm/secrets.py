@@ -4,14 +4,16 @@ Three patterns give the base spans. The values they hold are labelled credential
 kind, at most ``FIT_VALUES`` distinct values of up to ``FIT_LENGTH`` signs (those of smallest
 hash) form a prefix tree, whose states are merged where their outgoing frequencies agree
 within a Hoeffding bound (red and blue states), which leaves a probabilistic automaton per
-kind. Every other run of ``RUN`` or more key signs with a digit and a letter in it is a
-candidate; it is a secret if some automaton gives it a likelihood per sign no lower than
-that of the least likely value it was learned from, less ``MARGIN`` bits.
+kind. What base spans leave of the runs of key signs is a candidate if it holds ``LEAST``
+signs, a digit and a letter. In it, every stretch with a digit and a letter that begins and
+ends beside a separator (or the candidate's end) is read; it is a secret if some automaton
+gives it a likelihood per sign no lower than that of the least likely value it was learned
+from, less ``MARGIN`` bits, and it has ``RUN`` signs or as many as the shortest of those
+values. From left to right, the longest such stretch of each begin is taken.
 
 Null texts count as empty. Texts without hits have zero counts, empty strings for spans and
 the digest of the empty string. Without labelled values there are no learned spans.
-Overlapping base spans of different kinds all stay; candidates that touch a base span are
-left out.
+Overlapping base spans of different kinds all stay.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-RUN, HEX_RUN = 16, 24
+RUN, HEX_RUN, LEAST = 16, 24, 6
 FIT_VALUES = 150
 FIT_LENGTH = 64
 ALPHA = 0.05
@@ -41,7 +43,9 @@ MARGIN = 0.25
 
 SIGN = np.zeros(256, np.uint8)
 SIGN[[ord(c) for c in "0123456789abcdef"]] |= 1
-SIGN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] |= 2
+SIGN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"]] |= 2
+SIGN[[ord(c) for c in "0123456789"]] |= 4
+SIGN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] |= 8
 #: sizes of the sign classes an automaton reads; any other sign is a class of its own
 SIZES = {"d": 10, "h": 6, "l": 20, "H": 6, "U": 20}
 
@@ -56,6 +60,21 @@ def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return low[long], high[long]
 
 
+def mixed(value: str) -> bool:
+    return bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+
+
+def rest(span: Span, base: list[Span]) -> list[Span]:
+    """What ``base`` spans, sorted by begin, leave of a span."""
+    kind, low, high, value = span
+    out, at = [], low
+    for _, a, b, _ in [*base, ("", high, high, "")]:
+        if at < min(a, high):
+            out.append((kind, at, min(a, high), value[at - low : min(a, high) - low]))
+        at = max(at, b)
+    return out
+
+
 def scan(texts: list[str | None]) -> Iterator[tuple[int, list[Span], list[Span]]]:
     """(row, base spans, candidates) of the rows that have any; positions in code points."""
     low = 0
@@ -76,7 +95,12 @@ def scan(texts: list[str | None]) -> Iterator[tuple[int, list[Span], list[Span]]
 
         for a, b in zip(*(x.tolist() for x in runs(sign & 1, HEX_RUN))):
             add("hex", a, b)
-        for a, b in zip(*(x.tolist() for x in runs(sign & 2, RUN))):
+        a, b = runs(sign & 2, LEAST)
+        for bit in (4, 8):
+            places = np.flatnonzero(sign & bit)
+            some = np.searchsorted(places, a) < np.searchsorted(places, b)
+            a, b = a[some], b[some]
+        for a, b in zip(a.tolist(), b.tolist()):
             add("learned", a, b)
         for m in re.finditer(rb"AKIA[A-Z0-9]+", blob) if b"AKIA" in blob else ():
             if m.end() - m.start() >= 20:
@@ -98,7 +122,7 @@ def scan(texts: list[str | None]) -> Iterator[tuple[int, list[Span], list[Span]]
                 value = part[a:b].decode()
                 (more if kind == "learned" else base).append((kind, a0, a0 + b - a, value))
             base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-            free = [s for s in more if re.search("[0-9]", s[3]) and re.search("[A-Za-z]", s[3]) and not any(s[1] < e and b < s[2] for _, b, e, _ in base)]
+            free = [s for run in more for s in rest(run, base) if len(s[3]) >= LEAST and mixed(s[3])]
             if base or free:
                 yield low + row, base, free
         low = high
@@ -139,6 +163,7 @@ class Automaton:
             else:
                 self.go[parent][sign] = target
                 self._fold(target, state)
+        self.shortest = min(RUN, *map(len, values)) if values else RUN
         self.least = min((self.score(v) for v in values), default=math.inf)
 
     def _total(self, s: int) -> int:
@@ -193,6 +218,38 @@ class Automaton:
         return self.score(value) >= self.least - margin
 
 
+    def reach(self, value: str, begin: int, ends: list[bool], margin: float = MARGIN) -> int:
+        """The last of ``ends`` up to which a stretch from ``begin`` is accepted; ``begin`` if there is none."""
+        state, total, best, digit, letter = 0, 0.0, begin, False, False
+        for at, c in enumerate(classes(value[begin:]), begin + 1):
+            n = self.n[state].get(c, 0)
+            if not n:
+                break
+            total += math.log2(n / self._total(state)) - math.log2(SIZES.get(c, 1))
+            state = self.go[state][c]
+            digit, letter = digit or c == "d", letter or c in ("h", "l", "H", "U")
+            size = at - begin
+            if ends[at] and digit and letter and size >= self.shortest and self.stop[state]:
+                if (total + math.log2(self.stop[state] / self._total(state))) / size >= self.least - margin:
+                    best = at
+        return best
+
+
+def stretches(free: list[Span], models: list[Automaton]) -> list[Span]:
+    """The secrets in some candidates, from left to right, the longest of each begin."""
+    out: list[Span] = []
+    for kind, start, _, value in free:
+        word = [c.isalnum() for c in value]
+        edge = [True, *(not (a and b) for a, b in zip(word, word[1:])), True]
+        at = 0
+        while at < len(value):
+            to = max((m.reach(value, at, edge) for m in models), default=at) if edge[at] else at
+            if to > at:
+                out.append((kind, start + at, start + to, value[at:to]))
+            at = max(to, at + 1)
+    return out
+
+
 SPANS = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -223,11 +280,9 @@ def learn(found: DataFrame, fit_values: int = FIT_VALUES, fit_length: int = FIT_
 
 
 def judged(found: DataFrame, models: list[Automaton]) -> DataFrame:
-    """``found`` with ``learned``, the candidates that some automaton accepts."""
-    accept = F.udf(lambda values: [any(m.accepts(v) for m in models) for v in values], "array<boolean>")
-    some = found.withColumn("_ok", F.when(F.size("free") > 0, accept(F.col("free.value"))))
-    picked = F.filter(F.arrays_zip("free", "_ok"), lambda x: x["_ok"])
-    return some.withColumn("learned", F.when(F.size("free") > 0, F.transform(picked, lambda x: x["free"])).otherwise(F.expr("slice(free, 1, 0)"))).drop("_ok")
+    """``found`` with ``learned``, the stretches of the candidates that some automaton accepts."""
+    accept = F.udf(lambda free: stretches(free, models), SPANS)
+    return found.withColumn("learned", F.when(F.size("free") > 0, accept("free")).otherwise(F.expr("slice(free, 1, 0)")))
 
 
 def listed(spans):
@@ -253,7 +308,7 @@ def redact(docs: DataFrame, models: list[Automaton], text: str = "text", length:
             texts = batch.column(text).to_pylist()
             changed = {}
             for row, base, free in scan(texts):
-                spans = sorted((a, b) for _, a, b, v in [*base, *(s for s in free if any(m.accepts(s[3]) for m in models))])
+                spans = sorted((a, b) for _, a, b, v in [*base, *stretches(free, models)])
                 out, at = [], 0
                 for a, b in spans:
                     if a >= at:

@@ -341,6 +341,22 @@ def test_secrets_base_and_learned(spark, table):
     assert secrets.stage(spark, awkward_docs, "").count() == len(awkward_rows) and secrets.stage(spark, empty(spark), "").isEmpty()
 
 
+def test_secrets_glued_to_names_paths_and_prefixes(spark):
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = hexes(20)
+    forms = ["key {}", "session_key={}", "/files/{}", "user-{} x", "NAME_{}", "at.{}.net", f"{hexes(40)}/{{}}"]
+    rows = [(i, f"password = {hexes(20 + i % 9)}") for i in range(60)] + [(100 + i, form.format(key)) for i, form in enumerate(forms)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = secrets.cut(secrets.hits(docs))
+    got = {r["doc_id"]: [s["value"] for s in r["learned"]] for r in secrets.judged(found, secrets.learn(found)).collect()}
+    assert all(got[100 + i] == [key] for i in range(len(forms)))
+    out = {r["doc_id"]: r["text"] for r in secrets.stage(spark, docs, "").collect()}
+    assert out[101] == "session_key=[secret]" and out[102] == "/files/[secret]"
+    short = secrets.Automaton([f"{rng.randint(100, 999)}{rng.choice('ghijkl')}{rng.randint(1000, 9999)}" for _ in range(80)])
+    assert [s[1:] for s in secrets.stretches([("learned", 5, 18, "name_123h4567")], [short])] == [(10, 18, "123h4567")]
+
+
 def test_automaton_prefers_its_format():
     rng = random.Random(6)
     values = ["ab" + "".join(rng.choice("0123456789") for _ in range(8)) + "Z" for _ in range(80)]
