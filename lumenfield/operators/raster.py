@@ -311,13 +311,13 @@ def projection_reconcile(stored: DataFrame, recomputed: DataFrame, keys: Sequenc
 
 
 def raster_contract(px: DataFrame, frames: DataFrame, keys: Sequence[str] = ("image_id", "channel")) -> DataFrame:
-    """First broken contract rule of each plane against the declared frame and value range."""
+    """First broken contract rule of each plane against the declared frame and value range; frames may be declared by any of the keys."""
     seen = px.groupBy(*keys).agg(
         F.count("*").alias("n_pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"),
         F.max("x").alias("x1"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         total(F.isnan(F.col("value").cast("double")) | F.col("value").isNull()).alias("bad"),
     )
-    checked = frames.join(seen, "image_id", "left")
+    checked = frames.join(seen, [k for k in keys if k in frames.columns], "left")
     verdict = (
         F.when(F.col("n_pixels").isNull(), "empty")
         .when(F.col("bad") > 0, "not_finite")
@@ -335,46 +335,52 @@ def infer_shape(px: DataFrame, keys: Sequence[str]) -> DataFrame:
     return top.withColumn("dtype", kind)
 
 
-def histogram(px: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """Pixels per intensity level including zero; at most one row per level of the pixel type."""
+def histogram(px: DataFrame, keys: Sequence[str], size: int, planes: DataFrame | None = None) -> DataFrame:
+    """Pixels per intensity level including zero; at most one row per level of the pixel type.
+
+    ``planes`` declares the planes by their keys, those without a pixel too; else those in ``px`` count.
+    """
     levels = px.filter("value <> 0").groupBy(*keys, "value").agg(F.count("*").alias("pixels"))
-    zeros = levels.groupBy(*keys).agg((F.lit(size) - F.sum("pixels")).alias("pixels"))
+    planes = (px if planes is None else planes.select(*keys).unionByName(px.select(*keys))).select(*keys).distinct()
+    found = levels.groupBy(*keys).agg(F.sum("pixels").alias("_found"))
+    zeros = planes.join(found, list(keys), "left").withColumn("pixels", F.lit(size) - F.coalesce("_found", F.lit(0)))
     zeros = zeros.filter("pixels > 0").select(*keys, F.lit(0).cast(px.schema["value"].dataType).alias("value"), "pixels")
     return levels.unionByName(zeros)
 
 
-def intensity_diagnostics(px: DataFrame, keys: Sequence[str], size: int, points: Sequence[float]) -> DataFrame:
+def intensity_diagnostics(px: DataFrame, keys: Sequence[str], size: int, points: Sequence[float], planes: DataFrame | None = None) -> DataFrame:
     """Distinct levels and exact linear percentiles of the dense raster."""
     names = ["p" + str(p).rstrip("0").rstrip(".").replace(".", "_") for p in points]
-    grouped = histogram(px, keys, size).groupBy(*keys).agg(
+    grouped = histogram(px, keys, size, planes).groupBy(*keys).agg(
         F.count("*").alias("n_levels"),
         F.percentile("value", F.array(*[F.lit(p / 100.0) for p in points]), F.col("pixels")).alias("v"),
     )
     return grouped.select(*keys, "n_levels", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
 
 
-def top_levels(px: DataFrame, keys: Sequence[str], size: int, k: int = 12) -> DataFrame:
+def top_levels(px: DataFrame, keys: Sequence[str], size: int, k: int = 12, planes: DataFrame | None = None) -> DataFrame:
     """The ``k`` most common levels; ties go to the brighter level."""
     order = Window.partitionBy(*keys).orderBy(F.desc("pixels"), F.desc("value"))
-    ranked = histogram(px, keys, size).withColumn("position", F.row_number().over(order))
+    ranked = histogram(px, keys, size, planes).withColumn("position", F.row_number().over(order))
     return ranked.filter(F.col("position") <= k).withColumn("percent", F.col("pixels") * 100.0 / F.lit(size))
 
 
-def raster_profile(px: DataFrame, keys: Sequence[str], size: int, saturated: int = 255) -> DataFrame:
-    stats = px.filter("value <> 0").groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("maximum"), total(F.col("value") >= saturated).alias("saturated_pixels")
-    )
-    return stats.select(
-        *keys, F.when(F.col("n") < size, 0).otherwise(F.col("low")).alias("minimum"), "maximum",
-        ((F.lit(size) - F.col("n")) / F.lit(size)).alias("zero_fraction"), "saturated_pixels",
+def raster_profile(px: DataFrame, keys: Sequence[str], size: int, saturated: int = 255, planes: DataFrame | None = None) -> DataFrame:
+    level = F.col("value")
+    n = F.coalesce(F.sum(F.when(level != 0, F.col("pixels"))), F.lit(0).cast("long"))
+    stats = histogram(px, keys, size, planes).groupBy(*keys).agg(
+        F.min("value").alias("minimum"), F.max("value").alias("maximum"), ((F.lit(size) - n) / F.lit(size)).alias("zero_fraction"),
+        F.coalesce(F.sum(F.when(level >= saturated, F.col("pixels"))), F.lit(0).cast("long")).alias("saturated_pixels"),
     )
+    return stats.select(*keys, "minimum", "maximum", "zero_fraction", "saturated_pixels")
 
 
 def suggest_thresholds(
-    voxels: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], detector_max: int, spacing: tuple[float, float, float]
+    voxels: DataFrame, keys: Sequence[str], shape: tuple[int, int, int], detector_max: int, spacing: tuple[float, float, float],
+    planes: DataFrame | None = None,
 ) -> DataFrame:
     """Starting thresholds from all voxels: low/high at 20 % and 50 % of the median-to-bright span."""
-    grouped = histogram(voxels, keys, math.prod(shape)).groupBy(*keys).agg(
+    grouped = histogram(voxels, keys, math.prod(shape), planes).groupBy(*keys).agg(
         F.percentile("value", F.array(F.lit(0.5), F.lit(0.999)), F.col("pixels")).alias("v")
     )
     base, bright = F.col("v")[0], F.col("v")[1]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import naive
 from lumenfield import analyze, configuration, save_run, verify_run
-from lumenfield.operators import review, rollups
+from lumenfield.operators import raster, review, rollups
 from lumenfield.sources import arrays, audits, manifest
 from lumenfield.streaming import jobs
 
@@ -149,6 +149,20 @@ def test_stream_publishes_a_new_field_however_late(spark, tmp_path):
     assert got.columns == ["fingerprint", "field"] and sorted(r.field for r in got.collect()) == [1, 2, 3, 9]
 
 
+def test_planes_without_a_pixel_are_measured(spark):
+    planes = spark.createDataFrame([(1, "green"), (1, "red"), (2, "green")], "image_id int, channel string")
+    px = spark.createDataFrame([(1, "green", 0, 0, 255), (1, "green", 0, 1, 3), (2, "green", 0, 0, 0)], "image_id int, channel string, y int, x int, value int")
+    keys = ["image_id", "channel"]
+    by = lambda df: {(r.image_id, r.channel): tuple(r)[2:] for r in df.collect()}
+    assert by(raster.raster_profile(px, keys, 4, planes=planes)) == {(1, "green"): (0, 255, 0.5, 1), (1, "red"): (0, 0, 1.0, 0), (2, "green"): (0, 0, 1.0, 0)}
+    assert by(raster.top_levels(px, keys, 4, planes=planes).filter("position = 1"))[1, "red"] == (0, 4, 1, 100.0)
+    assert by(raster.intensity_diagnostics(px, keys, 4, [50, 100], planes))[1, "red"] == (1, 0.0, 0.0)
+    assert by(raster.suggest_thresholds(px, keys, (1, 2, 2), 255, (1.0, 1.0, 1.0), planes)).keys() == {(1, "green"), (1, "red"), (2, "green")}
+    assert by(raster.histogram(px, keys, 4))[2, "green"] == (0, 4)
+    frames = planes.selectExpr("*", "2 as h", "2 as w", "255 as value_max")
+    assert {k: v[-1] for k, v in by(raster.raster_contract(px, frames)).items()} == {(1, "green"): "ok", (1, "red"): "empty", (2, "green"): "ok"}
+
+
 def test_whole_run_with_and_without_signal(spark, tmp_path):
     shape = (140, 150)
     green = sum(90 * np.exp(-((np.mgrid[:140, :150][0] - y) ** 2 + (np.mgrid[:140, :150][1] - x) ** 2) / 18) for y, x in ((70, 60), (70, 100)))
