@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfield.llm import caps, chat, language, lm, mixing, pieces, quality, secrets, signatures, urls
+from lumenfield.llm import caps, chat, divergence, language, lm, mixing, pieces, quality, secrets, signatures, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": urls.query,
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
+    "op11_divergence": divergence.query,
 }
-ORACLES: dict[str, str] = {"op2_ngram_join": signatures.ORACLE, "op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_ngram_join": signatures.ORACLE, "op6_mixing": mixing.ORACLE, "op11_divergence": divergence.ORACLE}
