@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfield.llm import caps, chat, divergence, language, lm, mixing, pieces, quality, secrets, signatures, urls
+from lumenfield.llm import caps, chat, divergence, language, lm, mixing, phrases, pieces, quality, secrets, sharding, signatures, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": language.query,
@@ -20,5 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.query,
     "op10_quality": quality.query,
     "op11_divergence": divergence.query,
+    "op12_phrases": phrases.query,
+    "op13_sharding": sharding.query,
+}
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": signatures.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_phrases": phrases.ORACLE,
+    "op13_sharding": sharding.ORACLE,
 }
-ORACLES: dict[str, str] = {"op2_ngram_join": signatures.ORACLE, "op6_mixing": mixing.ORACLE, "op11_divergence": divergence.ORACLE}
