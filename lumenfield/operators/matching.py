@@ -8,7 +8,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import half_even
@@ -37,6 +37,33 @@ def centroid_pairs(
     return paired.filter(F.col("distance") <= radius).select(*keys, "green_id", "red_id", "distance")
 
 
+def near_regions(
+    regions: DataFrame, max_distance: float, axes: Sequence[str], pitch: Mapping[str, float],
+    shared: Sequence[str], green_keys: Sequence[str], red_keys: Sequence[str],
+) -> DataFrame:
+    """Green/red pairs of regions within ``max_distance``, with the half-even rounded green centroid in ``_c<axis>``."""
+    size = max(float(max_distance), 1.0)
+    sides = {}
+    for channel, mark, own in (("green", "g", green_keys), ("red", "r", red_keys)):
+        cells = [F.floor(F.col(a) * F.lit(float(pitch[a])) / size).cast("bigint").alias(f"_b{a}") for a in axes]
+        sides[mark] = regions.filter(F.col("channel") == channel).select(*shared, *own, F.col("id").alias(f"{channel}_id"), *[F.col(a).alias(f"_{mark}{a}") for a in axes], *cells)
+    visits = moved(sides["g"], list(product((-1, 0, 1), repeat=len(axes))), [f"_b{a}" for a in axes])
+    d2 = F.lit(0.0)
+    for a in axes:
+        step = (F.col(f"_g{a}") - F.col(f"_r{a}")) * F.lit(float(pitch[a]))
+        d2 = d2 + step * step
+    met = visits.join(sides["r"], [*shared, *[f"_b{a}" for a in axes]]).withColumn("distance", F.sqrt(d2))
+    centres = [half_even(F.col(f"_g{a}")).cast("int").alias(f"_c{a}") for a in axes]
+    return met.filter(F.col("distance") <= max_distance).select(*shared, *green_keys, *red_keys, "green_id", "red_id", *centres, "distance")
+
+
+def row_runs(pixels: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """(keys, all axes but the last, start, stop): the runs of neighbouring pixels along the last axis."""
+    rows, last = [*keys, *axes[:-1]], axes[-1]
+    marked = pixels.select(*rows, last, (F.col(last) - F.row_number().over(Window.partitionBy(*rows).orderBy(last))).alias("_run"))
+    return marked.groupBy(*rows, "_run").agg(F.min(last).alias("start"), F.max(last).alias("stop")).drop("_run")
+
+
 def admissible_pairs(
     pixels: DataFrame, regions: DataFrame, max_distance: float, dilation: Mapping[str, int], window: Mapping[str, int],
     spacing: Mapping[str, float] | None = None, slack: float = 0.0,
@@ -45,32 +72,33 @@ def admissible_pairs(
     """Green/red pairs whose centroids are near and whose masks meet after a box dilation.
 
     The green mask is cut to a window around its half-even rounded centroid before it is
-    dilated, and only red pixels inside that window count. Starting from touching pixels
-    keeps this an equi-join on pixels; ``green_keys``/``red_keys`` carry sweep factors.
-    ``window`` names the axes; distances are physical when ``spacing`` is given.
+    dilated, and only red pixels inside that window count. Centroids decide first; then the
+    rows of near pairs are compared run by run: a green run visits the rows its dilation
+    reaches, and meets a red run there if their intervals overlap. So the work follows the
+    runs of near regions; ``green_keys``/``red_keys`` carry sweep factors. ``window`` names
+    the axes; distances are physical when ``spacing`` is given.
     """
     axes = list(window)
-    pitch = spacing or dict.fromkeys(axes, 1.0)
+    rows, last = axes[:-1], axes[-1]
     shared, green_keys, red_keys = list(shared), list(green_keys), list(red_keys)
-    green, red = F.col("channel") == "green", F.col("channel") == "red"
-    g_regions = regions.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), *[F.col(a).alias(f"_g{a}") for a in axes])
-    r_regions = regions.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), *[F.col(a).alias(f"_r{a}") for a in axes])
-    in_window = F.lit(True)
-    for a in axes:
-        in_window = in_window & (F.abs(F.col(a) - half_even(F.col(f"_g{a}"))) <= window[a])
-    g_pixels = pixels.filter(green).select(*shared, *green_keys, F.col("id").alias("green_id"), *axes)
-    masks = g_pixels.join(g_regions, [*shared, *green_keys, "green_id"]).filter(in_window)
-    box = list(product(*[range(-dilation[a], dilation[a] + 1) for a in axes]))
-    near = moved(masks, box, axes).filter(in_window).distinct() if len(box) > 1 else masks
-    r_pixels = pixels.filter(red).select(*shared, *red_keys, F.col("id").alias("red_id"), *axes)
-    centres = [f"_g{a}" for a in axes]
-    touching = near.join(r_pixels, [*shared, *axes]).select(*shared, *green_keys, *red_keys, "green_id", "red_id", *centres).distinct()
-    d2 = F.lit(0.0)
-    for a in axes:
-        step = (F.col(f"_g{a}") - F.col(f"_r{a}")) * F.lit(float(pitch[a]))
-        d2 = d2 + step * step
-    paired = touching.join(r_regions, [*shared, *red_keys, "red_id"]).withColumn("distance", F.sqrt(d2))
-    return paired.filter(F.col("distance") <= max_distance + slack).select(*shared, *green_keys, *red_keys, "green_id", "red_id", "distance")
+    near = near_regions(regions, max_distance + slack, axes, spacing or dict.fromkeys(axes, 1.0), shared, green_keys, red_keys)
+
+    def runs(channel: str, own: list[str]) -> DataFrame:
+        side = pixels.filter(F.col("channel") == channel).select(*shared, *own, F.col("id").alias(f"{channel}_id"), *axes)
+        return row_runs(side, [*shared, *own, f"{channel}_id"], axes).withColumnsRenamed({"start": f"_{channel}0", "stop": f"_{channel}1"})
+
+    def beside(axis: str) -> Column:
+        return F.abs(F.col(axis) - F.col(f"_c{axis}")) <= window[axis]
+
+    met = near.join(runs("green", green_keys), [*shared, *green_keys, "green_id"])
+    for axis in rows:
+        met = met.filter(beside(axis)).withColumn(axis, F.explode(F.sequence(F.col(axis) - dilation[axis], F.col(axis) + dilation[axis]))).filter(beside(axis))
+    met = met.join(runs("red", red_keys), [*shared, *red_keys, "red_id", *rows])
+    # the green run is cut to the window, grown, and cut again
+    low, high = F.col(f"_c{last}") - window[last], F.col(f"_c{last}") + window[last]
+    start, stop = F.greatest("_green0", low), F.least("_green1", high)
+    meets = (start <= stop) & (F.greatest(start - dilation[last], low, "_red0") <= F.least(stop + dilation[last], high, "_red1"))
+    return met.filter(meets).select(*shared, *green_keys, *red_keys, "green_id", "red_id", "distance").distinct()
 
 
 def best_matching(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:

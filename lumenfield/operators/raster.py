@@ -8,7 +8,7 @@ convolution runs on NumPy blocks, and each block is a strip of one frame.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import total
 
+LINES = 64
+SHORT_RUN = 32
+
 # ---------------------------------------------------------------- smoothing
 
 
@@ -237,47 +240,92 @@ def outline_segments(labels: DataFrame, keys: Sequence[str], label: str = "label
     return found
 
 
+def lower_envelope(height: np.ndarray, pitch: float) -> np.ndarray:
+    """min over q of height[q] + (pitch * (p - q))**2 for every p, in time linear in the length.
+
+    The parabolas that are lowest somewhere are kept in order with where each takes over.
+    """
+    scale = pitch * pitch
+    lifted = (height / scale + np.arange(len(height)) ** 2.0).tolist()
+    held, since = [0], [-np.inf]
+    for q in range(1, len(lifted)):
+        while True:
+            p = held[-1]
+            at = (lifted[q] - lifted[p]) / (2 * (q - p))
+            if at > since[-1]:
+                break
+            held.pop()
+            since.pop()
+        held.append(q)
+        since.append(at)
+    at = np.arange(len(height))
+    # beside a hand-over rounding may favour the wrong neighbour, so both are tried
+    first = np.searchsorted(np.asarray(since), at, "right") - 1
+    best = np.full(len(height), np.inf)
+    for k in (first - 1, first, first + 1):
+        q = np.asarray(held)[np.clip(k, 0, len(held) - 1)]
+        steps = np.abs(at - q)
+        best = np.minimum(best, steps * steps * scale + height[q])
+    return best
+
+
+def run_minima(start: np.ndarray, size: np.ndarray, height: np.ndarray, pitch: float) -> np.ndarray:
+    """For runs of ``height`` (beginning at ``start``) the least of height + squared distance along the run, both ends being zero just outside."""
+    out = np.empty(len(height))
+    place = np.arange(len(height)) - np.repeat(start, size)
+    edge = np.minimum(place + 1, np.repeat(size, size) - place).astype(float)
+    for length in np.unique(size[size <= SHORT_RUN]).tolist():
+        # short runs of one length together, every cell against every other
+        rows = start[size == length][:, None] + np.arange(length)
+        steps = np.abs(np.subtract.outer(np.arange(length), np.arange(length)))
+        for part in np.array_split(rows, len(rows) * length * length // (1 << 22) + 1):
+            out[part] = (height[part][:, None, :] + steps * steps * (pitch * pitch)).min(axis=2)
+    for a, n in zip(start[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist()):
+        out[a : a + n] = lower_envelope(height[a : a + n], pitch)
+    return np.minimum(out, edge * edge * (pitch * pitch))
+
+
+def _along(axis: str, others: Sequence[str], label: str, pitch: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Lower ``_d2`` of a band of lines along ``axis``, run by run."""
+
+    def lower(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*others, axis], ignore_index=True)
+        place = part[axis].to_numpy()
+        breaks = np.ones(len(part), bool)
+        breaks[1:] = place[1:] != place[:-1] + 1
+        for name in [*others, label]:
+            breaks[1:] |= part[name].to_numpy()[1:] != part[name].to_numpy()[:-1]
+        start = np.flatnonzero(breaks)
+        return part.assign(_d2=run_minima(start, np.diff(np.append(start, len(part))), part["_d2"].to_numpy(), pitch))
+
+    return lower
+
+
 def distance_to_background(
     labels: DataFrame, keys: Sequence[str], spacing: Mapping[str, float], label: str = "root"
 ) -> DataFrame:
     """Euclidean distance (physical units) of each labelled voxel to the nearest voxel of another label.
 
     Separable: exact distance along the innermost axis from its run, then per axis the
-    minimum over the contiguous run only, since the run's ends are background already.
+    lower envelope of parabolas over the contiguous run only, since the run's ends are
+    background already. Lines go to tasks by bands of ``LINES`` on each other axis; a line
+    is as long as its frame, and the work is linear in it.
     """
     axes = list(spacing)
-    keys = [*keys, label]
-    work = labels
-    for position, axis in enumerate(reversed(axes)):
-        pitch = float(spacing[axis])
+    keys = list(keys)
+    last = axes[-1]
+    line = Window.partitionBy(*keys, label, *axes[:-1]).orderBy(last)
+    work = labels.select(*keys, label, *axes, (F.col(last) - F.row_number().over(line)).alias("_run"))
+    run = Window.partitionBy(*keys, label, *axes[:-1], "_run")
+    steps = F.least(F.col(last) - F.min(last).over(run), F.max(last).over(run) - F.col(last)) + 1
+    pitch = float(spacing[last])
+    work = work.withColumn("_d2", (steps * pitch) * (steps * pitch)).drop("_run")
+    for axis in reversed(axes[:-1]):
         others = [a for a in axes if a != axis]
-        line = Window.partitionBy(*keys, *others).orderBy(axis)
-        work = work.withColumn("_run", F.col(axis) - F.row_number().over(line))
-        if position == 0:
-            run = Window.partitionBy(*keys, *others, "_run")
-            low, high = F.min(axis).over(run), F.max(axis).over(run)
-            steps = F.least(F.col(axis) - low, high - F.col(axis)) + 1
-            work = work.withColumn("_d2", (steps * pitch) * (steps * pitch)).drop("_run")
-            continue
-        cells = work.groupBy(*keys, *others, "_run").agg(
-            F.collect_list(F.struct(axis, "_d2")).alias("cells"), F.min(axis).alias("_lo"), F.max(axis).alias("_hi")
-        )
 
-        def gap(steps: Column) -> Column:
-            return steps * steps * F.lit(pitch * pitch)
-
-        nearest = F.transform(
-            "cells",
-            lambda p: F.struct(
-                p[axis].alias(axis),
-                F.least(
-                    gap(p[axis] - F.col("_lo") + 1), gap(F.col("_hi") - p[axis] + 1),
-                    F.array_min(F.transform("cells", lambda q: gap(p[axis] - q[axis]) + q["_d2"])),
-                ).alias("_d2"),
-            ),
-        )
-        work = cells.select(*keys, *others, F.inline(nearest))
-    return work.withColumn("distance", F.sqrt("_d2")).select(*keys, *axes, "distance")
+        bands = [F.floor(F.col(a) / LINES).alias(f"_l{a}") for a in others]
+        work = work.groupBy(*keys, *bands).applyInPandas(_along(axis, others, label, float(spacing[axis])), work.schema)
+    return work.withColumn("distance", F.sqrt("_d2")).select(*keys, label, *axes, "distance")
 
 
 # ---------------------------------------------------------------- selections and statistics

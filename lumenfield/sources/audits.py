@@ -4,44 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import fingerprint
 
 
 def both_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Full outer pairing of two keyed tables in one aggregation: ``<value>_l``, ``<value>_r``, ``in_l``, ``in_r``."""
+    """Full outer pairing of two keyed tables in one aggregation: ``<value>_l``, ``<value>_r``, ``n_l``, ``n_r``.
+
+    ``n_l`` and ``n_r`` count the rows of a key on each side. Equal rows are counted before
+    they travel; where a side has several different rows, its values are those of the least.
+    """
     keys = list(keys)
     row = F.struct(*values)
-    a = left.select(*keys, row.alias("_l"), F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType).alias("_r"))
-    b = right.select(*keys, F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType).alias("_l"), row.alias("_r"))
-    paired = a.unionByName(b).groupBy(*keys).agg(
-        F.first("_l", ignorenulls=True).alias("_l"), F.first("_r", ignorenulls=True).alias("_r")
+    sides = left.select(*keys, row.alias("_row"), F.lit(1).alias("_side")).unionByName(right.select(*keys, row.alias("_row"), F.lit(2).alias("_side")))
+    counts = sides.groupBy(*keys, "_side", "_row").agg(F.count("*").alias("_n"))
+
+    def of(side: int, column: Column) -> Column:
+        return F.when(F.col("_side") == side, column)
+
+    paired = counts.groupBy(*keys).agg(
+        *[F.min(of(i, F.col("_row"))).alias(f"_{s}") for i, s in ((1, "l"), (2, "r"))],
+        *[F.coalesce(F.sum(of(i, F.col("_n"))), F.lit(0)).alias(f"n_{s}") for i, s in ((1, "l"), (2, "r"))],
     )
-    return paired.select(
-        *keys, F.col("_l").isNotNull().alias("in_l"), F.col("_r").isNotNull().alias("in_r"),
-        *[F.col(f"_l.{v}").alias(f"{v}_l") for v in values], *[F.col(f"_r.{v}").alias(f"{v}_r") for v in values],
+    return paired.select(*keys, "n_l", "n_r", *[F.col(f"_{s}.{v}").alias(f"{v}_{s}") for s in ("l", "r") for v in values])
+
+
+def unpaired(missing: str, unexpected: str, in_left: str = "n_l", in_right: str = "n_r") -> Column:
+    """What is wrong with a key before its values matter; NULL if it is once on each side."""
+    return (
+        F.when((F.col(in_left) > 1) | (F.col(in_right) > 1), "duplicate_key")
+        .when(F.col(in_right) == 0, missing).when(F.col(in_left) == 0, unexpected)
     )
 
 
 def verify_digests(recorded: DataFrame, current: DataFrame, key: str, sha: str = "sha") -> DataFrame:
-    """(key, status): ok, changed, missing or unexpected."""
+    """(key, status): ok, changed, missing, unexpected, or duplicate_key if a side has the key twice."""
     paired = both_sides(recorded, current, [key], [sha])
-    status = (
-        F.when(~F.col("in_r"), "missing").when(~F.col("in_l"), "unexpected")
-        .when(F.col(f"{sha}_l").eqNullSafe(F.col(f"{sha}_r")), "ok").otherwise("changed")
-    )
-    return paired.select(key, status.alias("status"))
+    same = F.when(F.col(f"{sha}_l").eqNullSafe(F.col(f"{sha}_r")), "ok").otherwise("changed")
+    return paired.select(key, F.coalesce(unpaired("missing", "unexpected"), same).alias("status"))
 
 
 def golden_diff(
     actual: DataFrame, expected: DataFrame, keys: Sequence[str], numeric: Sequence[str], exact: Sequence[str],
     rtol: float = 1e-12, atol: float = 1e-12,
 ) -> DataFrame:
-    """One row per differing cell (numbers within atol + rtol*|expected|, NULL equals NULL) or unpaired row."""
+    """One row per differing cell (numbers within atol + rtol*|expected|, NULL equals NULL), unpaired row or repeated key."""
     paired = both_sides(actual, expected, keys, [*numeric, *exact])
-    def text(name):
+
+    def text(name: str) -> Column:
         return F.col(name).cast("string")
 
     cells = []
@@ -51,8 +63,8 @@ def golden_diff(
         cells.append(F.when(~near, F.lit(name)))
     for name in exact:
         cells.append(F.when(~text(f"{name}_l").eqNullSafe(text(f"{name}_r")), F.lit(name)))
-    unpaired = F.when(~F.col("in_l"), F.array(F.lit("row_missing"))).when(~F.col("in_r"), F.array(F.lit("row_unexpected")))
-    found = F.coalesce(unpaired, F.array_compact(F.array(*cells)))
+    whole = unpaired("row_unexpected", "row_missing")
+    found = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*cells)))
     return paired.select(*keys, F.explode(found).alias("difference"))
 
 

@@ -33,6 +33,30 @@ def test_many_values_over_many_buckets(spark):
     assert got[3] is None and [g for g in got if g is not None] == pytest.approx([w for w in want if w is not None], rel=1e-12)
 
 
+def test_nulls_and_one_frequent_value_are_spread(spark):
+    # nine of ten without p; half of the rest share one value
+    rows = [(i, None if i % 10 else 0.5 if i % 20 else (i % 977 + 1) / 1000, i % 2) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "i int, p double, side int")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for keys in ([], ["side"]):
+            out = enrichment.adjust(df, "p", keys)
+            got = {r.i: r.q for r in out.collect()}
+            groups = [rows] if not keys else [[r for r in rows if r[2] == k] for k in (0, 1)]
+            for part in groups:
+                for r, want in zip(part, naive.adjust([r[1] for r in part])):
+                    assert got[r[0]] == (want if want is None else pytest.approx(want))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_values_outside_the_unit_interval_are_refused(spark):
+    for p in (-0.1, 1.5, float("inf")):
+        with pytest.raises(Exception, match="p-values must lie in"):
+            q_values(spark, [0.5, p])
+    assert q_values(spark, [0.5, float("nan")])[0] == 0.5
+
+
 def test_bucket_is_monotone(spark):
     values = sorted({*np.random.default_rng(1).random(3000).tolist(), 0.5, 0.25, 1.0, np.nextafter(0.5, 0), np.nextafter(0.5, 1), 1e-300})
     rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", ranks.magnitude_bucket(F.col("v")).alias("b")).orderBy("v").collect()

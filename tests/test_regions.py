@@ -112,3 +112,54 @@ def test_thinning_is_the_greedy_result(spark):
     kept = regions.thin_seeds(peaks, KEYS, {"y": 1.0, "x": 1.0}, 6, regions.strongest_first()).collect()
     ordered = sorted(((r[3], r[4], r[5]) for r in rows), key=lambda r: (-r[2], -r[0], -r[1]))
     assert {(r.y, r.x) for r in kept} == set(naive.greedy([(y, x) for y, x, _ in ordered], 6))
+
+
+LABEL = "image_id bigint, channel string, root bigint, y int, x int, value double"
+
+
+def split(spark, z, seeds, tile):
+    labels = spark.createDataFrame([(1, "green", 0, int(y), int(x), float(z[y, x])) for y, x in np.ndindex(z.shape)], LABEL)
+    planted = spark.createDataFrame([(1, "green", 0, int(y), int(x), j, len(seeds)) for j, (y, x) in enumerate(seeds, 1)], "image_id bigint, channel string, root bigint, y int, x int, seed int, parent_count bigint")
+    return as_array(regions.split_regions(labels, planted, KEYS, ["y", "x"], tile=tile).collect(), z.shape, "seed")
+
+
+@pytest.mark.parametrize("levels, tile", [(3, {"y": 5, "x": 7}), (40, {"y": 6, "x": 4}), (3, None)])
+def test_one_component_over_many_tiles(spark, levels, tile):
+    rng = np.random.default_rng(levels)
+    z = np.ceil(naive.gaussian(rng.random((19, 26)), 1.0) * levels * 2)
+    seeds = [tuple(map(int, p)) for p in rng.permutation(np.argwhere(z > 0))[:6]]
+    np.testing.assert_array_equal(split(spark, z, seeds, tile), naive.least_passes(z, z > 0, seeds))
+
+
+def test_ties_between_seeds_go_by_level_then_position(spark):
+    # a flat strip: the seed at x=0 comes first at every step to the right of it
+    assert split(spark, np.full((1, 7), 5.0), [(0, 0), (0, 6)], {"y": 4, "x": 2}).tolist() == [[1, 1, 1, 1, 1, 1, 2]]
+    # the bright side runs down to the saddle before the dim seed starts, so the saddle is its
+    assert split(spark, np.array([[9.0, 7, 3, 4, 6]]), [(0, 0), (0, 4)], {"y": 4, "x": 2}).tolist() == [[1, 1, 1, 2, 2]]
+    # behind a pass at level 2 all is one basin, whoever comes over the pass first
+    assert split(spark, np.array([[8.0, 2, 6, 6, 2, 8]]), [(0, 0), (0, 5)], {"y": 4, "x": 3}).tolist() == [[1, 1, 1, 1, 2, 2]]
+
+
+@pytest.mark.parametrize("tile", [{"y": 8, "x": 8}, {"y": 5, "x": 64}])
+def test_thinning_over_tiles(spark, tile):
+    rng = np.random.default_rng(4)
+    points = sorted({(int(y), int(x)) for y, x in rng.integers(0, 40, (700, 2))})
+    rows = [(1, "green", int(x > 20), y, x, float(rng.integers(0, 3))) for y, x in points]
+    kept = regions.thin_seeds(spark.createDataFrame(rows, LABEL), KEYS, {"y": 1.0, "x": 1.0}, 6, regions.strongest_first(), tile).collect()
+    want = set()
+    for root in (0, 1):
+        want |= set(naive.greedy([(r[3], r[4]) for r in sorted((r for r in rows if r[2] == root), key=lambda r: (-r[5], -r[3], -r[4]))], 6))
+    assert {(r.y, r.x) for r in kept} == want and len(kept) == len(want)
+
+
+def test_a_saturated_plateau_takes_few_jobs(spark):
+    peaks = spark.range(256 * 256).selectExpr("1L as image_id", "'green' as channel", "0L as root", "int(id div 256) as y", "int(id % 256) as x", "255.0d as value")
+    spark.sparkContext.setJobGroup("plateau", "thinning")
+    kept = regions.thin_seeds(peaks, KEYS, {"y": 1.0, "x": 1.0}, 6, regions.strongest_first()).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plateau")
+    spark.sparkContext.setJobGroup("tests", "")
+    assert len(jobs) < 15
+    # rows of six, shifted so that each point fills the gap of the row before it
+    assert len(kept) > 256 * 256 / 36 and (255, 255) in {(r.y, r.x) for r in kept}
+    near = {(r.y, r.x) for r in kept}
+    assert not any((y + a, x + b) in near for y, x in near for a in range(6) for b in range(-5, 6) if (a or b) and a * a + b * b < 36)

@@ -194,3 +194,14 @@ def test_manifest_cells_keep_quotes_and_lose_white_space(spark, tmp_path):
     path.write_text('image_id,replicate_id,green,red\n"a","r1","/x ""q"".npy","\t"\n')
     row = scan_manifest(spark, str(path)).first()
     assert row["green"] == '/x "q".npy' and row["red"] is None
+
+
+def test_repeated_keys_are_named_whatever_the_order(spark):
+    left = [("a", "1"), ("b", "2"), ("b", "3"), ("c", "4"), ("d", "5"), ("d", "5"), (None, "6")]
+    right = [("a", "1"), ("b", "2"), ("c", "5"), ("c", "4"), ("e", "7"), (None, "8")]
+    want = {("a", "ok"), ("b", "duplicate_key"), ("c", "duplicate_key"), ("d", "duplicate_key"), ("e", "unexpected"), (None, "changed")}
+    for turn in (1, -1):
+        sides = [spark.createDataFrame(rows[::turn], "path string, sha string").repartition(3) for rows in (left, right)]
+        assert {tuple(r) for r in audits.verify_digests(*sides, "path").collect()} == want
+        cells = audits.golden_diff(*sides, ["path"], [], ["sha"]).collect()
+        assert {tuple(r) for r in cells} == {(k, {"changed": "sha", "unexpected": "row_missing"}.get(w, w)) for k, w in want if w != "ok"} and len(cells) == 5
