@@ -23,14 +23,13 @@ Equal vectors link. Rows without vec_id are left as they are; vec_ids are taken
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm.texts import groups
+from lumenfield.llm.texts import groups, once
 from lumenfield.operators.components import connected_roots, contract
 from lumenfield.session import cut
 
@@ -44,8 +43,11 @@ BLOCK = 256
 SEED = 11
 
 
-@lru_cache(16)
 def code(dim: int, draw: int) -> tuple[np.ndarray, list[np.ndarray], float]:
+    return once(("caps", dim, draw), lambda: new_code(dim, draw))
+
+
+def new_code(dim: int, draw: int) -> tuple[np.ndarray, list[np.ndarray], float]:
     """A rotation, for each block of dimensions its code words as columns, and the limit that leaves a random vector in ``CAPS`` caps on average."""
     rng = np.random.default_rng([SEED, dim, draw])
     rotation, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
@@ -93,9 +95,8 @@ def decode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[order], name[order], tops[0]
 
 
-@lru_cache(16)
 def planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim, 99]).standard_normal((dim, SKETCH))
+    return once(("planes", dim), lambda: np.random.default_rng([SEED, dim, 99]).standard_normal((dim, SKETCH)))
 
 
 def sketches(unit: np.ndarray) -> list[bytes]:

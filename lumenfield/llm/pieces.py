@@ -19,12 +19,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lumenfield.llm.texts import once
 
 MARK = "▁"
 NONE = np.int64(1 << 40)
@@ -156,9 +156,8 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    return once(("pieces", path), lambda: Pieces(path))
 
 
 def encoded(column: pa.Array, model: Pieces, cache: dict[str, tuple[int, ...]]) -> Iterator[tuple[list[list[tuple[int, ...]]], int]]:

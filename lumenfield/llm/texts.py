@@ -7,8 +7,11 @@ its own. A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def once(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()``, called once for ``key`` in a worker process.
+
+    Task functions travel by value and get a module of their own in each task, so what is
+    to outlive the task is kept among the process's modules.
+    """
+    held = sys.modules.setdefault("_made_once", types.ModuleType("_made_once")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = np.asarray(x).astype(U64)
