@@ -1,8 +1,8 @@
-"""Exact numbering inside groups of any size.
+"""Exact numbering and running totals inside groups of any size.
 
-A plain ``row_number`` puts a whole group into one task. Here the group is first cut
-into ranges by a monotone bucket of the order column; only per-bucket counts are
-accumulated over the group, the numbering itself runs per bucket.
+A plain window puts a whole group into one task. Here the rows are dealt to partitions by
+sampled boundaries of (keys, order), whatever the range of the values; totals per key and
+partition are accumulated over the partitions, and the window runs inside each.
 """
 
 from __future__ import annotations
@@ -12,23 +12,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfield.session import cut
 
-def numbered(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str
-) -> DataFrame:
-    """Add ``name`` = 1, 2, ... within ``keys`` by ``order``; ``bucket`` must not decrease along ``order``."""
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``weight`` over the rows of the same ``keys`` up to this one by ``order``.
+
+    Rows that tie in ``order`` lie in one partition; they are taken in any order.
+    """
     keys = list(keys)
-    cut = df.withColumn("_bucket", bucket)
-    counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    local = cut.withColumn("_local", F.row_number().over(inside))
-    return (
-        local.join(offsets.drop("_size"), [*keys, "_bucket"])
-        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .drop("_bucket", "_local", "_offset")
-    )
+    # the partition of a row must not change between the totals and the window
+    dealt = cut(df.withColumn("_weight", weight).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum("_weight").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_part").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    local = dealt.withColumn("_local", F.sum("_weight").over(inside))
+    return local.join(offsets, same).withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint")).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name`` = 1, 2, ... within ``keys`` by ``order``."""
+    return running_total(df, keys, order, F.lit(1), name)
 
 
 def magnitude_bucket(value: Column, steps: int = 256) -> Column:

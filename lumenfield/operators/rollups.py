@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import percent, total, yes
+from lumenfield.operators.ranks import running_total
 
 METRICS = ["viability_percent", "ebfp_all_percent", "ebfp_live_percent", "double_positive_percent"]
 
@@ -166,10 +167,20 @@ def run_warnings(fields: DataFrame, objects: DataFrame) -> DataFrame:
     return fired.unionByName(replicates)
 
 
+def median(table: DataFrame, metric: str) -> float | None:
+    """The exact median: counts of each value are added up along the values; None without any."""
+    values = table.filter(F.col(metric).isNotNull()).groupBy(metric).agg(F.count("*").alias("_n"))
+    ranked = running_total(values, [], [F.col(metric)], F.col("_n"), "_upto")
+    size = ranked.agg(F.max("_upto")).first()[0]
+    if not size:
+        return None
+    middle = ranked.agg(*[F.min(F.when(F.col("_upto") >= rank, F.col(metric))) for rank in ((size + 1) // 2, size // 2 + 1)]).first()
+    return 0.5 * middle[0] + 0.5 * middle[1]
+
+
 def representative_field(summary: DataFrame, metric: str, order: str) -> DataFrame:
     """The field nearest to the median of ``metric``; the first field when none is defined."""
-    median = summary.select(F.percentile(metric, F.lit(0.5))).scalar()
-    distance = F.abs(F.col(metric) - median)
+    distance = F.abs(F.col(metric) - F.lit(median(summary, metric)).cast("double"))
     ranked = summary.withColumn("_distance", distance)
     pick = ranked.agg(
         F.min_by(

@@ -333,7 +333,7 @@ def dense_relabel(spark, sf):
     first = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("label")).agg(
         F.min("o_orderkey").alias("first_seen"), F.count("*").alias("n")
     )
-    dense = ranks.numbered(first, [], [F.col("first_seen")], ranks.magnitude_bucket(F.col("first_seen"), 4096), "dense_id")
+    dense = ranks.numbered(first, [], [F.col("first_seen")], "dense_id")
     return dense.select("label", "n", "dense_id")
 
 

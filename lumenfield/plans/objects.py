@@ -194,7 +194,7 @@ def distinct_first_seen(spark, sf):
     first = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("value")).agg(
         F.min("o_orderkey").alias("first_seen"), F.count("*").alias("n")
     )
-    return ranks.numbered(first, [], [F.col("first_seen")], ranks.magnitude_bucket(F.col("first_seen")), "position")
+    return ranks.numbered(first, [], [F.col("first_seen")], "position")
 
 
 @query("key_set_diff", """with a as (select distinct c_custkey as k from customer), b as (select distinct o_custkey as k from orders)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import is_close, safe_filename, valid_id
-from lumenfield.operators.ranks import magnitude_bucket, numbered
+from lumenfield.operators.ranks import running_total
 from lumenfield.session import cut
 
 REQUIRED = ["image_id", "replicate_id", "green", "red"]
@@ -76,65 +76,58 @@ def assign_unique_ids(rows: DataFrame, ident: str, seq: str) -> DataFrame:
 
     A suffixed name may also be some other row's literal id. Whoever comes first keeps
     it: the later literal starts at its own ``_2``, the later duplicate skips the number.
-    Only stems with such literal children go through the skip rounds.
+    The literal children of a stem are swept once in the order of their numbers; only names
+    that are children of children take another sweep, one a level.
     """
-    stem = rows.withColumn("_stem", F.lower(ident))
-    ranked = numbered(stem, ["_stem"], [F.col(seq)], magnitude_bucket(F.col(seq), 4096), "_k")
-    firsts = ranked.filter("_k = 1").select("_stem", F.col(seq).alias("_first"))
-    suffix = r"^(.*)_([2-9]|[1-9][0-9]{1,8})$"
+    stems = rows.withColumn("_stem", F.lower(ident))
+    firsts = stems.groupBy("_stem").agg(F.min(seq).alias("_first"))
+    # no table has the rows to reach a number of more digits
+    suffix = r"^(.*)_([2-9]|[1-9][0-9]{1,14})$"
     children = firsts.filter(F.col("_stem").rlike(suffix)).select(
-        F.regexp_extract("_stem", suffix, 1).alias("_stem"),
-        F.regexp_extract("_stem", suffix, 2).cast("bigint").alias("_n"),
-        F.col("_first").alias("_child_first"),
+        F.regexp_extract("_stem", suffix, 1).alias("_stem"), F.regexp_extract("_stem", suffix, 2).cast("bigint").alias("_n"), F.col("_first").alias(seq)
     )
     children = children.join(firsts.select("_stem"), "_stem", "left_semi")
-    children = cut(numbered(children, ["_stem"], [F.col("_n")], magnitude_bucket(F.col("_n")), "_i"))
+    both = stems.withColumn("_n", F.lit(None).cast("bigint")).unionByName(children, allowMissingColumns=True)
+    ranked = running_total(both, ["_stem"], [F.col(seq)], F.col("_n").isNull().cast("int"), "_k")
+    own = ranked.filter("_n is null").drop("_n")
+    # of a child: how many rows of the stem come before it
+    met = cut(ranked.filter("_n is not null").select("_stem", "_n", F.col("_k").alias("_before")))
     number = F.col("_k")
-    if not children.isEmpty():
-        ranked = cut(ranked)
-        shifts = decided = None
+    if not met.isEmpty():
+        shifts = met.select(F.concat_ws("_", "_stem", F.col("_n").cast("string")).alias("_stem"), F.lit(0).cast("bigint").alias("_shift"))
         while True:
-            decided = _take_turns(ranked, children, seq, shifts)
-            taken = decided.filter("_taken").select(
-                F.concat_ws("_", "_stem", F.col("_n").cast("string")).alias("_stem"), F.lit(1).alias("_shift")
-            )
-            settled = taken.isEmpty() if shifts is None else (
-                taken.exceptAll(shifts).isEmpty() and shifts.exceptAll(taken).isEmpty()
-            )
-            shifts = cut(taken)
+            swept = cut(met.join(shifts, "_stem", "left").fillna(0, ["_shift"]).groupBy("_stem").applyInPandas(_sweep, "_stem string, _n bigint, _from bigint, _taken bigint"))
+            new = swept.select(F.concat_ws("_", "_stem", F.col("_n").cast("string")).alias("_stem"), F.col("_taken").alias("_shift"))
+            changed = new.join(shifts.withColumnRenamed("_shift", "_old"), "_stem").filter("_shift <> _old")
+            settled = changed.isEmpty()
+            shifts = new
             if settled:
                 break
-        jumps = decided.filter("_skip").select("_stem", F.col("_k").alias("_from"))
-        extra = (
-            ranked.select("_stem", "_k").join(jumps, "_stem").filter("_k >= _from")
-            .groupBy("_stem", "_k").agg(F.count("*").alias("_extra"))
-        )
-        ranked = ranked.join(extra, ["_stem", "_k"], "left").join(shifts, "_stem", "left")
-        number = F.col("_k") + F.coalesce("_extra", F.lit(0)) + F.coalesce("_shift", F.lit(0))
+        # a skipped number moves all later rows of the stem by one
+        jumps = swept.filter("_from is not null").select("_stem", F.col("_from").alias("_k"))
+        both = own.withColumn("_jump", F.lit(0)).unionByName(jumps.withColumn("_jump", F.lit(1)), allowMissingColumns=True)
+        own = running_total(both, ["_stem"], [F.col("_k"), F.desc("_jump")], F.col("_jump"), "_extra").filter("_jump = 0")
+        own = own.join(shifts, "_stem", "left")
+        number = F.col("_k") + F.col("_extra") + F.coalesce("_shift", F.lit(0))
     unique = F.when(number == 1, F.col(ident)).otherwise(F.concat_ws("_", ident, number.cast("string")))
-    return ranked.withColumn("unique_id", unique).select(*rows.columns, "unique_id")
-
-
-def _take_turns(ranked: DataFrame, children: DataFrame, seq: str, shifts: DataFrame | None) -> DataFrame:
-    """For each literal child number, in ascending order: is it skipped by, or taken from, its stem's duplicates?"""
-    turn = ranked.select("_stem", "_k", F.col(seq).alias("_at"))
-    state = children.filter("_i = 1").withColumn("_skipped", F.lit(0).cast("bigint"))
-    if shifts is not None:
-        state = state.join(shifts, "_stem", "left")
-        state = state.withColumn("_skipped", F.coalesce("_shift", F.lit(0)).cast("bigint")).drop("_shift")
-    decided, position = None, 1
-    while True:
-        step = cut(
-            state.withColumn("_k", F.col("_n") - F.col("_skipped")).join(turn, ["_stem", "_k"], "left")
-            .withColumn("_skip", F.coalesce(F.col("_child_first") < F.col("_at"), F.lit(False)))
-            .withColumn("_taken", F.coalesce(F.col("_at") < F.col("_child_first"), F.lit(False)))
-        )
-        decided = step if decided is None else decided.unionByName(step)
-        position += 1
-        carried = step.select("_stem", (F.col("_skipped") + F.col("_skip").cast("bigint")).alias("_skipped"))
-        state = children.filter(F.col("_i") == position).join(carried, "_stem")
-        if state.isEmpty():
-            return decided
+    return own.withColumn("unique_id", unique).select(*rows.columns, "unique_id")
+
+
+def _sweep(part: pd.DataFrame) -> pd.DataFrame:
+    """The literal children of one stem by number: skipped by its duplicates (``_from``: from which on), or taken by them.
+
+    The duplicate that would take a number is the one whose rank is the number less what
+    was skipped so far; it comes before the child if its rank is within ``_before``.
+    """
+    part = part.sort_values("_n", ignore_index=True)
+    skipped = int(part["_shift"].iloc[0])
+    start, taken = [], []
+    for n, before in zip(part["_n"].tolist(), part["_before"].tolist()):
+        rank = n - skipped
+        taken.append(int(rank <= before))
+        start.append(None if rank <= before else rank)
+        skipped += rank > before
+    return pd.DataFrame({"_stem": part["_stem"], "_n": part["_n"], "_from": pd.Series(start, dtype="Int64"), "_taken": taken})
 
 
 def discover_imports(rows: DataFrame, exports: DataFrame, files: DataFrame) -> DataFrame:

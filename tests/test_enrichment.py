@@ -117,11 +117,24 @@ def test_overwritten_object_is_kept(spark):
     assert [r.ebfp_status for r in rows] == ["scorable", "missing_object_mask"] and rows[1].ebfp_roi_pixels == 0
 
 
+def test_numbering_by_time_stamps(spark):
+    # a narrow range of large keys, one key for most rows, a NULL key
+    rows = spark.range(5000).selectExpr("case when id % 7 = 0 then null when id % 5 = 0 then 'b' else 'a' end as k", "timestamp_micros(1700000000000000 + (id * 7919) % 5000) as t")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        got = ranks.numbered(rows, ["k"], [F.col("t")], "n")
+        assert got.columns == ["k", "t", "n"]
+        want = rows.withColumn("n", F.expr("cast(row_number() over (partition by k order by t) as bigint)"))
+        assert got.exceptAll(want).isEmpty() and got.count() == 5000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
 def test_numbering_equals_plain_row_number(spark):
     rng = np.random.default_rng(7)
     rows = [("hot" if rng.random() < 0.6 else "cold", int(v)) for v in rng.permutation(2000)]
     df = spark.createDataFrame(rows, "k string, v bigint")
-    got = {(r.k, r.v): r.n for r in ranks.numbered(df, ["k"], [F.col("v")], ranks.magnitude_bucket(F.col("v")), "n").collect()}
+    got = {(r.k, r.v): r.n for r in ranks.numbered(df, ["k"], [F.col("v")], "n").collect()}
     for k in ("hot", "cold"):
         for n, v in enumerate(sorted(v for kk, v in rows if kk == k), 1):
             assert got[k, v] == n

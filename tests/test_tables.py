@@ -87,6 +87,26 @@ def test_unique_ids_random(spark):
     assert got == sequential_ids(ids)
 
 
+def test_a_stem_with_many_literal_children(spark):
+    ids = ["a"] * 40 + [f"a_{n}" for n in range(1000, 1, -1)] + ["a"] * 700 + ["a_99999999999999999999", "a_123456789012", "A"]
+    rows = spark.createDataFrame([(1_700_000_000_000_000 + i, v) for i, v in enumerate(ids)], "seq bigint, image_id string")
+    spark.sparkContext.setJobGroup("ids", "numbering")
+    got = [r.unique_id for r in manifest.assign_unique_ids(rows, "image_id", "seq").orderBy("seq").collect()]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ids")
+    spark.sparkContext.setJobGroup("tests", "")
+    assert got == sequential_ids(ids)
+    # whatever the number of children: two sweeps, and the stages of three running totals
+    assert len(jobs) < 60
+
+
+def test_median_is_exact(spark):
+    rng = np.random.default_rng(2)
+    for values in ([], [None], [3.0], [1.0, 4.0], [7.0] * 50 + [1.0], rng.normal(size=301).round(1).tolist(), (rng.random(200) * 1e18).tolist()):
+        table = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        known = [v for v in values if v is not None]
+        assert rollups.median(table, "v") == (pytest.approx(np.median(known), rel=1e-15) if known else None)
+
+
 def test_manifest_scan(spark, tmp_path):
     path = tmp_path / "samples.csv"
     path.write_text("﻿image_id,replicate_id,red,green\n f1 ,r1, img/r.npy ,/abs/g.npy\nf2,r1,,x.npy\n", encoding="utf-8")
