@@ -358,22 +358,30 @@ def projection_reconcile(stored: DataFrame, recomputed: DataFrame, keys: Sequenc
     return counted.withColumn("equal", F.col("n_different") == 0)
 
 
-def raster_contract(px: DataFrame, frames: DataFrame, keys: Sequence[str] = ("image_id", "channel")) -> DataFrame:
-    """First broken contract rule of each plane against the declared frame and value range; frames may be declared by any of the keys."""
+def raster_contract(px: DataFrame, frames: DataFrame, keys: Sequence[str] = ("image_id", "channel"), required: Sequence[str] = ("green", "red")) -> DataFrame:
+    """First broken contract rule of each plane against the declared frame and value range.
+
+    ``frames`` declares the planes by ``keys``, the last of which is the channel. A declared
+    plane without a pixel is a measured zero. Pixels of a plane that is not declared and
+    ``required`` channels that a declared field has neither declared nor filled are faults.
+    """
+    field, channel = list(keys[:-1]), keys[-1]
     seen = px.groupBy(*keys).agg(
         F.count("*").alias("n_pixels"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"),
         F.max("x").alias("x1"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         total(F.isnan(F.col("value").cast("double")) | F.col("value").isNull()).alias("bad"),
     )
-    checked = frames.join(seen, [k for k in keys if k in frames.columns], "left")
+    wanted = frames.select(*field).distinct().withColumn(channel, F.explode(F.array(*[F.lit(c) for c in required])))
+    declared = frames.withColumn("_declared", F.lit(True)).join(wanted, list(keys), "full")
+    checked = declared.join(seen, list(keys), "full")
     verdict = (
-        F.when(F.col("n_pixels").isNull(), "empty")
+        F.when(F.col("_declared").isNull(), F.when(F.col("n_pixels").isNull(), "missing").otherwise("undeclared"))
         .when(F.col("bad") > 0, "not_finite")
         .when((F.col("y0") < 0) | (F.col("x0") < 0) | (F.col("y1") >= F.col("h")) | (F.col("x1") >= F.col("w")), "outside_frame")
         .when((F.col("lo") < 0) | (F.col("hi") > F.col("value_max")), "outside_type")
         .otherwise("ok")
     )
-    return checked.select(*keys, "n_pixels", verdict.alias("verdict"))
+    return checked.select(*keys, F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), verdict.alias("verdict"))
 
 
 def infer_shape(px: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -389,9 +397,10 @@ def histogram(px: DataFrame, keys: Sequence[str], size: int, planes: DataFrame |
     ``planes`` declares the planes by their keys, those without a pixel too; else those in ``px`` count.
     """
     levels = px.filter("value <> 0").groupBy(*keys, "value").agg(F.count("*").alias("pixels"))
-    planes = (px if planes is None else planes.select(*keys).unionByName(px.select(*keys))).select(*keys).distinct()
-    found = levels.groupBy(*keys).agg(F.sum("pixels").alias("_found"))
-    zeros = planes.join(found, list(keys), "left").withColumn("pixels", F.lit(size) - F.coalesce("_found", F.lit(0)))
+    found = px.groupBy(*keys).agg(F.count_if(F.col("value") != 0).alias("_found"))
+    if planes is not None:
+        found = found.join(planes.select(*keys).distinct(), list(keys), "full")
+    zeros = found.withColumn("pixels", F.lit(size) - F.coalesce("_found", F.lit(0)))
     zeros = zeros.filter("pixels > 0").select(*keys, F.lit(0).cast(px.schema["value"].dataType).alias("value"), "pixels")
     return levels.unionByName(zeros)
 
@@ -510,8 +519,8 @@ def depth_profile(
     )
 
 
-def point_lookup(points: DataFrame, labels: DataFrame, shape: tuple[int, int], label: str = "label") -> DataFrame:
+def point_lookup(points: DataFrame, labels: DataFrame, shape: tuple[int, int], label: str = "label", keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Object under each point inside the frame; 0 is background."""
     visible = points.filter(inside(shape))
-    found = visible.join(labels.select("image_id", "y", "x", label), ["image_id", "y", "x"], "left")
+    found = visible.join(labels.select(*keys, "y", "x", label), [*keys, "y", "x"], "left")
     return found.withColumn(label, F.coalesce(F.col(label), F.lit(0)))

@@ -42,7 +42,7 @@ def manifest_violations(spark, sf):
     return manifest.violations(recipe(spark, sf, "manifest"))
 
 
-@query("npy_scan", duck("px", body="""select image_id||'/'||channel||'.npy' as path, 'uint8' as dtype, 0 as z, y, x, value from px"""))
+@query("npy_scan", duck("px", body="""select image_id||'/'||channel||'.npy' as path, case when max(value) over (partition by image_id, channel)<256 then 'uint8' else 'uint16' end as dtype, 0 as z, y, x, value from px"""))
 def npy_scan(spark, sf):
     """Planes written as array payloads, read back through the array scan."""
     payloads = arrays.encode_planes(recipe(spark, sf, "px"), (64, 64))

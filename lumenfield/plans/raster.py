@@ -88,14 +88,19 @@ def decimate(spark, sf):
     return raster.decimate(recipe(spark, sf, "px"), frames, 20).select("image_id", "channel", "y", "x", "value")
 
 
-@query("raster_contract", duck("px", body="""with f as (select distinct s_suppkey//10 as image_id, case when (s_suppkey//10)%4=1 then 60 else 64 end as h, 64 as w, case when (s_suppkey//10)%5=2 then 127 else 255 end as value_max from supplier),
-s as (select image_id, channel, count(*) as n_pixels, min(y) y0, max(y) y1, min(x) x0, max(x) x1, min(value) lo, max(value) hi from px group by 1,2)
-select f.image_id, s.channel, s.n_pixels, case when n_pixels is null then 'empty' when y0<0 or x0<0 or y1>=h or x1>=w then 'outside_frame' when lo<0 or hi>value_max then 'outside_type' else 'ok' end as verdict
-from f left join s using (image_id)"""))
+@query("raster_contract", duck("px", "planes", body="""with f as (select image_id, channel, case when image_id%4=1 then 60 else 64 end as h, 64 as w, case when image_id%5=2 then 127 else 65535 end as value_max
+ from planes where not (image_id%7=5 and channel='red')),
+w as (select distinct image_id, unnest(['green','red']) as channel from f),
+s as (select image_id, channel, count(*) as n_pixels, min(y) y0, max(y) y1, min(x) x0, max(x) x1, min(value) lo, max(value) hi from px group by 1,2),
+k as (select image_id, channel from f union select image_id, channel from w union select image_id, channel from s)
+select k.image_id, k.channel, coalesce(n_pixels,0) as n_pixels, case when f.h is null and n_pixels is null then 'missing' when f.h is null then 'undeclared'
+ when y0<0 or x0<0 or y1>=h or x1>=w then 'outside_frame' when lo<0 or hi>value_max then 'outside_type' else 'ok' end as verdict
+from k left join f using (image_id, channel) left join s using (image_id, channel)"""))
 def raster_contract(spark, sf):
+    """Planes against their declaration: some declared but empty, some missing, some not declared."""
     ident = F.col("image_id")
-    frames = table(spark, sf, "supplier").select(F.expr("s_suppkey div 10").alias("image_id")).distinct().select(
-        ident, F.when(ident % 4 == 1, 60).otherwise(64).alias("h"), F.lit(64).alias("w"), F.when(ident % 5 == 2, 127).otherwise(255).alias("value_max")
+    frames = recipe(spark, sf, "planes").filter("not (image_id % 7 = 5 and channel = 'red')").select(
+        *PLANE, F.when(ident % 4 == 1, 60).otherwise(64).alias("h"), F.lit(64).alias("w"), F.when(ident % 5 == 2, 127).otherwise(65535).alias("value_max")
     )
     return raster.raster_contract(recipe(spark, sf, "px"), frames)
 
@@ -106,32 +111,32 @@ def infer_shape(spark, sf):
     return raster.infer_shape(recipe(spark, sf, "px"), PLANE)
 
 
-DENSE = """p as (select distinct image_id, channel from px), dense as (select p.image_id, p.channel, coalesce(px.value,0) as value
+DENSE = """p as (select distinct image_id, channel from planes), dense as (select p.image_id, p.channel, coalesce(px.value,0) as value
 from p cross join range(64) gy(y) cross join range(64) gx(x) left join px on px.image_id=p.image_id and px.channel=p.channel and px.y=gy.y and px.x=gx.x)"""
 POINTS = [0.0, 25.0, 50.0, 75.0, 90.0, 95.0, 99.0, 99.9, 100.0]
 
 
-@query("intensity_diagnostics", duck("px", body=f"""with {DENSE}
+@query("intensity_diagnostics", duck("px", "planes", body=f"""with {DENSE}
 select image_id, channel, count(distinct value) as n_levels, {", ".join(f"round(quantile_cont(value, {p / 100!r}::double),6) as p{str(p).rstrip('0').rstrip('.').replace('.', '_')}" for p in POINTS)} from dense group by 1,2"""))
 def intensity_diagnostics(spark, sf):
-    found = raster.intensity_diagnostics(recipe(spark, sf, "px"), PLANE, 64 * 64, POINTS)
+    found = raster.intensity_diagnostics(recipe(spark, sf, "px"), PLANE, 64 * 64, POINTS, recipe(spark, sf, "planes"))
     return found.select(*PLANE, "n_levels", *[F.round(c, 6).alias(c) for c in found.columns[3:]])
 
 
-@query("top_levels", duck("px", body=f"""with {DENSE}, c as (select image_id, channel, value, count(*) as pixels from dense group by 1,2,3),
+@query("top_levels", duck("px", "planes", body=f"""with {DENSE}, c as (select image_id, channel, value, count(*) as pixels from dense group by 1,2,3),
 r as (select *, cast(row_number() over (partition by image_id, channel order by pixels desc, value desc) as integer) as position from c)
 select image_id, channel, value, pixels, position, pixels*100.0::double/4096 as percent from r where position<=12"""))
 def top_levels(spark, sf):
-    return raster.top_levels(recipe(spark, sf, "px"), PLANE, 64 * 64)
+    return raster.top_levels(recipe(spark, sf, "px"), PLANE, 64 * 64, planes=recipe(spark, sf, "planes"))
 
 
-@query("raster_profile", duck("px", body=f"""with {DENSE} select image_id, channel, min(value) as minimum, max(value) as maximum,
+@query("raster_profile", duck("px", "planes", body=f"""with {DENSE} select image_id, channel, min(value) as minimum, max(value) as maximum,
 count(*) filter (where value=0)/4096::double as zero_fraction, count(*) filter (where value>=255) as saturated_pixels from dense group by 1,2"""))
 def raster_profile(spark, sf):
-    return raster.raster_profile(recipe(spark, sf, "px"), PLANE, 64 * 64)
+    return raster.raster_profile(recipe(spark, sf, "px"), PLANE, 64 * 64, planes=recipe(spark, sf, "planes"))
 
 
-@query("suggest_thresholds", duck("vox", body="""with p as (select distinct image_id, channel from vox),
+@query("suggest_thresholds", duck("vox", "planes", body="""with p as (select distinct image_id, channel from planes),
 dense as (select p.image_id, p.channel, coalesce(v.value,0) as value from p cross join range(7) gz(z) cross join range(32) gy(y) cross join range(32) gx(x)
  left join vox v on v.image_id=p.image_id and v.channel=p.channel and v.z=gz.z and v.y=gy.y and v.x=gx.x),
 q as (select image_id, channel, quantile_cont(value,0.5) as base, quantile_cont(value,0.999) as bright from dense group by 1,2),
@@ -139,7 +144,7 @@ s as (select *, greatest(bright-base, 255*0.025::double) as span from q),
 l as (select *, least(255::double, greatest(1::double, base+0.2::double*span)) as low from s)
 select image_id, channel, round(low,3) as low, round(least(255::double, greatest(low, base+0.5::double*span)),3) as high, 10.0::double as min_volume_um3 from l"""))
 def suggest_thresholds(spark, sf):
-    return raster.suggest_thresholds(recipe(spark, sf, "vox"), PLANE, STACK, 255, SPACING)
+    return raster.suggest_thresholds(recipe(spark, sf, "vox"), PLANE, STACK, 255, SPACING, recipe(spark, sf, "planes"))
 
 
 @query("dilate_square", duck("px", body="""select distinct image_id, channel, cast(y+dy as integer) as y, cast(x+dx as integer) as x
@@ -237,11 +242,11 @@ def depth_profile(spark, sf):
     return raster.depth_profile(recipe(spark, sf, "vox"), rois, STACK)
 
 
-@query("point_lookup", duck("px", body="""with p as (select event_id, user_id%10 as image_id, cast(event_id%70 as integer) as y, cast((event_id*7)%64 as integer) as x from events)
-select p.event_id, p.image_id, p.y, p.x, coalesce(l.label,0) as label from p left join (select image_id, y, x, value//40 as label from px where channel='green' and value>=40) l using (image_id, y, x) where p.y<64"""))
+@query("point_lookup", duck("px", body="""with p as (select event_id, user_id%10 as image_id, case when event_id%2=0 then 'green' else 'red' end as channel, cast(event_id%70 as integer) as y, cast((event_id*7)%64 as integer) as x from events)
+select p.event_id, p.image_id, p.channel, p.y, p.x, coalesce(l.label,0) as label from p left join (select image_id, channel, y, x, value//40 as label from px where value>=40) l using (image_id, channel, y, x) where p.y<64"""))
 def point_lookup(spark, sf):
     points = table(spark, sf, "events").select(
-        "event_id", (F.col("user_id") % 10).alias("image_id"), (F.col("event_id") % 70).cast("int").alias("y"), ((F.col("event_id") * 7) % 64).cast("int").alias("x")
+        "event_id", (F.col("user_id") % 10).alias("image_id"), F.when(F.col("event_id") % 2 == 0, "green").otherwise("red").alias("channel"),
+        (F.col("event_id") % 70).cast("int").alias("y"), ((F.col("event_id") * 7) % 64).cast("int").alias("x"),
     )
-    labels = intensity_labels(spark, sf).filter("channel = 'green'")
-    return raster.point_lookup(points, labels, FRAME).select("event_id", "image_id", "y", "x", "label")
+    return raster.point_lookup(points, intensity_labels(spark, sf), FRAME, keys=PLANE).select("event_id", *PLANE, "y", "x", "label")

@@ -22,31 +22,38 @@ RECIPES = {
     "px": """
 select l_suppkey div 10 as image_id, case when l_linestatus='F' then 'green' else 'red' end as channel,
        cast(l_partkey % 64 as int) as y, cast(l_orderkey % 64 as int) as x,
-       cast(least(255, sum(l_quantity)) as int) as value
+       cast(sum(l_quantity) as int) as value
 from {lineitem} group by 1,2,3,4""",
     # sparse third channel on the same frame
     "blue": """
 select l_suppkey div 10 as image_id, cast(l_partkey % 64 as int) as y, cast(l_orderkey % 64 as int) as x,
        cast(max(l_quantity) as int) as value
-from {lineitem} where l_returnflag='R' and l_linenumber=1 group by 1,2,3""",
+from {lineitem} group by 1,2,3""",
+    # the declared planes: both channels of every field, a third one without any pixel, a field without red
+    "planes": """
+select distinct l_suppkey div 10 as image_id, case when l_linenumber % 2 = 0 then 'green' else 'red' end as channel from {lineitem}
+union all select distinct l_suppkey div 10, 'far' from {lineitem} where (l_suppkey div 10) % 3 = 0
+union all select -1, 'green' from {region} where r_regionkey = 0""",
     # volume, 7x32x32, two channels
     "vox": """
 select l_suppkey div 10 as image_id, case when l_linestatus='F' then 'green' else 'red' end as channel,
        cast(l_linenumber-1 as int) as z, cast(l_partkey % 32 as int) as y, cast(l_orderkey % 32 as int) as x,
-       cast(least(255, sum(l_quantity)) as int) as value
+       cast(sum(l_quantity) as int) as value
 from {lineitem} group by 1,2,3,4,5""",
     # detection centroids on a 1024x1024 frame
     "cent": """
 select l_suppkey div 10 as image_id, case when l_linestatus='F' then 'green' else 'red' end as channel,
        l_orderkey*10+l_linenumber as id, l_extendedprice % 1024 as y,
        (cast(l_orderkey as double)*cast(7.25 as double)+l_partkey) % 1024 as x
-from {lineitem} where l_linenumber<=2""",
+from {lineitem}""",
+    # one field, F99, has no objects
     "fields": """
 select concat('F', cast(n_nationkey as varchar(10))) as image_id,
        concat('R', cast(n_regionkey as varchar(10))) as replicate_id,
        1024 as h, 1024 as w, cast(2.272724609375 as double) as dy, cast(2.272724609375 as double) as dx,
        n_nationkey % 5 <> 0 as ebfp_provided, n_nationkey as seq
-from {nation}""",
+from {nation}
+union all select 'F99', 'R99', 1024, 1024, cast(2.272724609375 as double), cast(2.272724609375 as double), true, 99""",
     # classified objects with empirical p-values
     "obj": """
 select concat('F', cast(n_nationkey as varchar(10))) as image_id,
@@ -57,8 +64,7 @@ select concat('F', cast(n_nationkey as varchar(10))) as image_id,
        case when n_nationkey % 5 <> 0 and o_orderkey % 11 <> 0 then
          cast(1 + (case when o_orderstatus='F' then (o_orderkey*37) % 20 else (o_orderkey*37) % 4000 end) as double)/4001
        end as p
-from {orders} join {customer} on o_custkey=c_custkey join {nation} on c_nationkey=n_nationkey
-where n_nationkey <> 7""",
+from {orders} join {customer} on o_custkey=c_custkey join {nation} on c_nationkey=n_nationkey""",
     # association groups
     "grp": """
 select o.o_orderkey as object_id, concat('F', cast(c_nationkey as varchar(10))) as image_id,

@@ -180,7 +180,8 @@ def test_planes_without_a_pixel_are_measured(spark):
     assert by(raster.suggest_thresholds(px, keys, (1, 2, 2), 255, (1.0, 1.0, 1.0), planes)).keys() == {(1, "green"), (1, "red"), (2, "green")}
     assert by(raster.histogram(px, keys, 4))[2, "green"] == (0, 4)
     frames = planes.selectExpr("*", "2 as h", "2 as w", "255 as value_max")
-    assert {k: v[-1] for k, v in by(raster.raster_contract(px, frames)).items()} == {(1, "green"): "ok", (1, "red"): "empty", (2, "green"): "ok"}
+    assert {k: v[-1] for k, v in by(raster.raster_contract(px, frames)).items()} == {(1, "green"): "ok", (1, "red"): "ok", (2, "green"): "ok", (2, "red"): "missing"}
+    assert by(raster.raster_contract(px, frames.filter("image_id = 2")))[1, "green"] == (2, "undeclared")
 
 
 def test_whole_run_with_and_without_signal(spark, tmp_path):
