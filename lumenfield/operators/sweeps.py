@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import percent
 from lumenfield.operators import regions
-from lumenfield.operators.components import label_components
 from lumenfield.operators.matching import admissible_pairs, one_to_one
+from lumenfield.operators.trees import component_tree, tree_regions
 from lumenfield.session import cut
 
 Setting = tuple[str, float, float, int]  # name, low, high, min_area
@@ -32,24 +32,35 @@ def sweep_segments(
     px: DataFrame, settings: Mapping[str, Sequence[Setting]], shape: tuple[int, int], split: bool = False,
     peak_window: int = 7, min_distance: float = 6, keys: Sequence[str] = ("image_id", "channel"),
 ) -> tuple[DataFrame, DataFrame]:
-    """(label pixels, regions) keyed by image, channel and setting; whole components unless ``split``."""
-    keys = [*keys, "setting"]
-    swept = with_settings(px.withColumn("raw", F.col("value")), settings)
+    """(label pixels, regions) keyed by image, channel and setting; whole components unless ``split``.
+
+    Whole components of all settings come from one component tree; its pixels are labelled
+    once, and the regions of each setting are rows of the tree.
+    """
     if split:
+        keys = [*keys, "setting"]
+        swept = with_settings(px.withColumn("raw", F.col("value")), settings)
         limits = {c: F.col(c) for c in ("low", "high", "min_area")}
-        all_keys = [*keys, *limits]
-        return regions.segment(swept, all_keys, *limits.values(), shape, peak_window, min_distance, True)
-    labels = label_components(swept.filter("value >= low"), keys)
-    sized = labels.groupBy(*keys, "root").agg(
-        F.count("*").alias("n"), F.max("value").alias("top"), F.first("high").alias("_high"), F.first("min_area").alias("_area"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-    )
+        return regions.segment(swept, [*keys, *limits], *limits.values(), shape, peak_window, min_distance, True)
+    keys = list(keys)
+    lows = {channel: sorted({float(low) for _, low, _, _ in options}) for channel, options in settings.items()}
+    levels, rules = F.lit(None).cast("array<double>"), None
+    for channel, options in settings.items():
+        here = F.col("channel") == channel
+        levels = F.when(here, F.array(*[F.lit(low) for low in lows[channel]])).otherwise(levels)
+        rows = F.array(*[
+            F.struct(F.lit(n).alias("setting"), F.lit(lows[channel].index(float(low)) + 1).alias("_level"), F.lit(float(high)).alias("high"), F.lit(int(area)).alias("min_area"))
+            for n, low, high, area in options
+        ])
+        rules = F.when(here, rows) if rules is None else rules.when(here, rows)
+    pixels, paths = component_tree(px.filter(F.col("channel").isin(*settings)), keys, levels)
+    found = tree_regions(pixels, paths, keys).withColumn("_rule", F.explode(rules)).filter(F.col("_rule._level") == F.col("level"))
     edge = (F.col("y0") == 0) | (F.col("x0") == 0) | (F.col("y1") == shape[0] - 1) | (F.col("x1") == shape[1] - 1)
-    good = sized.filter((F.col("n") >= F.col("_area")) & (F.col("top") >= F.col("_high")) & ~edge).select(*keys, "root")
-    kept = cut(labels.join(good, [*keys, "root"], "left_semi"))
-    props = regions.dense_ids(regions.region_props(kept, keys, ["root"]), keys, ["root"])
-    props = cut(props)
-    return kept.join(props.select(*keys, "root", "id"), [*keys, "root"]), props
+    good = found.filter((F.col("n") >= F.col("_rule.min_area")) & (F.col("top") >= F.col("_rule.high")) & ~edge)
+    good = good.select(*keys, F.col("_rule.setting").alias("setting"), "level", "root", "y", "x", F.col("n").alias("area"), F.col("top").alias("peak_contrast"))
+    props = cut(regions.dense_ids(good, [*keys, "setting"], ["root"]))
+    named = paths.join(props.select(*keys, "setting", "level", "root", "id"), [*keys, "level", "root"]).select(*keys, "depth", "node", "setting", "id")
+    return pixels.join(named, [*keys, "depth", "node"]).drop("depth", "node"), props.drop("level", "root")
 
 
 def sweep_counts(

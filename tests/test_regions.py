@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import naive
-from lumenfield.operators import components, raster, regions
+from lumenfield.operators import components, raster, regions, trees
 
 PX = "image_id bigint, channel string, y int, x int, value double"
 VX = "image_id bigint, channel string, z int, y int, x int, value double"
@@ -163,3 +163,26 @@ def test_a_saturated_plateau_takes_few_jobs(spark):
     assert len(kept) > 256 * 256 / 36 and (255, 255) in {(r.y, r.x) for r in kept}
     near = {(r.y, r.x) for r in kept}
     assert not any((y + a, x + b) in near for y, x in near for a in range(6) for b in range(-5, 6) if (a or b) and a * a + b * b < 36)
+
+
+@pytest.mark.parametrize("tile", [{"y": 5, "x": 7}, None])
+def test_component_tree_holds_the_components_of_every_level(spark, tile):
+    rng = np.random.default_rng(12)
+    z = np.ceil(naive.gaussian(rng.random((23, 30)), 0.8) * 20)
+    lows = [8.0, 9.0, 11.0, 12.0, 50.0]
+    both = frame(spark, z).unionByName(spark.createDataFrame(naive.pixels(z.max() - z, channel="red"), PX))
+    pixels, paths = trees.component_tree(both, KEYS, F.array(*[F.lit(v) for v in lows]), tile=tile)
+    assert pixels.count() == pixels.select(*KEYS, "y", "x").distinct().count()
+    members = pixels.join(paths, [*KEYS, "depth", "node"]).collect()
+    table = {(r.channel, r.level, r.root): r for r in trees.tree_regions(pixels, paths, KEYS).collect()}
+    for channel, plane in (("green", z), ("red", z.max() - z)):
+        for level, low in enumerate(lows, 1):
+            here = [r for r in members if r.channel == channel and r.level == level]
+            same_partition(as_array([{"y": r.y, "x": r.x, "v": r.root + 1} for r in here], z.shape, "v"), naive.components(plane >= low))
+            for root in {r.root for r in here}:
+                ys, xs = np.array([(r.y, r.x) for r in here if r.root == root]).T
+                row, v = table.pop((channel, level, root)), plane[ys, xs]
+                assert root == min((y << 21) + x for y, x in zip(ys.tolist(), xs.tolist()))
+                assert (row.n, row.top, row.y0, row.y1, row.x0, row.x1) == (len(ys), v.max(), ys.min(), ys.max(), xs.min(), xs.max())
+                assert (row.y, row.x) == (pytest.approx(np.average(ys, weights=v)), pytest.approx(np.average(xs, weights=v)))
+    assert not table
