@@ -42,11 +42,30 @@ def manifest_violations(spark, sf):
     return manifest.violations(recipe(spark, sf, "manifest"))
 
 
+def plane_files(spark, sf):
+    """A folder with an array file for each declared plane, empty ones too."""
+    folder = work_path(spark, "planes")
+    written = arrays.write_planes(recipe(spark, sf, "px"), recipe(spark, sf, "planes"), (64, 64), folder)
+    audits.write_table(written, f"{folder}-list")
+    return folder
+
+
+def tail(path):
+    return F.regexp_extract(path, "([^/]*/[^/]*)$", 1).alias("path")
+
+
 @query("npy_scan", duck("px", body="""select image_id||'/'||channel||'.npy' as path, case when max(value) over (partition by image_id, channel)<256 then 'uint8' else 'uint16' end as dtype, 0 as z, y, x, value from px"""))
 def npy_scan(spark, sf):
-    """Planes written as array payloads, read back through the array scan."""
-    payloads = arrays.encode_planes(recipe(spark, sf, "px"), (64, 64))
-    return arrays.decode_arrays(payloads)
+    """Planes written as array files, read back by ranges of rows."""
+    return arrays.scan_arrays(spark, plane_files(spark, sf), 1 << 10).select(tail("path"), "dtype", "z", "y", "x", "value")
+
+
+@query("npy_headers", duck("px", "planes", body="""select image_id||'/'||channel||'.npy' as path, case when coalesce(max(value),0)<256 then 'uint8' else 'uint16' end as dtype, 64::bigint as h, 64::bigint as w
+from (select distinct image_id, channel from planes) left join px using (image_id, channel) group by image_id, channel"""))
+def npy_headers(spark, sf):
+    """Type and shape of every array file, those without a non-zero pixel too."""
+    kind = F.when(F.substring("dtype", 3, 1) == "1", "uint8").otherwise("uint16").alias("dtype")
+    return arrays.array_headers(spark, plane_files(spark, sf)).select(tail("path"), kind, F.col("shape")[0].alias("h"), F.col("shape")[1].alias("w"))
 
 
 @query("series_catalog", duck("series", body="""with v as (select *, case

@@ -1,7 +1,5 @@
 """Roll-ups, review bounds, manifests, ids, audits, array files, streams and whole runs."""
 
-import io
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,17 +117,48 @@ def test_manifest_scan(spark, tmp_path):
 
 
 def test_array_files(spark, tmp_path):
-    volume = np.zeros((2, 3, 4), np.uint16)
-    volume[1, 2, 3] = 999
-    np.save(tmp_path / "a.npy", volume)
-    np.save(tmp_path / "b.npy", np.eye(3, dtype=np.uint8))
-    rows = arrays.scan_arrays(spark, str(tmp_path)).collect()
-    assert sorted((r.path[-5:], r.z, r.y, r.x, r.value) for r in rows) == [("a.npy", 1, 2, 3, 999), *[("b.npy", 0, i, i, 1) for i in range(3)]]
-    buffer = io.BytesIO()
-    np.save(buffer, np.ones((2, 2)))
-    bad = spark.createDataFrame([("c.npy", bytearray(buffer.getvalue()))], "path string, content binary")
-    with pytest.raises(Exception, match="uint8/uint16"):
-        arrays.decode_arrays(bad).collect()
+    rng = np.random.default_rng(5)
+    arrays_ = {
+        "a": np.zeros((2, 3, 4), np.uint16), "b": np.eye(3, dtype=np.uint8), "zero": np.zeros((4, 5), np.uint8), "big": rng.integers(0, 3, (7, 9, 11)).astype(">u2"),
+        "fortran": np.asfortranarray(rng.integers(0, 3, (4, 5, 6)).astype(np.uint8)), "flat": np.asfortranarray(rng.integers(0, 3, (4, 5)).astype(np.uint16)),
+    }
+    arrays_["a"][1, 2, 3] = 999
+    (tmp_path / "in/deeper").mkdir(parents=True)
+    for name, array in arrays_.items():
+        np.save(tmp_path / f"in/deeper/{name}.npy", array)
+    for budget in (1, 50, 1 << 20):
+        got = arrays.scan_arrays(spark, str(tmp_path / "in"), budget).collect()
+        for name, array in arrays_.items():
+            volume = array if array.ndim == 3 else array[None]
+            mine = [(r.z, r.y, r.x, r.value) for r in got if r.path.endswith(f"/{name}.npy")]
+            assert sorted(mine) == [(*map(int, p), int(volume[tuple(p)])) for p in np.argwhere(volume)]
+    heads = {r.path.rsplit("/", 1)[1]: tuple(r.shape) for r in arrays.array_headers(spark, str(tmp_path / "in")).collect()}
+    assert heads == {f"{name}.npy": array.shape for name, array in arrays_.items()}
+
+
+@pytest.mark.parametrize("array", [np.zeros(3, np.uint8), np.zeros((2, 2), np.int32), np.zeros((0, 2), np.uint8), np.array([["a"]], object)])
+def test_other_array_files_are_refused(spark, tmp_path, array):
+    np.save(tmp_path / "x.npy", array, allow_pickle=True)
+    with pytest.raises(Exception, match="expected a nonempty uint8/uint16 plane or volume"):
+        arrays.scan_arrays(spark, str(tmp_path)).collect()
+
+
+def test_a_cut_array_file_is_refused(spark, tmp_path):
+    np.save(tmp_path / "x.npy", np.ones((30, 30), np.uint8))
+    whole = (tmp_path / "x.npy").read_bytes()
+    (tmp_path / "x.npy").write_bytes(whole[:-1])
+    with pytest.raises(Exception, match="do not hold the array"):
+        arrays.scan_arrays(spark, str(tmp_path)).collect()
+
+
+def test_a_volume_is_read_by_ranges(spark, tmp_path):
+    # sparse file: 3 GB of zeros but for its last planes
+    volume = np.lib.format.open_memmap(tmp_path / "v.npy", "w+", np.uint16, (1500, 1024, 1024))
+    volume[-1, 5, 6], volume[700, 0, 1023] = 7, 9
+    volume.flush()
+    del volume
+    got = arrays.scan_arrays(spark, str(tmp_path)).collect()
+    assert sorted((r.z, r.y, r.x, r.value) for r in got) == [(700, 0, 1023, 9), (1499, 5, 6, 7)]
 
 
 def test_sinks_refuse_existing_targets(spark, tmp_path):
