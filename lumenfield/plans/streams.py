@@ -27,14 +27,16 @@ def event_stream(spark, sf):
 def stream_projection(spark, sf):
     planes = work_path(spark, "planes")
     voxels = recipe(spark, sf, "vox")
-    voxels.repartition(4, "z").write.parquet(planes)
-    stream = spark.readStream.schema(voxels.schema).option("maxFilesPerTrigger", 2).parquet(planes)
+    voxels.repartition("image_id", "z").write.parquet(planes)
+    # three micro-batches
+    files = len(spark.read.parquet(planes).inputFiles())
+    stream = spark.readStream.schema(voxels.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(planes)
     return jobs.stream_projection(stream, PLANE, *folders(spark, "projection"))
 
 
 @query("stream_new_fields", "select distinct sha256(concat_ws(':',cast(user_id as varchar),event_type)) as fingerprint, user_id, event_type from events")
 def stream_new_fields(spark, sf):
-    return jobs.stream_new_fields(event_stream(spark, sf), ["user_id", "event_type"], "ts", "1 hour", *folders(spark, "fields"))
+    return jobs.stream_new_fields(event_stream(spark, sf), ["user_id", "event_type"], *folders(spark, "fields"))
 
 
 @query("stream_reviews", duck("grp", body=f"""with

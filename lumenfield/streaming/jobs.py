@@ -1,8 +1,9 @@
 """Structured Streaming variants: projection as planes arrive, field intake, review feed.
 
-Every job writes one folder per micro-batch and overwrites it when the batch is replayed,
-so results are the same after a restart. Readers combine the folders with the same
-idempotent aggregate the job uses (maximum, first fingerprint, last revision).
+Every job keeps its table as snapshots and deltas: a micro-batch writes its own delta, and
+every ``EVERY``-th one merges what is there into a new snapshot. Deltas and snapshots have a
+fixed number of folders, used in turn and overwritten, so the table stays compact however
+long the stream runs, and a batch that is replayed after a restart writes the same again.
 """
 
 from __future__ import annotations
@@ -16,70 +17,86 @@ from pyspark.sql import types as T
 from lumenfield.functions.scalars import fingerprint
 from lumenfield.operators.review import latest
 
-#: folders of published fingerprints in a micro-batch
+#: micro-batches from one snapshot to the next
+EVERY = 8
+#: folders of published fingerprints in a delta or snapshot
 BUCKETS = 64
 
-BatchWriter = Callable[[DataFrame, int], None]
 
+class Snapshots:
+    """A table below ``folder`` that micro-batches add to; ``merge`` makes one row of each key of all rows added."""
 
-def append_batches(folder: str) -> BatchWriter:
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, merge: Callable[[DataFrame], DataFrame], every: int = EVERY, partition: Sequence[str] = ()) -> None:
+        self.spark, self.folder, self.merge, self.every, self.partition = spark, folder, merge, every, list(partition)
+        self.columns = schema.fieldNames()
+        self.schema = T.StructType([*schema, T.StructField("_batch", T.LongType()), T.StructField("_kind", T.StringType()), T.StructField("_slot", T.IntegerType())])
+        # readers find a folder from the start on
+        nothing = spark.createDataFrame([], T.StructType([f for f in self.schema[:-2] if f.name not in self.partition]))
+        nothing.write.mode("ignore").parquet("/".join([folder, "_kind=delta", "_slot=-1", *(f"{name}=-1" for name in self.partition)]))
 
-    return write
+    def rows(self, upto: int | None = None, snapshot_before: int | None = None) -> DataFrame:
+        """All live rows of batches before ``upto``, not merged, from the last snapshot before ``snapshot_before`` on."""
+        found = self.spark.read.schema(self.schema).parquet(self.folder)
+        if upto is not None:
+            found = found.filter(F.col("_batch") < upto)
+        taken = F.col("_kind") == "snapshot"
+        last = found.filter(taken if snapshot_before is None else taken & (F.col("_batch") < snapshot_before)).agg(F.max("_batch")).first()[0]
+        last = -1 if last is None else last
+        return found.filter((taken & (F.col("_batch") == last)) | (~taken & (F.col("_batch") > last))).select(self.columns)
 
+    def read(self) -> DataFrame:
+        return self.merge(self.rows())
 
-def run_available(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str) -> None:
+    def add(self, rows: DataFrame, number: int) -> None:
+        self._write(rows, number, f"_kind=delta/_slot={number % self.every}")
+        if (number + 1) % self.every == 0:
+            # the two snapshot folders take turns: what is merged is never what is overwritten
+            self._write(self.merge(self.rows(number + 1, number)), number, f"_kind=snapshot/_slot={number // self.every % 2}")
+
+    def _write(self, rows: DataFrame, number: int, place: str) -> None:
+        writer = rows.select(self.columns).withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite")
+        (writer.partitionBy(*self.partition) if self.partition else writer).parquet(f"{self.folder}/{place}")
+
+
+def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process everything that is there and stop."""
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder).drop("batch")
+def keep(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> DataFrame:
+    """The merge of all rows of the stream so far; ``merge`` must not mind rows that come again or late."""
+    table = Snapshots(stream.sparkSession, folder, merge(stream).schema, merge)
+    run_available(stream, lambda batch, number: table.add(merge(batch), number), checkpoint)
+    return table.read()
 
 
 def stream_projection(planes: DataFrame, keys: Sequence[str], folder: str, checkpoint: str) -> DataFrame:
-    """Running maximum per pixel while planes arrive; returns the projection seen so far."""
-    running = planes.groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
-    run_available(running, append_batches(folder), checkpoint, "update")
-    updates = read_batches(planes.sparkSession, folder, running.schema)
-    return updates.groupBy(*keys, "y", "x").agg(F.max("value").alias("value"))
+    """Maximum per pixel while planes arrive; returns the projection seen so far."""
+    return keep(planes, lambda rows: rows.groupBy(*keys, "y", "x").agg(F.max("value").alias("value")), folder, checkpoint)
 
 
-def stream_new_fields(
-    feed: DataFrame, parts: Sequence[str], time: str, delay: str, folder: str, checkpoint: str
-) -> DataFrame:
-    """Publish each field fingerprint once, however late it comes; no state is kept, so ``delay`` bounds nothing.
+def stream_new_fields(feed: DataFrame, parts: Sequence[str], folder: str, checkpoint: str) -> DataFrame:
+    """Publish each field fingerprint once, however late it comes.
 
     A micro-batch is freed of its own repeats and of what is published; it reads only the
     buckets of fingerprints that it holds.
     """
-    spark = feed.sparkSession
-    marked = feed.withColumns({"fingerprint": fingerprint(*[F.col(p) for p in parts]), time: F.col(time).cast("timestamp")})
-    fresh = marked.select("fingerprint", *parts)
-    schema = T.StructType([*fresh.schema, T.StructField("batch", T.IntegerType()), T.StructField("_bucket", T.IntegerType())])
+    marked = feed.select(fingerprint(*[F.col(p) for p in parts]).alias("fingerprint"), *parts)
+    marked = marked.withColumn("_bucket", F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int") % BUCKETS)
+    table = Snapshots(feed.sparkSession, folder, marked.schema, lambda rows: rows, partition=["_bucket"])
 
     def publish(batch: DataFrame, number: int) -> None:
-        bucket = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int") % BUCKETS
-        todo = batch.dropDuplicates(["fingerprint"]).withColumn("_bucket", bucket).persist()
-        fresh_rows = todo
-        if number:
-            own = [r["_bucket"] for r in todo.select("_bucket").distinct().collect()]
-            published = spark.read.schema(schema).parquet(folder)
-            done = published.filter((F.col("batch") < number) & F.col("_bucket").isin(own)).select("fingerprint")
-            fresh_rows = todo.join(done, "fingerprint", "left_anti")
-        fresh_rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/batch={number}")
+        todo = batch.dropDuplicates(["fingerprint"]).persist()
+        own = [r["_bucket"] for r in todo.select("_bucket").distinct().collect()]
+        done = table.rows(number, number).filter(F.col("_bucket").isin(own)).select("fingerprint")
+        table.add(todo.join(done, "fingerprint", "left_anti").repartition("_bucket"), number)
         todo.unpersist()
 
-    run_available(fresh, publish, checkpoint, "append")
-    return read_batches(spark, folder, schema).drop("_bucket")
+    run_available(marked, publish, checkpoint)
+    return table.read().drop("_bucket")
 
 
 def stream_latest(feed: DataFrame, keys: Sequence[str], order: str, folder: str, checkpoint: str) -> DataFrame:
-    """Last revision per key, kept as streaming state and written on every change."""
-    current = latest(feed, keys, order)
-    run_available(current, append_batches(folder), checkpoint, "update")
-    return latest(read_batches(feed.sparkSession, folder, current.schema), keys, order)
+    """Last revision per key of everything the feed has brought."""
+    return keep(feed, lambda rows: latest(rows, keys, order), folder, checkpoint)

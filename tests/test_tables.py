@@ -184,7 +184,7 @@ def test_stream_publishes_each_field_once(spark, tmp_path):
         rows = [(k, f"2024-01-0{i + 1} 0{k}:00:00") for k in range(i, i + 4)]
         spark.createDataFrame(rows, "field int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("field int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = jobs.stream_new_fields(stream, ["field"], "ts", "10 minutes", str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = jobs.stream_new_fields(stream, ["field"], str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r.field for r in got.collect()) == list(range(6))
 
 
@@ -194,7 +194,7 @@ def test_stream_publishes_a_new_field_however_late(spark, tmp_path):
         rows = [(k, f"{day} 00:00:00") for k in fields]
         spark.createDataFrame(rows, "field int, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema("field int, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    got = jobs.stream_new_fields(stream, ["field"], "ts", "10 minutes", str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = jobs.stream_new_fields(stream, ["field"], str(tmp_path / "out"), str(tmp_path / "cp"))
     assert got.columns == ["fingerprint", "field"] and sorted(r.field for r in got.collect()) == [1, 2, 3, 9]
 
 
@@ -255,3 +255,31 @@ def test_repeated_keys_are_named_whatever_the_order(spark):
         assert {tuple(r) for r in audits.verify_digests(*sides, "path").collect()} == want
         cells = audits.golden_diff(*sides, ["path"], [], ["sha"]).collect()
         assert {tuple(r) for r in cells} == {(k, {"changed": "sha", "unexpected": "row_missing"}.get(w, w)) for k, w in want if w != "ok"} and len(cells) == 5
+
+
+def test_stream_tables_stay_compact_over_restarts(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    seen, every = {}, 3
+    source, folder = tmp_path / "in", tmp_path / "out"
+    merge = lambda rows: rows.groupBy("k").agg(F.max("v").alias("v"))
+    table = jobs.Snapshots(spark, str(folder), spark.createDataFrame([], "k int, v int").schema, merge, every)
+    for number in range(11):
+        rows = [(int(k), int(v)) for k, v in rng.integers(0, 30, (8, 2))]
+        for k, v in rows:
+            seen[k] = max(v, seen.get(k, v))
+        batch = spark.createDataFrame(rows, "k int, v int")
+        table.add(merge(batch), number)
+        if number % 4 != 1:
+            # replayed after a restart, by a new object
+            table = jobs.Snapshots(spark, str(folder), batch.schema, merge, every)
+            table.add(merge(batch), number)
+        assert {r.k: r.v for r in table.read().collect()} == seen
+        assert len(list(folder.glob("_kind=*/_slot=*"))) <= every + 3
+    # the same through a stream that is stopped and started again
+    for turn in range(2):
+        for i in range(10):
+            spark.createDataFrame([(turn * 10 + i % 4, i)], "k int, v int").coalesce(1).write.parquet(str(source / f"{turn}-{i}"))
+        stream = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(str(source / "*"))
+        got = jobs.keep(stream, merge, str(tmp_path / "kept"), str(tmp_path / "cp"))
+    assert {r.k: r.v for r in got.collect()} == {0: 8, 1: 9, 2: 6, 3: 7, 10: 8, 11: 9, 12: 6, 13: 7}
+    assert len(list((tmp_path / "kept").glob("_kind=*/_slot=*"))) <= jobs.EVERY + 3
