@@ -37,10 +37,12 @@ def connected_components_3d(spark, sf):
     return out
 
 
-@query("distance_to_background", duck("vox", body=f"""with recursive {FACES},
-o as (select dz, dy, dx, sqrt(dz*dz*4.0::double+(dy*dy+dx*dx)*0.25::double) as d from range(-7,8) a(dz), range(-12,13) b(dy), range(-12,13) c(dx) where dz*dz*4+(dy*dy+dx*dx)*0.25<=9 and not (dz=0 and dy=0 and dx=0))
-select l.image_id, l.channel, l.root, l.z, l.y, l.x, round(min(o.d),8) as distance from vlab l cross join o left join vlab m on m.image_id=l.image_id and m.channel=l.channel and m.root=l.root and m.z=l.z+o.dz and m.y=l.y+o.dy and m.x=l.x+o.dx
-where m.root is null group by 1,2,3,4,5,6"""))
+DISTANCES = """o as (select dz, dy, dx, sqrt(dz*dz*4.0::double+(dy*dy+dx*dx)*0.25::double) as d from range(-7,8) a(dz), range(-12,13) b(dy), range(-12,13) c(dx) where dz*dz*4+(dy*dy+dx*dx)*0.25<=9 and not (dz=0 and dy=0 and dx=0)),
+vdist as (select l.image_id, l.channel, l.root, l.z, l.y, l.x, min(o.d) as d from vlab l cross join o left join vlab m on m.image_id=l.image_id and m.channel=l.channel and m.root=l.root and m.z=l.z+o.dz and m.y=l.y+o.dy and m.x=l.x+o.dx
+where m.root is null group by 1,2,3,4,5,6)"""
+
+
+@query("distance_to_background", duck("vox", body=f"with recursive {FACES}, {DISTANCES} select image_id, channel, root, z, y, x, round(d,8) as distance from vdist"))
 def distance_to_background(spark, sf):
     labels = label_components(bright_voxels(spark, sf), PLANE, volume.AXES, "faces")
     found = raster.distance_to_background(labels, PLANE, PITCH)
@@ -66,6 +68,26 @@ def local_maxima_3d(spark, sf):
     return regions.plateau_peaks(maxima, PLANE, PITCH, "full").select(*PLANE, "root", "z", "y", "x", "value")
 
 
+def grown_cte(p: str, ranked: str, lab: str, near: str, touching: str) -> str:
+    """Greedy thinning of ``ranked`` peaks and the flood of ``lab``, first come first served, as recursive SQL; ends in ``<p>pc``."""
+    return f"""
+{p}wk as (select image_id, channel, root, n, true as kept, z, y, x, value, [{{'z': z, 'y': y, 'x': x}}] as acc from {ranked} where n=1
+ union all select r.image_id, r.channel, r.root, r.n, len(list_filter(w.acc, lambda p: {near}))=0, r.z, r.y, r.x, r.value,
+ case when len(list_filter(w.acc, lambda p: {near}))=0 then list_append(w.acc, {{'z': r.z, 'y': r.y, 'x': r.x}}) else w.acc end
+ from {p}wk w join {ranked} r on r.image_id=w.image_id and r.channel=w.channel and r.root=w.root and r.n=w.n+1),
+{p}sd as (select *, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as j, count(*) over (partition by image_id, channel, root) as total from {p}wk where kept),
+{p}cl as (select image_id, channel, root, list({{'z': z, 'y': y, 'x': x, 'v': value}}) as cells from {lab} where (image_id, channel, root) in (select image_id, channel, root from {p}sd where total>1) group by all),
+{p}fl as (select image_id, channel, root, 0 as age, list({{'l': -value, 'a': 0, 'j': j, 'z': z, 'y': y, 'x': x}}) as queue, list({{'z': z, 'y': y, 'x': x, 'j': j}}) as own from {p}sd where total>1 group by all
+ union all select image_id, channel, root, age+len(fresh)::integer, list_concat(list_sort(queue)[2:], list_transform(fresh, lambda c, i: {{'l': -c.v, 'a': age+i::integer, 'j': pop.j, 'z': c.z, 'y': c.y, 'x': c.x}})),
+  list_concat(own, list_transform(fresh, lambda c: {{'z': c.z, 'y': c.y, 'x': c.x, 'j': pop.j}}))
+ from (select u.*, list_sort(list_transform(list_filter(u.cells, lambda c: {touching} and not list_contains(u.taken, (c.z*4096+c.y)*4096+c.x)),
+   lambda c: {{'far': abs(c.z-u.pop.z)+abs(c.y-u.pop.y)+abs(c.x-u.pop.x), 'z': c.z, 'y': c.y, 'x': c.x, 'v': c.v}})) as fresh
+  from (select t.*, m.cells, list_sort(t.queue)[1] as pop, list_transform(t.own, lambda o: (o.z*4096+o.y)*4096+o.x) as taken from {p}fl t join {p}cl m using (image_id, channel, root) where len(t.queue)>0) u) s),
+{p}ow as (select image_id, channel, root, unnest(own) as o from {p}fl where len(queue)=0),
+{p}pc as (select image_id, channel, root, o.z as z, o.y as y, o.x as x, o.j as seed from {p}ow
+ union all select l.image_id, l.channel, l.root, l.z, l.y, l.x, 1 from {lab} l join {p}sd s on s.image_id=l.image_id and s.channel=l.channel and s.root=l.root and s.total=1)"""
+
+
 # planar controls: window 3 px (one plane), peaks 3 px = 1.5 um apart, sections of two pixels
 V_NEAR = "((p.z-r.z)*(p.z-r.z)*4::double+((p.y-r.y)*(p.y-r.y)+(p.x-r.x)*(p.x-r.x))*0.25::double)<2.25::double"
 V_SPLIT = f"""{V_PEAKS},
@@ -74,21 +96,7 @@ vpk as (select p.image_id, p.channel, p.component as root, p.z, p.y, p.x, p.valu
 vfb as (select image_id, channel, root, z, y, x, value from (select l.*, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as k from vlab l join vcomp using (image_id, channel, root) join vsec using (image_id, channel, root)
  where (image_id, channel, root) not in (select image_id, channel, root from vpk)) where k=1),
 vrk as (select *, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as n from (select * from vpk union all select * from vfb)),
-vwk as (select image_id, channel, root, n, true as kept, z, y, x, value, [{{'z': z, 'y': y, 'x': x}}] as acc from vrk where n=1
- union all select r.image_id, r.channel, r.root, r.n, len(list_filter(w.acc, lambda p: {V_NEAR}))=0, r.z, r.y, r.x, r.value,
- case when len(list_filter(w.acc, lambda p: {V_NEAR}))=0 then list_append(w.acc, {{'z': r.z, 'y': r.y, 'x': r.x}}) else w.acc end
- from vwk w join vrk r on r.image_id=w.image_id and r.channel=w.channel and r.root=w.root and r.n=w.n+1),
-vsd as (select *, row_number() over (partition by image_id, channel, root order by value desc, z, y, x) as j, count(*) over (partition by image_id, channel, root) as total from vwk where kept),
-vcl as (select image_id, channel, root, list({{'z': z, 'y': y, 'x': x, 'v': value}}) as cells from vlab where (image_id, channel, root) in (select image_id, channel, root from vsd where total>1) group by all),
-vfl as (select image_id, channel, root, 0 as age, list({{'l': -value, 'a': 0, 'j': j, 'z': z, 'y': y, 'x': x}}) as queue, list({{'z': z, 'y': y, 'x': x, 'j': j}}) as own from vsd where total>1 group by all
- union all select image_id, channel, root, age+len(fresh)::integer, list_concat(list_sort(queue)[2:], list_transform(fresh, lambda c, i: {{'l': -c.v, 'a': age+i::integer, 'j': pop.j, 'z': c.z, 'y': c.y, 'x': c.x}})),
-  list_concat(own, list_transform(fresh, lambda c: {{'z': c.z, 'y': c.y, 'x': c.x, 'j': pop.j}}))
- from (select u.*, list_sort(list_transform(list_filter(u.cells, lambda c: abs(c.z-u.pop.z)<=1 and abs(c.y-u.pop.y)<=1 and abs(c.x-u.pop.x)<=1 and not list_contains(u.taken, (c.z*4096+c.y)*4096+c.x)),
-   lambda c: {{'far': abs(c.z-u.pop.z)+abs(c.y-u.pop.y)+abs(c.x-u.pop.x), 'z': c.z, 'y': c.y, 'x': c.x, 'v': c.v}})) as fresh
-  from (select t.*, m.cells, list_sort(t.queue)[1] as pop, list_transform(t.own, lambda o: (o.z*4096+o.y)*4096+o.x) as taken from vfl t join vcl m using (image_id, channel, root) where len(t.queue)>0) u) s),
-vow as (select image_id, channel, root, unnest(own) as o from vfl where len(queue)=0),
-vpc as (select image_id, channel, root, o.z as z, o.y as y, o.x as x, o.j as seed from vow
- union all select l.image_id, l.channel, l.root, l.z, l.y, l.x, 1 from vlab l join vsd s on s.image_id=l.image_id and s.channel=l.channel and s.root=l.root and s.total=1),
+{grown_cte("v", "vrk", "vlab", V_NEAR, "abs(c.z-u.pop.z)<=1 and abs(c.y-u.pop.y)<=1 and abs(c.x-u.pop.x)<=1")},
 vpv as (select p.*, l.value from vpc p join vlab l using (image_id, channel, root, z, y, x)),
 vok as (select image_id, channel, root, seed from (select image_id, channel, root, seed, z, count(*) as n, max(value) as top from vpv group by all) group by all having sum(n)>={ZAREA} and max(n)>={ZAREA} and max(top)>={ZHIGH}),
 vid as (select *, row_number() over (partition by image_id, channel order by root, seed) as id from vok)"""
@@ -101,7 +109,24 @@ def seeded_split_3d(spark, sf):
     return shared.select(*PLANE, "z", "y", "x", "id")
 
 
-@query("seeded_split_3d_raw")
+# seeds 2 um apart, objects of two voxels (1 um3)
+R_NEAR = V_NEAR.replace("2.25::double", "4.0::double")
+R_SPLIT = f"""{FACES}, {DISTANCES},
+rgood as (select image_id, channel, root from vlab group by all having count(*)>=2 and max(value)>={ZHIGH}),
+rlab as (select d.image_id, d.channel, d.root, d.z, d.y, d.x, d.d as value from vdist d join rgood using (image_id, channel, root)),
+rmax as (select image_id, channel, root as component, z, y, x, value from rlab c where not exists (select 1 from rlab q where q.image_id=c.image_id and q.channel=c.channel and q.root=c.root
+ and abs(q.z-c.z)<=1 and abs(q.y-c.y)<=1 and abs(q.x-c.x)<=1 and q.value>c.value)),
+{cc_cte('rmax', 'rplat', 'zyx', 'faces', 'image_id, channel, component')},
+rpm as (select *, avg(z) over w as mz, avg(y) over w as my, avg(x) over w as mx from rplat window w as (partition by image_id, channel, component, root)),
+rpr as (select *, row_number() over (partition by image_id, channel, component, root order by round((z-mz)*(z-mz)*4::double+((y-my)*(y-my)+(x-mx)*(x-mx))*0.25::double,9), z, y, x) as rn from rpm),
+rrk as (select image_id, channel, component as root, z, y, x, value, row_number() over (partition by image_id, channel, component order by value desc, z, y, x) as n from rpr where rn=1),
+{grown_cte("r", "rrk", "rlab", R_NEAR, "abs(c.z-u.pop.z)+abs(c.y-u.pop.y)+abs(c.x-u.pop.x)=1")},
+rpv as (select p.*, l.value from rpc p join vlab l using (image_id, channel, root, z, y, x)),
+rok as (select image_id, channel, root, seed from rpv group by all having count(*)>=2 and max(value)>={ZHIGH}),
+rid as (select *, row_number() over (partition by image_id, channel order by root, seed) as id from rok)"""
+
+
+@query("seeded_split_3d_raw", duck("vox", body=f"with recursive {R_SPLIT} select image_id, channel, z, y, x, id from rpv join rid using (image_id, channel, root, seed)"))
 def seeded_split_3d_raw(spark, sf):
     """Label voxels of the absolute-intensity mode, split by distance to background."""
     raw, _ = volume.segment_raw(recipe(spark, sf, "vox"), PLANE, F.lit(ZLOW), F.lit(ZHIGH), 1.0, PITCH, STACK, 2.0, False)
