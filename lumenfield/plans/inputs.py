@@ -27,9 +27,12 @@ def manifest_scan(spark, sf):
 
 
 @query("manifest_violations", duck("manifest", body="""with
-m as (select trim(image_id) as image_id, trim(replicate_id) as replicate_id, nullif(trim(green),'') as green, nullif(trim(red),'') as red, nullif(trim(ebfp),'') as ebfp from manifest),
-files as (select image_id, green as path from m where green is not null union all select image_id, red from m where red is not null union all select image_id, ebfp from m where ebfp is not null)
-select image_id, 'invalid_image_id' as rule, image_id as detail from m where not regexp_full_match(image_id, '[A-Za-z0-9][A-Za-z0-9_.-]*')
+m as (select seq, trim(image_id) as image_id, trim(replicate_id) as replicate_id, nullif(trim(green),'') as green,
+ case when seq%59=6 then concat('img/./sub/../', substr(green, 5)) else nullif(trim(red),'') end as red, nullif(trim(ebfp),'') as ebfp from manifest),
+spelled as (select seq, 1 as c, image_id, green as path from m where green is not null union all select seq, 2, image_id, red from m where red is not null union all select seq, 3, image_id, ebfp from m where ebfp is not null),
+files as (select seq, c, image_id, replace(path, './sub/../', '') as path from spelled)
+select image_id, 'missing_file' as rule, path as detail from files where path not in (select path from files where c>1 or seq%61<>7)
+union all select image_id, 'invalid_image_id' as rule, image_id as detail from m where not regexp_full_match(image_id, '[A-Za-z0-9][A-Za-z0-9_.-]*')
 union all select image_id, 'invalid_replicate_id', replicate_id from m where not regexp_full_match(replicate_id, '[A-Za-z0-9][A-Za-z0-9_.-]*')
 union all select image_id, 'unsafe_filename', image_id from m where regexp_full_match(image_id, '[A-Za-z0-9][A-Za-z0-9_.-]*')
   and (image_id like '%.' or regexp_full_match(upper(split_part(image_id,'.',1)), 'CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9]'))
@@ -39,7 +42,12 @@ union all select image_id, 'duplicate_image_id', cast(count(*) as varchar) from
 union all select min(image_id), 'duplicate_field_id', cast(count(*) as varchar) from m group by lower(image_id) having count(*)>1
 union all select min(image_id), 'reused_path', path from files group by path having count(*)>1"""))
 def manifest_violations(spark, sf):
-    return manifest.violations(recipe(spark, sf, "manifest"))
+    """Every rule, with one file spelled in two ways and some files that do not exist."""
+    rows = recipe(spark, sf, "manifest")
+    rows = rows.withColumn("red", F.when(F.col("seq") % 59 == 6, F.concat(F.lit("img/./sub/../"), F.expr("substr(green, 5)"))).otherwise(F.col("red")))
+    there = rows.withColumn("green", F.when(F.col("seq") % 61 != 7, F.col("green")))
+    files = manifest.channel_paths(manifest.trimmed(there)).select(F.concat(F.lit("./"), "path").alias("path"))
+    return manifest.violations(rows, files)
 
 
 def plane_files(spark, sf):

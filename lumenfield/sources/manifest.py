@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import is_close, safe_filename, valid_id
@@ -47,8 +47,28 @@ def channel_paths(rows: DataFrame) -> DataFrame:
     return rows.unpivot(["image_id", "replicate_id"], CHANNELS, "channel", "path").filter("path is not null")
 
 
-def violations(rows: DataFrame) -> DataFrame:
-    """(image_id, rule, detail) for every broken manifest rule; empty when the manifest is sound."""
+def resolved(path: Column) -> Column:
+    """The path without ``.``, ``..`` and doubled slashes, so that two spellings of one file are equal."""
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.element_at(kept, -1)
+        up = (part == "..") & (F.size(kept) > 0) & (last != "..")
+        inside = F.when(last == "", kept).otherwise(F.slice(kept, 1, F.size(kept) - 1))
+        return F.when((part == ".") | ((part == "") & (F.size(kept) > 0)), kept).when(up, inside).otherwise(F.array_append(kept, part))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def existing_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below ``folder``; their content is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+
+
+def violations(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(image_id, rule, detail) for every broken manifest rule; empty when the manifest is sound.
+
+    ``files(path)`` lists what exists; without it the files are not looked for.
+    """
     rows = trimmed(rows)
     ident, replicate = F.col("image_id"), F.col("replicate_id")
     checks = F.array(
@@ -66,9 +86,15 @@ def violations(rows: DataFrame) -> DataFrame:
     folded = folded.filter("n > 1").select(
         "image_id", F.lit("duplicate_field_id").alias("rule"), F.col("n").cast("string").alias("detail")
     )
-    reused = channel_paths(rows).groupBy("path").agg(F.count("*").alias("n"), F.min("image_id").alias("image_id"))
+    listed = channel_paths(rows).withColumn("path", resolved(F.col("path")))
+    reused = listed.groupBy("path").agg(F.count("*").alias("n"), F.min("image_id").alias("image_id"))
     reused = reused.filter("n > 1").select("image_id", F.lit("reused_path").alias("rule"), F.col("path").alias("detail"))
-    return single.unionByName(exact).unionByName(folded).unionByName(reused)
+    none = rows.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("image_id"), F.lit("empty_manifest").alias("rule"), F.lit(None).cast("string").alias("detail"))
+    found = single.unionByName(exact).unionByName(folded).unionByName(reused).unionByName(none)
+    if files is None:
+        return found
+    lost = listed.join(files.select(resolved(F.col("path")).alias("path")), "path", "left_anti")
+    return found.unionByName(lost.select("image_id", F.lit("missing_file").alias("rule"), F.col("path").alias("detail")))
 
 
 def assign_unique_ids(rows: DataFrame, ident: str, seq: str) -> DataFrame:

@@ -283,3 +283,18 @@ def test_stream_tables_stay_compact_over_restarts(spark, tmp_path):
         got = jobs.keep(stream, merge, str(tmp_path / "kept"), str(tmp_path / "cp"))
     assert {r.k: r.v for r in got.collect()} == {0: 8, 1: 9, 2: 6, 3: 7, 10: 8, 11: 9, 12: 6, 13: 7}
     assert len(list((tmp_path / "kept").glob("_kind=*/_slot=*"))) <= jobs.EVERY + 3
+
+
+def test_manifest_rules_about_files(spark, tmp_path):
+    schema = "image_id string, replicate_id string, green string, red string, ebfp string"
+    assert [tuple(r) for r in manifest.violations(spark.createDataFrame([], schema)).collect()] == [(None, "empty_manifest", None)]
+    (tmp_path / "img").mkdir()
+    for name in ("g.npy", "r.npy"):
+        (tmp_path / "img" / name).write_bytes(b"x")
+    here = f"file:{tmp_path}"
+    rows = [("a", "r", f"{here}/img/g.npy", f"{here}/img/./x/../r.npy", None), ("b", "r", f"{here}//img/r.npy", f"{here}/img/no.npy", " ")]
+    got = manifest.violations(spark.createDataFrame(rows, schema), manifest.existing_files(spark, str(tmp_path))).collect()
+    assert {tuple(r) for r in got} == {("a", "reused_path", f"{here}/img/r.npy"), ("b", "missing_file", f"{here}/img/no.npy")}
+    paths = [("/a/../b", "/b"), ("/../a", "/a"), ("../a/./..", ".."), ("../../a", "../../a"), ("a//b/", "a/b"), ("./x", "x")]
+    out = spark.createDataFrame(paths, "p string, want string").select(manifest.resolved(F.col("p")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in out)
