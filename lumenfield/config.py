@@ -16,7 +16,7 @@ DEFAULTS = {
     "matching": {"max_distance_px": 6.0, "dilation_px": 1, "overlap_window_radius_px": 24},
     "ebfp": {
         "roi_dilation_px": 1, "occupied_dilation_px": 2, "null_inner_px": 18, "null_outer_px": 65,
-        "q_threshold": 0.05, "min_null_locations": 100,
+        "q_threshold": 0.05, "min_null_locations": 100, "comparison_tolerance": 1e-5,
     },
     "sensitivity": {
         "segmentation_factors": [0.75, 1.0, 1.25], "ebfp_q_thresholds": [0.01, 0.025, 0.05, 0.1],

@@ -63,7 +63,7 @@ def measure_fields(objects: DataFrame, overlay: DataFrame, signal: DataFrame, fi
     measured = background.empirical_p(
         objects.join(given, "image_id", "left_semi").select(*IMAGE, "object_id"), overlay.join(given, "image_id", "left_semi"), signal, IMAGE,
         config["input"]["shape"], rules["min_null_locations"], roi_dilation=rules["roi_dilation_px"],
-        occupied_dilation=rules["occupied_dilation_px"], inner=rules["null_inner_px"], outer=rules["null_outer_px"],
+        occupied_dilation=rules["occupied_dilation_px"], inner=rules["null_inner_px"], outer=rules["null_outer_px"], tolerance=rules["comparison_tolerance"],
     )
     joined = objects.join(measured.withColumnRenamed("ebfp_status", "_status"), [*IMAGE, "object_id"], "left")
     joined = joined.join(fields.select("image_id", F.col("ebfp_provided").alias("provided")), "image_id")

@@ -62,12 +62,13 @@ def _windows(labels: DataFrame, signal: DataFrame, rects: DataFrame, keys: list[
 
 def placements(
     labels: DataFrame, signal: DataFrame, keys: Sequence[str], shape: tuple[int, int],
-    roi_dilation: int = 1, occupied_dilation: int = 2, inner: int = 18, outer: int = 65, rows: bool = False,
+    roi_dilation: int = 1, occupied_dilation: int = 2, inner: int = 18, outer: int = 65, rows: bool = False, tolerance: float = 1e-5,
 ) -> DataFrame:
     """Translate each object's region over its free surroundings and sum the signal there.
 
     ``rows`` True: one row per eligible placement (object_id, dy, dx, null_sum). False:
-    one row per object with the observed sum and the null's size, exceedances, mean, SD
+    one row per object with the observed sum, its non-zero pixels and the null's size,
+    exceedances (sums below the observed one by no more than ``tolerance`` count), mean, SD
     and 99 % quantile, so that placements never leave their task. Objects are grouped by
     frame tile; a task holds one tile and the halo its search windows reach.
     """
@@ -94,12 +95,13 @@ def placements(
             dy = np.arange(-min(outer, y0), min(outer, height - 1 - y1) + 1)
             dx = np.arange(-min(outer, x0), min(outer, width - 1 - x1) + 1)
             sums, cover = np.zeros((len(dy), len(dx))), np.zeros((len(dy), len(dx)), np.int32)
-            observed = 0.0
+            observed, bright = 0.0, 0
             for y, x in zip(ys[start : start + n_pixels].tolist(), xs[start : start + n_pixels].tolist()):
                 block = (slice(y + dy[0], y + dy[-1] + 1), slice(x + dx[0], x + dx[-1] + 1))
                 sums += light[block]
                 cover += taken[block]
                 observed += light[y, x]
+                bright += int(light[y, x] > 0)
             reach = dy[:, None] ** 2 + dx[None, :] ** 2
             free = (reach >= inner**2) & (reach <= outer**2) & (cover == 0)
             null = sums[free]
@@ -109,20 +111,20 @@ def placements(
             else:
                 n = len(null)
                 out.append((
-                    object_id, n_pixels, observed, n, int((null >= observed - 1e-5).sum()), null.mean() if n else None,
+                    object_id, n_pixels, observed, bright, n, int((null >= observed - tolerance).sum()), null.mean() if n else None,
                     null.std(ddof=1) if n > 1 else None, np.quantile(null, 0.99) if n else None,
                 ))
         if rows:
             result = pd.DataFrame(dict(zip(["object_id", "dy", "dx", "null_sum"], map(np.concatenate, zip(*out)))))
         else:
-            result = pd.DataFrame(out, columns=["object_id", "roi_pixels", "observed", "n_null", "n_exceed", "null_mean", "null_sd", "null_q99"])
+            result = pd.DataFrame(out, columns=["object_id", "roi_pixels", "observed", "bright", "n_null", "n_exceed", "null_mean", "null_sd", "null_q99"])
         for name, value in zip(keys, key):
             result.insert(0, name, value)
         return result
 
     head = ", ".join(f"{k} {labels.schema[k].dataType.simpleString()}" for k in keys)
     tail = "dy int, dx int, null_sum double" if rows else (
-        "roi_pixels bigint, observed double, n_null bigint, n_exceed bigint, null_mean double, null_sd double, null_q99 double"
+        "roi_pixels bigint, observed double, bright bigint, n_null bigint, n_exceed bigint, null_mean double, null_sd double, null_q99 double"
     )
     group = [*keys, "_ty", "_tx"]
     # fresh column identities: both sides descend from the same labels
@@ -136,22 +138,18 @@ def empirical_p(
 ) -> DataFrame:
     """Enrichment measurements per object; objects whose mask was overwritten are kept as unscorable."""
     keys = list(keys)
-    tested = placements(labels, signal, keys, shape, **settings)
-    lit_pixels = roi_signal(signal_roi(labels, keys, settings.get("roi_dilation", 1), shape), signal, keys)
-    joined = objects.join(tested, [*keys, "object_id"], "left").join(
-        lit_pixels.select(*keys, "object_id", "ebfp_nonzero_pixels"), [*keys, "object_id"], "left"
-    )
+    joined = objects.join(placements(labels, signal, keys, shape, **settings), [*keys, "object_id"], "left")
     seen, n = F.col("roi_pixels").isNotNull(), F.coalesce(F.col("n_null"), F.lit(0))
     scorable = seen & (n >= min_locations)
     mean, background = F.col("observed") / F.col("roi_pixels"), F.col("null_mean") / F.col("roi_pixels")
     measured = joined.withColumns({
         "ebfp_roi_pixels": F.coalesce("roi_pixels", F.lit(0)), "ebfp_sum": F.col("observed"), "ebfp_mean": mean,
-        "ebfp_nonzero_pixels": F.coalesce("ebfp_nonzero_pixels", F.lit(0)),
+        "ebfp_nonzero_pixels": F.coalesce("bright", F.lit(0)),
         "ebfp_bg_mean": background, "ebfp_bg_sd": F.col("null_sd") / F.col("roi_pixels"), "ebfp_bg_q99": F.col("null_q99") / F.col("roi_pixels"),
         "ebfp_shift_locations": n, "p": F.when(scorable, (1 + F.col("n_exceed")) / (n + 1)),
         "ebfp_enrichment": F.when(F.col("null_mean") > 0, mean / background), "scorable": scorable,
         "ebfp_status": F.when(~seen, "missing_object_mask").when(scorable, "scorable").otherwise("insufficient_null_locations"),
     })
-    return measured.drop("roi_pixels", "observed", "n_null", "n_exceed", "null_mean", "null_sd", "null_q99")
+    return measured.drop("roi_pixels", "observed", "bright", "n_null", "n_exceed", "null_mean", "null_sd", "null_q99")
 
 

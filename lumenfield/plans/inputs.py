@@ -262,6 +262,14 @@ def sink_roundtrip(spark, sf):
     return back
 
 
+@query("sorted_sink", duck("obj", body="select image_id, object_id, status, p, row_number() over (order by image_id, object_id) as position from obj"))
+def sorted_sink(spark, sf):
+    """Objects saved in the order of (field, object) and read back with their place in the files."""
+    folder = work_path(spark, "sorted")
+    audits.write_table(recipe(spark, sf, "obj").select("image_id", "object_id", "status", "p"), folder, order=["image_id", "object_id"])
+    return audits.with_positions(spark, folder)
+
+
 @query("summary_audit", duck("obj", body="""with s as (select image_id, count(*) filter (where status='live_only') as l, count(*) filter (where status='dead_only') as d,
 count(*) filter (where status='double_positive') as b, count(*) as t from obj group by 1),
 x as (select case when t%5=0 then '' else image_id end as image_id, l, case when t%3=0 then -d else d end as d, b, t + case when t%4=1 then 1 else 0 end as t from s)

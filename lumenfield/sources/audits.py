@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import fingerprint
@@ -93,8 +93,13 @@ def summary_audit(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summary.select(*keys, F.explode(rules).alias("rule"))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = ()) -> None:
-    """Write once: an existing target is refused, the committer publishes whole outputs only."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """Write once: an existing target is refused, the committer publishes whole outputs only.
+
+    With ``order`` the files follow one another in it and so do the rows of each file.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*partition, *order)
     writer = df.write.mode("errorifexists").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -103,6 +108,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition: Seque
     writer.save(path)
 
 
+def with_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an ordered Parquet table with ``position`` = 1, 2, ... through its files; one row a file is sorted."""
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return placed.join(files.drop("_n"), "_file").select(*rows.columns, (F.col("_start") + F.col("_row") + 1).alias("position"))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     reader = spark.read.schema(schema).format(fmt)
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
