@@ -175,7 +175,8 @@ def thin_seeds(
         """Every peak in its tile and in those its ball reaches."""
         for a, t in zip(axes, tiles):
             first, last = (F.floor((F.col(a) + d) / sizes[a]).cast("int") for d in (-steps[a], steps[a]))
-            state = state.withColumn(t, F.explode(F.sequence(first, last)))
+            # before the first tile there is none
+            state = state.withColumn(t, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
         return state
 
     def decide(part: pd.DataFrame) -> pd.DataFrame:
