@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
@@ -162,7 +162,7 @@ def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Maximum-cardinality, then minimum-distance matching of an edge list.
 
     The objective separates by connected component of the edge list. A pair that touches
-    no other edge is final; only the rest is grouped and solved per component, whose
+    no other edge is final; only the rest is sorted and solved per component, whose
     size is bounded by the detections within reach of each other in one frame.
     """
     keys = list(keys)
@@ -178,20 +178,41 @@ def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     roots = connected_roots(edges, keys)
     grouped = rest.withColumn("node", F.col("green_id") * 2).join(roots, [*keys, "node"]).drop("node")
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["root", "green_id", "red_id"], ignore_index=True)
+    names = list(pairs.columns)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # components come one after the other; the last one of a batch may go on in the next
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks = [batch[n].to_numpy() for n in (*keys, "root")]
+            starts = np.flatnonzero(np.logical_or.reduce([m[1:] != m[:-1] for m in marks])) + 1
+            fresh = bool(held) and any(held[-1][n].iloc[-1] != batch[n].iloc[0] for n in (*keys, "root"))
+            if fresh:
+                yield solved(pd.concat(held), [])
+                held = []
+            if not len(starts):
+                held.append(batch)
+                continue
+            whole = pd.concat([*held, batch.iloc[: starts[-1]]])
+            yield solved(whole, starts[:-1] + (len(whole) - starts[-1]))
+            held = [batch.iloc[starts[-1] :]]
+        if held:
+            yield solved(pd.concat(held), [])
+
+    def solved(part: pd.DataFrame, inner: Sequence[int]) -> pd.DataFrame:
         edges = list(part[["green_id", "red_id", "distance"]].itertuples(index=False, name=None))
-        starts = np.flatnonzero(np.diff(part["root"].to_numpy(), prepend=-1, append=-1))
+        bounds = [0, *inner, len(part)]
         keep = np.zeros(len(part), bool)
-        for start, stop in zip(starts[:-1], starts[1:]):
+        for start, stop in zip(bounds[:-1], bounds[1:]):
             chosen = set(best_matching(edges[start:stop]))
             keep[start:stop] = [e[:2] in chosen for e in edges[start:stop]]
         return part.loc[keep, names]
 
-    names = list(pairs.columns)
-    # neighbouring node numbers share a call, which saves one Python call per component
-    block = F.shiftright("root", 10).alias("_block")
-    return final.unionByName(grouped.groupBy(*keys, block).applyInPandas(solve, pairs.schema))
+    # dealt by component and read as a stream: no call per image or setting
+    dealt = grouped.repartition(*keys, "root").sortWithinPartitions(*keys, "root", "green_id", "red_id")
+    return final.unionByName(dealt.mapInPandas(solve, pairs.schema))
 
 
 def match_objects(regions: DataFrame, matched: DataFrame, keys: Sequence[str], green_keys: Sequence[str] = (), red_keys: Sequence[str] = ()) -> DataFrame:
