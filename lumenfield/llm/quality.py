@@ -1,9 +1,10 @@
 """Quality rules: fixed counts, and the log-likelihood ratio of two hashed n-gram models.
 
 Words and pairs of neighbouring words are hashed into ``BUCKETS``. The raw model counts all
-documents; of the trusted ones at most ``FIT_ROWS`` (those of smallest hash) are used, every
-other one for the target model and the rest to set the threshold. A document's score is the
-mean over its n-grams of log(target / raw), with add-one smoothing. It is dropped if the
+documents, the target model all trusted ones whose id hashes even; all other trusted ones set
+the threshold. They are found by a join on the id; a bitmap of ``BITS`` hashed ids keeps most
+other texts out of it. A document's score is the mean over its
+n-grams of log(target / raw), with add-one smoothing. It is dropped if the
 score lies more than ``SPREAD`` standard deviations below the mean of the trusted documents
 that the model was not fitted on.
 
@@ -13,7 +14,7 @@ are judged row by row. Without trusted documents only the base rules decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from lumenfield.llm.texts import SPACE, Words, cuts, flat, windows, word_slices, words
 
 BUCKETS = 1 << 16
-FIT_ROWS = 5000
 SPREAD = 5.0
+BITS = 1 << 25
+PAGE = 1 << 15
 WINDOW = 8
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -39,43 +41,70 @@ def grams(w: Words, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.int64), np.concatenate([np.repeat(rows, np.diff(w.first)), np.repeat(rows, np.diff(first))])
 
 
-def trusted_ids(labels: DataFrame, fit_rows: int = FIT_ROWS) -> list:
-    """Ids of at most ``fit_rows`` rows labelled good and not toxic."""
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id")
-    return [r["doc_id"] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()]
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all rows labelled good and not toxic."""
+    return labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, ids: list, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, spread: float = SPREAD) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, least score kept)."""
-    known, rest = set(ids[::2]), set(ids[1::2])
+def gram_counts(docs: DataFrame, text: str, buckets: int) -> np.ndarray:
+    """Occurrences of each bucket in all of ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        found = np.zeros(buckets, np.int64)
         for batch in batches:
-            trusted = np.array([k in known for k in batch.column(key).to_pylist()], bool)
-            for low, high, w in word_slices(batch, text):
-                code, row = grams(w, buckets)
-                raw += np.bincount(code, minlength=buckets)
-                target += np.bincount(code[trusted[low:high][row]], minlength=buckets)
-        yield pa.RecordBatch.from_pydict({"bucket": np.arange(buckets), "raw": raw, "target": target})
-
-    rows = docs.select(key, text).mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    at = rows.column("bucket").to_numpy()
-    raw[at], target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
-    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+            for _, _, w in word_slices(batch, text):
+                found += np.bincount(grams(w, buckets)[0], minlength=buckets)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"bucket": at, "n": found[at]})
+
+    rows = docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(buckets)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def trusted_rows(docs: DataFrame, good: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` whose key is among the distinct keys ``good``."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    pages = good.select(place.alias("_h")).groupBy(F.shiftright("_h", PAGE.bit_length() - 1).alias("page")).agg(F.bitmap_construct_agg(F.col("_h") % PAGE).alias("bits")).toArrow()
+    marked = np.zeros((-(-bits // PAGE), PAGE // 8), np.uint8)
+    for page, found in zip(pages.column("page").to_pylist(), pages.column("bits").to_pylist()):
+        marked[page] = np.frombuffer(found, np.uint8)
+    marked = marked.ravel()
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("_h").to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array((marked[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["_h"])
+
+    # the text is wide, the keys grow with it: always a sorted join, so that disk grows as the input does
+    return docs.withColumn("_h", place).mapInArrow(likely, docs.schema).join(good.hint("merge"), key, "left_semi")
+
+
+def fit(docs: DataFrame, ids: DataFrame | Sequence, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS, spread: float = SPREAD) -> tuple[np.ndarray, float]:
+    """(log ratio of each bucket, least score kept) from all of ``docs`` and all trusted ``ids``, a table of one column or a list."""
+    kind = docs.schema[key].dataType.simpleString()
+    if not isinstance(ids, DataFrame):
+        ids = docs.sparkSession.createDataFrame([(i,) for i in ids], f"`{key}` {kind}")
+    good = ids.toDF(key).select(F.col(key).cast(kind)).distinct()
+
+    def half(df: DataFrame, fold: int) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64(key), F.lit(2)) == fold)
+
+    known, rest = (trusted_rows(half(docs.select(key, text), fold), half(good, fold), key) for fold in (0, 1))
+    target = gram_counts(known, text, buckets)
     if not target.sum():
         return np.zeros(buckets), -np.inf
+    raw = gram_counts(docs, text, buckets)
+    ratio = np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine = pa.array([k in rest for k in batch.column(key).to_pylist()], pa.bool_())
-            batch = batch.filter(mine)
             for _, _, w in word_slices(batch, text):
                 code, row = grams(w, buckets)
                 yield pa.RecordBatch.from_pydict({"score": means(ratio, code, row, len(w.first) - 1)})
 
-    row = docs.select(key, text).mapInArrow(scores, "score double").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).first()
+    row = rest.select(text).mapInArrow(scores, "score double").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).first()
     return ratio, -np.inf if row["mean"] is None else row["mean"] - spread * row["sd"]
 
 

@@ -391,6 +391,27 @@ def test_quality_separates_targets(spark):
     assert quality.judge(empty(spark), *quality.fit(empty(spark), [])).isEmpty()
 
 
+def test_quality_learns_from_all_trusted_rows(spark):
+    n = 12_000
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "cast(null as int) as toxic")
+    ids = quality.trusted_ids(labels.union(labels))
+    assert ids.count() == n
+    # each trusted text is one word of its own, given twice; a random third of the documents isn't trusted
+    docs = spark.range(n + n // 2).selectExpr("id as doc_id", "concat('w', id, ' w', id) as text")
+    ratio, least = quality.fit(docs.union(docs), ids)
+    own = {r["doc_id"]: r["score"] for r in quality.judge(docs, ratio, least).collect()}
+    even = {r["id"] for r in spark.range(n).filter("pmod(xxhash64(id), 2) = 0").collect()}
+    fitted = quality.gram_counts(docs.filter(f"doc_id < {n} and pmod(xxhash64(doc_id), 2) = 0"), "text", quality.BUCKETS)
+    raw = quality.gram_counts(docs, "text", quality.BUCKETS)
+    assert fitted.sum() == 3 * len(even) and raw.sum() == 3 * (n + n // 2)
+    assert np.allclose(ratio, np.log((2 * fitted + 1) / (2 * fitted.sum() + quality.BUCKETS)) - np.log((2 * raw + 1) / (2 * raw.sum() + quality.BUCKETS)))
+    rest = np.array([own[i] for i in range(n) if i not in even])
+    assert np.isclose(least, rest.mean() - quality.SPREAD * rest.std())
+    # a bitmap that is full lets everything through to the join, which decides
+    for bits in (8, quality.BITS):
+        assert {r["doc_id"] for r in quality.trusted_rows(docs, ids.filter("doc_id < 300"), "doc_id", bits).collect()} == set(range(300))
+
+
 def test_pipeline_runs_and_keeps_columns(spark):
     import corpus_pipeline
 
