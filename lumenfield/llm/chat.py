@@ -7,9 +7,11 @@ one before marks a template that rewrites history. Where a turn's text begins an
 its span is found in the same way, from two renderings with probe texts.
 
 Conversations are dealt by id, sorted by turn within their partition and read as a stream.
-Prefixes hold at most ``SEGMENT`` turns; a longer conversation goes on in a new segment
-whose first turn is the last of the one before, so a task's memory doesn't depend on its
-length. Null texts and roles count as empty; rows of one turn number are ordered by role,
+``spans`` renders whole prefixes, so a template may look back as far as it likes. With
+``segment`` a prefix holds at most so many turns and a longer conversation goes on in a new
+segment whose first turn is the last of the one before; a task's memory and time then don't
+grow with its length, which is exact for templates that look no further back. ``digests``
+does so, since ``template`` writes each turn on its own. Null texts and roles count as empty; rows of one turn number are ordered by role,
 then text; a null conversation id is a conversation of its own. No rows give no result.
 """
 
@@ -65,7 +67,7 @@ def common(a: str, b: str) -> int:
 class Renderer:
     """Spans of the turns of one conversation, fed turn by turn."""
 
-    def __init__(self, render: Template, segment: int = SEGMENT) -> None:
+    def __init__(self, render: Template, segment: int | None = None) -> None:
         self.render, self.segment = render, segment
         self.turns: list[Turn] = []
         self.before = ""
@@ -73,7 +75,7 @@ class Renderer:
 
     def add(self, role: str, text: str) -> tuple[str, int, int]:
         """(span, begin, end): the turn's part of the output and where its text stands in it."""
-        if len(self.turns) > self.segment:
+        if self.segment is not None and len(self.turns) > self.segment:
             self.turns = self.turns[-1:]
             self.before = self.render(self.turns)
         ahead = [*self.turns, (role, text)]
@@ -88,9 +90,9 @@ class Renderer:
         return span, begin, max(len(span) - tail, begin)
 
 
-def spans(rows: DataFrame, render: Template = template, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def spans(rows: DataFrame, render: Template = template, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int | None = None) -> DataFrame:
     """(conv, turn, role, span, begin, end, learn, rewrites): each turn's part of the output, where its text stands in it, and whether it is under the loss mask."""
-    return _streamed(rows, (conv, turn, role, text)).mapInArrow(lambda batches: _spans(batches, render), f"{_kinds(rows, conv, turn)}, role string, span string, begin long, end long, learn boolean, rewrites boolean")
+    return _streamed(rows, (conv, turn, role, text)).mapInArrow(lambda batches: _spans(batches, render, segment), f"{_kinds(rows, conv, turn)}, role string, span string, begin long, end long, learn boolean, rewrites boolean")
 
 
 def _kinds(rows: DataFrame, conv: str, turn: str) -> str:
@@ -102,21 +104,21 @@ def _streamed(rows: DataFrame, names: tuple[str, str, str, str]) -> DataFrame:
     return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _turns(batches: Iterator[pa.RecordBatch], render: Template) -> Iterator[tuple[object, object, bool, Renderer, str, tuple[str, int, int]]]:
+def _turns(batches: Iterator[pa.RecordBatch], render: Template, segment: int | None) -> Iterator[tuple[object, object, bool, Renderer, str, tuple[str, int, int]]]:
     held: object = _turns
     for batch in batches:
         for conv, turn, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "role", "text"))):
             first = conv != held or held is _turns
             if first:
-                held, renderer = conv, Renderer(render)
+                held, renderer = conv, Renderer(render, segment)
             yield conv, turn, first, renderer, role or "", renderer.add(role or "", text or "")
 
 
-def _spans(batches: Iterator[pa.RecordBatch], render: Template) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], render: Template, segment: int | None) -> Iterator[pa.RecordBatch]:
     block: list[tuple] = []
     names = ("conv_id", "turn", "role", "span", "begin", "end", "learn", "rewrites")
     size = 0
-    for conv, turn, _, renderer, role, (span, begin, end) in _turns(batches, render):
+    for conv, turn, _, renderer, role, (span, begin, end) in _turns(batches, render, segment):
         block.append((conv, turn, role, span, begin, end, role == "assistant", renderer.rewrites))
         size += len(span)
         if size > 1 << 22:
@@ -138,7 +140,7 @@ def digests(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
             if row:
                 block.append((row[0], row[1], row[2].hexdigest(), row[3], row[4].hexdigest(), row[5], row[6]))
 
-        for conv_id, _, first, renderer, role_, (span, begin, end) in _turns(batches, template):
+        for conv_id, _, first, renderer, role_, (span, begin, end) in _turns(batches, template, SEGMENT):
             if first:
                 close()
                 row = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]

@@ -420,3 +420,15 @@ def test_pipeline_runs_and_keeps_columns(spark):
     assert out.columns == [*docs.columns, "ids"] and out.count() > 0
     kept = {r["doc_id"] for r in out.select("doc_id").collect()}
     assert kept <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_chat_templates_may_look_back_over_any_number_of_turns(spark):
+    rows = spark.createDataFrame([(1, i, "assistant", f"t{i}") for i in range(3 * chat.SEGMENT)], "conv_id long, turn long, role string, text string")
+    numbered = lambda turns: "".join(f"[{i}] {t}\n" for i, (_, t) in enumerate(turns))
+    got = [(r["span"], r["span"][r["begin"] : r["end"]], r["rewrites"]) for r in chat.spans(rows, numbered).orderBy("turn").collect()]
+    assert got == [(f"[{i}] t{i}\n", f"t{i}", False) for i in range(3 * chat.SEGMENT)]
+    # a template of turns on their own has the same spans in segments
+    assert chat.spans(rows, chat.template).exceptAll(chat.spans(rows, chat.template, segment=4)).isEmpty()
+    # history rewritten more than a segment later
+    late = lambda turns: "".join(t + ("!" if len(turns) > 2 * chat.SEGMENT else "") + "\n" for _, t in turns)
+    assert [r["rewrites"] for r in chat.spans(rows, late).orderBy("turn").collect()] == [i >= 2 * chat.SEGMENT for i in range(3 * chat.SEGMENT)]
