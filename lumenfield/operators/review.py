@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.functions.scalars import percent, total
 from lumenfield.operators.volume import STATUSES
+from lumenfield.session import cut
 
 # fixed values: decisions and caption texts
 DECISIONS = ["same_cell", "separate", "pairs", "uncertain", "unreviewed"]
@@ -24,6 +25,7 @@ SUMS = [
     "green_objects", "red_objects", "paired_min", "paired_max", "mixed_groups", "reviewed_groups", "pending_groups",
     "dual_candidates", "unresolved_groups", "uncertain_groups", "unreviewed_groups", "total_groups", "green_only", "red_only",
 ]
+GROUPS_A_TASK = 1 << 18
 REVISION_PATTERN = r"^[0-9]{8}T[0-9]{6}\.[0-9]{6}Z_[0-9a-f]{12}\z"
 
 
@@ -169,8 +171,16 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ";"), lambda t: t != "")
 
 
-def membership_violations(groups: DataFrame) -> DataFrame:
-    """(image_id, object_id, rule) for broken member lists of saved groups with ``green_ids``/``red_ids`` texts."""
+def membership_violations(groups: DataFrame, per_task: int = GROUPS_A_TASK) -> DataFrame:
+    """(image_id, object_id, rule) for broken member lists of saved groups with ``green_ids``/``red_ids`` texts.
+
+    The groups are written down once and dealt to tasks of about ``per_task`` groups, and so
+    are their members, so that what a task holds doesn't grow with the number of groups.
+    """
+    names = ["image_id", "object_id"]
+    groups = cut(groups.select(*names, "status", "green_ids", "red_ids"))
+    tasks = -(-groups.count() // per_task) or 1
+    groups = groups.repartition(tasks, *names)
     lists = groups.withColumns({"_g": _tokens(F.col("green_ids")), "_r": _tokens(F.col("red_ids"))})
     n_g, n_r = F.size("_g"), F.size("_r")
     def bad(name):
@@ -190,13 +200,14 @@ def membership_violations(groups: DataFrame) -> DataFrame:
         F.when(twice("_g") | twice("_r"), F.lit("member_repeated")), F.when(~F.coalesce(status.isin(STATUSES), F.lit(False)), F.lit("unknown_status")),
         F.when(mismatch, F.lit("status_mismatch")),
     ))
-    names = ["image_id", "object_id"]
     single = lists.select(*names, F.explode(rules).alias("rule"))
     repeated = groups.groupBy(*names).count().filter("count > 1").select(*names, F.lit("duplicate_object").alias("rule"))
     members = lists.select(*names, F.explode(F.array_distinct(F.concat(
         F.transform("_g", lambda t: F.concat(F.lit("G"), t)), F.transform("_r", lambda t: F.concat(F.lit("R"), t))
-    ))).alias("member")).distinct()
-    shared = members.groupBy("image_id", "member").agg(F.count("*").alias("n"), F.min("object_id").alias("object_id")).filter("n > 1")
+    ))).alias("member")).repartition(tasks, "image_id", "member")
+    shared = members.groupBy("image_id", "member").agg(
+        F.min("object_id").alias("object_id"), F.max("object_id").alias("_last"), F.max(F.col("object_id").isNull()).alias("_unnamed")
+    ).filter("object_id < _last or (object_id is not null and _unnamed)")
     return single.unionByName(repeated).unionByName(shared.select(*names, F.lit("member_in_two_groups").alias("rule")))
 
 
