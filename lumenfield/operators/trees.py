@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenfield.operators.components import TILE, connected_roots, neighbour_offsets, pixel_code
 from lumenfield.operators.raster import offsets_array
-from lumenfield.session import cut
+from lumenfield.session import cut, dealt
 
 
 def nested_roots(points: np.ndarray, depth: np.ndarray, offsets: Sequence[tuple[int, ...]]) -> list[np.ndarray]:
@@ -98,7 +98,7 @@ def component_tree(
         return part.append_column("node", pa.array(code[own])).append_column("_path", path).select(told_columns)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in px.schema), "depth int", "_border boolean", "node bigint", "_path array<bigint>"])
-    local = cut(reached.groupBy(*image, *tiles).applyInArrow(grow, schema))
+    local = cut(dealt(reached, *image, *tiles).groupBy(*image, *tiles).applyInArrow(grow, schema))
 
     told = local.filter(F.size("_path") > 0)
     paths = told.select(*keys, "depth", "node", F.posexplode("_path").alias("level", "root")).withColumn("level", F.col("level") + 1).distinct()

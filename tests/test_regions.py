@@ -186,3 +186,16 @@ def test_component_tree_holds_the_components_of_every_level(spark, tile):
                 assert (row.n, row.top, row.y0, row.y1, row.x0, row.x1) == (len(ys), v.max(), ys.min(), ys.max(), xs.min(), xs.max())
                 assert (row.y, row.x) == (pytest.approx(np.average(ys, weights=v)), pytest.approx(np.average(xs, weights=v)))
     assert not table
+
+
+def test_small_rasters_are_dealt_to_all_partitions(spark):
+    """Their few bytes used to be joined in one partition, with all of the labelling."""
+    mask = spark.range(400).selectExpr("id % 40 as image_id", "cast(id % 7 as int) as y", "cast(id div 40 as int) as x", "1 as value")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        labels = components.label_components(mask, ["image_id"])
+        counts = labels.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("image_id").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(counts) > 3 and sum(r.n for r in counts) == 40
