@@ -8,8 +8,8 @@ common shingle bounds its overlap by what follows in both sets, so a class stays
 only with another one whose size this allows. Inside a group
 a signature tree holds, per node, the OR of its members' bitmaps and the range of their
 sizes; two trees are walked together and a pair of nodes is left once the largest overlap
-that their bitmaps and sizes allow is too small. What remains is verified exactly on the
-sets.
+that their bitmaps and sizes allow is too small; the pairs of members are tried once more by bitmaps of their own
+width. What remains is verified exactly on the sets.
 
 To lose no link and still not write out all pairs of a large group, each group first tries
 its least member against the others; only members of different components go through the
@@ -338,6 +338,28 @@ def walk(n: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, th
     return order[i[some]], order[j[some]]
 
 
+def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], threshold: int) -> np.ndarray:
+    """Which index pairs of a cell may link by their own bitmaps, each pair in the width of its narrower one.
+
+    The tree has all members in the width of the narrowest, where the bitmaps of larger sets are all but full.
+    """
+    words = np.array([len(x) // 8 for x in bits])
+    width = np.minimum(words[a], words[b])
+    keep = np.zeros(len(a), bool)
+    for w in np.unique(width).tolist():
+        these = np.flatnonzero(width == w)
+        some, at = np.unique(np.concatenate([a[these], b[these]]), return_inverse=True)
+        flat = np.stack([folded(bits[i], w) for i in some.tolist()])
+        slack = n[some] - np.bitwise_count(flat).sum(axis=1)
+        x, y = at[: len(these)], at[len(these) :]
+        step = max((1 << 20) // w, 1)
+        for low in range(0, len(these), step):
+            i, j = x[low : low + step], y[low : low + step]
+            most = np.bitwise_count(flat[i] & flat[j]).sum(axis=1) + np.minimum(slack[i], slack[j])
+            keep[these[low : low + step]] = most >= least_overlap(n[some[i]], n[some[j]], threshold)
+    return keep
+
+
 def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Indices of pairs that connect the roots just as all the pairs do, by rounds of one pair per component."""
     _, label = np.unique(root, return_inverse=True)
@@ -384,6 +406,9 @@ def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: int, want: str) -
             width = min(map(len, bits)) // 8
             side = table.column("side").to_numpy().astype(np.int64)
             a, b = walk(n, root, np.stack([folded(x, width) for x in bits]), side, threshold)
+            if max(map(len, bits)) // 8 > width:
+                some = close(a, b, n, bits, threshold)
+                a, b = a[some], b[some]
             if len(a) and want != "all":
                 some = forest(a, b, root if want == "roots" else name)
                 a, b = a[some], b[some]
@@ -409,21 +434,26 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     def rooted(found: DataFrame) -> DataFrame:
         return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
 
-    fine = None
+    fine, more = None, None
     for want in ("members", "roots", "all"):
         # two rounds try as few pairs as would connect what may be connected; the last tries all that is left
         roots = rooted(links)
         rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
         pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes.select("name", "n"), "name"), classes, threshold, want))
+        if pairs.isEmpty():
+            # nothing that is left apart may link
+            more = None
+            break
         if fine is None:
             # the first round's pairs hold every class that any later pair holds
             fine = cut(sets_for(pairs, classes, docs, key, text, k, fine=True))
             inside = cut(inside.join(fine.select("name"), "name", "left_semi"))
+            classes = cut(classes.join(fine.select("name"), "name", "left_semi"))
         pairs = cut(possible(pairs, fine, threshold))
         more = cut(verified(pairs, sets_for(pairs, classes, docs, key, text, k), threshold))
         links = links.unionByName(more)
-    final = rooted(links) if not more.isEmpty() else roots
+    final = rooted(links) if more is not None and not more.isEmpty() else roots
     least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(final, "name", "left").withColumn("root", F.coalesce("root", "name"))
     ids = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")
     out = seen.filter("n > 0").join(ids, "name").select(key, F.col("n").alias("n_shingles"), "component_id")

@@ -109,6 +109,18 @@ def brute_components(rows, k, threshold):
     return sorted((d, len(s), least[r]) for (d, _), s, r in zip(rows, sets, root))
 
 
+def test_pairs_of_a_cell_are_tried_in_their_own_width(spark):
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 2**64, 900, np.uint64))
+    near = np.sort(np.concatenate([base[:880], rng.integers(0, 2**64, 20, np.uint64)]))
+    sets = [np.sort(rng.integers(0, 2**64, n, np.uint64)) for n in (12, 13, 60, *range(700, 900, 5))] + [base, near]
+    rows = [(7, i, len(s), i, signatures.bitmap(s)) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "group long, name long, n long, root long, bits binary")
+    for want in ("members", "roots", "all"):
+        pairs = signatures.tree_pairs(table.drop("bits"), table.select("name", "bits"), 85, want)
+        assert [(r.a, r.b) for r in pairs.collect()] == [(len(sets) - 2, len(sets) - 1)]
+
+
 @pytest.mark.parametrize("k, threshold", [(4, 85), (5, 80)])
 def test_components_match_brute_force(spark, k, threshold):
     """Chains of edits, so that links hold only between some members of a group."""

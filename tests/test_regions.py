@@ -62,6 +62,32 @@ def test_edge_components_over_many_batches(spark):
     assert len(got) == 120 + 90
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    order = rng.permutation(3000).tolist()
+    edges = [("p", a, b) for a, b in zip(order[:2000], order[1:2000])] + [("q", a, b) for a, b in zip(order[2000:], order[2001:])] + [(None, 1, 2)]
+    table = spark.createDataFrame(edges, "k string, a bigint, b bigint").repartition(40).cache()
+    want = {("p", n): min(order[:2000]) for n in order[:2000]} | {("q", n): min(order[2000:]) for n in order[2000:]}
+
+    def roots():
+        return {(r.k, r.node): r.root for r in components.connected_roots(table, ["k"]).filter("k is not null").collect()}
+
+    rounds = []
+    large = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda *a: rounds.append(1) or large(*a))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert roots() == want and not rounds
+        # what is more than a few still goes through rounds, whatever a task may hold
+        monkeypatch.setattr(components, "FEW", -1)
+        monkeypatch.setattr(components, "FOLD", 100)
+        monkeypatch.setattr(components, "HELD", 10)
+        assert roots() == want and rounds
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_smoothing_matches_direct_sum(spark):
     plane = np.random.default_rng(2).integers(0, 50, (19, 27)).astype(float)
     got = raster.smooth_planes(frame(spark, plane), KEYS, {"a": (1.2, 1.2), "b": (6.0, 6.0)}, plane.shape, block=8)
