@@ -113,6 +113,16 @@ def phrase_rows():
     return [*rows, (50, "new york city " * 30, "en"), (51, None, None), (52, "", "en"), (52, "", "en"), (53, "a " * 3000, "de"), (54, "only!here", "xx")]
 
 
+def test_the_last_sum_of_phrases_leaves_them_out_of_python(spark):
+    born = [np.full(16, phrases.NEVER, np.uint8) for _ in range(2)]
+    born[0][3], born[1][9] = 1, 2
+    rows = [("en", 1, "a", 3, 4), ("en", 1, "b", 9, 5), ("en", 2, "a b", 9, 6), ("en", 2, "b a", 3, 7)]
+    got = phrases.promising(spark.createDataFrame(rows, phrases.COUNTED), born)
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 @pytest.mark.parametrize("least, longest, shards, cells", [(10, 3, 3, 1 << 16), (4, 4, 2, 4), (6, 3, 1, 1 << 16), (10, 2, 5, 1 << 10)])
 def test_phrases_equal_brute_force(spark, least, longest, shards, cells):
     rows = phrase_rows()
