@@ -40,8 +40,8 @@ DEPTH = 7
 STAGES = ((7, 4), (4, 2), (2, 1))
 HEAD = 1 << 20
 FLUSH = 200_000
-BLOCK = 1 << 19
-FOLD = 3 << 20
+BLOCK = 1 << 17
+FOLD = 1 << 20
 SENT = 1 << 16
 U64 = np.uint64
 ROWS = "code long, x double, y double, z double, kind int"

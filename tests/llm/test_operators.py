@@ -209,6 +209,27 @@ def test_lm_base_is_exact_and_bytes_sum_to_one(spark, table):
     assert lm.score(empty(spark), train).isEmpty()
 
 
+def test_a_task_of_the_language_model_holds_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    code = np.unique(rng.integers(0, 2**63, 1 << 19, np.uint64) & ~np.uint64(255) | np.uint64(97))
+    batches = [lm.said_rows(part, *(np.ones(len(part)),) * 3, 0) for part in np.array_split(code, 50)]
+    text = pa.RecordBatch.from_pydict({"text": ["".join(rng.choice(list("abcd "), 1 << 18))] * 16})
+    tracemalloc.start()
+    try:
+        for block, x, *_ in lm.blocks(iter(batches), 4):
+            lm.rise(*lm.decisions(block, x)[:3], None, 7, 4)
+        data, offsets = texts.flat(text.column("text"))
+        for low, high in texts.cuts(offsets):
+            np.unique(lm.running(data, offsets[low : high + 1])[0], return_inverse=True)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_context_tree_weighting_equals_the_recursion(spark, monkeypatch):
     """Scores of words from the recursive definition; words without a count change nothing."""
     monkeypatch.setattr(lm, "BLOCK", 50)
