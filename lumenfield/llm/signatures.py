@@ -13,8 +13,11 @@ width. What remains is verified exactly on the sets.
 
 To lose no link and still not write out all pairs of a large group, each group first tries
 its least member against the others; only members of different components go through the
-trees, and there as few pairs as would connect them are verified twice before all that is
-left is. A group larger than ``CELL`` is dealt into pairs of cells, so none is ever one task.
+trees, where as few pairs as would connect them are verified. What is still apart goes through
+the trees with its sets: a cell verifies its own pairs and writes no more links than connect its
+members, so that a group gives rows in proportion to its size and not to its pairs. A group
+larger than ``CELL``, or of more than ``PIECE`` shingles, is dealt into pairs of cells, so none
+is ever one task.
 
 Null texts, and texts without words, are empty sets: they link with nothing, and each is
 its own component. Repeated ids share the component of the least class they are in. Sets
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +44,12 @@ THRESHOLD = 85
 CELLS = 1 << 22
 BLOCK = 1 << 16
 CELL = 2048
+PIECE = 1 << 21
 LEAF = 8
 CARRY = 1 << 20
 NEEDED = 1 << 23
 FINE = 24
+HELD = 1 << 21
 U64 = np.uint64
 
 
@@ -281,17 +286,18 @@ def sets_for(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return some.mapInArrow(take, f"name long, n long, {payload} binary").groupBy("name").agg(F.first("n").alias("n"), F.first(payload).alias(payload))
 
 
+def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= threshold * (len(a) + len(b) - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The (a, b) of ``pairs`` that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-                a, b = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                both = np.sort(np.concatenate([a, b]))
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= threshold * (len(a) + len(b) - shared))
+            ok = [linked(*(np.frombuffer(v.as_buffer(), U64) for v in two), threshold) for two in zip(batch.column("items_a"), batch.column("items_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     sets = sets.select("name", "items")
@@ -299,7 +305,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return near.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def folded(bits: bytes, width: int) -> np.ndarray:
+def folded(bits: bytes | pa.Buffer, width: int) -> np.ndarray:
     x = np.frombuffer(bits, U64)
     return np.bitwise_or.reduce(x.reshape(-1, width), axis=0)
 
@@ -321,11 +327,12 @@ def walk(n: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, th
     for depth in range(len(levels) - 1, -1, -1):
         b, low, high, s = levels[depth]
         keep = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        step = max((HELD >> 2) // b.shape[1], 1)
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
             most = np.bitwise_count(b[x] & b[y]).sum(axis=1) + np.minimum(s[x], s[y])
             most = np.minimum(most, np.minimum(high[x], high[y]))
-            keep[at : at + (1 << 14)] = (most >= least_overlap(low[x], low[y], threshold)) & (100 * high[x] >= threshold * low[y]) & (100 * high[y] >= threshold * low[x])
+            keep[at : at + step] = (most >= least_overlap(low[x], low[y], threshold)) & (100 * high[x] >= threshold * low[y]) & (100 * high[y] >= threshold * low[x])
         i, j = i[keep], j[keep]
         if depth:
             size = len(levels[depth - 1][0])
@@ -338,37 +345,38 @@ def walk(n: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, th
     return order[i[some]], order[j[some]]
 
 
-def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes], threshold: int) -> np.ndarray:
+def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[bytes] | list[pa.Buffer], threshold: int) -> np.ndarray:
     """Which index pairs of a cell may link by their own bitmaps, each pair in the width of its narrower one.
 
     The tree has all members in the width of the narrowest, where the bitmaps of larger sets are all but full.
+    Only the bitmaps of a slice of the pairs are unfolded at a time.
     """
     words = np.array([len(x) // 8 for x in bits])
     width = np.minimum(words[a], words[b])
     keep = np.zeros(len(a), bool)
     for w in np.unique(width).tolist():
         these = np.flatnonzero(width == w)
-        some, at = np.unique(np.concatenate([a[these], b[these]]), return_inverse=True)
-        flat = np.stack([folded(bits[i], w) for i in some.tolist()])
-        slack = n[some] - np.bitwise_count(flat).sum(axis=1)
-        x, y = at[: len(these)], at[len(these) :]
-        step = max((1 << 20) // w, 1)
+        step = max((HELD >> 2) // w, 1)
         for low in range(0, len(these), step):
-            i, j = x[low : low + step], y[low : low + step]
+            now = these[low : low + step]
+            some, at = np.unique(np.concatenate([a[now], b[now]]), return_inverse=True)
+            flat = np.stack([folded(bits[i], w) for i in some.tolist()])
+            slack = n[some] - np.bitwise_count(flat).sum(axis=1)
+            i, j = at[: len(now)], at[len(now) :]
             most = np.bitwise_count(flat[i] & flat[j]).sum(axis=1) + np.minimum(slack[i], slack[j])
-            keep[these[low : low + step]] = most >= least_overlap(n[some[i]], n[some[j]], threshold)
+            keep[now] = most >= least_overlap(n[some[i]], n[some[j]], threshold)
     return keep
 
 
-def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Indices of pairs that connect the roots just as all the pairs do, by rounds of one pair per component."""
+def joined(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs that connect the roots just as all the pairs do, by rounds of one pair per component; and the members' roots then."""
     _, label = np.unique(root, return_inverse=True)
     at, chosen = np.arange(len(a)), []
     while True:
         x, y = label[a[at]], label[b[at]]
         at, x, y = at[x != y], x[x != y], y[x != y]
         if not len(at):
-            return np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+            return np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64), label
         high, first = np.unique(np.maximum(x, y), return_index=True)
         chosen.append(at[first])
         up = np.arange(int(label.max()) + 1)
@@ -378,21 +386,38 @@ def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: int, want: str) -> DataFrame:
-    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root)``, by ``classes(name, bits)``.
+def forest(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    return joined(a, b, root)[0]
 
-    ``want``: all, or of each cell as many as connect its members (``members``) or its roots (``roots``).
 
-    A group of at most ``CELL`` members is one cell. In a larger one sizes fall into bands such
-    that linking sets are in one band or in neighbouring ones; a member goes into the cell of
-    its band and of the next. A cell of more than ``CELL`` members
+def kept_links(a: np.ndarray, b: np.ndarray, root: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Indices of index pairs that link and connect the roots just as all linking pairs do.
+
+    As few pairs as would connect the roots are verified first, then all that are still apart.
+    """
+    rest, found, label = np.arange(len(a)), [], root
+    for last in (False, True):
+        some = rest if last else forest(a, b, label)
+        ok = np.array([linked(sets[x], sets[y], threshold) for x, y in zip(a[some].tolist(), b[some].tolist())], bool)
+        few, label = joined(a[some[ok]], b[some[ok]], label)
+        found.append(some[ok][few])
+        rest = np.flatnonzero(label[a] != label[b])
+    return np.concatenate(found)
+
+
+def in_cells(rows: DataFrame, classes: DataFrame, payload: str, threshold: int, find: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[pa.Buffer]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) that ``find`` makes of the cells (name, n, root, side, payload) of the groups of ``rows(group, name, n, root)``.
+
+    A group of at most ``CELL`` members and ``PIECE`` shingles is one cell. In a larger one sizes fall
+    into bands such that linking sets are in one band or in neighbouring ones; a member goes into the
+    cell of its band and of the next. A cell that is still larger
     is dealt into parts, and each pair of parts is a cell of its own.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / threshold)).cast("long")
-    large = rows.groupBy("group").agg((F.count("*") > CELL).alias("_large"))
+    large = rows.groupBy("group").agg(((F.count("*") > CELL) | (F.sum("n") > PIECE)).alias("_large"))
     cells = rows.join(large, "group").withColumn("cell", F.explode(F.when(F.col("_large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long"))))).drop("_large")
-    size = cells.groupBy("group", "cell").agg(F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("open")).filter("open")
-    parts = F.ceil(F.col("c") / CELL).cast("long")
+    size = cells.groupBy("group", "cell").agg(F.greatest(F.count("*") / CELL, F.sum("n") / PIECE).alias("c"), (F.min("root") != F.max("root")).alias("open")).filter("open")
+    parts = F.ceil("c").cast("long")
     dealt = cells.join(size, ["group", "cell"]).withColumn("parts", parts).withColumn("part", F.pmod("name", F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("group", "cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "name", "n", "root")
@@ -402,21 +427,53 @@ def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: int, want: str) -
             n, name, root = (table.column(c).to_numpy() for c in ("n", "name", "root"))
             if table.num_rows < 2 or (root == root[0]).all():
                 continue
-            bits = table.column("bits").to_pylist()
-            width = min(map(len, bits)) // 8
             side = table.column("side").to_numpy().astype(np.int64)
-            a, b = walk(n, root, np.stack([folded(x, width) for x in bits]), side, threshold)
-            if max(map(len, bits)) // 8 > width:
-                some = close(a, b, n, bits, threshold)
-                a, b = a[some], b[some]
-            if len(a) and want != "all":
-                some = forest(a, b, root if want == "roots" else name)
-                a, b = a[some], b[some]
+            a, b = find(name, n, root, side, [x.as_buffer() for x in table.column(payload)])
             if len(a):
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(name[a], name[b]), "b": np.maximum(name[a], name[b])})
 
     keys = ["group", "cell", "i", "j"]
-    return dealt.join(classes.select("name", "bits"), "name").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.join(classes.select("name", payload), "name").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def possible_in_cell(n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[bytes] | list[pa.Buffer], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a cell's different roots whose bitmaps and sizes leave room for a link."""
+    width = min(map(len, bits)) // 8
+    while width > 1 and width * len(bits) > HELD:
+        width //= 2
+    a, b = walk(n, root, np.stack([folded(x, width) for x in bits]), side, threshold)
+    if max(map(len, bits)) // 8 > width:
+        some = close(a, b, n, bits, threshold)
+        a, b = a[some], b[some]
+    return a, b
+
+
+def tree_pairs(rows: DataFrame, classes: DataFrame, threshold: int, want: str) -> DataFrame:
+    """Candidate pairs (a, b) of different roots inside the groups of ``rows(group, name, n, root)``, by ``classes(name, bits)``.
+
+    ``want``: all, or of each cell as many as connect its members (``members``) or its roots (``roots``).
+    """
+
+    def find(name: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, bits: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = possible_in_cell(n, root, side, bits, threshold)
+        if len(a) and want != "all":
+            some = forest(a, b, root if want == "roots" else name)
+            a, b = a[some], b[some]
+        return a, b
+
+    return in_cells(rows, classes, "bits", threshold, find)
+
+
+def tree_links(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that connect the roots inside the groups of ``rows(group, name, n, root)`` just as all links do, by ``sets(name, items)``."""
+
+    def find(name: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, items: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, U64) for x in items]
+        a, b = possible_in_cell(n, root, side, [bitmap(x, FINE) for x in sets], threshold)
+        some = kept_links(a, b, root, sets, threshold)
+        return a[some], b[some]
+
+    return in_cells(rows, sets, "items", threshold, find)
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -434,27 +491,24 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     def rooted(found: DataFrame) -> DataFrame:
         return cut(connected_roots(found.select(F.lit(0).alias("_one"), "a", "b"), ["_one"]).select(F.col("node").alias("name"), "root"))
 
-    fine, more = None, None
-    for want in ("members", "roots", "all"):
-        # two rounds try as few pairs as would connect what may be connected; the last tries all that is left
-        roots = rooted(links)
+    def apart(inside: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
         rows = inside.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
         mixed = rows.groupBy("group").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("group")
-        pairs = cut(tree_pairs(rows.join(mixed, "group").join(classes.select("name", "n"), "name"), classes, threshold, want))
-        if pairs.isEmpty():
-            # nothing that is left apart may link
-            more = None
-            break
-        if fine is None:
-            # the first round's pairs hold every class that any later pair holds
-            fine = cut(sets_for(pairs, classes, docs, key, text, k, fine=True))
-            inside = cut(inside.join(fine.select("name"), "name", "left_semi"))
-            classes = cut(classes.join(fine.select("name"), "name", "left_semi"))
-        pairs = cut(possible(pairs, fine, threshold))
-        more = cut(verified(pairs, sets_for(pairs, classes, docs, key, text, k), threshold))
-        links = links.unionByName(more)
-    final = rooted(links) if more is not None and not more.isEmpty() else roots
-    least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(final, "name", "left").withColumn("root", F.coalesce("root", "name"))
+        return rows.join(mixed, "group").join(sizes.select("name", "n"), "name")
+
+    roots = rooted(links)
+    pairs = cut(tree_pairs(apart(inside, roots, classes), classes, threshold, "members"))
+    if not pairs.isEmpty():
+        # these pairs hold every class that any later link holds
+        fine = cut(sets_for(pairs, classes, docs, key, text, k, fine=True))
+        near = cut(possible(pairs, fine, threshold))
+        links = links.unionByName(cut(verified(near, sets_for(near, classes, docs, key, text, k), threshold)))
+        rows = cut(apart(inside.join(fine.select("name"), "name", "left_semi"), rooted(links), fine))
+        if not rows.isEmpty():
+            sets = sets_for(rows.select(F.col("name").alias("a"), F.col("name").alias("b")), classes, docs, key, text, k)
+            links = links.unionByName(cut(tree_links(rows, sets, threshold)))
+        roots = rooted(links)
+    least = seen.filter("n > 0").groupBy("name").agg(F.min(key).alias("_least")).join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
     ids = least.join(least.groupBy("root").agg(F.min("_least").alias("component_id")), "root").select("name", "component_id")
     out = seen.filter("n > 0").join(ids, "name").select(key, F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(seen.filter("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))

@@ -148,6 +148,25 @@ def test_large_groups_are_dealt_into_cells(spark, monkeypatch):
     test_components_match_brute_force(spark, 4, 85)
 
 
+def test_a_group_gives_links_and_not_its_pairs(spark, monkeypatch):
+    """Sets that all but link are as many pairs as the square of their group; a cell writes only what connects its members."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 180, np.uint64)
+    sets = [np.sort(np.concatenate([base, rng.integers(0, 2**64, 20, np.uint64)])) for _ in range(60)]
+    sets += [np.sort(np.concatenate([s[:199], rng.integers(0, 2**64, 1, np.uint64)])) for s in sets[:5] for _ in range(3)]
+    rows = [(group, i, len(s), i, s.tobytes()) for group in (7, 8) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "group long, name long, n long, root long, items binary")
+    for cell, piece in ((2048, 1 << 21), (2048, 2000), (16, 1 << 21)):
+        monkeypatch.setattr(signatures, "CELL", cell)
+        monkeypatch.setattr(signatures, "PIECE", piece)
+        found = signatures.tree_links(table.drop("items"), table.filter("group = 7").select("name", "items"), 85)
+        links = [(r.a, r.b) for r in found.collect()]
+        root = signatures.joined(*(np.array(x) for x in zip(*links)), np.arange(len(sets)))[1]
+        families = [[i, *range(60 + 3 * i, 63 + 3 * i)] for i in range(5)]
+        assert len(links) <= 6 * 5 and sorted(np.flatnonzero(root == root[f[0]]).tolist() for f in families) == families
+        assert len(set(root.tolist())) == 60
+
+
 def test_near_copy_stage_on_awkward_tables(spark, table):
     docs, rows = table
     out = signatures.stage(spark, docs, "")
