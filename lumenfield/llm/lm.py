@@ -15,7 +15,12 @@ group holds the distinct contexts of a few more bytes, not their occurrences. Gr
 texts take part, those of other texts with a count of 0, which leaves all weights as they
 are and gives every text its score.
 
-The grams (a byte and its context) of most places, and words that hold at least 1/``HEAD``
+The texts that are learned from are scored with them: some texts of ``CHUNK`` bytes send their
+distinct grams once, packed and dealt by the last four bytes of the context, and get a number for
+each of them back, in the same order. ``fit`` gives the grams as a table instead, and ``unit_scores``
+joins other units with it.
+
+Grams (a byte and its context) of most places in that table, and words that hold at least 1/``HEAD``
 of all tokens, are at most ``HEAD`` and go to every task; the rest is joined.
 
 Null texts count as empty: one token, the end. Repeated ids are scored row by row. An empty
@@ -24,6 +29,7 @@ table gives no rows; without training rows the counts are 0 and all bytes equall
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -33,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfield.llm.language import held_out
-from lumenfield.llm.texts import LOWER, cuts, flat
+from lumenfield.llm.texts import LOWER, cuts, flat, groups, mix
 from lumenfield.session import work_path
 
 DEPTH = 7
@@ -43,6 +49,8 @@ FLUSH = 200_000
 BLOCK = 1 << 17
 FOLD = 1 << 20
 SENT = 1 << 16
+CHUNK = 1 << 23
+PART = 1 << 21
 U64 = np.uint64
 ROWS = "code long, x double, y double, z double, kind int"
 Spell = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -247,21 +255,229 @@ def fit(units: DataFrame, spell: Spell = spelled, text: str = "word") -> DataFra
             fold()
             yield from said()
 
-    spark = units.sparkSession
     grams = units.select(text, "n").mapInArrow(run, ROWS).groupBy("code").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     rows = [stored(grams.select("code", "x", "y", F.lit(0.0).alias("z"), F.lit(0).alias("kind")), "grams")]
     for high, low in STAGES:
         rows.append(climb(rows[-1], high, low))
-    # the last stage leaves at most 256 contexts of one byte with 255 decisions each
-    table = rows.pop().toArrow()
+    above = from_root(rows.pop())
+    for high, low in reversed(STAGES):
+        above = descend(rows.pop(), above, high, low)
+    return above.select(F.col("code").alias("gram"), F.col("x").alias("log"), F.col("y").alias("places"))
+
+
+def from_root(rows: DataFrame) -> DataFrame:
+    """(said, left) of the nodes of depth 1, at most 256 contexts of one byte with 255 decisions each."""
+    table = rows.toArrow()
     code, x, y, z = (table.column(c).to_numpy() for c in ("code", "x", "y", "z"))
     _, zeros, ones, below, steps = rise(code.view(U64), x, y, z, 1, 0)
     _, own, one = settle(zeros, ones, below)
     said, left = fall(own * one, 1 - own, steps)
-    above = spark.createDataFrame(pa.Table.from_batches([said_rows(code.view(U64), said, left, np.zeros(len(code)), 1)]), ROWS)
-    for high, low in reversed(STAGES):
-        above = descend(rows.pop(), above, high, low)
-    return above.select(F.col("code").alias("gram"), F.col("x").alias("log"), F.col("y").alias("places"))
+    return rows.sparkSession.createDataFrame(pa.Table.from_batches([said_rows(code.view(U64), said, left, np.zeros(len(code)), 1)]), ROWS)
+
+
+def in_chunks(units: DataFrame, text: str = "text") -> DataFrame:
+    """``units`` with ``chunk``, the least id of some that follow each other and hold about ``CHUNK`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = None, 0
+        for batch in batches:
+            _, offsets = flat(batch.column(text))
+            chunks = []
+            for at, size in zip(batch.column("id").to_pylist(), np.diff(offsets).tolist()):
+                if chunk is None or held >= CHUNK:
+                    chunk, held = at, 0
+                held += size
+                chunks.append(chunk)
+            yield batch.append_column("chunk", pa.array(chunks, pa.int64()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema)
+    return units.mapInArrow(run, f"{schema}, chunk long")
+
+
+def packed(code: np.ndarray) -> bytes:
+    """Ascending numbers as their steps, byte by byte."""
+    steps = np.diff(code, prepend=U64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel(), dtype=U64)
+
+
+def sealed(logs: np.ndarray) -> bytes:
+    """Logarithms of probabilities in steps of 2^-40, far below what their sums round off: six bytes each, the highest compressed.
+
+    Numbers of 255 and more, which eight decisions do not reach, would go as they are.
+    """
+    if not (logs > -255).all():
+        return b"\0" + logs.tobytes()
+    steps = np.rint(logs * -(1 << 40)).astype(U64)
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return b"\1" + planes[:5].tobytes() + zlib.compress(planes[5].tobytes(), 1)
+
+
+def opened(data: pa.Buffer, n: int) -> np.ndarray:
+    if data[:1].to_pybytes() == b"\0":
+        return np.frombuffer(data[1:].to_pybytes())
+    planes = np.zeros((8, n), np.uint8)
+    planes[:5] = np.frombuffer(data, np.uint8, 5 * n, 1).reshape(5, n)
+    planes[5] = np.frombuffer(zlib.decompress(data[5 * n + 1 :]), np.uint8)
+    return np.ascontiguousarray(planes.T).view(U64).ravel() / -(1 << 40)
+
+
+def counted(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and the sums of what goes with them."""
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(code) else n
+
+
+def part_of(code: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a gram or node, by the last four bytes of its context."""
+    return (mix(code >> U64(32)) % U64(parts)).astype(np.int64)
+
+
+def by_part(code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices) of ascending numbers; the indices ascend too."""
+    part = part_of(code, parts)
+    order = np.argsort(part, kind="stable")
+    yield from ((int(part[own[0]]), own) for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(own))
+
+
+def asked_by(units: DataFrame, spell: Spell, parts: int, text: str) -> DataFrame:
+    """(part, chunk, codes, counts): the distinct grams of some units of a chunk, packed, with their counts in training."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def said() -> Iterator[pa.RecordBatch]:
+            code, n = counted(*(np.concatenate(c) for c in zip(*held)))
+            held.clear()
+            for part, own in by_part(code, parts):
+                x = n[own]
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "codes": pa.array([packed(code[own])], pa.binary()), "counts": pa.array([zlib.compress(x.astype(np.min_scalar_type(x.max())).tobytes(), 1)], pa.binary())})
+
+        for batch in batches:
+            chunks, n = batch.column("chunk").to_numpy(), batch.column("n").to_numpy()
+            data, offsets = flat(batch.column(text))
+            borders = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for a, b in zip(borders, borders[1:]):
+                if a == b:
+                    continue
+                if held and chunks[a] != chunk:
+                    yield from said()
+                chunk = int(chunks[a])
+                for low, high in cuts(offsets[a : b + 1]):
+                    gram, unit = spell(data, offsets[a + low : a + high + 1])
+                    weight = n[a + low : a + high]
+                    for w in np.unique(weight).tolist():
+                        code, times = np.unique(gram[weight[unit] == w], return_counts=True)
+                        held.append((code, times * int(w)))
+                    if sum(len(h[0]) for h in held[1:]) > 4 * FOLD:
+                        held[:] = [counted(*(np.concatenate(c) for c in zip(*held)))]
+        if held:
+            yield from said()
+
+    return stored(units.select(text, "n", "chunk").mapInArrow(run, "part long, chunk long, codes binary, counts binary"), "asked")
+
+
+def grams_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a part and their counts."""
+    codes = [unpacked(x) for x in table.column("codes").to_pylist()]
+    raw = [zlib.decompress(x) for x in table.column("counts").to_pylist()]
+    return counted(np.concatenate(codes), np.concatenate([np.frombuffer(x, f"u{len(x) // len(c)}").astype(np.int64) for x, c in zip(raw, codes)]))
+
+
+def pieces_of(code: np.ndarray, low: int) -> Iterator[slice]:
+    """Ascending grams in pieces of about ``BLOCK`` that keep contexts of one start of ``low`` bytes together."""
+    start, at = code >> U64(64 - 8 * low), 0
+    while at < len(code):
+        end = min(at + BLOCK, len(code))
+        if end < len(code):
+            cutting = int(np.searchsorted(start, start[end]))
+            end = cutting if cutting > at else int(np.searchsorted(start, start[end], "right"))
+        yield slice(at, end)
+        at = end
+
+
+def own_scores(units: DataFrame, spell: Spell = running, text: str = "text") -> DataFrame:
+    """(id, log): the log10 probability of every one of ``units(id, text, n, chunk)`` by the model learned from them.
+
+    Column ``n`` is what a unit counts in training, an integer.
+    """
+    high, low = STAGES[0]
+    parts = max((units.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART, 1)
+    asked = asked_by(units, spell, parts, text)
+
+    def rising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["part"]):
+            code, n = grams_in(table)
+            for piece in pieces_of(code, low):
+                nodes = said_rows(*rise(*decisions(code[piece], n[piece])[:3], None, high, low)[:4], 0)
+                yield from (nodes.slice(at, SENT) for at in range(0, nodes.num_rows, SENT))
+
+    rows = [stored(asked.repartition("part").sortWithinPartitions("part").mapInArrow(rising, ROWS), "nodes")]
+    for upper, lower in STAGES[1:]:
+        rows.append(climb(rows[-1], upper, lower))
+    above = from_root(rows.pop())
+    for upper, lower in reversed(STAGES[1:]):
+        above = descend(rows.pop(), above, upper, lower)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, x, y = (batch.column(c).to_numpy() for c in ("code", "x", "y"))
+            own = [(part, at) for part, at in by_part(code.view(U64), parts)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in own], pa.int64()), "chunk": pa.nulls(len(own), pa.int64()), "codes": pa.array([code[at].tobytes() for _, at in own], pa.binary()), "counts": pa.array([np.stack([x[at], y[at]]).tobytes() for _, at in own], pa.binary())})
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["part"]):
+            is_node = table.column("chunk").is_null()
+            nodes, table = table.filter(is_node), table.filter(pa.array(~is_node.to_numpy()))
+            node = np.concatenate([np.frombuffer(x, U64) for x in nodes.column("codes").to_pylist()])
+            said = np.concatenate([np.frombuffer(x).reshape(2, -1) for x in nodes.column("counts").to_pylist()], axis=1)[:, np.argsort(node)]
+            node = np.sort(node)
+            code, n = grams_in(table)
+            logs = np.zeros(len(code))
+            for piece in pieces_of(code, low):
+                own, zeros, ones, place, bit = decisions(code[piece], n[piece])
+                steps = rise(own, zeros, ones, None, high, low)
+                up = np.searchsorted(node, steps[0])
+                one = fall(*said[:, up], steps[4])[0][place]
+                logs[piece] = np.log10(np.where(bit, one, 1 - one)).reshape(8, -1).sum(axis=0)
+            part = table.column("part")[0].as_py()
+            chunks = table.column("chunk").to_numpy()
+            order = np.argsort(chunks, kind="stable")
+            for these in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1):
+                wanted = [unpacked(table.column("codes")[int(i)].as_py()) for i in these]
+                wanted = np.unique(np.concatenate(wanted)) if len(wanted) > 1 else wanted[0]
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[these[0]])], pa.int64()), "part": pa.array([part], pa.int64()), "id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "logs": pa.array([sealed(logs[np.searchsorted(code, wanted)])], pa.binary())})
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["chunk"]):
+            is_text = pa.array(table.column("id").is_valid().to_numpy())
+            own, table = table.filter(is_text), table.filter(pa.array(~is_text.to_numpy(zero_copy_only=False)))
+            data, offsets = flat(own.column("text").combine_chunks())
+            slices = []
+            for a, b in cuts(offsets):
+                gram, unit = spell(data, offsets[a : b + 1])
+                distinct, place = np.unique(gram, return_inverse=True)
+                slices.append((distinct, place.astype(np.int32), np.bincount(unit, minlength=b - a)))
+            code = np.unique(np.concatenate([s[0] for s in slices]))
+            logs = np.zeros(len(code))
+            places = dict(by_part(code, parts))
+            for part, answer in zip(table.column("part").to_pylist(), table.column("logs")):
+                logs[places[part]] = opened(answer.as_buffer(), len(places[part]))
+            got = [np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs[np.searchsorted(code, distinct)][place], len(sizes)) for distinct, place, sizes in slices]
+            yield pa.RecordBatch.from_pydict({"id": own.column("id").combine_chunks(), "log": np.concatenate(got)})
+
+    packed_nodes = above.mapInArrow(told, "part long, chunk long, codes binary, counts binary")
+    dealt_parts = asked.unionByName(packed_nodes).repartition("part").sortWithinPartitions("part")
+    found = dealt_parts.mapInArrow(answers, "chunk long, part long, id long, text string, logs binary")
+    texts = units.select("chunk", F.lit(-1).cast("long").alias("part"), "id", F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("binary").alias("logs"))
+    return texts.unionByName(found).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(scores, "id long, log double")
 
 
 def often_from(grams: DataFrame, head: int) -> int:
@@ -319,12 +535,12 @@ def word_scores(words: DataFrame, grams: DataFrame, head: int = HEAD) -> DataFra
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
     """Scores of all rows of ``docs`` by models of the rows that fit the condition ``train``."""
     spark = docs.sparkSession
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), key, F.coalesce(train, F.lit(False)).alias("learn"), (~train).alias("held_out"), text), "texts")
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), key, F.coalesce(train, F.lit(False)).alias("learn"), (~train).alias("held_out"), text)
+    numbered = stored(in_chunks(rows, text).withColumnRenamed("id", "row"), "texts")
     words = vocabulary(numbered.filter("learn"), text)
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"], size["v"]
-    units = numbered.select(F.col("row").alias("id"), text, F.col("learn").cast("double").alias("n"))
-    scores = unit_scores(units, fit(units, running, text), head, running, text)
+    scores = own_scores(numbered.select(F.col("row").alias("id"), text, F.col("learn").cast("long").alias("n"), "chunk"), running, text)
     often = F.col("n") * head >= total
     frequent = words.filter(often).toArrow()
     shared = spark.sparkContext.broadcast((frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy()))

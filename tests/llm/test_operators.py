@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -296,6 +297,29 @@ def test_context_tree_weighting_equals_the_recursion(spark, monkeypatch):
             assert abs(got[word] - want) < 1e-6
 
 
+def test_own_texts_are_scored_by_packed_grams(spark, monkeypatch):
+    """The same scores as by joining every text with the table of grams; texts and parts are dealt in many pieces, and little is sent."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), i % 5 != 0) for i in range(150)] + [(900, None, True), (901, "", False)]
+    docs = spark.createDataFrame(rows, "id long, text string, learn boolean").repartition(3).sortWithinPartitions("id")
+    units = docs.select("id", "text", F.col("learn").cast("long").alias("n"))
+    grams = lm.fit(units.withColumn("n", F.col("n").cast("double")), lm.running, "text")
+    want = {r["id"]: r["log"] for r in lm.unit_scores(units, grams, 16, lm.running, "text").collect()}
+    for name, size in (("CHUNK", 1000), ("PART", 500), ("BLOCK", 50)):
+        monkeypatch.setattr(lm, name, size)
+    chunks = lm.stored(lm.in_chunks(units), "texts")
+    assert chunks.select("chunk").distinct().count() > 15
+    got = {r["id"]: r["log"] for r in lm.own_scores(chunks).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    code = np.unique(lm.running(np.frombuffer(" ".join(rng.choice(words) for _ in range(20000)).encode(), np.uint8), np.array([0, 60000]))[0])
+    logs = -np.exp(np.random.default_rng(8).normal(0, 1, len(code)))
+    assert (lm.unpacked(lm.packed(code)) == code).all()
+    for x in (logs, logs * 1e4, np.array([-np.inf, -1.0])):
+        assert np.allclose(lm.opened(pa.py_buffer(lm.sealed(x)), len(x)), x, 0, 1e-12)
+    assert len(lm.packed(code)) < 5 * len(code) and len(lm.sealed(logs)) < 6 * len(code)
+
+
 def test_lm_contexts_run_across_words(spark):
     """The same words in the order of the training texts cost less than in another order."""
     learned = [(i, "red fox ran far red fox ran far") for i in range(40)] + [(100 + i, "far ran fox red") for i in range(2)]
