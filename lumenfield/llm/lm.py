@@ -49,7 +49,7 @@ FLUSH = 200_000
 BLOCK = 1 << 17
 FOLD = 1 << 20
 SENT = 1 << 16
-CHUNK = 1 << 23
+CHUNK = 1 << 24
 PART = 1 << 21
 U64 = np.uint64
 ROWS = "code long, x double, y double, z double, kind int"
@@ -376,7 +376,7 @@ def asked_by(units: DataFrame, spell: Spell, parts: int, text: str) -> DataFrame
                     for w in np.unique(weight).tolist():
                         code, times = np.unique(gram[weight[unit] == w], return_counts=True)
                         held.append((code, times * int(w)))
-                    if sum(len(h[0]) for h in held[1:]) > 4 * FOLD:
+                    if sum(len(h[0]) for h in held[1:]) > 2 * FOLD:
                         held[:] = [counted(*(np.concatenate(c) for c in zip(*held)))]
         if held:
             yield from said()
@@ -453,31 +453,44 @@ def own_scores(units: DataFrame, spell: Spell = running, text: str = "text") ->
             for these in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1):
                 wanted = [unpacked(table.column("codes")[int(i)].as_py()) for i in these]
                 wanted = np.unique(np.concatenate(wanted)) if len(wanted) > 1 else wanted[0]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[these[0]])], pa.int64()), "part": pa.array([part], pa.int64()), "id": pa.nulls(1, pa.int64()), "text": pa.nulls(1, pa.string()), "logs": pa.array([sealed(logs[np.searchsorted(code, wanted)])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[these[0]])], pa.int64()), "part": pa.array([part], pa.int64()), "ids": pa.nulls(1, pa.binary()), "sent": pa.array([sealed(logs[np.searchsorted(code, wanted)])], pa.binary())})
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, ids = batch.column("chunk").to_numpy(), batch.column("id").to_numpy()
+            data, offsets = flat(batch.column(text))
+            borders = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
+            for a, b in zip(borders, borders[1:]):
+                for low, high in cuts(offsets[a : b + 1]):
+                    own = slice(a + low, a + high)
+                    ends = offsets[a + low : a + high + 1]
+                    bundle = zlib.compress((ends - ends[0]).tobytes() + data[ends[0] : ends[-1]].tobytes(), 1)
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[a])], pa.int64()), "part": pa.array([-1], pa.int64()), "ids": pa.array([ids[own].tobytes()], pa.binary()), "sent": pa.array([bundle], pa.binary())})
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["chunk"]):
-            is_text = pa.array(table.column("id").is_valid().to_numpy())
-            own, table = table.filter(is_text), table.filter(pa.array(~is_text.to_numpy(zero_copy_only=False)))
-            data, offsets = flat(own.column("text").combine_chunks())
-            slices = []
-            for a, b in cuts(offsets):
-                gram, unit = spell(data, offsets[a : b + 1])
+            is_text = table.column("part").to_numpy() < 0
+            own, table = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
+            slices, ids = [], [np.frombuffer(x, np.int64) for x in own.column("ids").to_pylist()]
+            for some, bundle in zip(ids, own.column("sent")):
+                bundle = np.frombuffer(zlib.decompress(bundle.as_buffer()), np.uint8)
+                head = 8 * (len(some) + 1)
+                gram, unit = spell(bundle[head:], bundle[:head].view(np.int64))
                 distinct, place = np.unique(gram, return_inverse=True)
-                slices.append((distinct, place.astype(np.int32), np.bincount(unit, minlength=b - a)))
+                slices.append((distinct, place.astype(np.int32), np.bincount(unit, minlength=len(some))))
             code = np.unique(np.concatenate([s[0] for s in slices]))
             logs = np.zeros(len(code))
             places = dict(by_part(code, parts))
-            for part, answer in zip(table.column("part").to_pylist(), table.column("logs")):
+            for part, answer in zip(table.column("part").to_pylist(), table.column("sent")):
                 logs[places[part]] = opened(answer.as_buffer(), len(places[part]))
             got = [np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs[np.searchsorted(code, distinct)][place], len(sizes)) for distinct, place, sizes in slices]
-            yield pa.RecordBatch.from_pydict({"id": own.column("id").combine_chunks(), "log": np.concatenate(got)})
+            yield pa.RecordBatch.from_pydict({"id": np.concatenate(ids), "log": np.concatenate(got)})
 
     packed_nodes = above.mapInArrow(told, "part long, chunk long, codes binary, counts binary")
     dealt_parts = asked.unionByName(packed_nodes).repartition("part").sortWithinPartitions("part")
-    found = dealt_parts.mapInArrow(answers, "chunk long, part long, id long, text string, logs binary")
-    texts = units.select("chunk", F.lit(-1).cast("long").alias("part"), "id", F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("binary").alias("logs"))
-    return texts.unionByName(found).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(scores, "id long, log double")
+    sent = "chunk long, part long, ids binary, sent binary"
+    bundles = units.select("chunk", "id", text).mapInArrow(bundled, sent)
+    return bundles.unionByName(dealt_parts.mapInArrow(answers, sent)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(scores, "id long, log double")
 
 
 def often_from(grams: DataFrame, head: int) -> int:
