@@ -15,13 +15,12 @@ group holds the distinct contexts of a few more bytes, not their occurrences. Gr
 texts take part, those of other texts with a count of 0, which leaves all weights as they
 are and gives every text its score.
 
-The texts that are learned from are scored with them: some texts of ``CHUNK`` bytes send their
-distinct grams once, packed and dealt by the last four bytes of the context, and get a number for
-each of them back, in the same order. ``fit`` gives the grams as a table instead, and ``unit_scores``
-joins other units with it.
-
-Grams (a byte and its context) of most places in that table, and words that hold at least 1/``HEAD``
-of all tokens, are at most ``HEAD`` and go to every task; the rest is joined.
+The texts that are learned from are scored with them: some texts of ``CHUNK`` bytes, fewer where
+they hold more than ``GRAMS`` different grams, send their distinct grams once, packed and dealt by
+the last four bytes of the context, and get a number for each of them back. Their words go the same
+way and come back with their counts. ``fit`` gives the grams as a table instead, and ``unit_scores``
+joins other units with it; grams of most places in that table are at most ``HEAD`` and go to every
+task, the rest is joined.
 
 Null texts count as empty: one token, the end. Repeated ids are scored row by row. An empty
 table gives no rows; without training rows the counts are 0 and all bytes equally likely.
@@ -30,26 +29,31 @@ table gives no rows; without training rows the counts are 0 and all bytes equall
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumenfield.llm.language import held_out
-from lumenfield.llm.texts import LOWER, cuts, flat, groups, mix
+from lumenfield.llm.texts import LOWER, SPACE, cuts, flat, groups, mix, weights
 from lumenfield.session import work_path
 
 DEPTH = 7
 STAGES = ((7, 4), (4, 2), (2, 1))
 HEAD = 1 << 20
-FLUSH = 200_000
+FLUSH = 300_000
 BLOCK = 1 << 17
 FOLD = 1 << 20
 SENT = 1 << 16
-CHUNK = 1 << 24
+SMALL = 1 << 12
+CHUNK = 1 << 26
+GRAMS = 7 << 20
+SHARES = 256
 PART = 1 << 21
 U64 = np.uint64
 ROWS = "code long, x double, y double, z double, kind int"
@@ -82,34 +86,99 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams_of([data[a:b].tobytes() + b" " if a < b else b"\xff" for a, b in zip(places, places[1:])])
 
 
+def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of whole texts: all words, each with a space behind it, and the end; ``ends`` has where each text ends."""
+    data = LOWER[data[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    space = SPACE[data]
+    after = np.concatenate([[True], space[:-1]])[: len(data)]
+    after[offsets[:-1][offsets[:-1] < len(data)]] = True
+    keep = ~(space & after)
+    out = data[keep]
+    out[space[keep]] = 32
+    cut = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    # a last word without a space behind it gets one
+    more = (np.diff(cut) > 0) & ~space[np.maximum(offsets[1:] - 1, 0)] if len(data) else np.zeros(len(offsets) - 1, bool)
+    ends = np.cumsum(np.diff(cut) + more + 1)
+    said = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+    said[ends - 1] = 255
+    for low, high, end, extra in zip(cut[:-1].tolist(), cut[1:].tolist(), ends.tolist(), more.tolist()):
+        said[end - 1 - extra - high + low : end - 1 - extra] = out[low:high]
+    return said, ends
+
+
+def grams_along(said: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The grams of a stream, place by place."""
+    if not len(said):
+        return np.zeros(0, U64)
+    # eight spaces before each text let a context be read as one number
+    laid = np.full(len(said) + 8 * len(ends), 32, np.uint8)
+    own = np.ones(len(laid), bool)
+    for i, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        at = low + 8 * i
+        own[at : at + 8] = False
+        laid[at + 8 : at + 8 + high - low] = said[low:high]
+    eight = np.ndarray(len(laid) - 8, "<u8", laid, 0, (1,))
+    return eight[own[8:]] & ~U64(255) | said
+
+
 def running(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Grams of whole texts: all words, each with a space behind it, and the end."""
-    places = offsets.tolist()
-    return grams_of([b" ".join([*LOWER[data[a:b]].tobytes().split(), b"\xff"]) for a, b in zip(places, places[1:])])
+    said, ends = stream(data, offsets)
+    return grams_along(said, ends), np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): the words (``''`` is the end) of some texts and their counts."""
+def words_of(said: np.ndarray, ends: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of a stream, with the space behind them, and how many each text has."""
+    words = np.delete(said, ends - 1)
+    last = np.flatnonzero(words == 32) + 1
+    places = np.concatenate([[0], last]).astype(np.int32)
+    column = pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(places), pa.py_buffer(words)])
+    upto = np.searchsorted(last, ends - np.arange(1, len(ends) + 1), "right")
+    return column.dictionary_encode(), np.diff(upto, prepend=0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
 
-        def said() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array([*tally], pa.binary()).cast(pa.string()), "n": pa.array([*tally.values()], pa.int64())})
+def listed(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of binary values."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-        for batch in batches:
-            data, offsets = flat(batch.column(text))
-            for low, high in cuts(offsets):
-                for i in range(low, high):
-                    tally.update(LOWER[data[offsets[i] : offsets[i + 1]]].tobytes().split())
-                    tally[b""] += 1
-                if len(tally) > FLUSH:
-                    yield said()
-                    tally.clear()
-        if tally:
-            yield said()
 
-    return stored(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+def hashes_of(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word; words end in a space, so none is empty."""
+    data, offsets = listed(words)
+    sizes = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
+    value = (data.astype(U64) + U64(1)) * weights(int(sizes.max()), seed + 2)[place]
+    return mix(np.add.reduceat(value, offsets[:-1]) + sizes.astype(U64))
+
+
+def words_in(blobs: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of some lists, one after the other, and how many each list holds."""
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    last = np.flatnonzero(data == 32) + 1
+    places = np.concatenate([[0], last]).astype(np.int32)
+    upto = np.searchsorted(last, np.cumsum([len(x) for x in blobs]), "right")
+    return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(places), pa.py_buffer(data)]), np.diff(upto, prepend=0)
+
+
+class Counts:
+    """Counts of words, found again by hashes that no two of them share."""
+
+    def __init__(self, words: pa.Array, n: np.ndarray) -> None:
+        found = words.dictionary_encode()
+        total = np.zeros(len(found.dictionary), np.int64)
+        total[found.indices.to_numpy()] = n
+        for self.seed in range(1 << 16):
+            hashes = hashes_of(found.dictionary, self.seed) if len(total) else np.zeros(0, U64)
+            order = np.argsort(hashes)
+            self.hashes, self.n = hashes[order], total[order]
+            if (self.hashes[1:] != self.hashes[:-1]).all():
+                return
+        raise ValueError("words share all hashes")
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        return self.n[np.searchsorted(self.hashes, hashes_of(words, self.seed))] if len(words) else np.zeros(0, np.int64)
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -118,15 +187,29 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
 
 
+@lru_cache(1)
+def small_gammas() -> tuple[np.ndarray, np.ndarray]:
+    """``log_gamma`` of n + 0.5 and of n + 1 for counts below ``SMALL``."""
+    n = np.arange(SMALL, dtype=float)
+    return log_gamma(n + 0.5), log_gamma(n + 1)
+
+
 def settle(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(log weighted probability, share of the own estimate, estimate of a one) of decisions; ``below`` is None at the leaves."""
     past = np.zeros(len(zeros))
+    half, whole = small_gammas()
     # in short pieces, whose passing arrays stay small
     for low in range(0, len(past), SENT):
         a, b = zeros[low : low + SENT], ones[low : low + SENT]
-        some = a + b > 0
-        a, b = a[some], b[some]
-        past[low : low + SENT][some] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+        total = a + b
+        i, j = np.minimum(a, SMALL - 1).astype(np.int32), np.minimum(b, SMALL - 1).astype(np.int32)
+        both = np.minimum(i + j, SMALL - 1)
+        value = half[i] + half[j] - whole[both] - np.log(np.pi)
+        value[total == 0] = 0
+        other = (both != total) | (i != a)
+        a, b = a[other], b[other]
+        value[other] = log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+        past[low : low + SENT] = value
     one = (ones + 0.5) / (zeros + ones + 1)
     if below is None:
         return past, np.ones(len(past)), one
@@ -139,14 +222,37 @@ def top(level: int) -> np.uint64:
     return U64(((1 << 64) - (1 << (64 - 8 * level))) | 255)
 
 
+def numbered(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and the place of each number among them."""
+    order = np.argsort(code)
+    ascending = code[order]
+    first = np.ones(len(code), bool)
+    first[1:] = ascending[1:] != ascending[:-1]
+    place = np.empty(len(code), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ascending[first], place
+
+
 def decisions(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(node, zeros, ones, place, bit): the deepest nodes, and for all grams, decision by decision, their node and what they decide."""
+    """(node, zeros, ones, place, bit): the deepest nodes, and for all grams, decision by decision, their node and what they decide.
+
+    Grams of a context come one after another, by their bytes; so do those of a node, which needs no sorting then.
+    """
     byte, context = (gram & U64(255)).astype(np.int64), gram & ~U64(255)
-    node = np.concatenate([context | ((1 << depth) | (byte >> (8 - depth))).astype(U64) for depth in range(8)])
     bit = np.concatenate([(byte >> (7 - depth)) & 1 for depth in range(8)]).astype(bool)
-    code, place = np.unique(node, return_inverse=True)
-    weight = np.tile(n, 8)
-    return code, np.bincount(place, weight * ~bit, len(code)), np.bincount(place, weight * bit, len(code)), place, bit
+    code, zeros, ones, places, before = [], [], [], [], 0
+    for depth in range(8):
+        node = context | ((1 << depth) | (byte >> (8 - depth))).astype(U64)
+        first = np.ones(len(node), bool)
+        first[1:] = node[1:] != node[:-1]
+        at = np.flatnonzero(first)
+        up = bit[depth * len(node) : (depth + 1) * len(node)]
+        code.append(node[at])
+        ones.append(np.add.reduceat(n * up, at, dtype=float) if len(at) else np.zeros(0))
+        zeros.append(np.add.reduceat(n * ~up, at, dtype=float) if len(at) else np.zeros(0))
+        places.append(np.cumsum(first) + (before - 1))
+        before += len(at)
+    return np.concatenate(code), np.concatenate(zeros), np.concatenate(ones), np.concatenate(places), bit
 
 
 def rise(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, high: int, low: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
@@ -154,7 +260,7 @@ def rise(code: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarra
     steps = []
     for level in range(high - 1, low - 1, -1):
         mixed, own, one = settle(zeros, ones, below)
-        code, up = np.unique(code & top(level), return_inverse=True)
+        code, up = numbered(code & top(level))
         steps.append((own, one, up))
         zeros, ones, below = (np.bincount(up, v, len(code)) for v in (zeros, ones, mixed))
     return code, zeros, ones, below, steps
@@ -326,6 +432,12 @@ def opened(data: pa.Buffer, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(U64).ravel() / -(1 << 40)
 
 
+def distinct(code: np.ndarray) -> np.ndarray:
+    """Distinct numbers, ascending; by sorting, which beats numpy's hashing of millions."""
+    code = np.sort(code)
+    return code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+
+
 def counted(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers, ascending, and the sums of what goes with them."""
     order = np.argsort(code)
@@ -341,54 +453,148 @@ def part_of(code: np.ndarray, parts: int) -> np.ndarray:
 
 def by_part(code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, indices) of ascending numbers; the indices ascend too."""
-    part = part_of(code, parts)
+    # numpy sorts 16 bits by counting
+    part = part_of(code, parts).astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(part, kind="stable")
     yield from ((int(part[own[0]]), own) for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(own))
 
 
-def asked_by(units: DataFrame, spell: Spell, parts: int, text: str) -> DataFrame:
-    """(part, chunk, codes, counts): the distinct grams of some units of a chunk, packed, with their counts in training."""
+def merged(code: np.ndarray, n: np.ndarray, new: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers, ascending, and their counts, with some more, distinct and ascending too."""
+    at = np.searchsorted(code, new)
+    old = np.zeros(len(new), bool)
+    inside = at < len(code)
+    old[inside] = code[at[inside]] == new[inside]
+    n[at[old]] += times[old]
+    fresh = at[~old] + np.arange(len(new) - int(old.sum()))
+    kept = np.ones(len(code) + len(fresh), bool)
+    kept[fresh] = False
+    out = []
+    for all_, added in ((code, new[~old]), (n, times[~old])):
+        both = np.empty(len(kept), all_.dtype)
+        both[kept], both[fresh] = all_, added
+        out.append(both)
+    return out[0], out[1]
+
+
+def by_share(code: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(share, indices) of ascending numbers: parts are dealt to ``SHARES``, so that what is sorted and copied at once is little."""
+    share = (part_of(code, parts) % SHARES).astype(np.uint8)
+    order = np.argsort(share, kind="stable")
+    ends = np.cumsum(np.bincount(share, minlength=SHARES)).tolist()
+    yield from ((i, order[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends)) if a < b)
+
+
+def shrunk(n: np.ndarray) -> bytes:
+    return zlib.compress(n.astype(np.min_scalar_type(n.max())).tobytes(), 1)
+
+
+def asked_by(units: DataFrame, parts: int, text: str) -> DataFrame:
+    """What chunks of units ask for, and the units, in one table.
+
+    (part, chunk, codes, counts): the distinct grams of a chunk, packed, with their counts in
+    training; from part ``parts`` on its words, each with a space behind it, once or more often.
+    Rows without a part hold some units spelled (``said``) and lists of their other columns. A
+    chunk of many different grams is parted further, so that a task holds few.
+    """
+    others = [c for c in units.columns if c not in (text, "n", "chunk")]
+    kinds = [units.schema[c].dataType.simpleString() for c in others]
+    names = ["part", "chunk", "codes", "counts", "said", *others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk: int | None = None
+        none = (np.zeros(0, U64), np.zeros(0, np.int64))
+        grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def said() -> Iterator[pa.RecordBatch]:
-            code, n = counted(*(np.concatenate(c) for c in zip(*held)))
+        tally: list[tuple[pa.Array, np.ndarray]] = []
+        chunk = given = None
+        size = 0
+        types: list[pa.DataType] = []
+
+        def row(part: int | None, codes: bytes | None, counts: bytes | None, said: bytes | None, lists: list[pa.Array]) -> pa.RecordBatch:
+            own = [pa.array([x], kind) for x, kind in ((part, pa.int64()), (chunk, pa.int64()), (codes, pa.binary()), (counts, pa.binary()), (said, pa.binary()))]
+            return pa.RecordBatch.from_arrays([*own, *(lists or [pa.nulls(1, kind) for kind in types])], names)
+
+        def folded() -> None:
+            found = pa.concat_arrays([words for words, _ in tally]).dictionary_encode()
+            count = np.bincount(found.indices.to_numpy(), np.concatenate([x for _, x in tally]), len(found.dictionary))
+            tally[:] = [(found.dictionary, count.astype(np.int64))]
+
+        def said_words() -> Iterator[pa.RecordBatch]:
+            if not sum(len(words) for words, _ in tally):
+                return
+            folded()
+            words, count = tally.pop()
+            part = (hashes_of(words) % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            data, offsets = listed(words.take(pa.array(order)))
+            first = np.flatnonzero(np.diff(part[order], prepend=-1))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+                yield row(parts + int(part[order[a]]), zlib.compress(data[offsets[a] : offsets[b]].tobytes(), 1), shrunk(count[order[a:b]]), None, [])
+
+        def gathered() -> None:
+            new = distinct(np.concatenate([code for code, _ in held]))
+            times = np.zeros(len(new), np.int64)
+            for code, count in held:
+                times[np.searchsorted(new, code)] += count
             held.clear()
-            for part, own in by_part(code, parts):
-                x = n[own]
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "codes": pa.array([packed(code[own])], pa.binary()), "counts": pa.array([zlib.compress(x.astype(np.min_scalar_type(x.max())).tobytes(), 1)], pa.binary())})
+            for share, own in by_share(new, parts):
+                grams[share] = merged(*grams.get(share, none), new[own], times[own])
+
+        def said_all() -> Iterator[pa.RecordBatch]:
+            if held:
+                gathered()
+            for code, n in grams.values():
+                for part, own in by_part(code, parts):
+                    yield row(part, packed(code[own]), shrunk(n[own]), None, [])
+            grams.clear()
+            yield from said_words()
 
         for batch in batches:
-            chunks, n = batch.column("chunk").to_numpy(), batch.column("n").to_numpy()
+            types = [pa.list_(batch.column(c).type) for c in others]
+            chunks, learned, ids = batch.column("chunk").to_numpy(), batch.column("n").to_numpy(), batch.column("id").to_numpy()
             data, offsets = flat(batch.column(text))
             borders = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
             for a, b in zip(borders, borders[1:]):
-                if a == b:
-                    continue
-                if held and chunks[a] != chunk:
-                    yield from said()
-                chunk = int(chunks[a])
                 for low, high in cuts(offsets[a : b + 1]):
-                    gram, unit = spell(data, offsets[a + low : a + high + 1])
-                    weight = n[a + low : a + high]
+                    own = slice(a + low, a + high)
+                    if chunks[own.start] != given or sum(len(code) for code, _ in grams.values()) > GRAMS or size >= CHUNK:
+                        if given is not None:
+                            yield from said_all()
+                        given, chunk, size = chunks[own.start], int(ids[own.start]), 0
+                    size += int(offsets[own.stop] - offsets[own.start])
+                    said, ends = stream(data, offsets[own.start : own.stop + 1])
+                    lists = [pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), batch.column(c).slice(own.start, high - low)) for c in others]
+                    bundle = ends.astype(np.int64).tobytes() + said.tobytes()
+                    yield row(None, None, None, len(bundle).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(bundle, asbytes=True), lists)
+                    gram, weight = grams_along(said, ends), learned[own]
                     for w in np.unique(weight).tolist():
-                        code, times = np.unique(gram[weight[unit] == w], return_counts=True)
+                        code, times = np.unique(gram[np.repeat(weight == w, np.diff(ends, prepend=0))], return_counts=True)
                         held.append((code, times * int(w)))
-                    if sum(len(h[0]) for h in held[1:]) > 2 * FOLD:
-                        held[:] = [counted(*(np.concatenate(c) for c in zip(*held)))]
-        if held:
-            yield from said()
-
-    return stored(units.select(text, "n", "chunk").mapInArrow(run, "part long, chunk long, codes binary, counts binary"), "asked")
+                    if sum(len(code) for code, _ in held) > 2 * FOLD:
+                        gathered()
+                    found, sizes = words_of(said, ends)
+                    times = np.bincount(found.indices.to_numpy(), np.repeat(weight, sizes), len(found.dictionary))
+                    tally.append((found.dictionary, times.astype(np.int64)))
+                    if sum(len(words) for words, _ in tally) > 2 * FLUSH:
+                        folded()
+                        if len(tally[0][0]) > FLUSH:
+                            yield from said_words()
+        if given is not None:
+            yield from said_all()
+
+    schema = ", ".join(["part long, chunk long, codes binary, counts binary, said binary", *(f"`{c}` array<{kind}>" for c, kind in zip(others, kinds))])
+    return stored(units.mapInArrow(run, schema), "asked")
+
+
+def counts_in(table: pa.Table, sizes: list[int]) -> list[np.ndarray]:
+    raw = [zlib.decompress(x) for x in table.column("counts").to_pylist()]
+    return [np.frombuffer(x, f"u{len(x) // size}").astype(np.int64) for x, size in zip(raw, sizes)]
 
 
-def grams_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of a part and their counts."""
+def grams_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct grams of a part and their counts; the grams row by row."""
     codes = [unpacked(x) for x in table.column("codes").to_pylist()]
-    raw = [zlib.decompress(x) for x in table.column("counts").to_pylist()]
-    return counted(np.concatenate(codes), np.concatenate([np.frombuffer(x, f"u{len(x) // len(c)}").astype(np.int64) for x, c in zip(raw, codes)]))
+    return *counted(np.concatenate(codes), np.concatenate(counts_in(table, [len(c) for c in codes]))), codes
 
 
 def pieces_of(code: np.ndarray, low: int) -> Iterator[slice]:
@@ -403,18 +609,62 @@ def pieces_of(code: np.ndarray, low: int) -> Iterator[slice]:
         at = end
 
 
-def own_scores(units: DataFrame, spell: Spell = running, text: str = "text") -> DataFrame:
-    """(id, log): the log10 probability of every one of ``units(id, text, n, chunk)`` by the model learned from them.
+def word_answers(asked: DataFrame) -> DataFrame:
+    """(chunk, part, codes, sent, n, v): the words of each row of ``asked`` with their counts in all training texts.
 
-    Column ``n`` is what a unit counts in training, an integer.
+    ``n`` and ``v`` sum up to the words and to the different words in training.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["part"]):
+            words, sizes = words_in([zlib.decompress(x) for x in table.column("codes").to_pylist()])
+            found = words.dictionary_encode()
+            total = np.bincount(found.indices.to_numpy(), np.concatenate(counts_in(table, sizes.tolist())), len(found.dictionary)).astype(np.int64)
+            ends = np.cumsum(sizes)
+            sent = [shrunk(total[found.indices[a:b].to_numpy()]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+            rest = [0] * (len(sizes) - 1)
+            yield pa.RecordBatch.from_pydict({"chunk": table.column("chunk").combine_chunks(), "part": table.column("part").combine_chunks(), "codes": table.column("codes").combine_chunks(), "sent": pa.array(sent, pa.binary()), "n": pa.array([int(total.sum()), *rest], pa.int64()), "v": pa.array([int((total > 0).sum()), *rest], pa.int64())})
+
+    dealt_words = asked.repartition("part").sortWithinPartitions("part")
+    return stored(dealt_words.mapInArrow(run, "chunk long, part long, codes binary, sent binary, n long, v long"), "words")
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of 4 MB on their way to Python, for what runs meanwhile; rows of packed grams are large, and several copies of a batch are held at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "4m")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def own_scores(units: DataFrame, text: str = "text") -> DataFrame:
+    """(id, ..., log, n_tokens, n_known, base, n_bytes, n, v) of ``units(id, text, n, chunk, ...)``.
+
+    ``log`` is the log10 probability of a unit by the model learned from all of them; column ``n``
+    is what a unit counts in training, an integer. ``base`` is the sum of log10(c + 1) over the
+    tokens, ``n`` and ``v`` are the tokens and the different tokens in training.
+    """
+    with small_batches(units.sparkSession):
+        return scores_of(units, text)
+
+
+def scores_of(units: DataFrame, text: str) -> DataFrame:
     high, low = STAGES[0]
-    parts = max((units.agg(F.sum(F.octet_length(text))).first()[0] or 0) // PART, 1)
-    asked = asked_by(units, spell, parts, text)
+    whole = units.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    parts, ended = int(max(whole["size"] // PART, 1)), int(whole["n"])
+    both = asked_by(units, parts, text)
+    others = both.columns[5:]
+    asked = both.filter(F.col("part") < parts).select("part", "chunk", "codes", "counts")
+    words = word_answers(both.filter(F.col("part") >= parts).select("part", "chunk", "codes", "counts"))
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
 
     def rising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["part"]):
-            code, n = grams_in(table)
+            code, n, _ = grams_in(table)
             for piece in pieces_of(code, low):
                 nodes = said_rows(*rise(*decisions(code[piece], n[piece])[:3], None, high, low)[:4], 0)
                 yield from (nodes.slice(at, SENT) for at in range(0, nodes.num_rows, SENT))
@@ -439,7 +689,7 @@ def own_scores(units: DataFrame, spell: Spell = running, text: str = "text") ->
             node = np.concatenate([np.frombuffer(x, U64) for x in nodes.column("codes").to_pylist()])
             said = np.concatenate([np.frombuffer(x).reshape(2, -1) for x in nodes.column("counts").to_pylist()], axis=1)[:, np.argsort(node)]
             node = np.sort(node)
-            code, n = grams_in(table)
+            code, n, codes = grams_in(table)
             logs = np.zeros(len(code))
             for piece in pieces_of(code, low):
                 own, zeros, ones, place, bit = decisions(code[piece], n[piece])
@@ -447,50 +697,77 @@ def own_scores(units: DataFrame, spell: Spell = running, text: str = "text") ->
                 up = np.searchsorted(node, steps[0])
                 one = fall(*said[:, up], steps[4])[0][place]
                 logs[piece] = np.log10(np.where(bit, one, 1 - one)).reshape(8, -1).sum(axis=0)
-            part = table.column("part")[0].as_py()
-            chunks = table.column("chunk").to_numpy()
-            order = np.argsort(chunks, kind="stable")
-            for these in np.split(order, np.flatnonzero(np.diff(chunks[order])) + 1):
-                wanted = [unpacked(table.column("codes")[int(i)].as_py()) for i in these]
-                wanted = np.unique(np.concatenate(wanted)) if len(wanted) > 1 else wanted[0]
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[these[0]])], pa.int64()), "part": pa.array([part], pa.int64()), "ids": pa.nulls(1, pa.binary()), "sent": pa.array([sealed(logs[np.searchsorted(code, wanted)])], pa.binary())})
-
-    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks, ids = batch.column("chunk").to_numpy(), batch.column("id").to_numpy()
-            data, offsets = flat(batch.column(text))
-            borders = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)]
-            for a, b in zip(borders, borders[1:]):
-                for low, high in cuts(offsets[a : b + 1]):
-                    own = slice(a + low, a + high)
-                    ends = offsets[a + low : a + high + 1]
-                    bundle = zlib.compress((ends - ends[0]).tobytes() + data[ends[0] : ends[-1]].tobytes(), 1)
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunks[a])], pa.int64()), "part": pa.array([-1], pa.int64()), "ids": pa.array([ids[own].tobytes()], pa.binary()), "sent": pa.array([bundle], pa.binary())})
+            for chunk, part, wanted, asked_codes in zip(table.column("chunk"), table.column("part"), codes, table.column("codes")):
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], kind) for x, kind in ((chunk, pa.int64()), (part, pa.int64()), (asked_codes, pa.binary()))] + [pa.array([sealed(logs[np.searchsorted(code, wanted)])], pa.binary()), *(pa.nulls(1, kind) for kind in lists)], names)
+
+    names = ["chunk", "part", "codes", "sent", *others]
+    kinds = [both.schema[c].dataType for c in others]
+    lists = [to_arrow_type(kind) for kind in kinds]
+    done = ["log", "n_tokens", "n_known", "base", "n_bytes"]
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["chunk"]):
-            is_text = table.column("part").to_numpy() < 0
-            own, table = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
-            slices, ids = [], [np.frombuffer(x, np.int64) for x in own.column("ids").to_pylist()]
-            for some, bundle in zip(ids, own.column("sent")):
-                bundle = np.frombuffer(zlib.decompress(bundle.as_buffer()), np.uint8)
-                head = 8 * (len(some) + 1)
-                gram, unit = spell(bundle[head:], bundle[:head].view(np.int64))
-                distinct, place = np.unique(gram, return_inverse=True)
-                slices.append((distinct, place.astype(np.int32), np.bincount(unit, minlength=len(some))))
-            code = np.unique(np.concatenate([s[0] for s in slices]))
-            logs = np.zeros(len(code))
-            places = dict(by_part(code, parts))
-            for part, answer in zip(table.column("part").to_pylist(), table.column("sent")):
-                logs[places[part]] = opened(answer.as_buffer(), len(places[part]))
-            got = [np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs[np.searchsorted(code, distinct)][place], len(sizes)) for distinct, place, sizes in slices]
-            yield pa.RecordBatch.from_pydict({"id": np.concatenate(ids), "log": np.concatenate(got)})
+        chunk = None
+        answered: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        blobs: list[bytes] = []
+        times: list[np.ndarray] = []
+        counts: Counts | None = None
+        for batch in batches:
+            chunks, parted, sent = batch.column("chunk").to_numpy(), batch.column("part").to_numpy(), batch.column("sent")
+            for i in range(batch.num_rows):
+                if chunks[i] != chunk:
+                    chunk, answered, blobs, times, counts = chunks[i], {}, [], [], None
+                if parted[i] < parts:
+                    code = unpacked(batch.column("codes")[i].as_py())
+                    answered.setdefault(int(parted[i]) % SHARES, []).append((code, opened(sent[i].as_buffer(), len(code))))
+                    continue
+                if parted[i] < 2 * parts:
+                    blobs.append(zlib.decompress(batch.column("codes")[i].as_py()))
+                    raw = zlib.decompress(sent[i].as_py())
+                    times.append(np.frombuffer(raw, f"u{len(raw) // blobs[-1].count(b' ')}").astype(np.int64))
+                    continue
+                if counts is None:
+                    for share, some in answered.items():
+                        code, log = (np.concatenate(x) for x in zip(*some))
+                        order = np.argsort(code)
+                        answered[share] = [(code[order], log[order])]
+                    counts = Counts(words_in(blobs)[0], np.concatenate(times) if times else np.zeros(0, np.int64))
+                    blobs, times = [], []
+                bundle = sent[i].as_py()
+                raw = np.frombuffer(pa.Codec("zstd").decompress(bundle[8:], int.from_bytes(bundle[:8], "little")), np.uint8)
+                columns = [batch.column(c)[i].values for c in others]
+                m = len(columns[0])
+                ends, said = raw[: 8 * m].view(np.int64), raw[8 * m :]
+                gram = grams_along(said, ends)
+                order = np.argsort(gram)
+                gram = gram[order]
+                first = np.ones(len(gram), bool)
+                first[1:] = gram[1:] != gram[:-1]
+                asked_for = gram[first]
+                got = np.empty(len(asked_for))
+                for share, at in by_share(asked_for, parts):
+                    code, log = answered[share][0]
+                    got[at] = log[np.searchsorted(code, asked_for[at])]
+                along = np.empty(len(gram))
+                along[order] = got[np.cumsum(first) - 1]
+                found, sizes = words_of(said, ends)
+                known = counts.of(found.dictionary)[found.indices.to_numpy()]
+                text_of = np.repeat(np.arange(m), sizes)
+                # each text has one end
+                n_known = np.bincount(text_of, known > 0, m).astype(np.int64) + (ended > 0)
+                base = np.bincount(text_of, np.log10(known + 1.0), m) + np.log10(ended + 1.0)
+                own = [np.add.reduceat(along, np.append(0, ends[:-1])), sizes + 1, n_known, base, np.diff(ends, prepend=0)]
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], [*others, *done])
 
     packed_nodes = above.mapInArrow(told, "part long, chunk long, codes binary, counts binary")
     dealt_parts = asked.unionByName(packed_nodes).repartition("part").sortWithinPartitions("part")
-    sent = "chunk long, part long, ids binary, sent binary"
-    bundles = units.select("chunk", "id", text).mapInArrow(bundled, sent)
-    return bundles.unionByName(dealt_parts.mapInArrow(answers, sent)).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(scores, "id long, log double")
+    carried = ", ".join(f"`{c}` {kind.simpleString()}" for c, kind in zip(others, kinds))
+    sent = dealt_parts.mapInArrow(answers, f"chunk long, part long, codes binary, sent binary, {carried}")
+    # a chunk's answers come before its units
+    bundles = both.filter(F.col("part").isNull()).select("chunk", F.lit(2 * parts).cast("long").alias("part"), F.lit(None).cast("binary").alias("codes"), F.col("said").alias("sent"), *others)
+    every = sent.unionByName(words.drop("n", "v"), allowMissingColumns=True).unionByName(bundles)
+    out = ", ".join(f"`{c}` {kind.elementType.simpleString()}" for c, kind in zip(others, kinds))
+    scored = every.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(scores, f"{out}, log double, n_tokens long, n_known long, base double, n_bytes long")
+    return stored(scored, "scores").withColumns({"n": F.lit(int(size["n"]) + ended).cast("long"), "v": F.lit(int(size["v"]) + (ended > 0)).cast("long")})
 
 
 def often_from(grams: DataFrame, head: int) -> int:
@@ -546,67 +823,20 @@ def word_scores(words: DataFrame, grams: DataFrame, head: int = HEAD) -> DataFra
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", head: int = HEAD) -> DataFrame:
-    """Scores of all rows of ``docs`` by models of the rows that fit the condition ``train``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("id"), key, F.coalesce(train, F.lit(False)).alias("learn"), (~train).alias("held_out"), text)
-    numbered = stored(in_chunks(rows, text).withColumnRenamed("id", "row"), "texts")
-    words = vocabulary(numbered.filter("learn"), text)
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = size["n"], size["v"]
-    scores = own_scores(numbered.select(F.col("row").alias("id"), text, F.col("learn").cast("long").alias("n"), "chunk"), running, text)
-    often = F.col("n") * head >= total
-    frequent = words.filter(often).toArrow()
-    shared = spark.sparkContext.broadcast((frequent.column("word").cast(pa.binary()).to_pylist(), frequent.column("n").to_numpy()))
-    names = ["row", key, "held_out", "n_tokens", "n_known", "logs", "n_bytes", "word", "n"]
-    kind = docs.schema[key].dataType
+    """Scores of all rows of ``docs`` by models of the rows that fit the condition ``train``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_words, head_counts = shared.value
-        known = {w: i for i, w in enumerate(head_words)}
-        # the last place, -1, is that of words to be joined
-        counts = np.append(np.log10(head_counts + 1.0), 0.0)
-        for batch in batches:
-            data, offsets = flat(batch.column(text))
-            for low, high in cuts(offsets):
-                size, found, bytes_, base = [], [], [], []
-                rare_row, rare_word, rare_n = [], [], []
-                for i, (a, b) in enumerate(zip(offsets[low:high].tolist(), offsets[low + 1 : high + 1].tolist())):
-                    words = LOWER[data[a:b]].tobytes().split()
-                    words.append(b"")
-                    at = np.array([known.get(w, -1) for w in words])
-                    rare = Counter([words[j] for j in np.flatnonzero(at < 0).tolist()])
-                    size.append(len(words))
-                    found.append(len(words) - rare.total())
-                    bytes_.append(sum(map(len, words)) + len(words))
-                    base.append(counts[at].sum())
-                    rare_row += [low + i] * len(rare)
-                    rare_word += rare.keys()
-                    rare_n += rare.values()
-                m, r = high - low, len(rare_word)
-                part = batch.slice(low, m)
-                own = [part.column("row"), part.column(key), part.column("held_out"), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bytes_, pa.int64()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
-                yield pa.RecordBatch.from_arrays(own, names)
-                rare_at = batch.column("row").take(pa.array(rare_row, pa.int64()))
-                empty = [pa.nulls(r, x.type) for x in own[1:7]]
-                yield pa.RecordBatch.from_arrays([rare_at, *empty, pa.array(rare_word, pa.binary()).cast(pa.string()), pa.array(rare_n, pa.int64())], names)
-
-    schema = f"row long, `{key}` {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, n_bytes long, word string, n long"
-    scored = numbered.select("row", key, "held_out", text).mapInArrow(run, schema)
-    tail = words.filter(~often).select(F.col("word").alias("_w"), F.col("n").alias("_c"))
-    # rows without a word join with nothing; keys of their own keep them apart
-    slot = F.coalesce("word", F.concat(F.lit("\n"), F.col("row").cast("string")))
-    joined = scored.join(tail, slot == F.col("_w"), "left")
-    sums = joined.groupBy("row").agg(
-        F.max(F.struct(F.col("held_out").isNotNull().alias("own"), key, "held_out", "n_tokens", "n_known", "logs", "n_bytes")).alias("own"),
-        F.sum(F.when(F.col("_c") > 0, F.col("n"))).alias("more"),
-        F.sum(F.col("n") * F.log10(F.col("_c") + 1)).alias("more_logs"),
-    )
-    base = F.col("own.logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("own.n_tokens") * float(np.log10(total + distinct + 1))
-    model = F.col("log")
-    return sums.join(scores.withColumnRenamed("id", "row"), "row").select(
-        f"own.{key}", "own.held_out", "own.n_tokens", (F.col("own.n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"),
-        (-model * float(np.log2(10)) / F.col("own.n_bytes")).alias("bits_per_byte"),
+    ``head`` changes nothing: no words go to every task any more.
+    """
+    learn = F.coalesce(train, F.lit(False)).cast("long")
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), (~train).alias("held_out"), learn.alias("n"), F.col(text).alias("text"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # few large chunks ask for the fewest grams; every core gets one at least
+    tasks = max(-(-size // (CHUNK * 4 // 5)), docs.sparkSession.sparkContext.defaultParallelism)
+    scores = own_scores(rows.coalesce(int(tasks)).withColumn("chunk", F.lit(0).cast("long")))
+    return scores.select(
+        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.col("n").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.log10(F.col("n") + F.col("v") + 1)).alias("base_score"), F.col("log").alias("score"),
+        (-F.col("log") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

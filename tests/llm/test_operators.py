@@ -320,6 +320,33 @@ def test_own_texts_are_scored_by_packed_grams(spark, monkeypatch):
     assert len(lm.packed(code)) < 5 * len(code) and len(lm.sealed(logs)) < 6 * len(code)
 
 
+def test_chunks_of_the_language_model_hold_few_grams(spark, monkeypatch):
+    """Texts are written once, a chunk of many different grams is parted, and neither changes a result."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40)))) for i in range(120)] + [(500, None), (501, " \n "), (502, " Abc\tabc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    names, stored = [], lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, name: names.append((name, out := stored(df, name))) or out)
+    for name, size in (("GRAMS", 300), ("FOLD", 50), ("FLUSH", 40)):
+        monkeypatch.setattr(lm, name, size)
+    monkeypatch.setattr(lm, "cuts", lambda offsets: texts.cuts(offsets, 256))
+    got = {r["doc_id"]: r for r in lm.score(docs, F.col("doc_id") % 3 != 0).collect()}
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert all(got[i][c] == r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens"))
+        assert abs(got[i]["score"] - r["score"]) < 1e-8 and abs(got[i]["base_score"] - r["base_score"]) < 1e-9
+    assert "texts" not in [name for name, _ in names]
+    asked = next(df for name, df in names if name == "asked").filter("said is null").collect()
+    sizes = Counter()
+    for r in asked:
+        sizes[r["chunk"]] += len(lm.unpacked(r["codes"])) if r["part"] == 0 else 0
+    assert len(sizes) > 8 and max(sizes.values()) < 1500
+    words, sizes = lm.words_in([b"a b ", b"", b"a\xff "])
+    assert words.to_pylist() == [b"a ", b"b ", b"a\xff "] and sizes.tolist() == [2, 0, 1]
+    assert lm.Counts(words, np.array([1, 2, 3])).of(words.take(pa.array([2, 0]))).tolist() == [3, 1]
+
+
 def test_lm_contexts_run_across_words(spark):
     """The same words in the order of the training texts cost less than in another order."""
     learned = [(i, "red fox ran far red fox ran far") for i in range(40)] + [(100 + i, "far ran fox red") for i in range(2)]
