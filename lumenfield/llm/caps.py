@@ -15,6 +15,9 @@ half of the threshold's: then all members of a group link. The caps of a group a
 its members; two groups that share a cap link wholly, not at all, or are compared in blocks
 of at most ``BLOCK`` members a side, as the angle of their leaders and their radii tell.
 
+Joins of vectors, caps and blocks are sort-merge joins by hint: Spark sizes a table without the
+rows that an explode adds and a vector at 100 bytes, and would send large tables through the driver.
+
 Null vectors, zero vectors and vectors with a null or non-finite component link with
 nothing: n_links 0, their own component, kept. Vectors of different length never link.
 Equal vectors link. Rows without vec_id are left as they are; vec_ids are taken as unique.
@@ -159,7 +162,7 @@ def led(found: DataFrame) -> DataFrame:
             near = turn <= np.arccos(TIGHT)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), batch.column("sketch"), batch.column("caps"), pa.array(np.where(near, lead, own)), pa.array(np.where(near & (own != lead), turn, 0.0))], ["id", "unit", "sketch", "caps", "lead", "radius"])
 
-    return found.join(leaders, "top").select("id", "unit", "sketch", "caps", "lead", "lead_unit").mapInArrow(run, "id long, unit binary, sketch binary, caps array<long>, lead long, radius double")
+    return found.join(leaders.hint("merge"), "top").select("id", "unit", "sketch", "caps", "lead", "lead_unit").mapInArrow(run, "id long, unit binary, sketch binary, caps array<long>, lead long, radius double")
 
 
 def near_groups(placed: DataFrame, cosine: float) -> DataFrame:
@@ -168,8 +171,8 @@ def near_groups(placed: DataFrame, cosine: float) -> DataFrame:
     heads = cut(placed.groupBy("lead").agg(F.max("radius").alias("radius"), F.max_by("unit", own).alias("unit"), F.max_by("sketch", own).alias("sketch")))
     caps = placed.select("lead", F.explode("caps").alias("cap")).distinct()
     size = caps.groupBy("cap").agg(F.count("*").alias("c")).filter("c > 1").withColumn("parts", F.ceil(F.col("c") / BLOCK).cast("long")).drop("c")
-    dealt = caps.join(size, "cap").withColumn("part", F.pmod(F.xxhash64("lead"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("cap", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "lead").join(heads.drop("unit"), "lead")
+    dealt = caps.join(size.hint("merge"), "cap").withColumn("part", F.pmod(F.xxhash64("lead"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("cap", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "lead").join(heads.drop("unit").hint("merge"), "lead")
     most = np.arccos(cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +201,17 @@ def near_groups(placed: DataFrame, cosine: float) -> DataFrame:
     keys = ["cap", "i", "j"]
     pairs = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "g long, h long").distinct()
     sides = [heads.select(F.col("lead").alias(x), F.col("unit").alias(f"unit_{x}"), F.col("radius").alias(f"radius_{x}")) for x in "gh"]
-    return pairs.join(sides[0], "g").join(sides[1], "h").mapInArrow(settle, "g long, h long, whole boolean")
+    return pairs.join(sides[0].hint("merge"), "g").join(sides[1].hint("merge"), "h").mapInArrow(settle, "g long, h long, whole boolean")
 
 
 def compared(pairs: DataFrame, placed: DataFrame, sizes: DataFrame, cosine: float) -> DataFrame:
     """(id, n, other): how many vectors of the other group each member links with, or (null n) a link (id, other)."""
     parts = F.ceil(F.col("size") / BLOCK).cast("long")
-    blocks = pairs.join(sizes.select(F.col("lead").alias("g"), parts.alias("p")), "g").join(sizes.select(F.col("lead").alias("h"), parts.alias("q")), "h")
+    counts = [sizes.select(F.col("lead").alias(x), parts.alias(p)).hint("merge") for x, p in ("gp", "hq")]
+    blocks = pairs.join(counts[0], "g").join(counts[1], "h")
     blocks = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     blocks = blocks.select("g", "h", "i", "j", F.explode(F.array(F.struct(F.col("g").alias("lead"), F.col("i").alias("part"), F.lit(0).alias("side")), F.struct(F.col("h").alias("lead"), F.col("j").alias("part"), F.lit(1).alias("side")))).alias("s")).select("g", "h", "i", "j", "s.*")
-    members = placed.select("lead", "id", "unit").join(sizes, "lead").select("lead", "id", "unit", F.pmod(F.xxhash64("id"), parts).alias("part"))
+    members = placed.select("lead", "id", "unit").join(sizes.hint("merge"), "lead").select("lead", "id", "unit", F.pmod(F.xxhash64("id"), parts).alias("part"))
     keys = ["g", "h", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +231,7 @@ def compared(pairs: DataFrame, placed: DataFrame, sizes: DataFrame, cosine: floa
             some = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own[some], tree[:, 0]])), pa.array([*n[some].tolist(), *[None] * len(tree)], pa.int64()), pa.array([*[None] * int(some.sum()), *tree[:, 1].tolist()], pa.int64())], ["id", "n", "other"])
 
-    return blocks.join(members, ["lead", "part"]).select(*keys, "side", "id", "unit").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, n long, other long")
+    return blocks.join(members.hint("merge"), ["lead", "part"]).select(*keys, "side", "id", "unit").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "id long, n long, other long")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -240,8 +244,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     counted = cut(compared(near.filter("not whole").select("g", "h"), placed, sizes, cosine))
     whole = near.filter("whole").select("g", "h")
     both = whole.unionByName(whole.select(F.col("h").alias("g"), F.col("g").alias("h")))
-    gained = both.join(sizes.withColumnRenamed("lead", "h"), "h").groupBy(F.col("g").alias("lead")).agg(F.sum("size").alias("more"))
-    inner = placed.select("id", "lead").join(sizes, "lead").join(gained, "lead", "left").select("id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n"))
+    gained = both.join(sizes.withColumnRenamed("lead", "h").hint("merge"), "h").groupBy(F.col("g").alias("lead")).agg(F.sum("size").alias("more"))
+    inner = placed.select("id", "lead").join(sizes, "lead").join(gained.hint("merge"), "lead", "left").select("id", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n"))
     links = inner.unionByName(counted.filter("n is not null").select("id", "n")).groupBy("id").agg(F.sum("n").alias("n_links"))
     edges = placed.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
     edges = edges.unionByName(whole.toDF("a", "b")).unionByName(counted.filter("n is null").select(F.col("id").alias("a"), F.col("other").alias("b")))

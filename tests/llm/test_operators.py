@@ -213,6 +213,20 @@ def test_caps_match_all_pairs(spark, monkeypatch, block):
     assert len(got) == len(rows)
 
 
+def test_caps_sends_no_table_through_the_driver(spark):
+    """Spark sizes exploded caps and blocks too low, so it would broadcast them at any size near its threshold."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(16) + 3 * (i % 5)).tolist()) for i in range(60)]
+    found = caps.cut(caps.decoded(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"))
+    placed = caps.cut(caps.led(found))
+    sizes = caps.cut(placed.groupBy("lead").agg(F.count("*").alias("size")))
+    near = caps.near_groups(placed, 0.9)
+    for frame in (caps.led(found), near, caps.compared(near.select("g", "h"), placed, sizes, 0.9)):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_lm_base_is_exact_and_bytes_sum_to_one(spark, table):
     docs, rows = table
     train = ~language.held_out(7, 2)
