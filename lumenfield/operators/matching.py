@@ -102,10 +102,11 @@ def admissible_pairs(
 
 
 def best_matching(edges: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """Most pairs first, then least total distance, by cheapest augmenting paths."""
+    """Most pairs first, then least total distance, by cheapest augmenting paths; a repeated edge counts at its least distance."""
     costs: dict[int, dict[int, float]] = {}
     for g, r, d in edges:
-        costs.setdefault(g, {})[r] = d
+        row = costs.setdefault(g, {})
+        row[r] = min(d, row.get(r, d))
     partner: dict[int, int] = {}
     mate: dict[int, int] = {}
     price_g = dict.fromkeys(costs, 0.0)
@@ -163,7 +164,8 @@ def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     The objective separates by connected component of the edge list. A pair that touches
     no other edge is final; only the rest is sorted and solved per component, whose
-    size is bounded by the detections within reach of each other in one frame.
+    size is bounded by the detections within reach of each other in one frame. Of edges
+    that repeat a pair, the least distant one stands for all.
     """
     keys = list(keys)
     pairs = cut(pairs)
@@ -204,14 +206,15 @@ def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     def solved(part: pd.DataFrame, inner: Sequence[int]) -> pd.DataFrame:
         edges = list(part[["green_id", "red_id", "distance"]].itertuples(index=False, name=None))
         bounds = [0, *inner, len(part)]
+        first = ~part.duplicated([*keys, "green_id", "red_id"]).to_numpy()
         keep = np.zeros(len(part), bool)
         for start, stop in zip(bounds[:-1], bounds[1:]):
             chosen = set(best_matching(edges[start:stop]))
             keep[start:stop] = [e[:2] in chosen for e in edges[start:stop]]
-        return part.loc[keep, names]
+        return part.loc[keep & first, names]
 
     # dealt by component and read as a stream: no call per image or setting
-    dealt = grouped.repartition(*keys, "root").sortWithinPartitions(*keys, "root", "green_id", "red_id")
+    dealt = grouped.repartition(*keys, "root").sortWithinPartitions(*keys, "root", "green_id", "red_id", "distance")
     return final.unionByName(dealt.mapInPandas(solve, pairs.schema))
 
 

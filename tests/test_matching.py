@@ -119,3 +119,13 @@ def test_least_distance_wins_where_a_sum_with_a_million_would_tie():
     near, far = 4.590250537820729, 4.5902505378242795
     assert near - 1e6 == far - 1e6
     assert matching.best_matching([(399842, 309202, far), (399842, 622963, near)]) == [(399842, 622963)]
+
+
+def test_a_repeated_pair_is_matched_once_at_its_least_distance(spark):
+    """Two detections of a field may share an id; the SQL takes one edge of such a pair."""
+    rows = [(1, 10, 20, 3.0), (1, 10, 20, 1.0), (1, 10, 20, 3.0), (1, 11, 21, 2.0), (1, 11, 21, 2.0), (1, 11, 22, 2.5), (1, 12, 22, 4.0), (2, 10, 20, 5.0)]
+    pairs = spark.createDataFrame(rows, "image_id bigint, green_id bigint, red_id bigint, distance double")
+    got = sorted(map(tuple, matching.one_to_one(pairs, ["image_id"]).collect()))
+    assert got == [(1, 10, 20, 1.0), (1, 11, 21, 2.0), (1, 12, 22, 4.0), (2, 10, 20, 5.0)]
+    # the farther edge comes last
+    assert matching.best_matching([(1, 5, 1.0), (1, 6, 2.0), (1, 5, 9.0)]) == [(1, 5)]
